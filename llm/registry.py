@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from . import quality_rules
 from .bpe import op10_bpe
 from .language_id import op7_language_id
+from .near_duplicates import op4_near_duplicates
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_near_duplicates": op4_near_duplicates,
     "op7_language_id": op7_language_id,
     "op10_bpe": op10_bpe,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.ORACLE,
+}
