@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import quality_rules
 from .bpe import op10_bpe
+from .decontaminate import op3_decontaminate
 from .language_id import op7_language_id
 from .line_dedup import op1_line_dedup
 from .near_duplicates import op4_near_duplicates
@@ -11,6 +12,7 @@ from .near_duplicates import op4_near_duplicates
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op7_language_id": op7_language_id,
     "op10_bpe": op10_bpe,
