@@ -8,12 +8,16 @@ from .decontaminate import op3_decontaminate
 from .language_id import op7_language_id
 from .line_dedup import op1_line_dedup
 from .near_duplicates import op4_near_duplicates
+from .quality_gam import op5_quality_gam
+from .toxicity import op6_toxicity
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality_gam": op5_quality_gam,
+    "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op10_bpe": op10_bpe,
 }
