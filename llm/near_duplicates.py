@@ -278,12 +278,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = rows.join(chosen.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stash(texts.mapInArrow(_sets, "doc long, n long, tokens binary").where("n > 0"))
 
-    # star rounds: each set against the pivot of its smallest shingles
+    # star rounds: each set against the pivots of its smallest shingles; every shingle chooses its pivot
+    # by a hash of its own, so that a set of a large group meets several members of it
     links, labels = None, sets.select("doc", F.col("doc").alias("component")).distinct()
-    for seed in (1, 2):
+    for seed in (1, 2, 3):
         keys = sets.select("doc", "tokens").mapInArrow(lambda it, s=seed: _anchors(it, s), "key long, doc long").join(labels, "doc")
         keys = stash(keys)
-        pivots = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", F.lit(seed)), "doc")).getField("doc").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+        pivots = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key"), "doc")).getField("doc").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi"))
         pivots = stash(pivots.where("lo <> hi").join(labels.select(F.col("doc").alias("a"), F.col("component").alias("ca")), "a"))
         pairs = keys.join(pivots, "key").where("component <> ca").select("a", F.col("doc").alias("b")).distinct()
         found = stash(verified(pairs, sets))
