@@ -47,6 +47,7 @@ PAIRS_UP_TO = 160
 BUCKET_ENTRIES = 400_000
 WINDOW_BYTES = 1 << 25
 
+_MET = np.dtype([("doc", "<i8"), ("need", "<i4"), ("met", "<i4")])
 _ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("print", "<u8"), ("need", "<i4")])
 
 
@@ -159,8 +160,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, buckets:
         yield packed()
 
 
-def _meet(table: pa.Table) -> pa.Table:
-    """(doc, need, met) of a bucket: how many of its entries a document shares with another class."""
+def _meet(table: pa.Table, parts: int) -> pa.Table:
+    """(part, packed (doc, need, met)) of a bucket: how many of its entries a document shares with another class."""
     cols: dict[str, list] = {f: [] for f in _ENTRY.names}
     for data in table.column("data"):
         raw, at = data.as_buffer(), 0
@@ -179,7 +180,22 @@ def _meet(table: pa.Table) -> pa.Table:
     keep = met | (need <= 0)
     doc, need, met = doc[keep], need[keep], met[keep]
     u, at = np.unique(doc, return_index=True)
-    return pa.table({"doc": u, "need": need[at].astype(np.int32), "met": np.bincount(np.searchsorted(u, doc), met, len(u)).astype(np.int64)})
+    found = np.empty(len(u), _MET)
+    found["doc"], found["need"], found["met"] = u, need[at], np.bincount(np.searchsorted(u, doc), met, len(u))
+    part = (words.mix(u.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    o = np.argsort(part, kind="stable")
+    found, part = found[o], part[o]
+    cut = np.flatnonzero(np.diff(part)) + 1
+    data = [x.tobytes() for x in np.split(found, cut)] if len(found) else []
+    return pa.table({"part": pa.array(part[np.concatenate([[0], cut])] if len(found) else [], pa.int32()), "data": pa.array(data, pa.binary())})
+
+
+def _stay(table: pa.Table) -> pa.Table:
+    """The documents of a part whose prefix shares enough entries, over all buckets."""
+    found = np.concatenate([np.frombuffer(x.as_buffer(), _MET) for x in table.column("data")])
+    u, at, inverse = np.unique(found["doc"], return_index=True, return_inverse=True)
+    met = np.bincount(inverse, found["met"])
+    return pa.table({"doc": u[met >= found["need"][at]]})
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,12 +283,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = spark.sparkContext.broadcast(frequent)
     buckets = max(shuffle_partitions(spark), int((total["n"] or 0) * 3 // 8 // BUCKET_ENTRIES) + 1)
 
+    parts = 12 + buckets // 8
     classes = known.where("n > 0").groupBy("n", "p", "q").agg(F.min("doc_id").alias("first"))
     met = (
         rows.mapInArrow(lambda it: _prefixes(it, shared.value, buckets), "bucket int, data binary")
-        .groupBy("bucket").applyInArrow(_meet, "doc long, need int, met long")
-        .groupBy("doc").agg(F.min("need").alias("need"), F.sum("met").alias("met"))
-        .where("met >= need").select("doc")
+        .groupBy("bucket").applyInArrow(lambda t: _meet(t, parts), "part int, data binary")
+        .groupBy("part").applyInArrow(_stay, "doc long")
     )
     chosen = stash(met.join(classes.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi"))
     texts = rows.join(chosen.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
