@@ -197,36 +197,45 @@ def _retrieve(h: np.ndarray, row: np.ndarray, x: Index) -> tuple[np.ndarray, np.
     return first[p], last[p], item, score[hit]
 
 
+def _found(text: pa.Array, x: Index) -> tuple[list, ...]:
+    """(row, item id, score, question overlap, answer overlap) lists of the items that a batch of texts holds."""
+    raw, off = words.text_bytes(pc.utf8_lower(text))
+    found: tuple[list, ...] = ([], [], [], [], [])
+    for i, j in words.pieces(off):
+        h, row = _words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+        first, last, item, score = _retrieve(h, row, x)
+        if not len(first):
+            continue
+        ends = np.searchsorted(row, np.arange(j - i + 1))
+        best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
+        for f, e, it, s in zip(first.tolist(), last.tolist(), item.tolist(), score.tolist(), strict=True):
+            d = int(row[f])
+            around = int(x.length[it]) + GRAM
+            seen = _grams(h[max(ends[d], f - around) : min(ends[d + 1], e + around)])
+            q, a = (float(np.isin(g, seen).mean()) if len(g) else 1.0 for g in (x.question[it], x.answer[it]))
+            best[d, it] = max(best.get((d, it), (-1.0,) * 4), (min(q, a), s, q, a))
+        for (d, it), (_, s, q, a) in best.items():
+            if q >= MIN_QUESTION and a >= MIN_ANSWER:
+                for out, v in zip(found, (i + d, int(x.item_ids[it]), s, q, a), strict=True):
+                    out.append(v)
+    return found
+
+
 def _match(batches: Iterator[pa.RecordBatch], x: Index) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        raw, off = words.text_bytes(pc.utf8_lower(b.column("text")))
-        ids = b.column("doc_id")
-        rows, items, scores, qs, as_ = [], [], [], [], []
-        for i, j in words.pieces(off):
-            h, row = _words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-            first, last, item, score = _retrieve(h, row, x)
-            if not len(first):
-                continue
-            ends = np.searchsorted(row, np.arange(j - i + 1))
-            best: dict[tuple[int, int], tuple[float, float, float, float]] = {}
-            for f, e, it, s in zip(first.tolist(), last.tolist(), item.tolist(), score.tolist(), strict=True):
-                d = int(row[f])
-                around = int(x.length[it]) + GRAM
-                seen = _grams(h[max(ends[d], f - around) : min(ends[d + 1], e + around)])
-                q, a = (float(np.isin(g, seen).mean()) if len(g) else 1.0 for g in (x.question[it], x.answer[it]))
-                best[d, it] = max(best.get((d, it), (-1.0,) * 4), (min(q, a), s, q, a))
-            for (d, it), (_, s, q, a) in best.items():
-                if q >= MIN_QUESTION and a >= MIN_ANSWER:
-                    for out, v in ((rows, i + d), (items, int(x.item_ids[it])), (scores, s), (qs, q), (as_, a)):
-                        out.append(v)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), *[pa.array(v, pa.float64()) for v in (scores, qs, as_)]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+        rows, items, *numbers = _found(b.column("text"), x)
+        yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), *[pa.array(v, pa.float64()) for v in numbers]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
 
-def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of each document and test item found in it.
+def _clean(batches: Iterator[pa.RecordBatch], x: Index) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        keep = np.ones(len(b), bool)
+        keep[_found(b.column("text"), x)[0]] = False
+        yield b.filter(pa.array(keep))
 
-    Statistics of the collection (document frequencies, mean length) are over all items."""
-    spark = docs.sparkSession
+
+def indexes(items: DataFrame) -> list[Index]:
+    """The index of each block of items; document frequencies and mean length are over all items."""
     frequency: dict[int, int] = {}
     n_items, n_words = 0, 0
     blocks: list[list[tuple[int, str]]] = [[]]
@@ -243,18 +252,30 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
             size = 0
         blocks[-1].append((r["item_id"], r["text"]))
         size += len(r["text"])
+    return [build_index(b, frequency, n_items, n_words / n_items) for b in blocks if b]
+
+
+def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of each document and test item found in it."""
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double"
     found = None
-    for block in blocks:
-        if not block:
-            continue
-        shared = spark.sparkContext.broadcast(build_index(block, frequency, n_items, n_words / n_items))
+    for index in indexes(items):
+        shared = spark.sparkContext.broadcast(index)
         part = docs.select("doc_id", "text").mapInArrow(lambda it, s=shared: _match(it, s.value), schema)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else spark.createDataFrame([], schema)
 
 
+def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``docs`` without the rows in which a test item is found; nothing is shuffled."""
+    for index in indexes(items):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        docs = docs.mapInArrow(lambda it, s=shared: _clean(it, s.value), docs.schema)
+    return docs
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import quality_rules, token_counts
 from .bpe import op10_bpe
 from .decontaminate import op3_decontaminate
 from .language_id import op7_language_id
+from .licenses import op8_license_scan
 from .line_dedup import op1_line_dedup
 from .near_duplicates import op4_near_duplicates
 from .quality_gam import op5_quality_gam
@@ -19,8 +20,11 @@ QUERIES = {
     "op5_quality_gam": op5_quality_gam,
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
+    "op8_license_scan": op8_license_scan,
+    "op9_token_counts": token_counts.op9_token_counts,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op9_token_counts": token_counts.ORACLE,
 }
