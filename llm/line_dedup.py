@@ -11,11 +11,13 @@ costs time, never a match). With that order:
 
 1. equal sets fall into one class by fingerprint, whose first line is known;
 2. *prefix filter*: each class is indexed under the first n - ceil(n num / den) + 1 words;
-   the *length* and *positional* filters and a 128-bit parity bitmap are conditions of the join;
+   the *length* and *positional* filters and a 64-bit parity bitmap are conditions of the join
+   (print and bitmap together, 128 bits, are also the identity of a set);
 3. a cheap round first compares each line with the earliest line under each of its few rarest
    words, which settles most lines of large near-copy groups at linear cost; only lines not yet
    settled then meet all others, so no group is ever expanded into all its pairs;
-4. candidates are verified on the whole sets, taken from the texts again.
+4. candidates are verified on the whole sets, taken from the texts again; a Bloom filter of fixed
+   size tells each task which lines may be asked for, so that no text is shuffled for it.
 
 Null ids: the text is returned as it is and takes no part. Null text: null text, no line.
 Repeated rows (same id and text) are one document and are all cut alike. Empty tables give
@@ -32,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .tables import read, stash
+from .tables import read, release, stash
 
 NUM, DEN = 80, 100
 RANGES = 1 << 18
@@ -109,75 +111,80 @@ class Lines:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m)])
         self.print = (total[self.off[1:]] - total[self.off[:-1]]).view(np.int64)
         bit = np.uint64(1) << (m & np.uint64(63))
-        high = (m >> np.uint64(6)) & np.uint64(1) == 1
-        zero = np.uint64(0)
-        self.s1, self.s2 = (np.bitwise_xor.reduceat(np.where(x, bit, zero), self.off[:-1]).view(np.int64) if len(h) else np.zeros(0, np.int64) for x in (high, ~high))
+        self.bits = np.bitwise_xor.reduceat(bit, self.off[:-1]).view(np.int64) if len(h) else np.zeros(0, np.int64)
 
 
 def _lines(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, prints = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("h").to_numpy(zero_copy_only=False)
-        for i, _, raw, off in _pieces(b):
-            x = Lines(raw, off, rare)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i + x.doc], prints[i + x.doc], x.at.astype(np.int32), x.print, x.s1, x.s2)], names=["doc", "h", "at", "p", "s1", "s2"])
-
-
-def _postings(batches: Iterator[pa.RecordBatch], rare: np.ndarray, most: int | None) -> Iterator[pa.RecordBatch]:
-    """Prefix entries of each set's first line in this task."""
+    """Every line with a word; its prefix too where its set is new to this task."""
     seen: set[int] = set()
     for b in batches:
-        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("h").to_numpy(zero_copy_only=False)
         for i, _, raw, off in _pieces(b):
             x = Lines(raw, off, rare)
-            new = np.zeros(len(x.n), bool)
+            prefix = []
             for k, p in enumerate(x.print.tolist()):
-                if p not in seen:
-                    seen.add(p)
-                    new[k] = True
-            length = x.n - -(-x.n * NUM // DEN) + 1
-            length = np.where(new, length if most is None else np.minimum(x.n, most), 0)
-            row = np.repeat(np.arange(len(x.n)), x.n)
-            at = np.arange(len(row)) - x.off[row]
-            take = at < length[row]
-            r, at = row[take], at[take]
-            out = (x.words[take].view(np.int64), ids[i + x.doc[r]], x.at[r].astype(np.int32), x.n[r].astype(np.int32), at.astype(np.int32), x.print[r], x.s1[r], x.s2[r])
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], names=["key", "doc", "line", "n", "at", "p", "s1", "s2"])
+                n = int(x.n[k])
+                prefix.append(None if p in seen else x.words[x.off[k] : x.off[k] + n - -(-n * NUM // DEN) + 1].view(np.int64))
+                seen.add(p)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i + x.doc], texts[i + x.doc], x.at.astype(np.int32), x.print, x.bits, x.n.astype(np.int32))] + [pa.array(prefix, pa.list_(pa.int64()))], names=["doc", "h", "at", "p", "s", "n", "prefix"])
         if len(seen) > 2_000_000:
             seen.clear()
 
 
-_POSTING = "key long, doc long, line int, n int, at int, p long, s1 long, s2 long"
-
-
-def _close() -> Column:
-    """Whether x and y can be similar: length, positional and bitmap filters."""
-    n = F.col("x.n") + F.col("y.n")
+def _close(x_n: Column, y_n: Column) -> Column:
+    """Whether x and y can be similar: length, positional and bitmap filters. ``y_n`` may be 0 to rule a line out."""
+    n = x_n + y_n
     tail = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
-    apart = F.bit_count(F.col("x.s1").bitwiseXOR(F.col("y.s1"))) + F.bit_count(F.col("x.s2").bitwiseXOR(F.col("y.s2")))
+    apart = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s")))
     return (
-        (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM)
+        (F.least(x_n, y_n) * DEN >= F.greatest(x_n, y_n) * NUM)
         & (tail.cast("long") * (NUM + DEN) >= NUM * n)
         & ((n - apart).cast("long") * (NUM + DEN) >= 2 * NUM * n)
     )
 
 
-def _wanted(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(p, s1, s2, tokens) of the lines asked for: `lines` and `prints` of each row."""
+BLOOM = 1 << 25
+
+
+def _bits(p: np.ndarray) -> np.ndarray:
+    return np.concatenate([(words.mix(p.view(np.uint64) ^ np.uint64(k)) % np.uint64(BLOOM)).astype(np.int64) for k in (1, 2)])
+
+
+def _bloom_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    has = np.zeros(BLOOM, bool)
     for b in batches:
-        lines, prints = b.column("lines"), b.column("prints")
-        for i, j, raw, off in _pieces(b):
+        has[_bits(b.column("p").to_numpy())] = True
+    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([np.packbits(x).tobytes() for x in np.split(has, SLICES)], pa.binary())], names=["slice", "bits"])
+
+
+def _or(table: pa.Table) -> pa.Table:
+    total = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
+    return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
+
+
+def bloom(prints: DataFrame) -> np.ndarray:
+    """A Bloom filter (4 MB, whatever the number of prints) of the column p."""
+    out = np.zeros((SLICES, BLOOM // SLICES // 8), np.uint8)
+    for r in prints.select("p").mapInArrow(_bloom_part, "slice int, bits binary").groupBy("slice").applyInArrow(_or, "slice int, bits binary").toLocalIterator():
+        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
+
+
+def _wanted(batches: Iterator[pa.RecordBatch], rare: np.ndarray, ask: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(p, s, tokens) of the lines that the Bloom filter lets through, once a task."""
+    seen: set[int] = set()
+    for b in batches:
+        for _, _, raw, off in _pieces(b):
             x = Lines(raw, off, rare)
-            bounds = np.searchsorted(x.doc, np.arange(j - i + 1))
-            pick = []
-            for d in range(j - i):
-                lo, hi = bounds[d], bounds[d + 1]
-                want, of = np.asarray(lines[i + d].as_py()), np.asarray(prints[i + d].as_py(), np.int64)
-                k = lo + np.searchsorted(x.at[lo:hi], want)
-                k = np.minimum(k, len(x.at) - 1)
-                pick.append(k[(k < hi) & (x.at[k] == want) & (x.print[k] == of)] if len(x.at) else k[:0])
-            k = np.unique(np.concatenate(pick)) if pick else np.zeros(0, np.int64)
-            data = [x.words[x.off[m] : x.off[m + 1]].tobytes() for m in k]
-            yield pa.RecordBatch.from_arrays([pa.array(x.print[k]), pa.array(x.s1[k]), pa.array(x.s2[k]), pa.array(data, pa.binary())], names=["p", "s1", "s2", "tokens"])
+            at = _bits(x.print)
+            hit = (ask[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            some = []
+            for k in np.flatnonzero(hit.reshape(2, -1).all(0)).tolist():
+                if (p := int(x.print[k])) not in seen:
+                    seen.add(p)
+                    some.append(k)
+            data = [x.words[x.off[m] : x.off[m + 1]].tobytes() for m in some]
+            yield pa.RecordBatch.from_arrays([pa.array(x.print[some]), pa.array(x.bits[some]), pa.array(data, pa.binary())], names=["p", "s", "tokens"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,20 +199,20 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([c for c in b.schema.names if c not in ("tx", "ty")]).filter(pa.array(ok, pa.bool_()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rare) -> DataFrame:
-    """Later lines (py, s1, s2) of the pairs that are similar; pairs hold both lines' places and identities."""
-    pairs = stash(pairs)
-    side = lambda c: pairs.select(F.col(f"{c}doc").alias("doc_id"), F.col(f"{c}line").alias("line"), F.col(f"{c}p").alias("p"))
-    asked = side("x").unionByName(side("y")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("line", "p")).alias("l"))
-    asked = asked.select("doc_id", F.col("l.line").alias("lines"), F.col("l.p").alias("prints"))
-    sets = stash(
-        texts.join(asked.hint("shuffle_hash"), "doc_id").select("text", "lines", "prints")
-        .mapInArrow(lambda it: _wanted(it, rare.value), "p long, s1 long, s2 long, tokens binary").dropDuplicates(["p", "s1", "s2"])
-    )
-    on = lambda c, t: sets.select(*[F.col(k).alias(f"{c}{k}") for k in ("p", "s1", "s2")], F.col("tokens").alias(t))
-    rows = pairs.select("xp", "xs1", "xs2", "yp", "ys1", "ys2").distinct().join(on("x", "tx"), ["xp", "xs1", "xs2"]).join(on("y", "ty"), ["yp", "ys1", "ys2"])
-    rows = rows.select(F.col("yp").alias("p"), F.col("ys1").alias("s1"), F.col("ys2").alias("s2"), "tx", "ty")
-    return rows.mapInArrow(_verify, "p long, s1 long, s2 long").distinct()
+def _verified(pairs: DataFrame, first: DataFrame, texts: DataFrame, rare) -> DataFrame:
+    """The sets (p, s) that some set of an earlier first line is similar to, from candidate pairs (xp, xs, yp, ys)."""
+    for c in "xy":
+        pairs = pairs.join(first.select(F.col("p").alias(f"{c}p"), F.col("s").alias(f"{c}s"), F.struct("doc", "at").alias(f"f{c}")), [f"{c}p", f"{c}s"])
+    earlier = F.col("fx") < F.col("fy")
+    one = lambda a, b, k: F.when(earlier, F.col(f"{a}{k}")).otherwise(F.col(f"{b}{k}"))
+    pairs = stash(pairs.select(one("x", "y", "p").alias("xp"), one("x", "y", "s").alias("xs"), one("y", "x", "p").alias("yp"), one("y", "x", "s").alias("ys")).distinct())
+    asked = pairs.select(F.col("xp").alias("p"), F.col("xs").alias("s")).unionByName(pairs.select(F.col("yp").alias("p"), F.col("ys").alias("s")))
+    ask = texts.sparkSession.sparkContext.broadcast(bloom(asked))
+    sets = texts.select("text").mapInArrow(lambda it: _wanted(it, rare.value, ask.value), "p long, s long, tokens binary")
+    sets = stash(sets.groupBy("p", "s").agg(F.any_value("tokens").alias("tokens")))
+    on = lambda c: sets.select(F.col("p").alias(f"{c}p"), F.col("s").alias(f"{c}s"), F.col("tokens").alias(f"t{c}"))
+    rows = pairs.join(on("x"), ["xp", "xs"]).join(on("y"), ["yp", "ys"]).select(F.col("yp").alias("p"), F.col("ys").alias("s"), "tx", "ty")
+    return rows.mapInArrow(_verify, "p long, s long").distinct()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,39 +235,32 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rare = spark.sparkContext.broadcast(rarity(rows.select("text")))
-    lines = stash(rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda it: _lines(it, rare.value), "doc long, h long, at int, p long, s1 long, s2 long"))
-    first = stash(lines.groupBy("p", "s1", "s2").agg(F.min(F.struct("doc", "at")).alias("first")))
+    lines = stash(rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda it: _lines(it, rare.value), "doc long, h long, at int, p long, s long, n int, prefix array<long>"))
+    first = stash(lines.groupBy("p", "s").agg(F.min(F.struct("doc", "at")).alias("f")).select("p", "s", "f.*"))
+    release(spark)
+    differ = (F.col("x.p") != F.col("y.p")) | (F.col("x.s") != F.col("y.s"))
+    pair = [F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "xy" for k in ("p", "s")]
 
     # first round: the earliest line under each of the rarest words
-    few = rows.mapInArrow(lambda it: _postings(it, rare.value, FIRST_ROUND), _POSTING)
-    line = F.struct("doc", "line", "n", "at", "p", "s1", "s2")
-    head = few.groupBy("key").agg(F.min(line).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "x.*")
-    place = lambda c: F.struct(f"{c}.doc", f"{c}.line")
-    both = lambda: [F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "xy" for k in ("doc", "line", "p", "s1", "s2")]
-    differ = (F.col("x.p") != F.col("y.p")) | (F.col("x.s1") != F.col("y.s1")) | (F.col("x.s2") != F.col("y.s2"))
-    pairs = stash(head).alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & (place("x") < place("y")) & _close()).select(*both())
-    settled = stash(_verified(_earlier(pairs, first), rows, rare))
-
-    # the rest: lines not settled yet against all
-    every = rows.mapInArrow(lambda it: _postings(it, rare.value, None), _POSTING)
-    open_ = every.join(settled, ["p", "s1", "s2"], "left_anti").select(*every.columns)
-    pairs = every.alias("x").join(open_.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & _close()).select(*both())
-    more = _verified(_earlier(pairs, first), rows, rare)
-
-    near = stash(settled.unionByName(more).distinct().withColumn("near", F.lit(True)))
-    gone = lines.join(first, ["p", "s1", "s2"]).join(near, ["p", "s1", "s2"], "left").where((F.struct("doc", "at") > F.col("first")) | F.col("near"))
+    few = lines.where("prefix is not null").select("doc", F.col("at").alias("line"), "n", "p", "s", F.posexplode(F.slice("prefix", 1, FIRST_ROUND)).alias("at", "key"))
+    head = few.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "at", "p", "s")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "x.*")
+    pairs = stash(head).alias("x").join(few.select("key", "n", "at", "p", "s").alias("y"), (F.col("x.key") == F.col("y.key")) & differ & _close(F.col("x.n"), F.col("y.n"))).select(*pair).distinct()
+    settled = stash(_verified(pairs, first, rows, rare))
+    release(spark)
+
+    # the rest: lines not settled yet (m is their size, 0 for the others) against all
+    every = lines.where("prefix is not null").join(settled.withColumn("done", F.lit(True)), ["p", "s"], "left")
+    every = every.select("p", "s", "n", F.when(F.col("done"), 0).otherwise(F.col("n")).alias("m"), F.posexplode("prefix").alias("at", "key"))
+    one_way = (F.col("x.m") == 0) | (F.col("x.p") < F.col("y.p")) | ((F.col("x.p") == F.col("y.p")) & (F.col("x.s") < F.col("y.s")))
+    pairs = every.alias("x").join(every.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & one_way & _close(F.col("x.n"), F.col("y.m"))).select(*pair).distinct()
+    near = stash(settled.unionByName(_verified(pairs, first, rows, rare)).distinct().withColumn("near", F.lit(True)))
+    release(spark)
+
+    places = first.select("p", "s", F.struct("doc", "at").alias("first"))
+    gone = lines.drop("prefix", "n").join(places, ["p", "s"]).join(near, ["p", "s"], "left").where((F.struct("doc", "at") > F.col("first")) | F.col("near"))
     return gone.groupBy("doc", "h").agg(F.sort_array(F.collect_set("at")).alias("cut"))
 
 
-def _earlier(pairs: DataFrame, first: DataFrame) -> DataFrame:
-    """The pairs whose x is, by the first lines of both classes, the earlier; one row a pair of classes."""
-    keys = [f"{c}{k}" for c in "xy" for k in ("p", "s1", "s2")]
-    pairs = pairs.groupBy(*keys).agg(*[F.min(F.struct(f"{c}doc", f"{c}line")).alias(c) for c in "xy"])
-    for c in "xy":
-        pairs = pairs.join(first.select(*[F.col(k).alias(f"{c}{k}") for k in ("p", "s1", "s2")], F.col("first").alias(f"f{c}")), [f"{c}{k}" for k in ("p", "s1", "s2")])
-    return pairs.where("fx < fy").select(*keys, *[F.col(f"{c}.{c}{k}").alias(f"{c}{k}") for c in "xy" for k in ("doc", "line")])
-
-
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later lines cut from ``text``, and n_lines and n_removed of each row."""
     cuts = removed_lines(docs)
