@@ -150,32 +150,35 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1.0)
 def fit_words(toxic: list[str], clean: list[str], weights: list[float]) -> tuple[np.ndarray, float]:
     """(table of subsequence weights, constant) of a machine on words, over Nyström landmarks."""
     found = maps(toxic + clean)
-    rows = np.repeat(np.arange(len(found)), [len(k) for k, _ in found])
-    cols, vals = np.concatenate([k for k, _ in found]), np.concatenate([v for _, v in found])
-    used, cols = np.unique(cols, return_inverse=True)
-
-    def dense(which: np.ndarray) -> np.ndarray:
+    def dense(which: list[int], used: np.ndarray) -> np.ndarray:
+        """The maps of some words on some subsequences only."""
         m = np.zeros((len(which), len(used)), np.float32)
-        place = np.full(len(found), -1)
-        place[which] = np.arange(len(which))
-        some = place[rows] >= 0
-        np.add.at(m, (place[rows[some]], cols[some]), vals[some])
+        for i, w in enumerate(which):
+            k, v = found[w]
+            at = np.minimum(np.searchsorted(used, k), len(used) - 1)
+            hit = used[at] == k
+            np.add.at(m[i], at[hit], v[hit])
         return m
 
+    def kernel_with(marks: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(subsequences of the landmarks, their maps, the kernel of all words with them)."""
+        used = np.unique(np.concatenate([found[w][0] for w in marks]))
+        m = dense(marks, used)
+        return used, m, np.concatenate([dense(list(range(i, min(i + 500, len(found)))), used) @ m.T for i in range(0, len(found), 500)])
+
     # landmarks: toxic words far from one another, then the clean words next to them
-    t = dense(np.arange(len(toxic)))
-    pick, near = [0], t @ t[0]
+    pick = [0]
+    near = kernel_with([0])[2][: len(toxic), 0]
     while len(pick) < min(LANDMARKS * 2 // 3, len(toxic)):
         k = int(near.argmin())
         if near[k] > 0.9:
             break
         pick.append(k)
-        near = np.maximum(near, t @ t[k])
-    marks = t[pick]
-    kernel = np.concatenate([dense(np.arange(a, min(a + 1000, len(found)))) @ marks.T for a in range(0, len(found), 1000)])
+        used = np.unique(found[k][0])
+        near = np.maximum(near, (dense(list(range(len(toxic))), used) @ dense([k], used).T)[:, 0])
+    kernel = kernel_with(pick)[2]
     rivals = len(toxic) + np.argsort(-kernel[len(toxic) :].max(1), kind="stable")[: LANDMARKS // 3]
-    marks = np.vstack([marks, dense(rivals)])
-    kernel = np.concatenate([dense(np.arange(a, min(a + 1000, len(found)))) @ marks.T for a in range(0, len(found), 1000)])
+    used, marks, kernel = kernel_with(pick + rivals.tolist())
     value, vector = np.linalg.eigh(marks @ marks.T)
     good = value > 1e-4 * value.max()
     root = vector[:, good] / np.sqrt(value[good])
