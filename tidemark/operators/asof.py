@@ -12,7 +12,7 @@ def asof_join(grid: DataFrame, facts: DataFrame, key: str, grid_time: str, fact_
     ``tie`` orders facts of equal time, the largest wins. ``shift`` replaces the grid's time in the
     comparison, for instance the date a year before. Grid rows without a fact get nulls."""
     time = shift if shift is not None else F.col(grid_time)
-    order = [F.col(c) for c in (tie or [])]
+    order = [F.col(c).alias(f"_{k}") for k, c in enumerate(tie or [])]
     g = grid.select(F.struct(*grid.columns).alias("g"), F.col(key).alias("k"), time.alias("t"), F.lit(1).alias("side"))
     f = facts.groupBy(F.col(key).alias("k"), F.col(fact_time).alias("t")).agg(F.max(F.struct(*order, *payload)).alias("f")) if order else facts.select(F.col(key).alias("k"), F.col(fact_time).alias("t"), F.struct(*payload).alias("f"))
     f = f.where("t is not null").withColumn("side", F.lit(0))
