@@ -39,6 +39,8 @@ from .tables import read, release, stash
 NUM, DEN = 80, 100
 RANGES = 1 << 18
 SLICES = 64
+#: The join runs over so many parts of the words one after another, so that disk holds one part's rows.
+KEY_PARTS = 3
 #: Rarest words under which the first round looks for an earlier line.
 FIRST_ROUND = 4
 
@@ -250,9 +252,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     # the rest: lines not settled yet (m is their size, 0 for the others) against all
     every = lines.where("prefix is not null").join(settled.withColumn("done", F.lit(True)), ["p", "s"], "left")
-    every = every.select("p", "s", "n", F.when(F.col("done"), 0).otherwise(F.col("n")).alias("m"), F.posexplode("prefix").alias("at", "key"))
+    every = stash(every.select("p", "s", "n", F.when(F.col("done"), 0).otherwise(F.col("n")).alias("m"), "prefix"))
+    release(spark)
+    every = every.select("p", "s", "n", "m", F.posexplode("prefix").alias("at", "key"))
     one_way = (F.col("x.m") == 0) | (F.col("x.p") < F.col("y.p")) | ((F.col("x.p") == F.col("y.p")) & (F.col("x.s") < F.col("y.s")))
-    pairs = every.alias("x").join(every.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & one_way & _close(F.col("x.n"), F.col("y.m"))).select(*pair).distinct()
+    pairs = None
+    for part in range(KEY_PARTS):
+        some = every.where(F.abs(F.hash("key")) % KEY_PARTS == part)
+        found = some.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & one_way & _close(F.col("x.n"), F.col("y.m"))).select(*pair).distinct()
+        found = stash(found)
+        release(spark)
+        pairs = found if pairs is None else pairs.unionByName(found)
     near = stash(settled.unionByName(_verified(pairs, first, rows, rare)).distinct().withColumn("near", F.lit(True)))
     release(spark)
 
