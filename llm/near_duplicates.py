@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import connected_components
-from .tables import read, shuffle_partitions, stash
+from .tables import read, release, shuffle_partitions, stash
 
 WORDS = 5
 NUM, DEN = 75, 100
@@ -222,7 +222,9 @@ def _anchors(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.Record
 
 
 def _keys(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, doc, component, n, at): single rare shingles, and pairs or singles of frequent ones, of the extended prefix."""
+    """(key, doc, component, n, at): single rare shingles, and pairs or singles of frequent ones, of the extended prefix.
+
+    ``at`` is the place of the shingle, of a pair's second one."""
     for b in batches:
         for i in range(0, len(b), 500):
             part = b.slice(i, 500)
@@ -237,7 +239,7 @@ def _keys(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[p
                 if len(f) and n <= PAIRS_UP_TO:
                     x, y = np.triu_indices(len(f), 1)
                     k.append(words.mix(f[x] * np.uint64(3) + words.mix(f[y])))
-                    at.append(where[x])
+                    at.append(where[y])
                 if len(f) and n * DEN > PAIRS_UP_TO * NUM:
                     k.append(f)
                     at.append(where)
@@ -294,6 +296,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     texts = rows.join(chosen.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
     sets = stash(texts.mapInArrow(_sets, "doc long, n long, tokens binary").where("n > 0"))
 
+    release(spark)
     # star rounds: each set against the pivots of its smallest shingles; every shingle chooses its pivot
     # by a hash of its own, so that a set of a large group meets several members of it
     links, labels = None, sets.select("doc", F.col("doc").alias("component")).distinct()
@@ -307,19 +310,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         labels = stash(_label(sets, links))
 
+    release(spark)
     # the rest, exactly
     keys = stash(sets.select("doc", "tokens").join(labels, "doc").select("doc", "component", "tokens").mapInArrow(lambda it: _keys(it, shared.value), "key long, doc long, component long, n int, at int"))
     by = keys.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     live = stash(by.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("components")).where("components > 1").select("key", "major"))
     keys = stash(keys.join(live, "key"))
     x, y = keys.where("component <> major").alias("x"), keys.alias("y")
-    tail = 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
+    # in the prefixes that this very pair needs, shorter than those of the smallest possible partner
+    shared = lambda n: F.least(F.ceil(n * NUM / DEN), F.greatest(F.lit(2), F.floor(n / 8)))
+    least = F.floor(((F.col("x.n") + F.col("y.n")) * NUM + (NUM + DEN - 1)) / (NUM + DEN))
+    common = F.least(shared(F.col("x.n")), shared(F.col("y.n")))
+    tail = 2 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
     condition = (
         (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
         & ((F.col("y.component") == F.col("y.major")) | (F.col("x.doc") < F.col("y.doc")))
         & (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM)
+        & (F.col("x.at") < F.col("x.n") - least + common) & (F.col("y.at") < F.col("y.n") - least + common)
     )
-    needs = F.least(*[F.least(F.ceil(F.col(c) * NUM / DEN), F.greatest(F.lit(2), F.floor(F.col(c) / 8))) for c in ("na", "nb")])
+    needs = F.least(shared(F.col("na")), shared(F.col("nb")))
     pairs = (
         x.join(y, condition)
         .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), F.least("x.n", "y.n").alias("na"), F.greatest("x.n", "y.n").alias("nb"), tail.alias("tail"))
