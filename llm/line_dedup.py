@@ -11,8 +11,8 @@ costs time, never a match). With that order:
 
 1. equal sets fall into one class by fingerprint, whose first line is known;
 2. *prefix filter*: each class is indexed under the first n - ceil(n num / den) + 1 words;
-   the *length* and *positional* filters and a 64-bit parity bitmap are conditions of the join
-   (print and bitmap together, 128 bits, are also the identity of a set);
+   the *length* and *positional* filters and a 128-bit parity bitmap are conditions of the join
+   (print and half the bitmap, 128 bits, are also the identity of a set);
 3. a cheap round first compares each line with the earliest line under each of its few rarest
    words, which settles most lines of large near-copy groups at linear cost; only lines not yet
    settled then meet all others, so no group is ever expanded into all its pairs;
@@ -113,7 +113,9 @@ class Lines:
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(m)])
         self.print = (total[self.off[1:]] - total[self.off[:-1]]).view(np.int64)
         bit = np.uint64(1) << (m & np.uint64(63))
-        self.bits = np.bitwise_xor.reduceat(bit, self.off[:-1]).view(np.int64) if len(h) else np.zeros(0, np.int64)
+        half = (m >> np.uint64(6)) & np.uint64(1) == 1
+        parity = lambda x: np.bitwise_xor.reduceat(np.where(x, bit, np.uint64(0)), self.off[:-1]).view(np.int64) if len(h) else np.zeros(0, np.int64)
+        self.bits, self.more_bits = parity(half), parity(~half)
 
 
 def _lines(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -128,7 +130,7 @@ def _lines(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[pa.R
                 n = int(x.n[k])
                 prefix.append(None if p in seen else x.words[x.off[k] : x.off[k] + n - -(-n * NUM // DEN) + 1].view(np.int64))
                 seen.add(p)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i + x.doc], texts[i + x.doc], x.at.astype(np.int32), x.print, x.bits, x.n.astype(np.int32))] + [pa.array(prefix, pa.list_(pa.int64()))], names=["doc", "h", "at", "p", "s", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i + x.doc], texts[i + x.doc], x.at.astype(np.int32), x.print, x.bits, x.more_bits, x.n.astype(np.int32))] + [pa.array(prefix, pa.list_(pa.int64()))], names=["doc", "h", "at", "p", "s", "t", "n", "prefix"])
         if len(seen) > 2_000_000:
             seen.clear()
 
@@ -137,7 +139,7 @@ def _close(x_n: Column, y_n: Column) -> Column:
     """Whether x and y can be similar: length, positional and bitmap filters. ``y_n`` may be 0 to rule a line out."""
     n = x_n + y_n
     tail = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
-    apart = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s")))
+    apart = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) + F.bit_count(F.col("x.t").bitwiseXOR(F.col("y.t")))
     return (
         (F.least(x_n, y_n) * DEN >= F.greatest(x_n, y_n) * NUM)
         & (tail.cast("long") * (NUM + DEN) >= NUM * n)
@@ -237,24 +239,24 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rare = spark.sparkContext.broadcast(rarity(rows.select("text")))
-    lines = stash(rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda it: _lines(it, rare.value), "doc long, h long, at int, p long, s long, n int, prefix array<long>"))
+    lines = stash(rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda it: _lines(it, rare.value), "doc long, h long, at int, p long, s long, t long, n int, prefix array<long>"))
     first = stash(lines.groupBy("p", "s").agg(F.min(F.struct("doc", "at")).alias("f")).select("p", "s", "f.*"))
     release(spark)
     differ = (F.col("x.p") != F.col("y.p")) | (F.col("x.s") != F.col("y.s"))
     pair = [F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "xy" for k in ("p", "s")]
 
     # first round: the earliest line under each of the rarest words
-    few = lines.where("prefix is not null").select("doc", F.col("at").alias("line"), "n", "p", "s", F.posexplode(F.slice("prefix", 1, FIRST_ROUND)).alias("at", "key"))
-    head = few.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "at", "p", "s")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "x.*")
-    pairs = stash(head).alias("x").join(few.select("key", "n", "at", "p", "s").alias("y"), (F.col("x.key") == F.col("y.key")) & differ & _close(F.col("x.n"), F.col("y.n"))).select(*pair).distinct()
+    few = lines.where("prefix is not null").select("doc", F.col("at").alias("line"), "n", "p", "s", "t", F.posexplode(F.slice("prefix", 1, FIRST_ROUND)).alias("at", "key"))
+    head = few.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "at", "p", "s", "t")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "x.*")
+    pairs = stash(head).alias("x").join(few.select("key", "n", "at", "p", "s", "t").alias("y"), (F.col("x.key") == F.col("y.key")) & differ & _close(F.col("x.n"), F.col("y.n"))).select(*pair).distinct()
     settled = stash(_verified(pairs, first, rows, rare))
     release(spark)
 
     # the rest: lines not settled yet (m is their size, 0 for the others) against all
     every = lines.where("prefix is not null").join(settled.withColumn("done", F.lit(True)), ["p", "s"], "left")
-    every = stash(every.select("p", "s", "n", F.when(F.col("done"), 0).otherwise(F.col("n")).alias("m"), "prefix"))
+    every = stash(every.select("p", "s", "t", "n", F.when(F.col("done"), 0).otherwise(F.col("n")).alias("m"), "prefix"))
     release(spark)
-    every = every.select("p", "s", "n", "m", F.posexplode("prefix").alias("at", "key"))
+    every = every.select("p", "s", "t", "n", "m", F.posexplode("prefix").alias("at", "key"))
     one_way = (F.col("x.m") == 0) | (F.col("x.p") < F.col("y.p")) | ((F.col("x.p") == F.col("y.p")) & (F.col("x.s") < F.col("y.s")))
     pairs = None
     for part in range(KEY_PARTS):
@@ -267,7 +269,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     release(spark)
 
     places = first.select("p", "s", F.struct("doc", "at").alias("first"))
-    gone = lines.drop("prefix", "n").join(places, ["p", "s"]).join(near, ["p", "s"], "left").where((F.struct("doc", "at") > F.col("first")) | F.col("near"))
+    gone = lines.drop("prefix", "n", "t").join(places, ["p", "s"]).join(near, ["p", "s"], "left").where((F.struct("doc", "at") > F.col("first")) | F.col("near"))
     return gone.groupBy("doc", "h").agg(F.sort_array(F.collect_set("at")).alias("cut"))
 
 
