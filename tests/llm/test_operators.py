@@ -121,7 +121,7 @@ def test_decontamination_finds_leaks_only(spark):
 def test_quality_rules_edges(spark):
     clean = " ".join(["the house and the tree of a man in it"] + [f"word{k}" for k in range(60)])
     got = {r["doc_id"]: r for r in quality_rules.judge(docs(spark, [clean] * 30 + [None, "", "### $$$ *** " * 40, "a b c d e f g h i j " * 10])).collect()}
-    assert got[0]["kept"] and got[0]["n_words"] == 69 and got[30]["base_failed"] and got[31]["base_failed"] and not got[32]["kept"]
+    assert got[0]["kept"] and got[0]["n_words"] == 70 and got[30]["base_failed"] and got[31]["base_failed"] and not got[32]["kept"]
     assert got[33]["n_repeat_words"] == 100 and got[33]["base_failed"]
     assert quality_rules.judge(docs(spark, [])).count() == 0
 
@@ -141,9 +141,9 @@ def test_classifiers_learn_and_survive_empties(spark):
     good, bad = [" ".join(BASE) + f" text {k}." for k in range(80)], [f"BUY!!! ### $$$ {k} " * 10 for k in range(80)]
     rows = spark.createDataFrame([(1, t) for t in good] + [(0, t) for t in bad], "label int, text string")
     model = quality_gam.train(rows)
-    s = model.score(pa.array([good[0] + " more", bad[0] + "###", "", None]))
+    s = model.score(quality_gam.text_features(pa.array([good[0] + " more", bad[0] + "###", "", None])))
     assert s[0] > 0.5 > s[1] and np.isfinite(s).all()
-    assert (quality_gam.train(rows.limit(0)).score(pa.array(["x", None])) == 0.5).all()
+    assert np.allclose(quality_gam.train(rows.limit(0)).score(quality_gam.text_features(pa.array(["x", None]))), 0.5)
     toxic = [f"{BASE[k % 40]} you idiot {BASE[(k + 3) % 40]}" for k in range(60)]
     rows = spark.createDataFrame([(0, t) for t in good] + [(1, t) for t in toxic], "label int, text string")
     m = toxicity.train(rows)
