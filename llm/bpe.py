@@ -31,7 +31,7 @@ from .words import pieces, text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
 #: Chunks that a worker remembers; beyond it starts afresh, so its memory stays bounded.
-REMEMBER = 800_000
+REMEMBER = 250_000
 END = "</w>"
 
 _WHOLE = r"<\||\p{M}|\x{130}|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
