@@ -130,6 +130,21 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: list[str
     return cols.mapInArrow(lambda it: _score(it, *shared.value), f"{schema}, lang_pred string, score double")
 
 
+def _recognised(batches: Iterator[pa.RecordBatch], langs: list[str], logp: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        _, off = words.text_bytes(b.column("text"))
+        for i, j in words.pieces(off, 1 << 22):
+            part = b.slice(i, j - i)
+            (found,) = _score(iter([part.select(["text"])]), langs, logp)
+            yield part.filter(pc.and_(pc.not_equal(found.column("lang_pred"), "und"), pc.greater_equal(found.column("score"), least)))
+
+
+def recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with a score of at least ``least``; texts pass once and in small batches."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(lambda it: _recognised(it, *shared.value, least), docs.schema)
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs.where(crc_mod("doc_id", 5) != 0))
