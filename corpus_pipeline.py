@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from llm.bpe import tokenize
 from llm.decontaminate import without_contaminated
-from llm.language_id import identify, train
+from llm.language_id import recognised, train
 from llm.line_dedup import dedup_lines
 from llm.near_duplicates import near_duplicates
 from llm.tables import crc_mod, read, stash
@@ -28,9 +28,7 @@ LEAST_LIKELY = 0.30
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = train(docs.where(crc_mod("doc_id", 5) != 0))
-    other = [c for c in COLUMNS if c != "text"]
-    rows = identify(docs.select(*other, F.col("text").alias("whole"), "text"), model, [*other, "whole"])
-    return rows.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LIKELY)).withColumnRenamed("whole", "text").select(*COLUMNS)
+    return recognised(docs.select(*COLUMNS), model, LEAST_LIKELY)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
