@@ -151,7 +151,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, buckets:
             x = np.empty(bare.sum(), _ENTRY)
             x["hash"], x["doc"], x["print"], x["need"] = words.mix(ids[bare].astype(np.uint64)), ids[bare], 0, 0
             e = np.concatenate([e, x])
-        held.append(e)
+        if len(e):  # texts without a word have no entry
+            held.append(e)
         size += e.nbytes
         if size > WINDOW_BYTES:
             yield packed()
