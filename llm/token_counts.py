@@ -3,8 +3,8 @@
 Totals are additive by (source, lang, version of the tokenizer). A batch is a set of signed rows:
 an insert counts +1 document and +n tokens, a delete -1 and -n, a revision or a move is the
 old row taken away and the new one added. Each batch is aggregated once (map-side first, so a hot
-source is one row a task) and written under its own id in the ledger; writing an id again replaces
-the same folder, so a retried or repeated batch changes nothing. The totals are the sum of the
+source is one row a task) and recorded under its own id in the ledger; recording an id again replaces
+its sums, so a retried or repeated batch changes nothing. The totals are the sum of the
 ledger, whose size depends on groups and batches, not on documents; `compact` folds old batches
 into one.
 
@@ -14,6 +14,7 @@ document. Repeated rows of a batch each count. Groups whose documents are all go
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,30 +35,73 @@ def signed(rows: DataFrame, sign: int, text: str | Column = "text") -> DataFrame
 
 
 class Ledger:
-    """The committed batches of one rollup, in a folder that all executors share."""
+    """The committed batches of one rollup, in a folder that all executors share.
+
+    What is committed stands in the folder itself: every change writes a manifest of the next number
+    (the live folder of each batch, the base, the folded ids), and the newest one counts. So another
+    ledger of the same path, in this session or a later one, goes on where the last one stopped; what
+    a failed write left is in no manifest. Ids folded by ``compact`` are remembered and ignored."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
-        self.batches: list[str] = []
+        self._at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._manifest()
+
+    def _manifest(self) -> tuple[int, dict]:
+        """The number and content of the newest manifest."""
+        if not self._fs.exists(self._at(self.path)):
+            return 0, {"live": {}, "base": None, "folded": []}
+        names = [x.getPath().getName() for x in self._fs.listStatus(self._at(self.path))]
+        number = max((int(n.removeprefix("manifest-")) for n in names if n.startswith("manifest-")), default=0)
+        if not number:
+            return 0, {"live": {}, "base": None, "folded": []}
+        file = self._fs.open(self._at(f"{self.path}/manifest-{number}"))
+        try:
+            return number, json.loads(bytes(file.readAllBytes()).decode())
+        finally:
+            file.close()
+
+    def _publish(self, number: int, manifest: dict) -> None:
+        """Make ``manifest`` the newest one: written aside, then renamed, so it is there whole or not at all."""
+        aside, at = self._at(f"{self.path}/.{uuid.uuid4().hex}"), self._at(f"{self.path}/manifest-{number}")
+        file = self._fs.create(aside)
+        file.write(bytearray(json.dumps(manifest).encode()))
+        file.close()
+        if self._fs.exists(at) or not self._fs.rename(aside, at):
+            raise RuntimeError(f"another writer committed to {self.path}")
+
+    def _write(self, sums: DataFrame) -> str:
+        folder = f"sums-{uuid.uuid4().hex}"
+        sums.write.parquet(f"{self.path}/{folder}")
+        return folder
 
     def commit(self, batch: str, delta: DataFrame) -> None:
-        """Record a batch of signed rows; an id that is there already is replaced by the same sums."""
-        sums = delta.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        if batch not in self.batches:
-            self.batches.append(batch)
+        """Record a batch of signed rows; an id that is there already is replaced by the same sums, a folded one is ignored."""
+        number, m = self._manifest()
+        if batch in m["folded"]:
+            return
+        m["live"][batch] = self._write(delta.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")))
+        self._publish(number + 1, m)
+
+    def _sums(self, m: dict) -> DataFrame:
+        folders = [*m["live"].values(), *([m["base"]] if m["base"] else [])]
+        if folders:
+            rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in folders])
+        else:
+            rows = self.spark.createDataFrame([], "source string, lang string, version string, docs long, tokens long")
+        return rows.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def totals(self) -> DataFrame:
-        rows = self.spark.read.parquet(*[f"{self.path}/batch={b}" for b in self.batches])
-        sums = rows.groupBy(*GROUP).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0")
+        sums = self._sums(self._manifest()[1]).where("docs <> 0")
+        return sums.select(*GROUP, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens"))
 
     def compact(self, batch: str) -> None:
-        """Fold everything committed so far into one batch; the folded ids must not come again."""
-        rows = self.totals().select(*GROUP, F.col("n_docs").alias("docs"), F.col("n_tokens").alias("tokens"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
-        self.batches = [batch]
+        """Fold everything committed so far into the base, under the id ``batch``; the folded ids are ignored from now on."""
+        number, m = self._manifest()
+        folded = sorted({*m["folded"], *m["live"], batch})
+        self._publish(number + 1, {"live": {}, "base": self._write(self._sums(m)), "folded": folded})
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

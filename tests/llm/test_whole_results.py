@@ -2,7 +2,7 @@
 
 import pytest
 
-from llm import near_duplicates
+from llm import near_duplicates, token_counts
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -16,3 +16,25 @@ def test_near_duplicates_of_texts_without_a_word(spark, parts):
     d = d.unionByName(spark.createDataFrame([(7, "a b c d e f"), (8, "a b c d e f")], "doc_id long, text string"))
     got = sorted((r["doc_id"], r["component_id"]) for r in near_duplicates.near_duplicates(d).collect())
     assert got == [(k, k) for k in range(len(blank))] + [(7, 7), (8, 7)]
+
+
+def test_a_second_ledger_goes_on_where_the_first_stopped(spark, tmp_path):
+    d = spark.createDataFrame([("s", "en", "a b c"), ("s", "en", "d e")], "source string, lang string, text string")
+    more = token_counts.signed(d.limit(1), 1)
+    new = lambda: token_counts.Ledger(spark, f"{tmp_path}/ledger")
+    read = lambda: {(r["version"], r["n_docs"], r["n_tokens"]) for r in new().totals().collect()}
+    assert read() == set()
+    new().commit("one", token_counts.signed(d, 1))
+    assert read() == {("words-1", 2, 5), ("marks-2", 2, 5)}
+    new().commit("two", more)
+    new().commit("two", more)
+    want = {("words-1", 3, 8), ("marks-2", 3, 8)}
+    assert read() == want
+    new().compact("base")
+    new().commit("two", more)  # folded: a late retry counts nothing
+    new().commit("base", more)
+    assert read() == want
+    new().commit("three", more)
+    new().compact("base")
+    new().commit("three", more)
+    assert read() == {("words-1", 4, 11), ("marks-2", 4, 11)}
