@@ -2,9 +2,10 @@
 
 Training counts the hashed 1- to 3-byte n-grams of *every* eligible document in its own task
 (`numpy.bincount` per language) and sums them in Spark, so the model covers the whole corpus.
-The model is a (buckets x languages) log-probability matrix whose size is fixed by two
-parameters (`buckets`, `max_languages`), which is what makes broadcasting it safe. Scoring
-takes each text's n-grams as a sparse row and adds matrix rows in numpy.
+The model holds every language, in (buckets x languages) log-probability matrices of at most
+`LANGUAGES_AT_ONCE` languages; it grows with the number of languages (0.26 MB each), not of documents.
+Scoring takes each text's n-grams as a sparse row and adds matrix rows in numpy, a matrix at a time.
+N-grams end with their text, so a text's score is the same beside any other texts.
 
 Null text, or a text without a letter, is ``und`` with score 0. Long texts are scored whole,
 in pieces of bounded size. A corpus with nothing to learn from gives ``und`` for every row.
@@ -25,9 +26,11 @@ from .tables import crc_mod, read
 
 ORDERS = (1, 2, 3)
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256
+LANGUAGES_AT_ONCE = 256
 SMOOTHING = 0.5
 
+Model = tuple[list[str], list[np.ndarray]]
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[0x09:0x0E] = 0x20
@@ -35,18 +38,30 @@ _LOWER[0x30:0x3A] = 0x30
 _MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
 
 
-def gram_buckets(raw: np.ndarray, order: int, buckets: int = BUCKETS) -> np.ndarray:
-    """The bucket of the n-gram that starts at each byte, with a space past the end."""
+def gram_buckets(raw: np.ndarray, off: np.ndarray, order: int, buckets: int = BUCKETS) -> np.ndarray:
+    """The bucket of the n-gram that starts at each byte, with spaces past the end of its row ``off[i]:off[i + 1]``."""
     x = np.concatenate([_LOWER[raw], np.full(order - 1, 0x20, np.uint8)]).astype(np.uint32)
     n = len(raw)
     code = x[:n].copy()
     for j in range(1, order):
-        code = (code << np.uint32(8)) | x[j : n + j]
+        following = x[j : n + j].copy()
+        for d in range(1, j + 1):  # the last bytes of a row see no byte of the next
+            last = off[1:] - d
+            following[last[last >= off[:-1]]] = 0x20
+        code = (code << np.uint32(8)) | following
     code = (code + np.uint32(order << 24)) * _MULT[order - 1]
     code ^= code >> np.uint32(15)
     return (code * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - int(buckets).bit_length() + 1)
 
 
+def _cells(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for name, counts in total.items():
+        some = np.flatnonzero(counts)
+        for at in range(0, len(some), 1 << 16):
+            s = some[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(s)), "bucket": s.astype(np.int32), "n": counts[s].astype(np.int64)})
+
+
 def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for b in batches:
@@ -57,43 +72,56 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
             names, code = np.unique(langs[i:j].astype(str), return_inverse=True)
             at = np.repeat(code.astype(np.int64), np.diff(po))
             for k in ORDERS:
-                got = np.bincount(at * buckets + gram_buckets(part, k, buckets), minlength=len(names) * buckets)
+                cell = at * buckets + gram_buckets(part, po, k, buckets)
+                if len(names) <= 16:
+                    n = np.bincount(cell)
+                    cell = np.flatnonzero(n)
+                    n = n[cell]
+                else:
+                    cell, n = np.unique(cell, return_counts=True)
+                cut = np.searchsorted(cell, np.arange(len(names) + 1) * buckets)
                 for m, name in enumerate(names):
-                    total[name] = total.get(name, 0) + got[m * buckets : (m + 1) * buckets]
-    for name, counts in total.items():
-        some = np.flatnonzero(counts)
-        for at in range(0, len(some), 1 << 16):
-            s = some[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(s)), "bucket": s.astype(np.int32), "n": counts[s].astype(np.int64)})
-
+                    if name not in total:
+                        total[name] = np.zeros(buckets, np.int64)
+                    total[name][cell[cut[m] : cut[m + 1]] - m * buckets] += n[cut[m] : cut[m + 1]]
+                    if len(total) > LANGUAGES_AT_ONCE:  # sums are added up by Spark
+                        yield from _cells(total)
+                        total.clear()
+    yield from _cells(total)
 
-def train(docs: DataFrame, buckets: int = BUCKETS, max_languages: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
-    """(languages, log-probability matrix) from the rows of ``docs`` with text and lang.
 
-    At most ``max_languages`` languages, those with most n-grams, so the matrix has a fixed
-    largest size (buckets x languages float32 values)."""
+def train(docs: DataFrame, buckets: int = BUCKETS, at_once: int = LANGUAGES_AT_ONCE) -> Model:
+    """(languages, log-probability matrices of ``at_once`` languages each) from the rows of ``docs`` with text and lang."""
     rows = docs.where("text is not null and lang is not null").select("text", "lang")
     counts = (
         rows.mapInArrow(lambda it: _count(it, buckets), "lang string, bucket int, n long")
         .groupBy("lang", "bucket")
         .agg(F.sum("n").alias("n"))
     )
-    by_lang: dict[str, np.ndarray] = {}
-    # at most buckets x max_languages cells reach the driver
-    packed = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("cells")).orderBy(F.desc("total"), "lang").limit(max_languages)
-    for r in packed.toLocalIterator():
+    langs: list[str] = []
+    blocks: list[np.ndarray] = []
+    block: list[np.ndarray] = []
+
+    def done() -> None:
+        m = np.stack(block, 1) + SMOOTHING
+        blocks.append(np.log(m / m.sum(0)).astype(np.float32))
+        block.clear()
+
+    # at most ``buckets`` cells of a language reach the driver at once
+    for r in counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("cells")).orderBy("lang").toLocalIterator():
         c = np.zeros(buckets)
         cells = np.array(r["cells"], np.int64).reshape(-1, 2)
         c[cells[:, 0]] = cells[:, 1]
-        by_lang[r["lang"]] = c
-    langs = sorted(by_lang)
-    if not langs:
-        return [], np.zeros((buckets, 0), np.float32)
-    m = np.stack([by_lang[x] for x in langs], 1) + SMOOTHING
-    return langs, np.log(m / m.sum(0)).astype(np.float32)
+        langs.append(r["lang"])
+        block.append(c)
+        if len(block) == at_once:
+            done()
+    if block:
+        done()
+    return langs, blocks
 
 
-def _score(batches: Iterator[pa.RecordBatch], langs: list[str], logp: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _score(batches: Iterator[pa.RecordBatch], langs: list[str], blocks: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         col = b.column("text")
         letters = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
@@ -105,8 +133,10 @@ def _score(batches: Iterator[pa.RecordBatch], langs: list[str], logp: np.ndarray
                 full = np.flatnonzero(np.diff(po))
                 if len(full):
                     for k in ORDERS:
-                        rows = logp[gram_buckets(part, k, len(logp))]
-                        total[i + full] += np.add.reduceat(rows, po[full], axis=0, dtype=np.float64)
+                        gram, at = gram_buckets(part, po, k, len(blocks[0])), 0
+                        for logp in blocks:
+                            total[i + full, at : at + logp.shape[1]] += np.add.reduceat(logp[gram], po[full], axis=0, dtype=np.float64)
+                            at += logp.shape[1]
         pred, score = np.full(len(col), "und", object), np.zeros(len(col))
         ok = letters & bool(langs)
         if ok.any():
@@ -122,7 +152,7 @@ def _score(batches: Iterator[pa.RecordBatch], langs: list[str], logp: np.ndarray
         yield pa.RecordBatch.from_arrays([*keep, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: list[str]) -> DataFrame:
+def identify(docs: DataFrame, model: Model, key: list[str]) -> DataFrame:
     """``key`` columns of ``docs`` with ``lang_pred`` and ``score`` of each text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     cols = docs.select(*key, "text")
@@ -130,16 +160,16 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], key: list[str
     return cols.mapInArrow(lambda it: _score(it, *shared.value), f"{schema}, lang_pred string, score double")
 
 
-def _recognised(batches: Iterator[pa.RecordBatch], langs: list[str], logp: np.ndarray, least: float) -> Iterator[pa.RecordBatch]:
+def _recognised(batches: Iterator[pa.RecordBatch], langs: list[str], blocks: list[np.ndarray], least: float) -> Iterator[pa.RecordBatch]:
     for b in batches:
         _, off = words.text_bytes(b.column("text"))
         for i, j in words.pieces(off, 1 << 22):
             part = b.slice(i, j - i)
-            (found,) = _score(iter([part.select(["text"])]), langs, logp)
+            (found,) = _score(iter([part.select(["text"])]), langs, blocks)
             yield part.filter(pc.and_(pc.not_equal(found.column("lang_pred"), "und"), pc.greater_equal(found.column("score"), least)))
 
 
-def recognised(docs: DataFrame, model: tuple[list[str], np.ndarray], least: float) -> DataFrame:
+def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with a score of at least ``least``; texts pass once and in small batches."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return docs.mapInArrow(lambda it: _recognised(it, *shared.value, least), docs.schema)

@@ -1,8 +1,10 @@
 """Inputs on which the training-data operators once returned less than the whole result."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from llm import near_duplicates, token_counts
+from llm import language_id, near_duplicates, token_counts
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -38,3 +40,25 @@ def test_a_second_ledger_goes_on_where_the_first_stopped(spark, tmp_path):
     new().compact("base")
     new().commit("three", more)
     assert read() == {("words-1", 4, 11), ("marks-2", 4, 11)}
+
+
+def test_language_scores_do_not_depend_on_the_next_text(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, lang) for lang, letters in (("a", "abcde "), ("b", "defgh "), ("c", "ghijk ")) for t in ("".join(rng.choice(list(letters), 30)) for _ in range(20))]
+    d = spark.createDataFrame(rows, "text string, lang string")
+    langs, blocks = language_id.train(d)
+    score = lambda x: [tuple(r.values()) for b in language_id._score(iter([pa.record_batch([pa.array(x)], names=["text"])]), langs, blocks) for r in b.to_pylist()]
+    texts = ["g", "de", "", "hd", "Re.", None, "eh", "abc", "k"]
+    assert score(texts) == [x for t in texts for x in score(pa.array([t], pa.string()))]
+    # training counts are the same however rows are cut into tasks
+    for other in (language_id.train(d.repartition(5)), language_id.train(d.repartition(1, "lang"))):
+        assert other[0] == langs and np.array_equal(np.hstack(other[1]), np.hstack(blocks))
+
+
+def test_language_id_keeps_every_language(spark):
+    rows = [(f"{chr(0x4E00 + k)}" * 9, f"l{k:03}") for k in range(300)]
+    d = spark.createDataFrame(rows, "text string, lang string")
+    model = language_id.train(d.coalesce(2))
+    assert len(model[0]) == 300
+    got = [r["lang_pred"] == r["lang"] for r in language_id.identify(d, model, ["lang"]).collect()]
+    assert len(got) == 300 and all(got)
