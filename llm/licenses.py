@@ -1,11 +1,12 @@
-"""License scans: sparse TF-IDF cosine of every line to licence templates, then inheritance by path.
-
-Lines (whole texts, not only heads) and templates are sparse TF-IDF vectors over words; inverse
-document frequencies of the templates' words are counted over all lines of the corpus, and
-words that no template has count with the largest one. A line's licence is its best template
-at a cosine of at least ``MIN_COSINE``; a document's is that of its best line (ties: the template
-named first). A *licence file* of a directory is a document with a licence in it of which at least
-``FILE_SHARE`` of all words stand in licence lines. A document without a licence of its own takes
+"""License scans: sparse TF-IDF cosine of lines, blocks and whole texts to licence templates, then inheritance by path.
+
+Lines, blocks, whole texts and templates (notices, titles, SPDX tags and full licence texts) are sparse
+TF-IDF vectors over words; inverse document frequencies of the templates' words are counted over all
+lines of the corpus, and words that no template has count with the largest one. A block is a run of
+lines joined: a paragraph, or a run of comment lines or of other lines; marks of comments are no words.
+The licence of a line, block or text is its best template at a cosine of at least ``MIN_COSINE``; a
+document's is the best of them all (ties: the template named first). A *licence file* of a directory is a document with a licence in it of which at least
+``FILE_SHARE`` of all words stand in lines, blocks or a text with a licence. A document without a licence of its own takes
 that of the nearest ancestor directory with a licence file (smallest id, if several), found by joining the
 document's ancestor paths, as many as the path is deep, to the directories' licences.
 
@@ -15,6 +16,7 @@ Repeated rows are each returned. The templates are the only thing broadcast, and
 
 from __future__ import annotations
 
+import pkgutil
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +45,30 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright to this work (CC0 1.0)."),
 )
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU {0}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+_TEXTS = {n: pkgutil.get_data(__package__, f"license_texts/{n}.txt").decode() for n in ("MIT", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "BSD-3-Clause", "MPL-2.0", "CC0-1.0")}
+# The usual headers in full, titles, tags and whole licences.
+TEMPLATES += tuple((name, _GNU.format(*x) + rest.format(*x)) for name, x in (("GPL-3.0", ("", 3)), ("GPL-2.0", ("", 2)), ("LGPL-3.0", ("Lesser ", 3))) for rest in ("", _GNU_REST))
+TEMPLATES += (
+    ("Apache-2.0", _TEXTS["Apache-2.0"][_TEXTS["Apache-2.0"].rindex("Licensed under the Apache") :]),
+    ("MIT", _TEXTS["MIT"].split("\n\n")[2]),
+    ("BSD-3-Clause", "Redistribution" + _TEXTS["BSD-3-Clause"].split("Redistribution", 1)[1].split("\n\n")[0]),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+TEMPLATES += tuple((n, f"SPDX-License-Identifier: {n}{x}") for n in (*_TEXTS, "CC-BY-4.0", "CC-BY-NC-4.0") for x in (("", "-only", "-or-later") if "GPL" in n else ("",)))
+TEMPLATES += tuple(_TEXTS.items())
 _HASHES = [_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for _, t in TEMPLATES]
+_MARK = np.zeros(256, bool)  # first bytes of comment lines
+_MARK[np.frombuffer(b"#/*;%!-<", np.uint8)] = True
 VOCABULARY = np.unique(np.concatenate(_HASHES))
 
 
@@ -52,20 +77,35 @@ def _find(h: np.ndarray) -> np.ndarray:
     return np.where(VOCABULARY[at] == h, at, -1)
 
 
-def _line_words(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(first row, word hashes, line of each, first line of each row, lines) of pieces of a batch."""
+def _line_words(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int, np.ndarray]]:
+    """(first row, word hashes, line of each, first line of each row, lines, which are comments) of pieces of a batch."""
     raw, off = words.text_bytes(b.column("text"))
     for i, j in words.pieces(off):
         part, po = raw[off[i] : off[j]], off[i : j + 1] - off[i]
         starts, first = line_starts(part, po)
         h, line = _words(part, starts)
-        yield i, h, line, first, len(starts) - 1
+        s, _, at = words.word_spans(part, starts)
+        comment = np.zeros(len(starts) - 1, bool)
+        lead = np.flatnonzero(np.diff(at, prepend=-1))
+        comment[at[lead]] = _MARK[part[s[lead]]]
+        yield i, h, line, first, len(starts) - 1, comment
+
+
+def _units(size: np.ndarray, row: np.ndarray, comment: np.ndarray) -> Iterator[np.ndarray]:
+    """The unit of each line, from 0: lines, paragraphs, runs of comment lines or of others, whole texts."""
+    yield np.arange(len(size))
+    new = np.diff(row, prepend=-1) > 0
+    turn = new | (np.diff(comment, prepend=False))
+    bare = size == 0
+    yield np.cumsum(turn | bare | np.append(False, bare[:-1])) - 1 if len(size) else row
+    yield np.cumsum(turn) - 1
+    yield row
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, lines = np.zeros(len(VOCABULARY), np.int64), 0
     for b in batches:
-        for _, h, line, _, n in _line_words(b):
+        for _, h, line, _, n, _ in _line_words(b):
             t = _find(h)
             pair = np.unique(line[t >= 0] * len(VOCABULARY) + t[t >= 0])
             total += np.bincount(pair % len(VOCABULARY), minlength=len(VOCABULARY))
@@ -87,33 +127,36 @@ def _scan(batches: Iterator[pa.RecordBatch], idf: np.ndarray, other: float) -> I
         np.add.at(templates[:, k], _find(h), 1)
     templates *= idf[:, None]
     templates /= np.linalg.norm(templates, axis=0)
+    weights = np.vstack([templates * idf[:, None], np.zeros(len(TEMPLATES))])  # the last row: a word of no template
+    value = np.append(idf, other)
     for b in batches:
         name, score, share = np.full(len(b), None, object), np.zeros(len(b)), np.zeros(len(b))
-        for i, h, line, first, _ in _line_words(b):
+        for i, h, line, first, n_lines, comment in _line_words(b):
             if not len(h):
                 continue
             t = _find(h)
-            lines, at, size = np.unique(line, return_index=True, return_counts=True)
-            known = np.add.reduceat((t >= 0).astype(np.int64), at)
-            maybe = np.flatnonzero(known * 2 > size)  # a cosine of 0.7 needs most of the weight in template words
-            if not len(maybe):
-                continue
-            doc_words = np.bincount(np.searchsorted(first, line, "right") - 1, minlength=len(first))
-            licence_words = np.zeros(len(first))
-            for m in maybe.tolist():
-                own, tt = h[at[m] : at[m] + size[m]], t[at[m] : at[m] + size[m]]
-                u, c = np.unique(tt[tt >= 0], return_counts=True)
-                v = c * idf[u]
-                _, rest = np.unique(own[tt < 0], return_counts=True)
-                length = np.sqrt((v**2).sum() + ((rest * other) ** 2).sum())
-                cosine = v @ templates[u] / length
-                best = int(cosine.argmax())
-                d = int(np.searchsorted(first, lines[m], "right") - 1)
-                if cosine[best] >= MIN_COSINE:
-                    licence_words[d] += size[m]
-                    if cosine[best] > score[i + d]:
-                        name[i + d], score[i + d] = TEMPLATES[best][0], cosine[best]
-            share[i : i + len(first)] = licence_words / np.maximum(doc_words, 1)
+            each, word = np.unique(h, return_inverse=True)
+            size = np.bincount(line, minlength=n_lines)
+            row = np.searchsorted(first, np.arange(n_lines), "right") - 1
+            known = t >= 0
+            dots = np.stack([np.bincount(line[known], weights[t[known], k], n_lines) for k in range(len(TEMPLATES))], 1)
+            licensed = np.zeros(n_lines, bool)
+            for unit in _units(size, row, comment):
+                n = int(unit[-1]) + 1
+                pair, c = np.unique(unit[line] * len(each) + word, return_counts=True)
+                v = np.zeros(len(each))
+                v[word] = value[t]
+                length = np.sqrt(np.bincount(pair // len(each), (c * v[pair % len(each)]) ** 2, n))
+                cosine = np.add.reduceat(dots, np.flatnonzero(np.diff(unit, prepend=-1)), axis=0) / np.where(length > 0, length, 1)[:, None]
+                top = np.round(cosine.max(1), 12)
+                licensed |= (top >= MIN_COSINE)[unit]
+                of = row[np.flatnonzero(np.diff(unit, prepend=-1))]
+                for u in np.flatnonzero(top >= MIN_COSINE).tolist():
+                    if top[u] > score[i + of[u]]:
+                        best = int((cosine[u] >= top[u] - 1e-12).argmax())
+                        name[i + of[u]], score[i + of[u]] = TEMPLATES[best][0], top[u]
+            words_of = np.bincount(row, size, len(first))
+            share[i : i + len(first)] = np.bincount(row, size * licensed, len(first)) / np.maximum(words_of, 1)
         rest_cols = [c for c in b.schema.names if c != "text"]
         yield pa.RecordBatch.from_arrays([*map(b.column, rest_cols), pa.array(name, pa.string()), pa.array(np.round(score, 6)), pa.array(share)], names=[*rest_cols, "own_license", "own_score", "share"])
 

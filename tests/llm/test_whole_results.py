@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from llm import language_id, near_duplicates, token_counts
+from llm import language_id, licenses, near_duplicates, token_counts
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -62,3 +62,19 @@ def test_language_id_keeps_every_language(spark):
     assert len(model[0]) == 300
     got = [r["lang_pred"] == r["lang"] for r in language_id.identify(d, model, ["lang"]).collect()]
     assert len(got) == 300 and all(got)
+
+
+def test_wrapped_headers_and_licence_files(spark):
+    text = licenses._TEXTS
+    comment = lambda x, mark: "\n".join(f"{mark} {y}".rstrip() for y in x.splitlines())
+    code = "\nimport numbers\ndef area(width, height):\n    return width * height\n"
+    gpl = text["GPL-3.0"].split("author>\n\n", 1)[1].split("\n\nAlso add")[0]
+    bsd = text["BSD-3-Clause"].split("\n\n")[1]
+    texts = [
+        ("MIT", text["MIT"].replace("<year> <copyright holders>", "2020 Some One")), ("MIT", comment(text["MIT"], "#") + code), ("BSD-3-Clause", text["BSD-3-Clause"]),
+        ("BSD-3-Clause", "/*\n" + comment(bsd, " *") + "\n */" + code), ("GPL-3.0", comment(gpl, "//") + code), ("GPL-3.0", text["GPL-3.0"]), ("GPL-2.0", text["GPL-2.0"]),
+        ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later" + code), ("MIT", "// SPDX-License-Identifier: MIT" + code), ("Apache-2.0", text["Apache-2.0"]), (None, code), (None, None), (None, "\n\n"),
+    ]
+    rows = [(k, f"d{k}/f", t) for k, (_, t) in enumerate(texts)] + [(100, "d0/sub/x", "plain words"), (101, "d5/x", "")]
+    got = {r["doc_id"]: (r["license"], r["license_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert got == {**{k: (n, None) for k, (n, _) in enumerate(texts)}, 100: ("MIT", "d0"), 101: ("GPL-3.0", "d5")}
