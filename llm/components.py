@@ -14,19 +14,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     Each step rewires links towards the smallest neighbour, so the links become stars in a number
     of rounds that grows with the logarithm of the longest path. All steps are joins and
     aggregations, and each round is a written table: nothing is collected, and a lost executor
-    costs one round at most. No links give no rows."""
+    costs one round at most. It ends when a round changes no link. No links give no rows."""
     e = stash(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    n = e.count()
+    while n:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
-        e = stash(small.where("u <> v").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == before:
+        now = stash(small.where("u <> v").distinct())
+        m = now.count()
+        same = m == n and now.join(e, ["u", "v"], "left_anti").isEmpty()
+        e, n = now, m
+        if same:
             break
-        before = now
     star = e.groupBy("u").agg(F.min("v").alias("component"))
     return star.withColumnRenamed("u", "node").unionByName(star.select(F.col("component").alias("node"), "component").distinct())

@@ -2,25 +2,31 @@
 
 A document's set holds its distinct word shingles. Two sets with Jaccard of at least
 ``num / den`` share at least ``l`` shingles within the first ``n - ceil(n * num / den) + l``
-shingles of each, under any order that all sets use ("extended prefixes"). The order puts
-*frequent* shingles last: a bounded list, broadcast, of those in more than 1/500 of the documents
-(there can be at most 500 times the mean set size of them; the list is cut at `FREQUENT_MOST`,
-which can only cost time). The join goes
+shingles of each, under any order that all sets use ("extended prefixes"; ``l`` is that of the smaller
+set). The order puts *frequent* shingles last: a list of those in more than 1/500 of the documents,
+broadcast (there can be at most 500 times the mean set size of them; the list is cut at `FREQUENT_MOST`,
+which only changes the order). The join goes
 
-1. identical sets collapse into one class, by a 128-bit fingerprint;
+1. identical sets are one class, by a 128-bit fingerprint; its smallest document stands for it;
 2. every set sends its extended prefix, packed by hash range, to where each shingle's classes
    meet; a set in whose prefix fewer than ``l`` shingles occur in a second class has no partner;
-3. the sets that remain are fetched, and star rounds link most members of large groups of
-   near copies at linear cost: each set meets one pivot for each of a few smallest shingles;
-4. what is left is exact: rare shingles are keys on their own, frequent ones as pairs (long
-   sets, whose pairs would be many, as single keys); two sets of *different* components that share
-   enough keys are verified. Within one component nothing needs to be compared, and in a key
-   only the sets outside its largest component meet the others, so that a group of copies of
-   any size costs no quadratic work;
-5. verified links and classes give components by star contraction.
+3. the sets that remain are fetched. Each meets one set, chosen by chance, for each of a few of its
+   shingles, which links most members of large groups of near copies at linear cost;
+4. step 2 again, where what must meet is another *component* of the links so far: what is left
+   are sets that may be linked to another component;
+5. those meet exactly. *Rare* shingles are keys on their own: if two similar sets share a rare shingle,
+   the first that they share is in the prefix for ``l = 1`` of both. If they share none, their prefixes share ``l``
+   frequent ones, so both hold as many: such sets also have *pairs* of frequent shingles as keys.
+   Shingles fall into ``m < l`` groups by hash, some group holds two shared ones, and pairs are made within groups
+   only, so their number grows with the set's size and not with its square;
+6. where sets meet, the length and positional filters and a 1024-bit parity bitmap leave the
+   pairs that may be similar, and of these a spanning forest of the components is verified on the whole
+   sets. If all of it holds, every other pair lies within one component by now; if
+   not, all pairs that still lie in two components are verified;
+7. verified links and classes give components by star contraction.
 
 Texts that are null or have no word have the empty set and no link. Rows with a null id are
-returned with a null component and never compared. Repeated ids are one node.
+returned with a null component and never compared. Rows of one id are one node, whatever their texts.
 """
 
 from __future__ import annotations
@@ -34,25 +40,30 @@ from pyspark.sql import functions as F
 
 from . import words
 from .components import connected_components
-from .tables import read, release, shuffle_partitions, stash
+from .packed import SCHEMA, WINDOW_BYTES, bucket_of, n_buckets, pack, pairs_within, unpack
+from .tables import read, shuffle_partitions, stash
 
 WORDS = 5
 NUM, DEN = 75, 100
 FREQUENT_SHARE = 500
 FREQUENT_MOST = 1 << 18
-ANCHORS = 4
-#: Sets up to this size index pairs of frequent shingles; larger ones single frequent shingles.
-PAIRS_UP_TO = 160
-#: Prefix entries in one bucket of the packed exchange.
-BUCKET_ENTRIES = 400_000
-WINDOW_BYTES = 1 << 25
+#: Shingles under which a set meets a set chosen by chance, and how many of the most alike are verified.
+ANCHORS, BEST = 10, 2
+#: Heads that a key's sets are held against, one after another.
+SWEEPS = 3
+SIGN_WORDS = 16
+PAIRS_AT_ONCE = 100_000
 
-_MET = np.dtype([("doc", "<i8"), ("need", "<i4"), ("met", "<i4")])
-_ENTRY = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("print", "<u8"), ("need", "<i4")])
+ENTRY = (("hash", "<u8", 1), ("doc", "<i8", 1), ("print", "<u8", 1), ("need", "<i4", 1))
+LABELLED = (*ENTRY, ("group", "<i8", 1))
+MET = (("doc", "<i8", 1), ("print", "<u8", 1), ("need", "<i4", 1), ("met", "<i4", 1))
+ANCHOR = (("key", "<u8", 1), ("doc", "<i8", 1), ("print", "<u8", 1), ("n", "<i4", 1), ("sign", "<u8", SIGN_WORDS))
+KEY = (*ANCHOR[:4], ("at", "<i4", 1), ("group", "<i8", 1), ANCHOR[4])
+EDGES = "a long, ap long, b long, bp long, apart int"
 
 
 def _need(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(shared entries that a partner must have in the prefix, prefix length) of sets of size n."""
+    """(shared entries that a partner of at least this size must have in the prefix, prefix length) of sets of size n."""
     alpha = -(-n * NUM // DEN)
     shared = np.minimum(alpha, np.maximum(2, n // 8))
     return shared, n - alpha + shared
@@ -76,6 +87,15 @@ def _prints(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def _signs(h: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """For each set the parity of its shingles in each of 1024 ranges."""
+    n = len(off) - 1
+    row = np.repeat(np.arange(n), np.diff(off))
+    cell = row * (64 * SIGN_WORDS) + (words.mix(h) % np.uint64(64 * SIGN_WORDS)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=n * 64 * SIGN_WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view("<u8").reshape(n, SIGN_WORDS)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document (id, size, fingerprint), and rows (hash, count) of what is frequent in a window of documents."""
     held: list[np.ndarray] = []
@@ -118,42 +138,54 @@ def _ordered(h: np.ndarray, off: np.ndarray, frequent: np.ndarray) -> tuple[np.n
     return h[o], late[o]
 
 
+def _prefix_entries(doc: np.ndarray, p: np.ndarray, h: np.ndarray, off: np.ndarray, frequent: np.ndarray) -> dict[str, np.ndarray]:
+    """The rare part of each extended prefix; ``row`` is the set of each entry."""
+    n = np.diff(off)
+    shared, length = _need(n)
+    h, late = _ordered(h, off, frequent)
+    row = np.repeat(np.arange(len(n)), n)
+    inside = np.arange(len(h)) - off[row] < length[row]
+    need = shared - np.bincount(row[inside & late], minlength=len(n))
+    take = inside & ~late
+    h, row = h[take], row[take]
+    # a set that is wholly frequent stays anyway, and needs a place to say so
+    bare = np.flatnonzero((n > 0) & (need <= 0) & (np.bincount(row, minlength=len(n)) == 0))
+    h, row = np.concatenate([h, words.mix(p[bare] ^ np.uint64(0x9E3779B9))]), np.concatenate([row, bare])
+    return {"hash": h, "doc": doc[row], "print": p[row], "need": need[row], "row": row}
+
+
 def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, packed entries) of the rare part of each extended prefix."""
-    held: list[np.ndarray] = []
+    """Packed prefix entries of the sets of texts; equal sets of a window send theirs once, under their smallest id."""
+    held: list[dict[str, np.ndarray]] = []
+    least: dict[int, int] = {}
     size = 0
 
     def packed() -> pa.RecordBatch:
-        e = np.concatenate(held)
+        e = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+        u, at = np.unique(e["print"], return_inverse=True)
+        e["doc"] = np.array([least[x] for x in u.tolist()], np.int64)[at]
         held.clear()
-        at = ((e["hash"] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        o = np.argsort(at, kind="stable")
-        e, at = e[o], at[o]
-        cut = np.flatnonzero(np.diff(at)) + 1
-        # columns apart: ids and fingerprints repeat, so they compress
-        data = [b"".join(np.ascontiguousarray(part[f]).tobytes() for f in _ENTRY.names) for part in np.split(e, cut)]
-        return pa.RecordBatch.from_arrays([pa.array(at[np.concatenate([[0], cut])].astype(np.int32)), pa.array(data, pa.binary())], names=["bucket", "data"])
+        least.clear()
+        return pack(ENTRY, e, bucket_of(e["hash"], buckets))
 
     for ids, h, off in _batches(batches):
-        n = np.diff(off)
-        p = _prints(h, off)[0]
-        shared, length = _need(n)
-        h, late = _ordered(h, off, frequent)
-        row = np.repeat(np.arange(len(n)), n)
-        inside = np.arange(len(h)) - off[row] < length[row]
-        need = shared - np.bincount(row[inside & late], minlength=len(n))
-        take = inside & ~late
-        e = np.empty(take.sum(), _ENTRY)
-        r = row[take]
-        e["hash"], e["doc"], e["print"], e["need"] = h[take], ids[r], p[r].view(np.uint64), need[r]
-        bare = (n > 0) & (need <= 0) & (np.bincount(r, minlength=len(n)) == 0)
-        if bare.any():  # wholly frequent: it stays anyway, and needs a place to say so
-            x = np.empty(bare.sum(), _ENTRY)
-            x["hash"], x["doc"], x["print"], x["need"] = words.mix(ids[bare].astype(np.uint64)), ids[bare], 0, 0
-            e = np.concatenate([e, x])
-        if len(e):  # texts without a word have no entry
+        p = _prints(h, off)[0].view(np.uint64)
+        new = []
+        for k, (d, x) in enumerate(zip(ids.tolist(), p.tolist())):
+            if x not in least:
+                new.append(k)
+            least[x] = min(d, least.get(x, d))
+        if len(new) < len(ids):
+            n = np.diff(off)
+            keep = np.zeros(len(ids), bool)
+            keep[new] = True
+            h, off = h[np.repeat(keep, n)], np.concatenate([[0], np.cumsum(n[keep])])
+            ids, p = ids[keep], p[keep]
+        e = _prefix_entries(ids, p, h, off, frequent)
+        del e["row"]
+        if len(e["hash"]):  # texts without a word have no entry
             held.append(e)
-        size += e.nbytes
+            size += len(e["hash"]) * 28
         if size > WINDOW_BYTES:
             yield packed()
             size = 0
@@ -161,114 +193,248 @@ def _prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, buckets:
         yield packed()
 
 
-def _meet(table: pa.Table, parts: int) -> pa.Table:
-    """(part, packed (doc, need, met)) of a bucket: how many of its entries a document shares with another class."""
-    cols: dict[str, list] = {f: [] for f in _ENTRY.names}
-    for data in table.column("data"):
-        raw, at = data.as_buffer(), 0
-        k = len(raw) // _ENTRY.itemsize
-        for f in _ENTRY.names:
-            cols[f].append(np.frombuffer(raw, _ENTRY[f], k, at))
-            at += k * _ENTRY[f].itemsize
-    h, doc, cls, need = (np.concatenate(cols[f]) for f in _ENTRY.names)
-    o = np.lexsort((cls, h))
-    hs, cs = h[o], cls[o]
-    start = np.flatnonzero(np.concatenate([[True], hs[1:] != hs[:-1]]))
-    length = np.diff(np.append(start, len(hs)))
-    last = start + length - 1
-    met = np.empty(len(h), bool)
-    met[o] = np.repeat(cs[start] != cs[last], length)
+def _labelled_prefixes(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed prefix entries of fetched sets, with the component of each."""
+    for doc, p, _, group, h, off, _ in _fetched(batches):
+        e = _prefix_entries(doc, p, h, off, frequent)
+        e["group"] = group[e["row"]]
+        yield pack(LABELLED, e, bucket_of(e["hash"], buckets))
+
+
+def _meet(table: pa.Table, labelled: bool, parts: int) -> pa.Table:
+    """How many of a bucket's entries each set shares with another class (or component)."""
+    e = unpack(LABELLED if labelled else ENTRY, table.column("data"))
+    group = e["group"] if labelled else e["print"]
+    o = np.lexsort((e["doc"], e["print"], group, e["hash"]))
+    h, doc, p, group, need = (x[o] for x in (e["hash"], e["doc"], e["print"], group, e["need"]))
+    one = np.ones(len(h), bool)  # a class from several windows counts once, under its smallest id
+    one[1:] = (h[1:] != h[:-1]) | (p[1:] != p[:-1]) | (labelled & (doc[1:] != doc[:-1]))
+    h, doc, p, group, need = (x[one] for x in (h, doc, p, group, need))
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))[: len(h)]
+    length = np.diff(np.append(start, len(h)))
+    met = np.repeat(group[start] != group[start + length - 1], length)
     keep = met | (need <= 0)
-    doc, need, met = doc[keep], need[keep], met[keep]
-    u, at = np.unique(doc, return_index=True)
-    found = np.empty(len(u), _MET)
-    found["doc"], found["need"], found["met"] = u, need[at], np.bincount(np.searchsorted(u, doc), met, len(u))
-    part = (words.mix(u.astype(np.uint64)) % np.uint64(parts)).astype(np.int32)
-    o = np.argsort(part, kind="stable")
-    found, part = found[o], part[o]
-    cut = np.flatnonzero(np.diff(part)) + 1
-    data = [x.tobytes() for x in np.split(found, cut)] if len(found) else []
-    return pa.table({"part": pa.array(part[np.concatenate([[0], cut])] if len(found) else [], pa.int32()), "data": pa.array(data, pa.binary())})
+    doc, p, need, met = doc[keep], p[keep], need[keep], met[keep]
+    o = np.lexsort((p, doc))
+    doc, p, need, met = doc[o], p[o], need[o], met[o]
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (p[1:] != p[:-1])]))[: len(doc)]
+    out = {"doc": doc[new], "print": p[new], "need": need[new], "met": np.add.reduceat(met.astype(np.int64), new) if len(new) else new}
+    return pa.table(pack(MET, out, bucket_of(words.mix(out["print"]), parts)))
 
 
 def _stay(table: pa.Table) -> pa.Table:
-    """The documents of a part whose prefix shares enough entries, over all buckets."""
-    found = np.concatenate([np.frombuffer(x.as_buffer(), _MET) for x in table.column("data")])
-    u, at, inverse = np.unique(found["doc"], return_index=True, return_inverse=True)
-    met = np.bincount(inverse, found["met"])
-    return pa.table({"doc": u[met >= found["need"][at]]})
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, h, off in _batches(batches):
-        data = [h[off[i] : off[i + 1]].tobytes() for i in range(len(ids))]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(off), pa.int64()), pa.array(data, pa.binary())], names=["doc", "n", "tokens"])
-
+    """The sets of a part whose prefix shares enough entries, over all buckets."""
+    e = unpack(MET, table.column("data"))
+    o = np.lexsort((e["print"], e["doc"]))
+    doc, p, need, met = (e[k][o] for k in ("doc", "print", "need", "met"))
+    new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (p[1:] != p[:-1])]))[: len(doc)]
+    some = new[np.add.reduceat(met.astype(np.int64), new) >= need[new]] if len(new) else new
+    return pa.table({"doc": doc[some], "p": p[some].view(np.int64)})
 
-def _load(b: pa.RecordBatch, name: str = "tokens") -> list[np.ndarray]:
-    return [np.frombuffer(x.as_buffer(), "<u8") for x in b.column(name)]
 
+def _meeting(entries: DataFrame, labelled: bool, buckets: int) -> DataFrame:
+    """(doc, p) of the sets whose prefix shares enough entries with other classes (or components)."""
+    parts = 12 + buckets // 8
+    met = entries.groupBy("bucket").applyInArrow(lambda t: _meet(t, labelled, parts), SCHEMA)
+    return stash(met.groupBy("bucket").applyInArrow(_stay, "doc long, p long"))
 
-def _anchors(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, len(b), 2000):
-            part = b.slice(at, 2000)
-            keys, docs = [], []
-            for d, t in zip(part.column("doc").to_pylist(), _load(part), strict=True):
-                x = words.mix(t ^ np.uint64(seed))
-                x = np.partition(x, ANCHORS - 1)[:ANCHORS] if len(x) > ANCHORS else x
-                keys.append(x)
-                docs.append(np.full(len(x), d, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(docs))], names=["key", "doc"])
 
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for ids, h, off in _batches(batches):
+        n = np.diff(off)
+        some = np.flatnonzero(n)
+        sign = _signs(h, off)
+        data = [h[off[i] : off[i + 1]].tobytes() for i in some]
+        cols = [pa.array(ids[some], pa.int64()), pa.array(_prints(h, off)[0][some]), pa.array(n[some], pa.int64()), pa.array([sign[i].tobytes() for i in some], pa.binary()), pa.array(data, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc", "p", "n", "sign", "tokens"])
 
-def _keys(batches: Iterator[pa.RecordBatch], frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(key, doc, component, n, at): single rare shingles, and pairs or singles of frequent ones, of the extended prefix.
 
-    ``at`` is the place of the shingle, of a pair's second one."""
+def _fetched(batches: Iterator[pa.RecordBatch], most: int = 2000) -> Iterator[tuple]:
+    """(doc, print, n, component, shingles, offsets, parities) of fetched sets, so many at once."""
     for b in batches:
-        for i in range(0, len(b), 500):
-            part = b.slice(i, 500)
-            out: list[list] = [[], [], [], [], []]
-            for d, c, t in zip(part.column("doc").to_pylist(), part.column("component").to_pylist(), _load(part), strict=True):
-                n = len(t)
-                length = int(_need(np.array([n]))[1][0])
-                t, late = _ordered(t, np.array([0, n]), frequent)
-                t, late = t[:length], late[:length]
-                k, at = [t[~late]], [np.flatnonzero(~late)]
-                f, where = t[late], np.flatnonzero(late)
-                if len(f) and n <= PAIRS_UP_TO:
-                    x, y = np.triu_indices(len(f), 1)
-                    k.append(words.mix(f[x] * np.uint64(3) + words.mix(f[y])))
-                    at.append(where[y])
-                if len(f) and n * DEN > PAIRS_UP_TO * NUM:
-                    k.append(f)
-                    at.append(where)
-                key = np.concatenate(k).view(np.int64)
-                for slot, x in zip(out, (key, np.full(len(key), d), np.full(len(key), c), np.full(len(key), n), np.concatenate(at)), strict=True):
-                    slot.append(x)
-            arrays = [pa.array(np.concatenate(x).astype(np.int64)) for x in out[:3]] + [pa.array(np.concatenate(x).astype(np.int32)) for x in out[3:]]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "doc", "component", "n", "at"])
+        for at in range(0, len(b), most):
+            x = b.slice(at, most)
+            doc, p, n = (x.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "p", "n"))
+            group = x.column("component").to_numpy(zero_copy_only=False) if "component" in x.schema.names else doc
+            h = np.frombuffer(b"".join(x.column("tokens").to_pylist()), "<u8")
+            sign = np.frombuffer(b"".join(x.column("sign").to_pylist()), "<u8").reshape(-1, SIGN_WORDS)
+            yield doc, p.view(np.uint64), n, group, h, np.concatenate([[0], np.cumsum(n)]), sign
+
+
+def _anchors(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each set under the shingles that are its smallest by different hashes."""
+    for doc, p, n, _, h, off, sign in _fetched(batches):
+        keys, rows = [], []
+        for seed in range(ANCHORS):
+            m = words.mix(h ^ np.uint64(0xA0761D6478BD642F * (seed + 1) & 0xFFFFFFFFFFFFFFFF))
+            keys.append(words.mix(np.minimum.reduceat(m, off[:-1]) + np.uint64(seed)))
+            rows.append(np.arange(len(doc)))
+        key, row = np.concatenate(keys), np.concatenate(rows)
+        yield pack(ANCHOR, {"key": key, "doc": doc[row], "print": p[row], "n": n[row], "sign": sign[row]}, bucket_of(key, buckets))
+
+
+def _alike(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which pairs can be similar by size and parity, places in which their parities differ)."""
+    n, m = e["n"][i].astype(np.int64), e["n"][j].astype(np.int64)
+    ok = np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM
+    apart = np.full(len(i), -1)
+    k = np.flatnonzero(ok)
+    apart[k] = np.bitwise_count(e["sign"][i[k]] ^ e["sign"][j[k]]).sum(1, dtype=np.int64)
+    ok[k] = (n + m - apart)[k] * (NUM + DEN) >= 2 * NUM * (n + m)[k]
+    return ok, apart
+
+
+def _edges(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> pa.Table:
+    p = e["print"].view(np.int64)
+    cols = {"a": e["doc"][i], "ap": p[i], "b": e["doc"][j], "bp": p[j], "apart": apart.astype(np.int32)}
+    return pa.table({k: np.ascontiguousarray(v) for k, v in cols.items()})
+
+
+def _heads(table: pa.Table) -> pa.Table:
+    """Candidate pairs of a set chosen by chance under each key and the others there; those unlike it meet another one."""
+    e = unpack(ANCHOR, table.column("data"))
+    o = np.lexsort((words.mix(e["key"] ^ words.mix(e["doc"].view(np.uint64))), e["key"]))
+    found: tuple[list, list, list] = ([], [], [])
+    for _ in range(SWEEPS):
+        key = e["key"][o]
+        new = np.concatenate([[True], key[1:] != key[:-1]])[: len(o)]
+        head = o[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(o) else o
+        other = np.flatnonzero(~new)
+        if not len(other):
+            break
+        i, j = head[other], o[other]
+        ok, apart = _alike(e, i, j)
+        for out, x in zip(found, (i, j, apart)):
+            out.append(x[ok])
+        o = o[other[~ok]]
+    i, j, apart = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in found)
+    some = e["doc"][i] != e["doc"][j]
+    return _edges(e, i[some], j[some], apart[some])
+
+
+def _groups(n: int) -> int:
+    """Into how many groups, a power of two under l, the frequent shingles of a set of size n fall."""
+    l = int(_need(np.array([n]))[0][0])
+    return 1 << max(0, (l - 1).bit_length() - 1)
+
+
+def _frequent_pairs(f: np.ndarray, n: int) -> np.ndarray:
+    """Keys of pairs of frequent shingles within groups, for partners from 3/4 of this size to this size."""
+    out, m = [], _groups(-(-n * NUM // DEN))
+    while m <= _groups(n):
+        g = words.mix(f ^ np.uint64(0xE7037ED1A0B428DB)) % np.uint64(m)
+        o = np.argsort(g, kind="stable")
+        end = np.searchsorted(g[o], g[o], "right")
+        for i, j in pairs_within(np.arange(1, len(f) + 1), end, 1 << 20):
+            x, y = np.minimum(f[o[i]], f[o[j]]), np.maximum(f[o[i]], f[o[j]])
+            out.append(words.mix(x * np.uint64(3) + words.mix(y) + np.uint64(m)))
+        m *= 2
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], frequent: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Each set under its keys, with its place in the set (0 for pairs of frequent shingles)."""
+    for doc, p, n, group, h, off, sign in _fetched(batches, 500):
+        h, late = _ordered(h, off, frequent)
+        row = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(h)) - off[row]
+        shared, length = _need(n)
+        take = ~late & (at < (length - shared + 1)[row])
+        keys, rows, places = [words.mix(h[take])], [row[take]], [at[take]]
+        f = late & (at < length[row])
+        for k in np.flatnonzero((np.bincount(row[f], minlength=len(n)) >= shared) & (shared >= 2)).tolist():
+            x = _frequent_pairs(h[off[k] : off[k + 1]][f[off[k] : off[k + 1]]], int(n[k]))
+            keys.append(x)
+            rows.append(np.full(len(x), k))
+            places.append(np.zeros(len(x), np.int64))
+        key, row, at = np.concatenate(keys), np.concatenate(rows), np.concatenate(places)
+        yield pack(KEY, {"key": key, "doc": doc[row], "print": p[row], "n": n[row], "at": at, "group": group[row], "sign": sign[row]}, bucket_of(key, buckets))
+
+
+class _Forest:
+    """Components of a bucket, joined pair by pair."""
+
+    def __init__(self, n: int):
+        self.up = np.arange(n)
+
+    def roots(self) -> np.ndarray:
+        while (self.up[self.up] != self.up).any():
+            self.up = self.up[self.up]
+        return self.up
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which of the pairs, taken in order, join two components."""
+        up, joins = self.up.tolist(), []
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = top(x), top(y)
+            joins.append(x != y)
+            up[max(x, y)] = min(x, y)
+        self.up = np.array(up, np.int64)
+        return np.array(joins, bool)
+
+
+def _links(table: pa.Table, whole: bool) -> pa.Table:
+    """Candidate pairs of different components in a bucket: all of them, or a spanning forest of the components."""
+    e = unpack(KEY, table.column("data"))
+    names, comp = np.unique(e["group"], return_inverse=True)
+    o = np.lexsort((e["n"], e["key"]))
+    start = np.flatnonzero(np.concatenate([[True], np.diff(e["key"][o]) != 0]))[: len(o)]
+    size = np.diff(np.append(start, len(o)))
+    live = np.repeat(np.minimum.reduceat(comp[o], start) != np.maximum.reduceat(comp[o], start), size) if len(o) else np.zeros(0, bool)
+    o = o[live]
+    g = np.cumsum(np.concatenate([[0], np.diff(e["key"][o]) != 0]))[: len(o)] << 33
+    n = e["n"][o].astype(np.int64)
+    last = np.searchsorted(g + n, g + n * DEN // NUM, "right")
+    forest = _Forest(len(names))
+    found: tuple[list, list, list] = ([], [], [])
+    for i, j in pairs_within(np.arange(1, len(o) + 1), last, PAIRS_AT_ONCE):
+        i, j = o[i], o[j]
+        root = comp if whole else forest.roots()[comp]
+        differ = root[i] != root[j]
+        i, j = i[differ], j[differ]
+        tail = np.minimum(e["n"][i] - e["at"][i], e["n"][j] - e["at"][j]).astype(np.int64)
+        ok = tail * (NUM + DEN) >= NUM * (e["n"][i].astype(np.int64) + e["n"][j])
+        i, j = i[ok], j[ok]
+        ok, apart = _alike(e, i, j)
+        i, j, apart = i[ok], j[ok], apart[ok]
+        if not whole:
+            by = np.argsort(apart, kind="stable")
+            i, j, apart = i[by], j[by], apart[by]
+            some = forest.join(comp[i], comp[j])
+            i, j, apart = i[some], j[some], apart[some]
+        for out, x in zip(found, (i, j, apart)):
+            out.append(x)
+    return _edges(e, *(np.concatenate(x) if x else np.zeros(0, np.int64) for x in found))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
-        for x, y in zip(_load(b, "x"), _load(b, "y"), strict=True):
-            z = np.concatenate([x, y])
+        for x, y in zip(b.column("x"), b.column("y"), strict=True):
+            z = np.concatenate([np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")])
             z.sort()
             both = int((z[1:] == z[:-1]).sum())
             ok.append(both * DEN >= NUM * (len(z) - both))
         yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = sets.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("y"))
-    near = F.least("na", "nb") * DEN >= F.greatest("na", "nb") * NUM
-    rows = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "x", "y")
-    return rows.mapInArrow(_verify, "a long, b long")
+def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ids of the edges whose sets are similar enough."""
+    for c, data in ("ax", "by"):
+        edges = edges.join(sets.select(F.col("doc").alias(c), F.col("p").alias(f"{c}p"), F.col("tokens").alias(data)), [c, f"{c}p"])
+    return stash(edges.select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct())
+
+
+def _repeated(known: DataFrame) -> DataFrame:
+    """(doc_id, several) of the ids of several rows: whether these have different sets."""
+    low = [F.min(c) != F.max(c) for c in ("n", "p", "q")]
+    return stash(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"), (low[0] | low[1] | low[2]).alias("several")).where("k > 1").drop("k"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -284,74 +450,60 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
     frequent = np.sort(np.array([r["hash"] for r in top.toLocalIterator()], np.int64).view(np.uint64))
     shared = spark.sparkContext.broadcast(frequent)
-    buckets = max(shuffle_partitions(spark), int((total["n"] or 0) * 3 // 8 // BUCKET_ENTRIES) + 1)
+    least = shuffle_partitions(spark)
+    buckets = n_buckets((total["n"] or 0) * 3 // 8, least)
+    classes = stash(known.where("n > 0").groupBy("n", "p", "q").agg(F.min("doc_id").alias("first")))
+    again = _repeated(known)
+    several = known.where("n > 0").join(again.where("several"), "doc_id").join(classes, ["n", "p", "q"])
+    links = stash(several.select(F.col("doc_id").alias("a"), F.col("first").alias("b")).where("a <> b").distinct())
+
+    # the sets that may have a partner
+    chosen = _meeting(rows.mapInArrow(lambda it: _prefixes(it, shared.value, buckets), SCHEMA), False, buckets)
+    texts = rows.join(chosen.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(_sets, "doc long, p long, n long, sign binary, tokens binary")
+    if not again.isEmpty():
+        sets = sets.dropDuplicates(["doc", "p"])
+    sets = stash(sets)
+    shingles = sets.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
+
+    # sets chosen by chance
+    buckets = n_buckets(shingles["k"] * ANCHORS * 4, least)
+    heads = sets.mapInArrow(lambda it: _anchors(it, buckets), SCHEMA).groupBy("bucket").applyInArrow(_heads, EDGES)
+    best = heads.groupBy("b", "bp").agg(F.slice(F.sort_array(F.collect_set(F.struct("apart", "a", "ap"))), 1, BEST).alias("x"))
+    edges = stash(best.select("b", "bp", F.explode("x").alias("x")).select("x.a", "x.ap", "b", "bp"))
+    links = links.unionByName(verified(edges, sets))
+    stars = _stars(links)
 
-    parts = 12 + buckets // 8
-    classes = known.where("n > 0").groupBy("n", "p", "q").agg(F.min("doc_id").alias("first"))
-    met = (
-        rows.mapInArrow(lambda it: _prefixes(it, shared.value, buckets), "bucket int, data binary")
-        .groupBy("bucket").applyInArrow(lambda t: _meet(t, parts), "part int, data binary")
-        .groupBy("part").applyInArrow(_stay, "doc long")
-    )
-    chosen = stash(met.join(classes.select(F.col("first").alias("doc")).distinct(), "doc", "left_semi"))
-    texts = rows.join(chosen.withColumnRenamed("doc", "doc_id").hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = stash(texts.mapInArrow(_sets, "doc long, n long, tokens binary").where("n > 0"))
-
-    release(spark)
-    # star rounds: each set against the pivots of its smallest shingles; every shingle chooses its pivot
-    # by a hash of its own, so that a set of a large group meets several members of it
-    links, labels = None, sets.select("doc", F.col("doc").alias("component")).distinct()
-    for seed in (1, 2, 3):
-        keys = sets.select("doc", "tokens").mapInArrow(lambda it, s=seed: _anchors(it, s), "key long, doc long").join(labels, "doc")
-        keys = stash(keys)
-        pivots = keys.groupBy("key").agg(F.min(F.struct(F.xxhash64("doc", "key"), "doc")).getField("doc").alias("a"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        pivots = stash(pivots.where("lo <> hi").join(labels.select(F.col("doc").alias("a"), F.col("component").alias("ca")), "a"))
-        pairs = keys.join(pivots, "key").where("component <> ca").select("a", F.col("doc").alias("b")).distinct()
-        found = stash(verified(pairs, sets))
-        links = found if links is None else links.unionByName(found)
-        labels = stash(_label(sets, links))
-
-    release(spark)
     # the rest, exactly
-    keys = stash(sets.select("doc", "tokens").join(labels, "doc").select("doc", "component", "tokens").mapInArrow(lambda it: _keys(it, shared.value), "key long, doc long, component long, n int, at int"))
-    by = keys.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
-    live = stash(by.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("major"), F.count(F.lit(1)).alias("components")).where("components > 1").select("key", "major"))
-    keys = stash(keys.join(live, "key"))
-    x, y = keys.where("component <> major").alias("x"), keys.alias("y")
-    # in the prefixes that this very pair needs, shorter than those of the smallest possible partner
-    shared = lambda n: F.least(F.ceil(n * NUM / DEN), F.greatest(F.lit(2), F.floor(n / 8)))
-    least = F.floor(((F.col("x.n") + F.col("y.n")) * NUM + (NUM + DEN - 1)) / (NUM + DEN))
-    common = F.least(shared(F.col("x.n")), shared(F.col("y.n")))
-    tail = 2 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) - 1
-    condition = (
-        (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.major")) | (F.col("x.doc") < F.col("y.doc")))
-        & (F.least("x.n", "y.n") * DEN >= F.greatest("x.n", "y.n") * NUM)
-        & (F.col("x.at") < F.col("x.n") - least + common) & (F.col("y.at") < F.col("y.n") - least + common)
-    )
-    needs = F.least(shared(F.col("na")), shared(F.col("nb")))
-    pairs = (
-        x.join(y, condition)
-        .select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"), F.least("x.n", "y.n").alias("na"), F.greatest("x.n", "y.n").alias("nb"), tail.alias("tail"))
-        .groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("k"), F.max("tail").alias("tail"))
-        .where(F.col("k") >= F.greatest(F.lit(1), needs - 1)).where(F.col("tail") * (NUM + DEN) >= NUM * (F.col("na") + F.col("nb")))
-        .select("a", "b").distinct()
-    )
-    links = links.unionByName(stash(verified(pairs, sets)))
-
-    same = known.where("n > 0").join(classes, ["n", "p", "q"]).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    top = connected_components(links.unionByName(same.where("a <> b")))
-    return (
-        known.select("doc_id", F.col("n").alias("n_shingles"))
-        .join(top.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-        .unionByName(_without_id(rows))
-    )
-
-
-def _label(sets: DataFrame, links: DataFrame) -> DataFrame:
-    found = connected_components(links).withColumnRenamed("node", "doc")
-    return sets.select("doc").distinct().join(found, "doc", "left").select("doc", F.coalesce("component", "doc").alias("component"))
+    labels = stars.select(F.col("a").alias("doc"), F.col("b").alias("component"))
+    labelled = lambda some: some.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    buckets_left = n_buckets((shingles["n"] or 0) * 3 // 8, least)
+    left = _meeting(labelled(sets).mapInArrow(lambda it: _labelled_prefixes(it, shared.value, buckets_left), SCHEMA), True, buckets_left)
+    rest = stash(sets.join(left, ["doc", "p"], "left_semi"))
+    many = n_buckets(int(rest.agg(F.sum("n")).first()[0] or 0) * 2, least)
+    meet = lambda whole: labelled(rest).mapInArrow(lambda it: _keys(it, shared.value, many), SCHEMA).groupBy("bucket").applyInArrow(lambda t: _links(t, whole), EDGES)
+    edges = stash(meet(False).select("a", "ap", "b", "bp").distinct())
+    good = verified(edges, sets)
+    stars = _stars(stars.unionByName(good))
+    labels = stars.select(F.col("a").alias("doc"), F.col("b").alias("component"))
+    failed = edges.select("a", "b").distinct().join(good, ["a", "b"], "left_anti")
+    for c in "ab":
+        failed = failed.join(labels.select(F.col("doc").alias(c), F.col("component").alias(f"c{c}")), c, "left")
+    if not failed.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).isEmpty():
+        edges = stash(meet(True).select("a", "ap", "b", "bp").distinct())
+        stars = _stars(stars.unionByName(verified(edges, sets)))
+
+    node = stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    of_class = classes.join(node, classes["first"] == node["node"], "left").select("n", "p", "q", F.coalesce("component", "first").alias("component_id"))
+    worded = known.where("n > 0").select("doc_id", "n", "p", "q").join(of_class, ["n", "p", "q"])
+    blank = known.where("n = 0").select("doc_id", "n").join(node, F.col("doc_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
+    out = [x.select("doc_id", F.col("n").alias("n_shingles"), "component_id") for x in (worded, blank)]
+    return out[0].unionByName(out[1]).unionByName(_without_id(rows))
+
+
+def _stars(links: DataFrame) -> DataFrame:
+    """The components of links as (node, smallest node) links, itself included."""
+    return stash(connected_components(links).select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def _without_id(rows: DataFrame) -> DataFrame:
