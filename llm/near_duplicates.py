@@ -459,7 +459,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # the sets that may have a partner
     chosen = _meeting(rows.mapInArrow(lambda it: _prefixes(it, shared.value, buckets), SCHEMA), False, buckets)
-    texts = rows.join(chosen.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    # what is joined to texts and sets grows with the corpus, so the plan is the same at every size
+    texts = rows.join(chosen.select(F.col("doc").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "doc long, p long, n long, sign binary, tokens binary")
     if not again.isEmpty():
         sets = sets.dropDuplicates(["doc", "p"])
@@ -476,10 +477,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # the rest, exactly
     labels = stars.select(F.col("a").alias("doc"), F.col("b").alias("component"))
-    labelled = lambda some: some.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    labelled = lambda some: some.join(labels.hint("merge"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     buckets_left = n_buckets((shingles["n"] or 0) * 3 // 8, least)
     left = _meeting(labelled(sets).mapInArrow(lambda it: _labelled_prefixes(it, shared.value, buckets_left), SCHEMA), True, buckets_left)
-    rest = stash(sets.join(left, ["doc", "p"], "left_semi"))
+    rest = stash(sets.join(left.hint("merge"), ["doc", "p"], "left_semi"))
     many = n_buckets(int(rest.agg(F.sum("n")).first()[0] or 0) * 2, least)
     meet = lambda whole: labelled(rest).mapInArrow(lambda it: _keys(it, shared.value, many), SCHEMA).groupBy("bucket").applyInArrow(lambda t: _links(t, whole), EDGES)
     edges = stash(meet(False).select("a", "ap", "b", "bp").distinct())
