@@ -1,27 +1,30 @@
 """Line dedup: an exact set-similarity join of lines, and removal of later matches.
 
 A line is the set of its words, ASCII-lower-cased. A line is removed if an earlier one, in the
-order (doc_id, position), has the same set or a set with Jaccard of at least ``num / den``;
-whether that earlier line is itself removed makes no difference, so the result does not depend
-on how the work is split. Lines without a word stay.
+order (doc_id, hash of the text, position), has the same set or a set with Jaccard of at least
+``num / den``; whether that earlier line is itself removed makes no difference, so the result does not
+depend on how the work is split. Lines without a word stay.
 
 Words are ordered by rarity: a table of fixed size holds the number of lines in which the words of
 each of 2^18 hash ranges occur, over the whole corpus, and decides the order only (a coarse count
 costs time, never a match). With that order:
 
-1. equal sets fall into one class by fingerprint, whose first line is known;
-2. *prefix filter*: each class is indexed under the first n - ceil(n num / den) + 1 words;
-   the *length* and *positional* filters and a 128-bit parity bitmap are conditions of the join
-   (print and half the bitmap, 128 bits, are also the identity of a set);
-3. a cheap round first compares each line with the earliest line under each of its few rarest
-   words, which settles most lines of large near-copy groups at linear cost; only lines not yet
-   settled then meet all others, so no group is ever expanded into all its pairs;
-4. candidates are verified on the whole sets, taken from the texts again; a Bloom filter of fixed
-   size tells each task which lines may be asked for, so that no text is shuffled for it.
+1. lines with equal sets are one class (by two 64-bit hashes of the set), whose first line is known;
+   a task keeps the first line of a class only, so a line found everywhere costs a row a task;
+2. *prefix filter*: each class goes, packed by hash range, to where the classes with one of its first
+   n - ceil(n num / den) + 1 words meet. There the *length* and *positional* filters and a
+   128-bit parity bitmap leave the earlier classes that may be similar, and each class gets the few that
+   look most alike. Where many classes meet, they are first held against the earliest ones, and those that look like
+   one of these are not held against all others: a group of near copies is not expanded into all its pairs;
+3. for each class its likeliest earlier class is verified on the whole sets, taken from the texts again; then
+   the other candidates of classes without a match;
+4. a class that still has no match, but had more candidates than it got, is held against every class
+   that it meets, without a limit. So nothing is lost.
 
 Null ids: the text is returned as it is and takes no part. Null text: null text, no line.
-Repeated rows (same id and text) are one document and are all cut alike. Empty tables give
-empty results; other columns of the input pass through.
+Repeated rows (same id and text) are one document and are all cut alike; different texts of one id are
+told apart by a 32-bit hash. Empty tables give empty results; other columns of the input pass through, whatever their
+names; columns n_lines and n_removed of the input are replaced.
 """
 
 from __future__ import annotations
@@ -30,19 +33,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .tables import read, stash
+from .packed import WINDOW_BYTES, bucket_of, n_buckets, pack, pairs_within, unpack
+from .tables import read, shuffle_partitions, stash
 
 NUM, DEN = 80, 100
 RANGES = 1 << 18
 SLICES = 64
-#: The join runs over so many parts of the words one after another, so that disk holds one part's rows.
-KEY_PARTS = 3
-#: Rarest words under which the first round looks for an earlier line.
-FIRST_ROUND = 4
+#: Candidates that a class gets in one place before it is known whether the likeliest holds.
+AT_FIRST = 3
+#: Where more classes than this meet, they are held against the earliest ones first, so many times.
+MANY, SWEEPS = 64, 3
+PAIRS_AT_ONCE = 400_000
+
+KEY = (("key", "<u8", 1), ("p", "<i8", 1), ("s", "<u8", 1), ("t", "<u8", 1), ("n", "<u4", 1), ("at", "<u2", 1), ("doc", "<i8", 1), ("h", "<i4", 1), ("pos", "<i4", 1))
+GONE = (("doc", "<i8", 1), ("h", "<i4", 1), ("pos", "<i4", 1))
+PARTS = "bucket int, data binary, gone binary, ask binary"
+FOUND = "yp long, ys long, ydoc long, yh int, ypos int, xp long, xs long, xdoc long, xh int, xpos int, apart int, more boolean, gone binary"
 
 
 def line_starts(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +95,20 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table({"slice": table.column("slice").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def rarity(texts: DataFrame) -> np.ndarray:
-    """The rarity class, 0 to 255, of each hash range: 8 steps for each doubling of its count."""
+def rarity(texts: DataFrame) -> tuple[np.ndarray, int]:
+    """(the rarity class, 0 to 255, of each hash range: 8 steps for each doubling of its count, words in all)."""
     rows = texts.mapInArrow(_counts, "slice int, counts binary").groupBy("slice").applyInArrow(_sum, "slice int, counts binary")
     total = np.zeros((SLICES, RANGES // SLICES), np.int64)
     for r in rows.toLocalIterator():  # 2 MB, whatever the corpus
         total[r["slice"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(np.log2(total.ravel() + 1) * 8, 255).astype(np.uint64)
+    return np.minimum(np.log2(total.ravel() + 1) * 8, 255).astype(np.uint64), int(total.sum())
 
 
 class Lines:
     """The lines with a word of a piece of text: distinct words of each, rarest first, and its identity."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, rare: np.ndarray):
-        starts, first = line_starts(raw, off)
+    def __init__(self, raw: np.ndarray, off: np.ndarray, rare: np.ndarray, split: bool = True):
+        starts, first = line_starts(raw, off) if split else (off, np.arange(len(off) - 1))
         s, e, line = words.word_spans(raw, starts)
         h = words.hash_spans(raw, s, e, True)
         h = (rare[_range(h)] << np.uint64(56)) | (h >> np.uint64(8))
@@ -118,164 +128,281 @@ class Lines:
         self.bits, self.more_bits = parity(half), parity(~half)
 
 
-def _lines(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Every line with a word; its prefix too where its set is new to this task."""
-    seen: set[int] = set()
-    for b in batches:
-        ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("h").to_numpy(zero_copy_only=False)
-        for i, _, raw, off in _pieces(b):
-            x = Lines(raw, off, rare)
-            prefix = []
-            for k, p in enumerate(x.print.tolist()):
-                n = int(x.n[k])
-                prefix.append(None if p in seen else x.words[x.off[k] : x.off[k] + n - -(-n * NUM // DEN) + 1].view(np.int64))
-                seen.add(p)
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (ids[i + x.doc], texts[i + x.doc], x.at.astype(np.int32), x.print, x.bits, x.more_bits, x.n.astype(np.int32))] + [pa.array(prefix, pa.list_(pa.int64()))], names=["doc", "h", "at", "p", "s", "t", "n", "prefix"])
-        if len(seen) > 2_000_000:
-            seen.clear()
-
-
-def _close(x_n: Column, y_n: Column) -> Column:
-    """Whether x and y can be similar: length, positional and bitmap filters. ``y_n`` may be 0 to rule a line out."""
-    n = x_n + y_n
-    tail = 1 + F.least(F.col("x.n") - F.col("x.at") - 1, F.col("y.n") - F.col("y.at") - 1)
-    apart = F.bit_count(F.col("x.s").bitwiseXOR(F.col("y.s"))) + F.bit_count(F.col("x.t").bitwiseXOR(F.col("y.t")))
-    return (
-        (F.least(x_n, y_n) * DEN >= F.greatest(x_n, y_n) * NUM)
-        & (tail.cast("long") * (NUM + DEN) >= NUM * n)
-        & ((n - apart).cast("long") * (NUM + DEN) >= 2 * NUM * n)
-    )
-
-
-BLOOM = 1 << 25
+def _blobs(part: pa.RecordBatch, column: str) -> pa.RecordBatch:
+    """Packed rows as one of the columns that go to a bucket."""
+    none = pa.nulls(len(part), pa.binary())
+    return pa.RecordBatch.from_arrays([part.column("bucket"), *[part.column("data") if c == column else none for c in ("data", "gone", "ask")]], names=["bucket", "data", "gone", "ask"])
 
 
-def _bits(p: np.ndarray) -> np.ndarray:
-    return np.concatenate([(words.mix(p.view(np.uint64) ^ np.uint64(k)) % np.uint64(BLOOM)).astype(np.int64) for k in (1, 2)])
+def _prefix(x: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, place, word) of the prefix of each line."""
+    length = x.n - -(-x.n * NUM // DEN) + 1
+    row = np.repeat(np.arange(len(x.n)), length)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+    return row, at, x.words[x.off[row] + at]
 
 
-def _bloom_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    has = np.zeros(BLOOM, bool)
-    for b in batches:
-        has[_bits(b.column("p").to_numpy())] = True
-    yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([np.packbits(x).tobytes() for x in np.split(has, SLICES)], pa.binary())], names=["slice", "bits"])
+def _columns(line: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray, key: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: v[row] for k, v in line.items()} | {"key": words.mix(key), "at": np.minimum(at, 65535)}
 
 
-def _or(table: pa.Table) -> pa.Table:
-    total = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
-    return pa.table({"slice": table.column("slice").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
+def _elsewhere(e: dict[str, np.ndarray], o: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of rows in the order ``o`` those that are not the first of their group, nor a repetition of its place."""
+    head = o[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(o) else o
+    return o[np.logical_or.reduce([e[k][o] != e[k][head] for k in ("doc", "h", "pos")])]
 
 
-def bloom(prints: DataFrame) -> np.ndarray:
-    """A Bloom filter (4 MB, whatever the number of prints) of the column p."""
-    out = np.zeros((SLICES, BLOOM // SLICES // 8), np.uint8)
-    for r in prints.select("p").mapInArrow(_bloom_part, "slice int, bits binary").groupBy("slice").applyInArrow(_or, "slice int, bits binary").toLocalIterator():
-        out[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.ravel()
+def _entries(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed prefix entries of the first line of each class of a window, and the places of its other lines."""
+    held: list[tuple] = []
+    size = n = 0
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        line = {k: np.concatenate([x[0][k] for x in held]) for k in held[0][0]}
+        row, at, key = (np.concatenate([x[k] for x in held]) for k in (1, 2, 3))
+        held.clear()
+        o = np.lexsort((line["pos"], line["h"], line["doc"], line["s"], line["p"]))
+        p, s = line["p"][o], line["s"][o]
+        first = np.ones(len(o), bool)
+        first[1:] = (p[1:] != p[:-1]) | (s[1:] != s[:-1])
+        other = _elsewhere(line, o, first)
+        if len(other):
+            gone = {k: line[k][other] for k in ("doc", "h", "pos")}
+            yield _blobs(pack(GONE, gone, bucket_of(words.mix(gone["doc"].view(np.uint64)), buckets)), "gone")
+        keep = np.zeros(len(o), bool)
+        keep[o[first]] = True
+        some = keep[row]
+        e = _columns(line, row[some], at[some], key[some])
+        yield _blobs(pack(KEY, e, bucket_of(e["key"], buckets)), "data")
 
-def _wanted(batches: Iterator[pa.RecordBatch], rare: np.ndarray, ask: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(p, s, tokens) of the lines that the Bloom filter lets through, once a task."""
-    seen: set[int] = set()
     for b in batches:
-        for _, _, raw, off in _pieces(b):
+        ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("h").to_numpy(zero_copy_only=False)
+        for i, _, raw, off in _pieces(b):
             x = Lines(raw, off, rare)
-            at = _bits(x.print)
-            hit = (ask[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
-            some = []
-            for k in np.flatnonzero(hit.reshape(2, -1).all(0)).tolist():
-                if (p := int(x.print[k])) not in seen:
-                    seen.add(p)
-                    some.append(k)
-            data = [x.words[x.off[m] : x.off[m + 1]].tobytes() for m in some]
-            yield pa.RecordBatch.from_arrays([pa.array(x.print[some]), pa.array(x.bits[some]), pa.array(data, pa.binary())], names=["p", "s", "tokens"])
+            row, at, key = _prefix(x)
+            line = {"p": x.print, "s": x.bits.view(np.uint64), "t": x.more_bits.view(np.uint64), "n": x.n, "doc": ids[i + x.doc], "h": texts[i + x.doc], "pos": x.at}
+            held.append((line, row + n, at, key))
+            n, size = n + len(x.n), size + len(row) * 50
+            if size > WINDOW_BYTES:
+                yield from flush()
+                size = n = 0
+    if held:
+        yield from flush()
+
+
+def _alike(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs that can be similar by length, position and parity, places in which the parities of these differ)."""
+    n, m = e["n"][i], e["n"][j]
+    tail = np.minimum(n - e["at"][i], m - e["at"][j])
+    ok = np.flatnonzero((np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM) & (tail * (NUM + DEN) >= NUM * (n + m)))
+    a, b = i[ok], j[ok]
+    apart = np.bitwise_count(e["s"][a] ^ e["s"][b]).astype(np.int64) + np.bitwise_count(e["t"][a] ^ e["t"][b])
+    some = (e["n"][a] + e["n"][b] - apart) * (NUM + DEN) >= 2 * NUM * (e["n"][a] + e["n"][b])
+    return ok[some], apart[some]
+
+
+def _first_of(*columns: np.ndarray) -> np.ndarray:
+    """Which rows of sorted columns differ from the row before."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def _match(table: pa.Table) -> pa.Table:
+    """What a bucket finds: candidates (y, x) where x is an earlier class than y, and places of lines that have an equal one before them.
+
+    Where classes ask, only they get candidates, and all of them."""
+    asking = table.column("ask").null_count < len(table)
+    e = unpack(KEY, table.column("data").drop_null())
+    asked = unpack(KEY, table.column("ask").drop_null())
+    e = {k: np.concatenate([e[k], asked[k]]) for k in e}
+    asks = np.arange(len(e["key"])) >= len(e["key"]) - len(asked["key"])
+    e = {k: v.astype(np.int64) if k in ("n", "at") else v for k, v in e.items()}
+    o = np.lexsort((~asks, e["pos"], e["h"], e["doc"], e["s"], e["p"], e["key"]))
+    first = _first_of(*(e[k][o] for k in ("key", "p", "s")))
+    again = _elsewhere(e, o, first)
+    again = again[(e["at"][again] == 0) & ~asks[again]]
+    gone = pack(GONE, {k: e[k][again] for k in ("doc", "h", "pos")}, np.zeros(len(again), np.int32)).column("data").to_pylist()
+    if not asking:
+        gone += table.column("gone").drop_null().to_pylist()
+    else:
+        gone = []
+    o = o[first]
+    e, asks = {k: v[o] for k, v in e.items()}, asks[o]
+    rank = np.empty(len(o), np.int64)
+    rank[np.lexsort((e["pos"], e["h"], e["doc"]))] = np.arange(len(o))
+    o = np.lexsort((e["n"], e["key"]))
+    start = np.flatnonzero(_first_of(e["key"][o])) if len(o) else o
+    size = np.diff(np.append(start, len(o)))
+    size_of = np.repeat(size, size)
+    found: tuple[list, list, list] = ([], [], [])
+
+    def add(y: np.ndarray, x: np.ndarray, apart: np.ndarray) -> None:
+        for out, v in zip(found, (y, x, apart)):
+            out.append(v)
+
+    settled = np.zeros(len(o), bool)  # y that look like one of the earliest classes under a key
+    if not asking:
+        left = o[size_of > MANY]
+        left = left[np.lexsort((rank[left], e["key"][left]))]
+        for _ in range(SWEEPS):
+            new = _first_of(e["key"][left]) if len(left) else np.zeros(0, bool)
+            head, other = left[np.flatnonzero(new)[np.cumsum(new) - 1]][~new], left[~new]
+            ok, apart = _alike(e, other, head)
+            add(other[ok], head[ok], apart)
+            settled[other[ok]] = True
+            left = np.delete(other, ok)
+    o = o[size_of > 1]
+    g = (np.cumsum(_first_of(e["key"][o])) << 33) if len(o) else o
+    n = e["n"][o]
+    for i, j in pairs_within(np.arange(1, len(o) + 1), np.searchsorted(g + n, g + n * DEN // NUM, "right"), PAIRS_AT_ONCE):
+        i, j = o[i], o[j]
+        later = rank[i] > rank[j]
+        y, x = np.where(later, i, j), np.where(later, j, i)
+        some = asks[y] if asking else ~settled[y]
+        y, x = y[some], x[some]
+        ok, apart = _alike(e, y, x)
+        add(y[ok], x[ok], apart)
+    y, x, apart = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in found)
+    # a class may stand under several keys of the bucket
+    lead = np.full(len(rank), -1)
+    by = np.lexsort((e["s"], e["p"]))
+    same = np.cumsum(_first_of(e["p"][by], e["s"][by])) - 1 if len(by) else by
+    lead[by] = by[np.flatnonzero(np.diff(same, prepend=-1))][same] if len(by) else by
+    more = np.zeros(len(rank), bool)
+    np.logical_or.at(more, lead, settled)
+    y, x = lead[y], lead[x]
+    by = np.lexsort((rank[x], apart, y))
+    y, x, apart = y[by], x[by], apart[by]
+    pair = np.unique(y * np.int64(max(len(rank), 1)) + x, return_index=True)[1]
+    pair.sort()
+    y, x, apart = y[pair], x[pair], apart[pair]
+    if not asking and len(y):
+        at = np.arange(len(y)) - np.maximum.accumulate(np.where(_first_of(y), np.arange(len(y)), 0))
+        more[y[at >= AT_FIRST]] = True
+        y, x, apart = (v[at < AT_FIRST] for v in (y, x, apart))
+    cols = {f"{c}{k}": e[f][v] for c, v in (("y", y), ("x", x)) for k, f in (("p", "p"), ("s", "s"), ("doc", "doc"), ("h", "h"), ("pos", "pos"))}
+    cols = {k: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for k, v in cols.items()} | {"apart": pa.array(apart.astype(np.int32)), "more": pa.array(more[y])}
+    rows = pa.table(cols).append_column("gone", pa.nulls(len(y), pa.binary()))
+    only = pa.table({**{f.name: pa.nulls(len(gone), f.type) for f in rows.schema if f.name != "gone"}, "gone": pa.array(gone, pa.binary())})
+    return pa.concat_tables([rows, only])
+
+
+def _asked(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[tuple[np.ndarray, Lines]]:
+    """(number in the batch, asked lines) of texts with the places that are asked of each, as ``Lines`` of one text a line."""
+    for b in batches:
+        raw, off = words.text_bytes(b.column("text"))
+        rows, parts = [], []
+        for k, asked in enumerate(b.column("asked").to_pylist()):
+            text = raw[off[k] : off[k + 1]]
+            starts, _ = line_starts(text, np.array([0, len(text)]))
+            for at in asked:
+                rows.append((k, at))
+                parts.append(text[starts[at] : starts[at + 1]])
+        ends = np.cumsum([0, *map(len, parts)])
+        x = Lines(np.concatenate([*parts, np.zeros(0, np.uint8)]), ends, rare, False)
+        at = np.array(rows, np.int64).reshape(-1, 2)[x.line]
+        yield b, at, x
+
+
+def _tokens(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for _, _, x in _asked(batches, rare):
+        data = [x.words[i:j].tobytes() for i, j in zip(x.off.tolist(), x.off[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(x.print), pa.array(x.bits), pa.array(data, pa.binary())], names=["p", "s", "tokens"])
+
+
+def _asking(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed prefix entries of asked lines, as questions."""
+    for b, at, x in _asked(batches, rare):
+        ids, texts = (b.column(c).to_numpy(zero_copy_only=False)[at[:, 0]] for c in ("doc_id", "h"))
+        line = {"p": x.print, "s": x.bits.view(np.uint64), "t": x.more_bits.view(np.uint64), "n": x.n, "doc": ids, "h": texts, "pos": at[:, 1]}
+        e = _columns(line, *_prefix(x))
+        yield _blobs(pack(KEY, e, bucket_of(e["key"], buckets)), "ask")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
         for x, y in zip(b.column("tx"), b.column("ty"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            z = np.concatenate([x, y])
+            z = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)])
             z.sort()
             both = int((z[1:] == z[:-1]).sum())
             ok.append(both * DEN >= NUM * (len(z) - both))
-        yield b.select([c for c in b.schema.names if c not in ("tx", "ty")]).filter(pa.array(ok, pa.bool_()))
-
-
-def _verified(pairs: DataFrame, first: DataFrame, texts: DataFrame, rare) -> DataFrame:
-    """The sets (p, s) that some set of an earlier first line is similar to, from candidate pairs (xp, xs, yp, ys)."""
-    for c in "xy":
-        pairs = pairs.join(first.select(F.col("p").alias(f"{c}p"), F.col("s").alias(f"{c}s"), F.struct("doc", "at").alias(f"f{c}")), [f"{c}p", f"{c}s"])
-    earlier = F.col("fx") < F.col("fy")
-    one = lambda a, b, k: F.when(earlier, F.col(f"{a}{k}")).otherwise(F.col(f"{b}{k}"))
-    pairs = stash(pairs.select(one("x", "y", "p").alias("xp"), one("x", "y", "s").alias("xs"), one("y", "x", "p").alias("yp"), one("y", "x", "s").alias("ys")).distinct())
-    asked = pairs.select(F.col("xp").alias("p"), F.col("xs").alias("s")).unionByName(pairs.select(F.col("yp").alias("p"), F.col("ys").alias("s")))
-    ask = texts.sparkSession.sparkContext.broadcast(bloom(asked))
-    sets = texts.select("text").mapInArrow(lambda it: _wanted(it, rare.value, ask.value), "p long, s long, tokens binary")
+        yield b.drop_columns(["tx", "ty"]).filter(pa.array(ok, pa.bool_()))
+
+
+def _with_asked(texts: DataFrame, places: DataFrame) -> DataFrame:
+    """The texts of which lines are asked, with the places (doc, h, pos) of these."""
+    asks = places.groupBy("doc", "h").agg(F.collect_set("pos").alias("asked"))
+    asks = asks.select(F.col("doc").alias("doc_id"), "h", "asked").hint("shuffle_hash")
+    return texts.join(asks, ["doc_id", "h"]).select("doc_id", "h", "text", "asked")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, rare) -> DataFrame:
+    """The classes y, with their places, of the pairs whose sets are similar."""
+    place = lambda c: pairs.select(*[F.col(f"{c}{k}").alias(k) for k in ("doc", "h", "pos")])
+    asked = _with_asked(texts, place("x").unionByName(place("y")))
+    sets = asked.mapInArrow(lambda it: _tokens(it, rare.value), "p long, s long, tokens binary")
     sets = stash(sets.groupBy("p", "s").agg(F.any_value("tokens").alias("tokens")))
     on = lambda c: sets.select(F.col("p").alias(f"{c}p"), F.col("s").alias(f"{c}s"), F.col("tokens").alias(f"t{c}"))
-    rows = pairs.join(on("x"), ["xp", "xs"]).join(on("y"), ["yp", "ys"]).select(F.col("yp").alias("p"), F.col("ys").alias("s"), "tx", "ty")
-    return rows.mapInArrow(_verify, "p long, s long").distinct()
+    rows = pairs.join(on("x"), ["xp", "xs"]).join(on("y"), ["yp", "ys"]).select("yp", "ys", "ydoc", "yh", "ypos", "tx", "ty")
+    return stash(rows.mapInArrow(_verify, "yp long, ys long, ydoc long, yh int, ypos int").distinct())
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out, n, gone = [], [], []
-        for text, cut in zip(b.column("text").to_pylist(), b.column("cut").to_pylist(), strict=True):
-            lines = text.split("\n") if text is not None else []
-            n.append(len(lines))
-            gone.append(len(cut or ()))
-            if cut:
-                drop = set(cut)
-                text = "\n".join([x for k, x in enumerate(lines) if k not in drop])
-            out.append(text)
-        rest = [c for c in b.schema.names if c not in ("text", "cut")]
-        yield pa.RecordBatch.from_arrays([*map(b.column, rest), pa.array(out, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*rest, "text", "n_lines", "n_removed"])
+        yield pa.RecordBatch.from_pydict(unpack(GONE, b.column("gone")))
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, h, cut): the line positions, from 0, to remove from the text with hash h of a document."""
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rare = spark.sparkContext.broadcast(rarity(rows.select("text")))
-    lines = stash(rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(lambda it: _lines(it, rare.value), "doc long, h long, at int, p long, s long, t long, n int, prefix array<long>"))
-    first = stash(lines.groupBy("p", "s").agg(F.min(F.struct("doc", "at")).alias("f")).select("p", "s", "f.*"))
-    differ = (F.col("x.p") != F.col("y.p")) | (F.col("x.s") != F.col("y.s"))
-    pair = [F.col(f"{c}.{k}").alias(f"{c}{k}") for c in "xy" for k in ("p", "s")]
-
-    # first round: the earliest line under each of the rarest words
-    few = lines.where("prefix is not null").select("doc", F.col("at").alias("line"), "n", "p", "s", "t", F.posexplode(F.slice("prefix", 1, FIRST_ROUND)).alias("at", "key"))
-    head = few.groupBy("key").agg(F.min(F.struct("doc", "line", "n", "at", "p", "s", "t")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "x.*")
-    pairs = stash(head).alias("x").join(few.select("key", "n", "at", "p", "s", "t").alias("y"), (F.col("x.key") == F.col("y.key")) & differ & _close(F.col("x.n"), F.col("y.n"))).select(*pair).distinct()
-    settled = stash(_verified(pairs, first, rows, rare))
-
-    # the rest: lines not settled yet (m is their size, 0 for the others) against all
-    every = lines.where("prefix is not null").join(settled.withColumn("done", F.lit(True)), ["p", "s"], "left")
-    every = stash(every.select("p", "s", "t", "n", F.when(F.col("done"), 0).otherwise(F.col("n")).alias("m"), "prefix"))
-    every = every.select("p", "s", "t", "n", "m", F.posexplode("prefix").alias("at", "key"))
-    one_way = (F.col("x.m") == 0) | (F.col("x.p") < F.col("y.p")) | ((F.col("x.p") == F.col("y.p")) & (F.col("x.s") < F.col("y.s")))
-    pairs = None
-    for part in range(KEY_PARTS):
-        some = every.where(F.abs(F.hash("key")) % KEY_PARTS == part)
-        found = some.alias("x").join(some.alias("y"), (F.col("x.key") == F.col("y.key")) & differ & one_way & _close(F.col("x.n"), F.col("y.m"))).select(*pair).distinct()
-        found = stash(found)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    near = stash(settled.unionByName(_verified(pairs, first, rows, rare)).distinct().withColumn("near", F.lit(True)))
-
-    places = first.select("p", "s", F.struct("doc", "at").alias("first"))
-    gone = lines.drop("prefix", "n", "t").join(places, ["p", "s"]).join(near, ["p", "s"], "left").where((F.struct("doc", "at") > F.col("first")) | F.col("near"))
-    return gone.groupBy("doc", "h").agg(F.sort_array(F.collect_set("at")).alias("cut"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("h"), "text")
+    table, n_words = rarity(rows.select("text"))
+    rare = spark.sparkContext.broadcast(table)
+    buckets = n_buckets(n_words // 5, shuffle_partitions(spark))
+    entries = rows.mapInArrow(lambda it: _entries(it, rare.value, buckets), PARTS)
+    found = stash(entries.groupBy("bucket").applyInArrow(_match, FOUND))
+    y, x = ["yp", "ys", "ydoc", "yh", "ypos"], ["xp", "xs", "xdoc", "xh", "xpos"]
+    candidates = found.where("gone is null").select(*y, *x, "apart", "more")
+
+    best = stash(candidates.groupBy(*y).agg(F.min(F.struct("apart", *x)).alias("x"), F.max("more").alias("more")).select(*y, "x.*", "more"))
+    near = _verified(best.select(*y, *x), rows, rare)
+    others = candidates.join(near, ["yp", "ys"], "left_anti").join(best.select("yp", "ys", "xp", "xs"), ["yp", "ys", "xp", "xs"], "left_anti")
+    others = stash(others.select(*y, *x).distinct())
+    if not others.isEmpty():
+        near = near.unionByName(_verified(others, rows, rare))
+    open_ = stash(best.where("more").join(near, ["yp", "ys"], "left_anti").select(F.col("ydoc").alias("doc"), F.col("yh").alias("h"), F.col("ypos").alias("pos")))
+    if not open_.isEmpty():
+        asks = _with_asked(rows, open_).mapInArrow(lambda it: _asking(it, rare.value, buckets), PARTS)
+        all_found = entries.where("data is not null").unionByName(asks).groupBy("bucket").applyInArrow(_match_asked, FOUND)
+        near = near.unionByName(_verified(stash(all_found.select(*y, *x).distinct()), rows, rare))
+
+    gone = found.where("gone is not null").select("gone").mapInArrow(_places, "doc long, h int, pos int")
+    gone = gone.unionByName(near.select(F.col("ydoc").alias("doc"), F.col("yh").alias("h"), F.col("ypos").alias("pos")))
+    return gone.groupBy("doc", "h").agg(F.collect_set("pos").alias("cut"))
+
+
+def _match_asked(table: pa.Table) -> pa.Table:
+    """Candidates of the classes that ask; a bucket without one has none."""
+    if table.column("ask").null_count == len(table):
+        table = table.slice(0, 0)
+    return _match(table)
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with later lines cut from ``text``, and n_lines and n_removed of each row."""
-    cuts = removed_lines(docs)
-    other = [c for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    rows = docs.select(*other, "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("_h"))
-    rows = rows.join(cuts.select(F.col("doc").alias("_doc"), F.col("h").alias("_k"), "cut"), (F.col("doc_id") == F.col("_doc")) & (F.col("_h") == F.col("_k")), "left").select(*other, "text", "cut")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in ("text", "cut"))
-    return rows.mapInArrow(_cut, f"{schema}, text string, n_lines long, n_removed long")
+    cuts = stash(removed_lines(docs)).hint("shuffle_hash")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("h")).join(cuts, ["doc", "h"], "left")
+    text, cut = F.col("row").getField("text"), F.col("cut")
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+    kept = lambda lines: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), cut), lambda k: F.get(lines, k))
+    left = F.array_join(F.element_at(F.transform(F.array(F.split(text, "\n", -1)), kept), 1), "\n")
+    some = cut.isNotNull() & text.isNotNull()
+    rows = rows.select("row", F.when(some, left).otherwise(text).alias("text"), n_lines.cast("long").alias("n_lines"), F.when(some, F.size(cut)).otherwise(0).cast("long").alias("n_removed"))
+    new = {"text", "n_lines", "n_removed"}
+    other = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in new]
+    return rows.select(*other, *sorted(new, key=["text", "n_lines", "n_removed"].index))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
