@@ -43,13 +43,17 @@ from .tables import read, shuffle_partitions, stash
 NUM, DEN = 80, 100
 RANGES = 1 << 18
 SLICES = 64
-#: Candidates that a class gets in one place before it is known whether the likeliest holds.
-AT_FIRST = 3
+#: Candidates that a class gets in one place before it is known whether the likeliest holds; and where that one is not surely similar.
+AT_FIRST, UNSURE = 16, 512
+#: A candidate is surely similar if no more than this share of the differences allowed show in the parities.
+SURE = 0.6
 #: Where more classes than this meet, they are held against the earliest ones first, so many times.
-MANY, SWEEPS = 64, 3
+MANY, SWEEPS = 64, 6
 PAIRS_AT_ONCE = 400_000
 
-KEY = (("key", "<u8", 1), ("p", "<i8", 1), ("s", "<u8", 1), ("t", "<u8", 1), ("n", "<u4", 1), ("at", "<u2", 1), ("doc", "<i8", 1), ("h", "<i4", 1), ("pos", "<i4", 1))
+#: A size or place of 65535 stands for any from there on, which passes the filters. Keys of one bucket are told apart by 32 bits.
+LARGE = 65535
+KEY = (("key", "<u4", 1), ("p", "<i8", 1), ("s", "<u8", 1), ("t", "<u8", 1), ("n", "<u2", 1), ("at", "<u2", 1), ("doc", "<i8", 1), ("h", "<i4", 1), ("pos", "<i4", 1))
 GONE = (("doc", "<i8", 1), ("h", "<i4", 1), ("pos", "<i4", 1))
 PARTS = "bucket int, data binary, gone binary, ask binary"
 FOUND = "yp long, ys long, ydoc long, yh int, ypos int, xp long, xs long, xdoc long, xh int, xpos int, apart int, more boolean, gone binary"
@@ -143,7 +147,11 @@ def _prefix(x: Lines) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _columns(line: dict[str, np.ndarray], row: np.ndarray, at: np.ndarray, key: np.ndarray) -> dict[str, np.ndarray]:
-    return {k: v[row] for k, v in line.items()} | {"key": words.mix(key), "at": np.minimum(at, 65535)}
+    return {k: v[row] for k, v in line.items()} | {"n": np.minimum(line["n"], LARGE)[row], "key": words.mix(key), "at": np.minimum(at, LARGE)}
+
+
+def _bucketed(e: dict[str, np.ndarray], buckets: int) -> pa.RecordBatch:
+    return pack(KEY, e | {"key": e["key"] & np.uint64(0xFFFFFFFF)}, bucket_of(e["key"], buckets))
 
 
 def _elsewhere(e: dict[str, np.ndarray], o: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -173,7 +181,7 @@ def _entries(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int)
         keep[o[first]] = True
         some = keep[row]
         e = _columns(line, row[some], at[some], key[some])
-        yield _blobs(pack(KEY, e, bucket_of(e["key"], buckets)), "data")
+        yield _blobs(_bucketed(e, buckets), "data")
 
     for b in batches:
         ids, texts = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("h").to_numpy(zero_copy_only=False)
@@ -182,7 +190,7 @@ def _entries(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int)
             row, at, key = _prefix(x)
             line = {"p": x.print, "s": x.bits.view(np.uint64), "t": x.more_bits.view(np.uint64), "n": x.n, "doc": ids[i + x.doc], "h": texts[i + x.doc], "pos": x.at}
             held.append((line, row + n, at, key))
-            n, size = n + len(x.n), size + len(row) * 50
+            n, size = n + len(x.n), size + len(row) * 46
             if size > WINDOW_BYTES:
                 yield from flush()
                 size = n = 0
@@ -190,15 +198,17 @@ def _entries(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int)
         yield from flush()
 
 
-def _alike(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(pairs that can be similar by length, position and parity, places in which the parities of these differ)."""
+def _alike(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs that can be similar by length, position and parity, places in which the parities of these differ, which are surely similar)."""
     n, m = e["n"][i], e["n"][j]
     tail = np.minimum(n - e["at"][i], m - e["at"][j])
-    ok = np.flatnonzero((np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM) & (tail * (NUM + DEN) >= NUM * (n + m)))
-    a, b = i[ok], j[ok]
+    any_size = (n == LARGE) | (m == LARGE)
+    ok = np.flatnonzero((np.minimum(n, m) * DEN >= np.maximum(n, m) * NUM) & (tail * (NUM + DEN) >= NUM * (n + m)) | any_size)
+    a, b, both = i[ok], j[ok], (n + m)[ok]
     apart = np.bitwise_count(e["s"][a] ^ e["s"][b]).astype(np.int64) + np.bitwise_count(e["t"][a] ^ e["t"][b])
-    some = (e["n"][a] + e["n"][b] - apart) * (NUM + DEN) >= 2 * NUM * (e["n"][a] + e["n"][b])
-    return ok[some], apart[some]
+    some = ((both - apart) * (NUM + DEN) >= 2 * NUM * both) | any_size[ok]
+    apart, both = apart[some], both[some]
+    return ok[some], apart, apart * (NUM + DEN) <= SURE * (DEN - NUM) * both
 
 
 def _first_of(*columns: np.ndarray) -> np.ndarray:
@@ -235,23 +245,24 @@ def _match(table: pa.Table) -> pa.Table:
     start = np.flatnonzero(_first_of(e["key"][o])) if len(o) else o
     size = np.diff(np.append(start, len(o)))
     size_of = np.repeat(size, size)
-    found: tuple[list, list, list] = ([], [], [])
+    found: tuple[list, ...] = ([], [], [], [])
 
-    def add(y: np.ndarray, x: np.ndarray, apart: np.ndarray) -> None:
-        for out, v in zip(found, (y, x, apart)):
+    def add(*columns: np.ndarray) -> None:
+        for out, v in zip(found, columns):
             out.append(v)
 
-    settled = np.zeros(len(o), bool)  # y that look like one of the earliest classes under a key
+    times = np.zeros(len(o), np.int64)  # how often a class surely looks like one of the earliest under a key
     if not asking:
         left = o[size_of > MANY]
         left = left[np.lexsort((rank[left], e["key"][left]))]
         for _ in range(SWEEPS):
             new = _first_of(e["key"][left]) if len(left) else np.zeros(0, bool)
             head, other = left[np.flatnonzero(new)[np.cumsum(new) - 1]][~new], left[~new]
-            ok, apart = _alike(e, other, head)
-            add(other[ok], head[ok], apart)
-            settled[other[ok]] = True
-            left = np.delete(other, ok)
+            ok, apart, sure = _alike(e, other, head)
+            add(other[ok], head[ok], apart, sure)
+            times[other[ok[sure]]] += 1
+            left = other[times[other] < 2]
+    settled = times > 1
     o = o[size_of > 1]
     g = (np.cumsum(_first_of(e["key"][o])) << 33) if len(o) else o
     n = e["n"][o]
@@ -261,9 +272,9 @@ def _match(table: pa.Table) -> pa.Table:
         y, x = np.where(later, i, j), np.where(later, j, i)
         some = asks[y] if asking else ~settled[y]
         y, x = y[some], x[some]
-        ok, apart = _alike(e, y, x)
-        add(y[ok], x[ok], apart)
-    y, x, apart = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in found)
+        ok, apart, sure = _alike(e, y, x)
+        add(y[ok], x[ok], apart, sure)
+    y, x, apart, sure = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in found)
     # a class may stand under several keys of the bucket
     lead = np.full(len(rank), -1)
     by = np.lexsort((e["s"], e["p"]))
@@ -273,14 +284,15 @@ def _match(table: pa.Table) -> pa.Table:
     np.logical_or.at(more, lead, settled)
     y, x = lead[y], lead[x]
     by = np.lexsort((rank[x], apart, y))
-    y, x, apart = y[by], x[by], apart[by]
+    y, x, apart, sure = y[by], x[by], apart[by], sure[by]
     pair = np.unique(y * np.int64(max(len(rank), 1)) + x, return_index=True)[1]
     pair.sort()
-    y, x, apart = y[pair], x[pair], apart[pair]
+    y, x, apart, sure = y[pair], x[pair], apart[pair], sure[pair]
     if not asking and len(y):
-        at = np.arange(len(y)) - np.maximum.accumulate(np.where(_first_of(y), np.arange(len(y)), 0))
-        more[y[at >= AT_FIRST]] = True
-        y, x, apart = (v[at < AT_FIRST] for v in (y, x, apart))
+        best = np.maximum.accumulate(np.where(_first_of(y), np.arange(len(y)), 0))
+        keep = np.arange(len(y)) - best < np.where(sure[best], AT_FIRST, UNSURE)
+        more[y[~keep]] = True
+        y, x, apart = y[keep], x[keep], apart[keep]
     cols = {f"{c}{k}": e[f][v] for c, v in (("y", y), ("x", x)) for k, f in (("p", "p"), ("s", "s"), ("doc", "doc"), ("h", "h"), ("pos", "pos"))}
     cols = {k: pa.array(v.view(np.int64) if v.dtype == np.uint64 else v) for k, v in cols.items()} | {"apart": pa.array(apart.astype(np.int32)), "more": pa.array(more[y])}
     rows = pa.table(cols).append_column("gone", pa.nulls(len(y), pa.binary()))
@@ -317,7 +329,7 @@ def _asking(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int) -
         ids, texts = (b.column(c).to_numpy(zero_copy_only=False)[at[:, 0]] for c in ("doc_id", "h"))
         line = {"p": x.print, "s": x.bits.view(np.uint64), "t": x.more_bits.view(np.uint64), "n": x.n, "doc": ids, "h": texts, "pos": at[:, 1]}
         e = _columns(line, *_prefix(x))
-        yield _blobs(pack(KEY, e, bucket_of(e["key"], buckets)), "ask")
+        yield _blobs(_bucketed(e, buckets), "ask")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
