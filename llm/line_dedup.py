@@ -45,11 +45,13 @@ RANGES = 1 << 18
 SLICES = 64
 #: Candidates that a class gets in one place before it is known whether the likeliest holds; and where that one is not surely similar.
 AT_FIRST, UNSURE = 16, 512
-#: A candidate is surely similar if no more than this share of the differences allowed show in the parities.
+#: A candidate is surely similar if its parities tell of no more than this share of the differences allowed.
 SURE = 0.6
 #: Where more classes than this meet, they are held against the earliest ones first, so many times.
 MANY, SWEEPS = 64, 6
 PAIRS_AT_ONCE = 400_000
+#: Keys that are broadcast (8 bytes each) to send only what is asked for; beyond that everything is sent.
+MOST_KEYS = 1 << 20
 
 #: A size or place of 65535 stands for any from there on, which passes the filters. Keys of one bucket are told apart by 32 bits.
 LARGE = 65535
@@ -160,8 +162,10 @@ def _elsewhere(e: dict[str, np.ndarray], o: np.ndarray, first: np.ndarray) -> np
     return o[np.logical_or.reduce([e[k][o] != e[k][head] for k in ("doc", "h", "pos")])]
 
 
-def _entries(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed prefix entries of the first line of each class of a window, and the places of its other lines."""
+def _entries(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int, only: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Packed prefix entries of the first line of each class of a window, and the places of its other lines.
+
+    ``only``: sorted keys; entries under others are left out."""
     held: list[tuple] = []
     size = n = 0
 
@@ -181,6 +185,9 @@ def _entries(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int)
         keep[o[first]] = True
         some = keep[row]
         e = _columns(line, row[some], at[some], key[some])
+        if only is not None:
+            hit = only[np.minimum(np.searchsorted(only, e["key"]), len(only) - 1)] == e["key"]
+            e = {k: v[hit] for k, v in e.items()}
         yield _blobs(_bucketed(e, buckets), "data")
 
     for b in batches:
@@ -208,7 +215,8 @@ def _alike(e: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.n
     apart = np.bitwise_count(e["s"][a] ^ e["s"][b]).astype(np.int64) + np.bitwise_count(e["t"][a] ^ e["t"][b])
     some = ((both - apart) * (NUM + DEN) >= 2 * NUM * both) | any_size[ok]
     apart, both = apart[some], both[some]
-    return ok[some], apart, apart * (NUM + DEN) <= SURE * (DEN - NUM) * both
+    likely = -64 * np.log(np.maximum(1 - apart / 64, 1e-9))  # differences that show in so many of 128 places
+    return ok[some], apart, likely * (NUM + DEN) <= SURE * (DEN - NUM) * both
 
 
 def _first_of(*columns: np.ndarray) -> np.ndarray:
@@ -332,6 +340,11 @@ def _asking(batches: Iterator[pa.RecordBatch], rare: np.ndarray, buckets: int) -
         yield _blobs(_bucketed(e, buckets), "ask")
 
 
+def _asked_keys(batches: Iterator[pa.RecordBatch], rare: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for _, _, x in _asked(batches, rare):
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(words.mix(_prefix(x)[2])).view(np.int64))], names=["key"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         ok = []
@@ -386,7 +399,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         near = near.unionByName(_verified(others, rows, rare))
     open_ = stash(best.where("more").join(near, ["yp", "ys"], "left_anti").select(F.col("ydoc").alias("doc"), F.col("yh").alias("h"), F.col("ypos").alias("pos")))
     if not open_.isEmpty():
-        asks = _with_asked(rows, open_).mapInArrow(lambda it: _asking(it, rare.value, buckets), PARTS)
+        asked = _with_asked(rows, open_)
+        asks = asked.mapInArrow(lambda it: _asking(it, rare.value, buckets), PARTS)
+        keys = stash(asked.mapInArrow(lambda it: _asked_keys(it, rare.value), "key long").distinct())
+        only = np.sort(keys.toArrow().column("key").to_numpy().view(np.uint64)) if keys.count() <= MOST_KEYS else None
+        some = spark.sparkContext.broadcast(only)
+        entries = rows.mapInArrow(lambda it: _entries(it, rare.value, buckets, some.value), PARTS)
         all_found = entries.where("data is not null").unionByName(asks).groupBy("bucket").applyInArrow(_match_asked, FOUND)
         near = near.unionByName(_verified(stash(all_found.select(*y, *x).distinct()), rows, rare))
 
