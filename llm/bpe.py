@@ -7,7 +7,7 @@ above it: the last token is the one vocabulary entry that ends here and that BPE
 merge with, or split from, the last token of what precedes it. A shared prefix is thus
 encoded once, and a word's tokens are read off by walking the states back.
 
-Whitespace never joins a token, so a text is its whitespace-free chunks; each worker keeps a
+Whitespace never joins a token, so a text is its whitespace-free chunks; each task keeps a
 bounded table of chunks it has met. Null and empty texts have no token. Texts of any length
 are encoded whole.
 """
@@ -30,8 +30,10 @@ from .tables import read
 from .words import pieces, text_bytes
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks that a worker remembers; beyond it starts afresh, so its memory stays bounded.
-REMEMBER = 250_000
+#: Bytes of chunks and their encodings, and pairs of tokens, that a task remembers; beyond them it starts afresh.
+REMEMBER, PAIRS = 48 << 20, 300_000
+#: About what Python takes for the three strings of a chunk, and their places in tables, besides the characters.
+A_CHUNK = 400
 END = "</w>"
 
 _WHOLE = r"<\||\p{M}|\x{130}|[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -82,6 +84,14 @@ class TrieBpe:
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._ids: dict[str, str] = {}
         self._text: dict[str, str] = {}
+        self._size = 0
+
+    def forget(self) -> None:
+        """Let go of what earlier texts have left."""
+        self._ids.clear()
+        self._text.clear()
+        self._stands.clear()
+        self._size = 0
 
     @staticmethod
     def _lengths(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
@@ -103,7 +113,7 @@ class TrieBpe:
         known = self._stands.get(key)
         if known is None:
             known = self._stands[key] = self._test(left, right)
-            if len(self._stands) > 2_000_000:
+            if len(self._stands) > PAIRS:
                 self._stands.clear()
         return known
 
@@ -214,6 +224,7 @@ class TrieBpe:
             else:
                 self._ids[c] = " ".join([done[p][0] for p in parts])
                 self._text[c] = " ".join([done[p][1] for p in parts])
+            self._size += A_CHUNK + len(c) + len(self._ids[c]) + len(self._text[c])
 
     def encode_decode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
         """(ids in decimal joined by spaces, decoded texts) of a batch, whose new words share one trie.
@@ -226,9 +237,8 @@ class TrieBpe:
         lists = pc.ascii_split_whitespace(low)
         coded = lists.values.dictionary_encode()
         chunks = coded.dictionary.to_pylist()
-        if len(self._ids) > REMEMBER:
-            self._ids.clear()
-            self._text.clear()
+        if self._size > REMEMBER:
+            self.forget()
         known = self._ids
         new = [c for c in chunks if c not in known]
         if new:
@@ -243,6 +253,7 @@ class TrieBpe:
             for k, table in enumerate((self._ids, self._text)):
                 out[k] = pc.replace_with_mask(out[k], odd, pa.array([table[t] for t in whole], pa.string()))
             for t in set(whole):
+                self._size -= A_CHUNK + len(t) + len(self._ids[t]) + len(self._text[t])
                 del self._ids[t], self._text[t]
         return out[0], out[1]
 
@@ -265,6 +276,7 @@ def _digests(batches: Iterator[pa.RecordBatch], path: str | None, texts_too: boo
             n = pc.add(pc.count_substring(ids, " "), pc.not_equal(ids, "").cast(pa.int64())).cast(pa.int64())
             more = [ids, text] if texts_too else []
             yield pa.RecordBatch.from_arrays([*map(part.column, names), n, *more, sha(ids), sha(text)], names=[*names, "n_tokens", *(("ids", "decoded") if texts_too else ()), "ids_sha256", "decoded_sha256"])
+    bpe.forget()  # the worker may go on to other work
 
 
 def tokenize(docs: DataFrame, key: list[str], path: str | None = None, texts_too: bool = False) -> DataFrame:

@@ -24,18 +24,23 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Bytes of text that one vectorised step takes.
 PIECE = 1 << 19
 
-_POW: dict[str, np.ndarray] = {}
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_P, _PINV):
+        x = np.full(n, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+_POWERS = _power_tables(PIECE + 1024)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    have = _POW.get("p")
-    if have is None or len(have) < n:
-        m = max(n, PIECE + 1024)
-        for key, base in (("p", _P), ("i", _PINV)):
-            out = np.full(m, base, np.uint64)
-            out[0] = 1
-            _POW[key] = np.multiply.accumulate(out)
-    return _POW["p"][:n], _POW["i"][:n]
+    """The first powers of the hash's base and of its inverse; for a longer text than a piece they are made anew and not kept."""
+    have = _POWERS if n <= len(_POWERS[0]) else _power_tables(n)
+    return have[0][:n], have[1][:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
