@@ -98,3 +98,26 @@ def test_report_states(spark):
     d = spark.createDataFrame([(1.0, 5.0, None)], "a double, b double, c double")
     got = {r["subject"]: r["status"] for r in checks.report(d, {"a": ("x", 0, 2), "b": ("x", 0, 2), "c": ("x", 0, 2)}).collect()}
     assert got == {"a": "PASS", "b": "FAIL", "c": "UNKNOWN"}
+
+
+def test_optional_table(spark, tmp_path):
+    from tidemark.sources.inputs import first_available, optional_table
+
+    schema = "ticker long, date date, value double"
+    none = optional_table(spark, f"{tmp_path}/absent", schema)
+    assert none.count() == 0 and none.dtypes == [("ticker", "bigint"), ("date", "date"), ("value", "double")]
+    spark.createDataFrame([(1, "x")], "ticker int, extra string").write.parquet(f"{tmp_path}/there")
+    some = optional_table(spark, f"{tmp_path}/there", schema)
+    assert some.dtypes == none.dtypes and [tuple(r) for r in some.collect()] == [(1, None, None)]
+    d = spark.createDataFrame([(6.0, 3.0)], "gp double, revenue double")
+    choices = ((("grossmargin",), F.col("grossmargin")), (("gp", "revenue"), F.col("gp") / F.col("revenue")))
+    assert d.select(first_available(d, *choices).alias("m")).first()["m"] == 2.0
+    assert d.select(first_available(d.drop("gp"), *choices).alias("m")).first()["m"] is None
+
+
+def test_roles_leave_no_views(spark):
+    from tidemark.sources.roles import Roles
+
+    before = {t.name for t in spark.catalog.listTables()}
+    assert Roles(spark, "/root/testdata/sf0.001").vendor.count() > 0
+    assert {t.name for t in spark.catalog.listTables()} == before

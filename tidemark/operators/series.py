@@ -53,4 +53,4 @@ def benchmark_trend(bars: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy("date")
     back = lambda n: ratio(F.col("closeadj"), F.lag("closeadj", n).over(w)) - 1
     above = F.when(F.col("closeadj") > F.avg("closeadj").over(w.rowsBetween(-199, 0)), 1.0).otherwise(0.0)
-    return bars.withColumns({"regime_ma": above} | {f"ret_{k}": back(n) for k, n in (("1m", 21), ("3m", 63), ("6m", 126), ("12m", 252))})
+    return bars.withColumns({"above_ma200": above} | {f"ret_{k}": back(n) for k, n in (("1m", 21), ("3m", 63), ("6m", 126), ("12m", 252))})

@@ -23,7 +23,7 @@ def panel(r):
     """Rows with a 21-row forward return, damped by 0.02 because the synthetic prices jump, and a 63-row past return."""
     w = Window.partitionBy("ticker").orderBy("date")
     bars = r.bars.withColumns({"fwd_ret": r6(0.02 * (F.try_divide(F.lead("closeadj", 21).over(w), "closeadj") - 1)), "ret_3m": r6(F.try_divide("closeadj", F.lag("closeadj", 63).over(w)) - 1)})
-    return bars.join(F.broadcast(r.instruments.select("ticker", "sector")), "ticker").join(r.vendor.select("ticker", "date", "marketcap", "pe"), ["ticker", "date"], "left")
+    return bars.join(r.instruments.select("ticker", "sector"), "ticker").join(r.vendor.select("ticker", "date", "marketcap", "pe"), ["ticker", "date"], "left")
 
 
 SCREEN = "ret_3m is not null and closeadj > 0 and sector not in ('ASIA')"

@@ -6,44 +6,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import q6, r6
 from ..operators import checks as C
 from ..operators import fundamentals as FU
-from ..operators import holdings as H
 from ..operators import prices as PR
 from ..operators import universe as U
 from ..registry import query
-from .q_features import _ASOF, INSIDER
+from .q_features import _ASOF, _PREV, RATIO_COLUMNS
 from .q_prices import PRICE_SQL
-from .q_universe import CLEAN, CORE, LABELS
-
-MASTER_ROLES = "bars instruments actions vendor art insider"
-_MASTER = f"""WITH {CORE}{LABELS}, pf AS ({PRICE_SQL}), ins AS ({INSIDER}), fu AS (SELECT b.ticker, b.date, f.datekey, f.ncfo FROM bars b {_ASOF}),
-master AS (SELECT c.ticker, c.date, c.sector, c.closeadj, p.ret_1m, p.ret_12m, p.vol_20d, fu.datekey, fu.ncfo, ins.insider_buys, l.fwd_ret_21td, l.fwd_delisted_63td, v.marketcap
-FROM core c LEFT JOIN pf p USING (ticker, date) LEFT JOIN fu USING (ticker, date) LEFT JOIN ins USING (ticker, date) LEFT JOIN labels l USING (ticker, date) LEFT JOIN vendor v USING (ticker, date))"""
-
-
-def master(r):
-    """Universe rows with price, fundamental, insider and label columns; every side is keyed and hashed by ticker and date."""
-    a = U.clean_actions(r.actions)
-    t = U.terminal_events(a)
-    core = U.core(r.bars, r.instruments, U.removals(t)).select("ticker", "date", "sector", "closeadj")
-    p = PR.price_features(r.bars).select("ticker", "date", *[r6(c).alias(c) for c in ("ret_1m", "ret_12m", "vol_20d")])
-    f = FU.with_latest(r.bars.select("ticker", "date"), r.art, "art_", ["ncfo"]).select("ticker", "date", F.col("art_datekey").alias("datekey"), F.col("art_ncfo").alias("ncfo"))
-    i = H.insider_features(r.bars.select("ticker", "date"), r.insider).select("ticker", "date", "insider_buys")
-    lab = U.forward_labels(r.bars, t).select("ticker", "date", r6("fwd_ret_21td").alias("fwd_ret_21td"), "fwd_delisted_63td")
-    d = core
-    for side in (p, f, i, lab, r.vendor.select("ticker", "date", "marketcap")):
-        d = d.join(side, ["ticker", "date"], "left")
-    return d
-
-
-@query("master_features", MASTER_ROLES, f"{_MASTER} SELECT * FROM master")
-def master_features(r):
-    return master(r)
-
-
-@query("merge_master", MASTER_ROLES, f"{_MASTER} SELECT ticker, date, ret_1m, ncfo, insider_buys FROM master")
-def merge_master(r):
-    return master(r).select("ticker", "date", "ret_1m", "ncfo", "insider_buys")
-
+from .q_universe import CLEAN, CORE, LABELS, TERMINAL
 
 @query("panel_profile", "bars vendor", "SELECT count(*) AS n, count(DISTINCT ticker) AS tickers, count(DISTINCT date) AS dates, " + q6("avg(CASE WHEN pe IS NULL THEN 1.0 ELSE 0.0 END)") + " AS pe_null, min(date) AS first_date, max(date) AS last_date FROM vendor")
 def panel_profile(r):
@@ -67,10 +35,16 @@ def check_no_lookahead(r):
     return C.report(v, {"late": ("look-ahead", 0, 0), "unknown": ("look-ahead", 0, 0.5)})
 
 
-@query("check_staleness", "bars art", f"WITH f AS (SELECT datediff('day', f.datekey, b.date) AS age FROM bars b {_ASOF}) " + _report([_row("staleness", "median_age", "SELECT median(age) FROM f", None, 120), _row("staleness", "max_age", "SELECT max(age) FROM f", None, 400)]))
+_AGE = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}
+
+
+@query("check_staleness", "bars art", f"WITH f AS (SELECT datediff('day', f.datekey, b.date) AS age FROM bars b {_ASOF}) " + _report([_row("staleness", "median_age", "SELECT median(age) FROM f", None, 120), _row("staleness", "max_age", "SELECT max(age) FROM f", None, 400), _row("staleness", "over_a_year", "SELECT " + q6("avg(CASE WHEN age > 365 THEN 1.0 ELSE 0.0 END)") + " FROM f", None, 0.1), *[_row("staleness", k, f"SELECT {q6(f'quantile_cont(age, {p})')} FROM f", None, None) for k, p in _AGE.items()]]))
 def check_staleness(r):
-    d = FU.with_latest(r.bars.select("ticker", "date"), r.art, "art_", []).withColumn("age", F.datediff("date", "art_datekey"))
-    return C.report(d.agg(F.median("age").alias("median_age"), F.max("age").alias("max_age")), {"median_age": ("staleness", None, 120), "max_age": ("staleness", None, 400)})
+    """Ages are whole days, so they are counted by day first: no task sees all rows."""
+    d = FU.with_latest(r.bars.select("ticker", "date"), r.art, "art_", []).groupBy(F.datediff("date", "art_datekey").alias("age")).agg(F.count(F.lit(1)).alias("n"))
+    old = F.sum(F.when(F.col("age") > 365, F.col("n")).otherwise(0)) / F.sum("n")
+    v = d.agg(F.percentile("age", F.lit(0.5), F.col("n")).alias("median_age"), F.max("age").alias("max_age"), r6(old).alias("over_a_year"), *[r6(F.percentile("age", F.lit(p), F.col("n"))).alias(k) for k, p in _AGE.items()])
+    return C.report(v, {"median_age": ("staleness", None, 120), "max_age": ("staleness", None, 400), "over_a_year": ("staleness", None, 0.1)} | {k: ("staleness", None, None) for k in _AGE})
 
 
 @query("check_percentiles", "bars", f"SELECT {', '.join(f'{q6(f'quantile_cont(closeadj, {p})')} AS p{round(p * 100):02d}' for p in (0.01, 0.25, 0.5, 0.75, 0.99))} FROM bars")
@@ -83,18 +57,27 @@ def check_duplicates(r):
     return C.duplicates(r.lines, ["ticker", "date"])
 
 
-@query("check_ranges", "vendor", _report([_row("range", c, f"SELECT {q6(f'avg(CASE WHEN {c} < {lo} OR {c} > {hi} THEN 1.0 ELSE 0.0 END)')} FROM vendor", 0, 0.1) for c, lo, hi in (("pe", 0, 18), ("pb", 0, 3.5))]))
+_RANGES = {"pe": 500, "pb": 50, "pcf": 200, "evebitda": 100}
+_OUT = {k: f"avg(CASE WHEN {k} < 0 OR {k} > {hi} THEN 1.0 ELSE 0.0 END)" for k, hi in _RANGES.items()}
+
+
+@query("check_ranges", "bars art", f"WITH pit AS MATERIALIZED (SELECT b.ticker, b.date, {RATIO_COLUMNS} FROM bars b {_ASOF} {_PREV}) " + _report([_row("range", k, f"SELECT {q6(e)} FROM pit", 0, 0.05) for k, e in _OUT.items()]))
 def check_ranges(r):
-    out = {c: r6(C.share((F.col(c) < lo) | (F.col(c) > hi))).alias(c) for c, lo, hi in (("pe", 0, 18), ("pb", 0, 3.5))}
-    return C.report(r.vendor.agg(*out.values()), {c: ("range", 0, 0.1) for c in out})
+    d = FU.fundamental_pit(r.bars.select("ticker", "date", "closeadj"), r.art).select(*[r6(k).alias(k) for k in _RANGES])
+    return C.report(d.agg(*[r6(C.share((F.col(k) < 0) | (F.col(k) > hi))).alias(k) for k, hi in _RANGES.items()]), {k: ("range", 0, 0.05) for k in _RANGES})
 
 
 _NULLS = ("marketcap", "pe", "pb")
 
 
-@query("check_null_rates", "vendor", " UNION ALL ".join(f"SELECT '{c}' AS subject, {q6(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} AS rate FROM vendor" for c in _NULLS))
+_PANEL = f"WITH pf AS MATERIALIZED ({PRICE_SQL}), pit AS MATERIALIZED (SELECT b.ticker, b.date, {RATIO_COLUMNS} FROM bars b {_ASOF} {_PREV}), panel AS MATERIALIZED (SELECT * FROM pf JOIN pit USING (ticker, date))"
+NUMERIC = (*PR.FEATURES, *FU.RATIOS)
+
+
+@query("check_null_rates", "bars art", f"{_PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS subject, {q6(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} AS rate, coalesce(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) > 0.8, false) AS sparse FROM panel" for c in NUMERIC))
 def check_null_rates(r):
-    return C.null_rates(r.vendor, list(_NULLS)).withColumn("rate", r6("rate"))
+    d = PR.price_features(r.bars).select("ticker", "date", *PR.FEATURES).join(FU.fundamental_pit(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", *FU.RATIOS), ["ticker", "date"])
+    return C.null_rates(d, list(NUMERIC)).select("subject", r6("rate").alias("rate"), (F.col("rate") > 0.8).alias("sparse"))
 
 
 @query("check_null_by_year", "vendor", f"SELECT year(date) AS year, {q6('avg(CASE WHEN pe IS NULL THEN 1.0 ELSE 0.0 END)')} AS pe_null FROM vendor GROUP BY 1")
@@ -117,9 +100,15 @@ def check_cross_feature_corr(r):
     return r.vendor.agg(r6(F.corr("pe", "pb")).alias("pe_pb"))
 
 
-@query("feature_corr_matrix", "bars", "SELECT " + ", ".join(f"{q6(f'corr({a}, {b})')} AS {a}_{b}" for a, b in (("high", "low"), ("high", "closeadj"), ("volume", "closeadj"))) + " FROM bars")
+_PAIRS = [(a, b) for k, a in enumerate(PR.FEATURES) for b in PR.FEATURES[k + 1 :]]
+
+
+@query("feature_corr_matrix", "bars", f"WITH pf AS MATERIALIZED ({PRICE_SQL}), c AS (SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a, b in _PAIRS) + " FROM pf) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN isfinite({a}__{b}) THEN {q6(f'{a}__{b}')} END AS corr FROM c" for a, b in _PAIRS))
 def feature_corr_matrix(r):
-    return r.bars.agg(*[r6(F.corr(a, b)).alias(f"{a}_{b}") for a, b in (("high", "low"), ("high", "closeadj"), ("volume", "closeadj"))])
+    """Every pair of price features, over the rows where both are known, in one pass."""
+    d = PR.price_features(r.bars).select(*[r6(c).alias(c) for c in PR.FEATURES]).agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in _PAIRS])
+    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(f"{a}__{b}"), r6(f"{a}__{b}")).alias("corr")) for a, b in _PAIRS])
+    return d.select(F.explode(cells).alias("x")).select("x.*")
 
 
 @query("feature_describe", "bars", f"SELECT count(closeadj) AS n, min(closeadj) AS lo, max(closeadj) AS hi, {q6('avg(closeadj)')} AS mean, {q6('stddev_samp(closeadj)')} AS std, {q6('quantile_cont(closeadj, 0.5)')} AS median FROM bars")
@@ -145,14 +134,26 @@ def check_warmup(r):
     return d.groupBy("ticker").agg(F.count_if((F.col("k") <= 252) & F.col("ret_12m").isNotNull()).alias("early"), F.count_if((F.col("k") > 252) & F.col("ret_12m").isNull()).alias("missing"))
 
 
-@query("check_key_parity", "bars vendor", "SELECT ticker, date, 'left' AS side FROM (SELECT ticker, date FROM bars EXCEPT SELECT ticker, date FROM vendor WHERE ticker % 50 <> 7) UNION ALL SELECT ticker, date, 'right' FROM (SELECT ticker, date FROM vendor WHERE ticker % 50 <> 7 EXCEPT SELECT ticker, date FROM bars)")
+@query("check_key_parity", "bars instruments actions", f"WITH {CORE} SELECT ticker, date, 'left' AS side FROM (SELECT ticker, date FROM bars EXCEPT SELECT ticker, date FROM core) UNION ALL SELECT ticker, date, 'right' FROM (SELECT ticker, date FROM core EXCEPT SELECT ticker, date FROM bars)")
 def check_key_parity(r):
-    return C.parity(r.bars, r.vendor.where("ticker % 50 <> 7"), ["ticker", "date"])
+    """Keys of the bars that the universe lacks, and the other way round."""
+    core = U.core(r.bars, r.instruments, U.removals(U.terminal_events(U.clean_actions(r.actions))))
+    return C.parity(r.bars, core, ["ticker", "date"])
+
+
+_DAYS = "SELECT DISTINCT date FROM "
 
 
-@query("check_calendar", "bars", "SELECT date, isodow(date) AS weekday, count(*) AS n FROM bars WHERE isodow(date) > 5 GROUP BY date")
+@query("check_calendar", "bars instruments actions series", f"WITH {CORE}, m AS ({_DAYS}series), u AS ({_DAYS}core) " + _report([_row("calendar", "weekend_dates", "SELECT count(*) FROM u WHERE isodow(date) > 5", 0, 0), _row("calendar", "universe_without_macro", "SELECT count(*) FROM (FROM u EXCEPT FROM m)", 0, 0), _row("calendar", "macro_without_universe", "SELECT count(*) FROM (FROM m EXCEPT FROM u)", 0, 0), _row("calendar", "difference_in_dates", "SELECT (SELECT count(*) FROM u) - (SELECT count(*) FROM m)", 0, 0)]))
 def check_calendar(r):
-    return r.bars.where(F.weekday("date") >= 5).groupBy("date").agg((F.weekday(F.first("date")) + 1).cast("long").alias("weekday"), F.count(F.lit(1)).alias("n"))
+    """Weekend dates, and dates that only the universe or only the macro series have."""
+    core = U.core(r.bars, r.instruments, U.removals(U.terminal_events(U.clean_actions(r.actions))))
+    d = core.select("date").distinct().withColumn("u", F.lit(1)).join(r.series.select("date").distinct().withColumn("m", F.lit(1)), "date", "full")
+    v = d.agg(
+        F.count_if(F.col("u").isNotNull() & (F.weekday("date") >= 5)).alias("weekend_dates"), F.count_if(F.col("m").isNull()).alias("universe_without_macro"),
+        F.count_if(F.col("u").isNull()).alias("macro_without_universe"), (F.count("u") - F.count("m")).alias("difference_in_dates"),
+    )
+    return C.report(v, {c: ("calendar", 0, 0) for c in v.columns})
 
 
 @query("check_extreme_returns", "bars", f"SELECT ticker, date, ret FROM (SELECT ticker, date, {q6('closeadj / lag(closeadj, 252) OVER (PARTITION BY ticker ORDER BY date) - 1')} AS ret FROM bars) WHERE ret IS NOT NULL ORDER BY ret DESC, ticker, date LIMIT 10")
@@ -160,10 +161,19 @@ def check_extreme_returns(r):
     return PR.with_returns(r.bars).select("ticker", "date", r6("ret_12m").alias("ret")).where("ret is not null").orderBy(F.desc("ret"), "ticker", "date").limit(10)
 
 
-@query("check_label_rate", "bars actions", f"WITH clean AS ({CLEAN}) SELECT {q6('avg(CASE WHEN d THEN 1.0 ELSE 0.0 END)')} AS rate FROM (SELECT b.ticker IN (SELECT ticker FROM clean WHERE action = 'delisted') AS d FROM bars b)")
+@query("check_split_extremes", "bars splits", f"WITH p AS ({PRICE_SQL}) SELECT p.ticker, p.date, p.ret_12m, s.value, abs(p.ret_12m + 1 - s.value) < 0.5 AS near FROM p JOIN splits s ON p.ticker = s.ticker AND p.date = s.date WHERE p.ret_12m > 5")
+def check_split_extremes(r):
+    """Returns of over 500 % on the date of a split, and whether they are near its ratio."""
+    d = PR.with_returns(r.bars).select("ticker", "date", r6("ret_12m").alias("ret_12m")).where("ret_12m > 5").join(r.splits, ["ticker", "date"])
+    return d.select("ticker", "date", "ret_12m", "value", (F.abs(F.col("ret_12m") + 1 - F.col("value")) < 0.5).alias("near"))
+
+
+@query("check_label_rate", "bars actions", f"WITH {TERMINAL}{LABELS} " + _report([_row("labels", "delisted_63td", "SELECT " + q6("avg(CASE WHEN fwd_delisted_63td THEN 1.0 WHEN NOT fwd_delisted_63td THEN 0.0 END)") + " FROM labels", 0.02, 0.05)]))
 def check_label_rate(r):
-    gone = U.clean_actions(r.actions).where("action = 'delisted'").select("ticker").distinct().withColumn("d", F.lit(True))
-    return r.bars.join(gone, "ticker", "left").agg(r6(C.share(F.col("d"))).alias("rate"))
+    """The mean of the label, over the rows that have one."""
+    flag = F.col("fwd_delisted_63td")
+    d = U.forward_labels(r.bars, U.terminal_events(U.clean_actions(r.actions)), (63,)).agg(r6(F.avg(F.when(flag, 1.0).when(~flag, 0.0))).alias("delisted_63td"))
+    return C.report(d, {"delisted_63td": ("labels", 0.02, 0.05)})
 
 
 @query("check_median_bands", "bars", f"WITH p AS ({PRICE_SQL}) " + _report([_row("median", "vol_20d", f"SELECT {q6('median(vol_20d)')} FROM p", 0.1, 0.8), _row("median", "atr_14d", f"SELECT {q6('median(atr_14d)')} FROM p", None, 0.1)]))

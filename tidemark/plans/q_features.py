@@ -123,22 +123,10 @@ def macro_yoy_real_rate(r):
 _BT = ", ".join(f"{q6(f'closeadj / nullif(lag(closeadj, {n}) OVER (ORDER BY date), 0) - 1')} AS ret_{k}" for k, n in (("1m", 21), ("3m", 63), ("6m", 126), ("12m", 252)))
 
 
-@query("benchmark_trend", "benchmark_bars", f"SELECT date, CASE WHEN closeadj > avg(closeadj) OVER (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) THEN 1.0 ELSE 0.0 END::DOUBLE AS regime_ma, {_BT} FROM benchmark_bars")
+@query("benchmark_trend", "benchmark_bars", f"SELECT date, CASE WHEN closeadj > avg(closeadj) OVER (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) THEN 1.0 ELSE 0.0 END::DOUBLE AS above_ma200, {_BT} FROM benchmark_bars")
 def benchmark_trend(r):
     d = S.benchmark_trend(r.benchmark_bars.withColumn("ticker", F.lit("market")))
-    return d.select("date", "regime_ma", *[r6(f"ret_{k}").alias(f"ret_{k}") for k in ("1m", "3m", "6m", "12m")])
-
-
-@query("macro_features", "bars vintages series benchmark_bars", f"""WITH {_VINTAGE}, m AS (SELECT k.date, v.value AS nfci FROM known k ASOF LEFT JOIN v ON k.vintage = v.vintage_date AND k.date >= v.observation_date),
-x AS (SELECT d.date, s.value AS vix FROM d ASOF LEFT JOIN series s ON d.date >= s.date)
-SELECT x.date, vix, {q6('vix - lag(vix, 20) OVER (ORDER BY x.date)')} AS vix_change_20d, nfci, CASE WHEN b.closeadj > avg(b.closeadj) OVER (ORDER BY x.date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) THEN 1.0 ELSE 0.0 END::DOUBLE AS spy_regime_ma
-FROM x JOIN m ON x.date = m.date JOIN benchmark_bars b ON x.date = b.date""")
-def macro_features(r):
-    days = r.bars.select("date").distinct()
-    vix = S.with_change(S.carried(days.withColumn("series", F.lit("vix")), r.series.withColumn("series", F.lit("vix"))), 20, "c")
-    trend = S.benchmark_trend(r.benchmark_bars.withColumn("ticker", F.lit("market"))).select("date", F.col("regime_ma").alias("spy_regime_ma"))
-    d = vix.select("date", F.col("value").alias("vix"), r6("c").alias("vix_change_20d"))
-    return d.join(S.vintage_asof(days, r.vintages).select("date", F.col("value").alias("nfci")), "date").join(trend, "date")
+    return d.select("date", "above_ma200", *[r6(f"ret_{k}").alias(f"ret_{k}") for k in ("1m", "3m", "6m", "12m")])
 
 
 # --- holdings
@@ -205,7 +193,7 @@ FROM bars b JOIN instruments i ON b.ticker = i.ticker LEFT JOIN vendor v ON b.ti
 
 def panel(r):
     d = PR.with_returns(r.bars).withColumn("ret_1m", r6("ret_1m")).select("ticker", "date", "ret_1m")
-    return d.join(F.broadcast(r.instruments.select("ticker", "sector")), "ticker").join(r.vendor.select("ticker", "date", "pe", "marketcap"), ["ticker", "date"], "left")
+    return d.join(r.instruments.select("ticker", "sector"), "ticker").join(r.vendor.select("ticker", "date", "pe", "marketcap"), ["ticker", "date"], "left")
 
 
 @query("peer_medians", "bars instruments vendor", f"WITH {PANEL} SELECT date, sector, count(*) AS peers, {q6('median(pe)')} AS pe_median, {q6('median(ret_1m)')} AS ret_1m_median FROM panel GROUP BY date, sector HAVING count(*) >= 5")
@@ -226,17 +214,6 @@ def peer_avg_rank(r):
     return P.with_average_rank(panel(r), ["date", "sector"], "pe", "x").select("ticker", "date", r6("x").alias("pe_rank"))
 
 
-SECTOR = f"""m AS (SELECT date, sector, median(pe) AS pm, median(marketcap) AS mm, median(ret_1m) AS rm FROM panel GROUP BY date, sector HAVING count(*) >= 5),
-relative AS (SELECT p.ticker, p.date, {q6('CASE WHEN pm > 0 THEN pe / pm END')} AS pe_vs_peers, {q6('CASE WHEN mm > 0 THEN marketcap / mm END')} AS marketcap_vs_peers, {q6('ret_1m - rm')} AS ret_1m_minus_peers, {q6('percent_rank() OVER (PARTITION BY p.date, p.sector ORDER BY pe ASC NULLS LAST)')} AS pe_peer_rank
-FROM panel p LEFT JOIN m ON p.date = m.date AND p.sector = m.sector)"""
-RELATIVE = ("pe_vs_peers", "marketcap_vs_peers", "ret_1m_minus_peers", "pe_peer_rank")
-
-
-@query("sector_relative", "bars instruments vendor", f"WITH {PANEL}, {SECTOR} SELECT * FROM relative")
-def sector_relative(r):
-    return P.relative(panel(r), ["date", "sector"], ["pe", "marketcap"], ["ret_1m"], "pe").select("ticker", "date", *[r6(c).alias(c) for c in RELATIVE])
-
-
 @query("peer_relative_current", "bars instruments vendor", f"WITH {PANEL}, last AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1), m AS (SELECT sector, median(pe) AS pm FROM last GROUP BY sector HAVING count(*) >= 5) SELECT l.ticker, {q6('pe / nullif(pm, 0)')} AS pe_vs_peers FROM last l LEFT JOIN m ON l.sector = m.sector")
 def peer_relative_current(r):
     d = panel(r).groupBy("ticker").agg(F.max_by(F.struct("sector", "pe"), "date").alias("x")).select("ticker", "x.*")

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import q6, r6
+from ..functions.columns import q6, r6, size_tier
 from ..operators import checks as C
 from ..operators import fundamentals as FU
 from ..operators import holdings as H
@@ -15,7 +15,7 @@ from ..operators.asof import asof_join
 from ..registry import query
 from .q_buckets import N, PERF_COLUMNS, ROLES, _P, assigned, panel  # noqa: F401
 from .q_checks import _report, _row
-from .q_features import _ASOF, INSIDER
+from .q_features import _ASOF, _PREV, INSIDER, RATIO_COLUMNS
 from .q_prices import PRICE_SQL
 from .q_quality import YEARS, _fixed, log_sql
 from .q_universe import CLEAN, CORE, LABELS, TERMINAL
@@ -36,7 +36,7 @@ def month_end_panel(r):
 @query("current_snapshot", "bars instruments art", f"WITH p AS (SELECT * FROM ({PRICE_SQL}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1), b AS (SELECT p.*, i.sector FROM p JOIN instruments i ON p.ticker = i.ticker WHERE upper(coalesce(isdelisted, 'N')) = 'N') SELECT b.ticker, b.date, b.sector, b.ret_12m, b.vol_20d, f.datekey, f.equity FROM b {_ASOF}")
 def current_snapshot(r):
     last = PR.price_features(r.bars).withColumn("_n", F.lead("date").over(PR.W())).where("_n is null").select("ticker", "date", r6("ret_12m").alias("ret_12m"), r6("vol_20d").alias("vol_20d"))
-    d = last.join(F.broadcast(U.listed(r.instruments).select("ticker", "sector")), "ticker")
+    d = last.join(U.listed(r.instruments).select("ticker", "sector"), "ticker")
     d = FU.with_latest(d, r.art, "art_", ["equity"])
     return d.select("ticker", "date", "sector", "ret_12m", "vol_20d", F.col("art_datekey").alias("datekey"), F.col("art_equity").alias("equity"))
 
@@ -105,10 +105,15 @@ def check_period_spike(r):
     return r.series.agg(r6(a / b).alias("ratio"), (a > 2 * b).alias("spike"))
 
 
-@query("check_insider_by_tier", "bars insider instruments", f"WITH i AS ({INSIDER}) SELECT sector, {q6('avg(CASE WHEN insider_buys > 0 THEN 1.0 ELSE 0.0 END)')} AS buy_share FROM i JOIN instruments n ON i.ticker = n.ticker GROUP BY sector")
+_TIER = "CASE WHEN marketcap IS NULL THEN NULL WHEN marketcap < 1e6 THEN 1 WHEN marketcap < 3e6 THEN 2 WHEN marketcap < 6e6 THEN 3 WHEN marketcap < 1e7 THEN 4 WHEN marketcap < 2e7 THEN 5 ELSE 6 END"
+
+
+@query("check_insider_by_tier", "bars insider vendor", f"WITH i AS ({INSIDER}) SELECT {_TIER} AS tier, {q6('avg(CASE WHEN insider_buys > 0 THEN 1.0 ELSE 0.0 END)')} AS buy_share, avg(CASE WHEN insider_buys > 0 THEN 1.0 ELSE 0.0 END) > 0.01 AS active FROM i LEFT JOIN vendor v ON i.ticker = v.ticker AND i.date = v.date GROUP BY 1")
 def check_insider_by_tier(r):
-    d = H.insider_features(r.bars.select("ticker", "date"), r.insider).join(F.broadcast(r.instruments.select("ticker", "sector")), "ticker")
-    return d.groupBy("sector").agg(r6(C.share(F.col("insider_buys") > 0)).alias("buy_share"))
+    """The share of rows with purchases by size tier, and whether it is over 1 %."""
+    d = H.insider_features(r.bars.select("ticker", "date"), r.insider).join(r.vendor.select("ticker", "date", "marketcap"), ["ticker", "date"], "left")
+    share = C.share(F.col("insider_buys") > 0)
+    return d.groupBy(size_tier("marketcap", (1e6, 3e6, 6e6, 1e7, 2e7)).alias("tier")).agg(r6(share).alias("buy_share"), (share > 0.01).alias("active"))
 
 
 @query("check_delisted_sequence", "bars instruments actions", f"WITH {CORE} SELECT r.ticker, removed, count(*) FILTER (c.date < removed) AS before, count(*) FILTER (c.date >= removed) AS after FROM removed r LEFT JOIN core c ON r.ticker = c.ticker GROUP BY ALL")
@@ -118,11 +123,15 @@ def check_delisted_sequence(r):
     return gone.join(core, "ticker", "left").groupBy("ticker", "removed").agg(F.count_if(F.col("date") < F.col("removed")).alias("before"), F.count_if(F.col("date") >= F.col("removed")).alias("after"))
 
 
-@query("check_schema", "bars", "SELECT * FROM (VALUES ('closeadj', true), ('date', true), ('missing', false), ('ticker', true)) AS t(name, present) WHERE (SELECT count(*) FROM bars) > 0")
+_CONTRACT = {"ticker": "bigint", "date": "date", "high": "double", "low": "double", "volume": "double", "closeadj": "double", "open": "double"}
+
+
+@query("check_schema", "bars", "SELECT name, expected, CASE WHEN name <> 'open' THEN expected END AS found, CASE WHEN name = 'open' THEN 'FAIL' ELSE 'PASS' END AS status, (SELECT count(*) FROM bars) AS n FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _CONTRACT.items()) + ") AS t(name, expected)")
 def check_schema(r):
-    have = r.bars.columns
-    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(n in have).alias("present")) for n in ("closeadj", "date", "missing", "ticker")])
-    return r.bars.limit(1).select(F.explode(names).alias("x")).select("x.*")
+    """Columns and types of the bars against a contract, which asks for one column that they lack."""
+    have = dict(r.bars.dtypes)
+    cells = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("expected"), F.lit(have.get(k)).cast("string").alias("found"), F.lit("PASS" if have.get(k) == v else "FAIL").alias("status")) for k, v in _CONTRACT.items()])
+    return r.bars.agg(F.count(F.lit(1)).alias("n")).select(F.explode(cells).alias("x"), "n").select("x.*", "n")
 
 
 @query("check_contract", "bars vendor", _report([_row("contract", "rows", "SELECT (SELECT count(*) FROM bars) - (SELECT count(*) FROM vendor)", 0, 0), _row("contract", "years", "SELECT count(DISTINCT year(date)) FROM bars", 5, None)]))
@@ -131,20 +140,32 @@ def check_contract(r):
     return C.report(v.select((F.col("a") - F.col("b")).alias("rows"), "years"), {"rows": ("contract", 0, 0), "years": ("contract", 5, None)})
 
 
-@query("check_rederive", "bars", f"WITH p AS ({PRICE_SQL}), k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM bars) SELECT a.ticker, a.date, abs(p.ret_12m - (a.closeadj / b.closeadj - 1)) <= 0.000002 AS agrees FROM k a JOIN k b ON a.ticker = b.ticker AND a.k = b.k + 252 JOIN p ON p.ticker = a.ticker AND p.date = a.date WHERE a.ticker % 10 = 1")
+_MC = "CASE WHEN f.shareswa > 0 THEN a.closeadj * f.shareswa END"
+
+
+@query("check_rederive", "bars art", f"WITH pf AS MATERIALIZED ({PRICE_SQL}), k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM bars), pit AS (SELECT b.ticker, b.date, {RATIO_COLUMNS} FROM bars b {_ASOF} {_PREV}) "
+    f"SELECT a.ticker, a.date, abs(p.ret_12m - (a.closeadj / b.closeadj - 1)) <= 0.000002 AS ret_agrees, abs(t.pe - ({_MC}) / f.netinccmn) <= 0.05 * abs(t.pe) + 0.000002 AS pe_agrees FROM k a JOIN pf p ON p.ticker = a.ticker AND p.date = a.date JOIN pit t ON t.ticker = a.ticker AND t.date = a.date "
+    "LEFT JOIN k b ON a.ticker = b.ticker AND a.k = b.k + 252 LEFT JOIN (SELECT *, lead(datekey) OVER (PARTITION BY ticker ORDER BY datekey, reportperiod) AS until FROM art) f ON f.ticker = a.ticker AND f.datekey <= a.date AND (f.until IS NULL OR a.date < f.until)")
 def check_rederive(r):
-    k = r.bars.where("ticker % 10 = 1").withColumn("k", F.row_number().over(PR.W()))
+    """The 12-month return and the P/E of every row, worked out a second way: by row numbers, and by the days for which a filing is the latest."""
+    k = r.bars.withColumn("k", F.row_number().over(PR.W())).select("ticker", "date", "closeadj", "k")
     old = k.select("ticker", (F.col("k") + 252).alias("k"), F.col("closeadj").alias("before"))
+    until = F.lead("datekey").over(Window.partitionBy("ticker").orderBy("datekey", "reportperiod"))
+    f = r.art.select("ticker", "datekey", until.alias("until"), "shareswa", "netinccmn")
     p = PR.with_returns(r.bars).select("ticker", "date", "ret_12m")
-    d = k.join(old, ["ticker", "k"]).join(p, ["ticker", "date"])
-    return d.select("ticker", "date", (F.abs(F.col("ret_12m") - (F.col("closeadj") / F.col("before") - 1)) <= 0.000002).alias("agrees"))
+    pit = FU.fundamental_pit(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", r6("pe").alias("pe"))
+    a, b = k.join(old, ["ticker", "k"], "left").alias("a"), f.alias("f")
+    known = (F.col("a.ticker") == F.col("f.ticker")) & (F.col("f.datekey") <= F.col("a.date")) & (F.col("f.until").isNull() | (F.col("a.date") < F.col("f.until")))
+    d = a.join(b, known, "left").select("a.*", "shareswa", "netinccmn").join(p, ["ticker", "date"]).join(pit, ["ticker", "date"])
+    pe = F.try_divide(F.when(F.col("shareswa") > 0, F.col("closeadj") * F.col("shareswa")), "netinccmn")
+    return d.select("ticker", "date", (F.abs(F.col("ret_12m") - (F.try_divide("closeadj", "before") - 1)) <= 0.000002).alias("ret_agrees"), (F.abs(F.col("pe") - pe) <= 0.05 * F.abs("pe") + 0.000002).alias("pe_agrees"))
 
 
 @query("check_expected_values", "instruments", "SELECT e.ticker, i.exchange = e.exchange AS ok FROM (VALUES (8, 'NASDAQ'), (9, 'NYSEMKT'), (7, 'NYSE')) AS e(ticker, exchange) JOIN instruments i ON i.ticker = e.ticker")
 def check_expected_values(r):
     e = F.array(*[F.struct(F.lit(t).cast("long").alias("ticker"), F.lit(x).alias("expected")) for t, x in ((8, "NASDAQ"), (9, "NYSEMKT"), (7, "NYSE"))])
     want = r.spark.range(1).select(F.explode(e).alias("x")).select("x.*")
-    return r.instruments.join(F.broadcast(want), "ticker").select("ticker", (F.col("exchange") == F.col("expected")).alias("ok"))
+    return r.instruments.join(want, "ticker").select("ticker", (F.col("exchange") == F.col("expected")).alias("ok"))
 
 
 @query("check_labels", "bars actions", f"WITH {TERMINAL}{LABELS} SELECT ticker, count(*) FILTER (fwd_delisted_21td) AS flagged, ticker IN (SELECT ticker FROM terminal) AS ended FROM labels GROUP BY ticker")

@@ -115,15 +115,18 @@ def dilution_rate(r):
     return Q.dilution(_fixed(r)[0], KEYS).withColumn("dilution", r6("dilution"))
 
 
-METRICS = f"""SELECT s.ticker, s.vintage, {q6('a.r2')} AS ncfo_r2_5y, {q6('b.r2 * b.up - c.r2 * c.up')} AS r2_difference, {q6('e.g')} AS fcf_cagr_5y, {q6('o.slope')} AS roic_slope_3y, {q6('d.d')} AS dilution, {q6('q.n')} AS net_debt_slope_8q
-FROM spine s LEFT JOIN {log_sql('ncfo', 5)} a USING (ticker, vintage) LEFT JOIN {log_sql('ncfo', 10)} b USING (ticker, vintage) LEFT JOIN {log_sql('fcf', 10)} c USING (ticker, vintage) LEFT JOIN {cagr_sql('fcf', 5)} e USING (ticker, vintage)
-LEFT JOIN {_ROIC} o USING (ticker, vintage) LEFT JOIN {_DIL} d USING (ticker, vintage) LEFT JOIN {_QT} q USING (ticker, vintage)"""
+_R2 = {f"{c}{n}": log_sql(c, n) for c in ("ncfo", "fcf") for n in (5, 10)}
+_METRIC = {f"{c}_r2_{n}y": f"{c}{n}.r2" for c in ("ncfo", "fcf") for n in (5, 10)} | {f"{c}_positive_{n}y": f"{c}{n}.up" for c in ("ncfo", "fcf") for n in (5, 10)}
+_METRIC |= {f"{c}_r2_adjusted": f"{c}10.r2 * {c}10.up" for c in ("ncfo", "fcf")} | {"r2_difference": "ncfo10.r2 * ncfo10.up - fcf10.r2 * fcf10.up", "fcf_asinh_r2_10y": "h.r2"}
+_METRIC |= {"ncfo_cagr_5y": "g1.g", "fcf_cagr_5y": "g2.g", "roic": "o.roic", "roic_slope_3y": "o.slope", "grossmargin_slope_8q": "q.g", "net_debt_slope_8q": "q.n", "dilution": "d.d"}
+_SIDES = _R2 | {"h": _ASINH, "g1": cagr_sql("ncfo", 5), "g2": cagr_sql("fcf", 5), "o": _ROIC, "d": _DIL, "q": _QT}
+METRICS = f"SELECT s.ticker, s.vintage, {', '.join(f'{q6(e)} AS {k}' for k, e in _METRIC.items())} FROM spine s " + " ".join(f"LEFT JOIN {t} {k} USING (ticker, vintage)" for k, t in _SIDES.items())
+METRIC_COLUMNS = tuple(_METRIC)
 
 
 @query("quality_metrics", "arq ary", f"WITH {YEARS} {METRICS}")
 def quality_metrics(r):
-    names = ("ncfo_r2_5y", "r2_difference", "fcf_cagr_5y", "roic_slope_3y", "dilution", "net_debt_slope_8q")
-    return Q.quality_metrics(r.arq, r.ary).select(*KEYS, *[r6(c).alias(c) for c in names])
+    return Q.quality_metrics(r.arq, r.ary).select(*KEYS, *[r6(c).alias(c) for c in METRIC_COLUMNS])
 
 
 @query("asof_quality", "bars arq ary", f"WITH {YEARS}, d AS {_DIL} SELECT b.ticker, b.date, d.vintage, {q6('d.d')} AS dilution FROM bars b ASOF LEFT JOIN d ON b.ticker = d.ticker AND b.date >= d.vintage")

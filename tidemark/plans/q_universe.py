@@ -8,6 +8,7 @@ from ..functions.columns import q6, r6
 from ..operators import universe as U
 from ..operators.asof import next_event_within
 from ..registry import query
+from ..sources.inputs import optional_table
 
 CLEAN = "SELECT ticker, CAST(date AS DATE) AS date, lower(trim(action)) AS action, contraticker FROM actions"
 _REASONS = ", ".join(f"'{x}'" for x in U.REASONS)
@@ -120,9 +121,11 @@ def semi_grid(r):
     return r.bars.join(U.eligible(r.instruments), "ticker", "left_semi")
 
 
-@query("empty_relation", "bars", "SELECT ticker, date, closeadj FROM bars WHERE 1 = 0")
+@query("empty_relation", "bars", "SELECT ticker, date, closeadj, NULL::DOUBLE AS override, closeadj AS used FROM bars")
 def empty_relation(r):
-    return r.bars.where("false").select("ticker", "date", "closeadj")
+    """Bars with the prices of a table of corrections, which is absent here and so is a typed empty one."""
+    own = optional_table(r.spark, f"{r.sf_dir}/corrections.parquet", "ticker long, date date, override double")
+    return r.bars.join(own, ["ticker", "date"], "left").select("ticker", "date", "closeadj", "override", F.coalesce("override", "closeadj").alias("used"))
 
 
 # --- events

@@ -6,6 +6,8 @@ start from equal inputs. Money goes through whole cents, so sums do not depend o
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -75,6 +77,11 @@ SELECT ticker, last_day(CAST(CAST(date_trunc('quarter', date) AS DATE) + INTERVA
 FROM lines JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"""),
     "series": ((), """
 SELECT CAST(o_orderdate AS DATE) AS date, floor((CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 1000000) * 1e6 + 0.501) / 1e6 AS value FROM orders GROUP BY 1"""),
+    "rates": ((), """
+SELECT date, series, value - CASE WHEN series = 'yield_curve' THEN 1.5 ELSE 0 END AS value FROM (
+  SELECT CAST(o_orderdate AS DATE) AS date, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'yield_curve' WHEN '2' THEN 'hy_spread' WHEN '3' THEN 'ig_spread' WHEN '4' THEN 'fed_funds' ELSE 'dgs10' END AS series,
+    floor((CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 10000000) * 1e6 + 0.501) / 1e6 AS value FROM orders GROUP BY 1, 2) x"""),
+    "splits": (("marked",), "SELECT DISTINCT ticker, date, CAST(2 + l_orderkey % 9 AS DOUBLE) AS value FROM marked WHERE p = '3'"),
     "vintages": (("series",), """
 SELECT observation_date, CAST(observation_date + 15 AS DATE) AS vintage_date, value FROM (SELECT last_day(date) AS observation_date, floor((sum(value) / count(*)) * 1e6 + 0.501) / 1e6 AS value FROM series GROUP BY 1)
 UNION ALL SELECT observation_date, CAST(observation_date + 45 AS DATE), floor((value * 1.01) * 1e6 + 0.501) / 1e6 FROM (SELECT last_day(date) AS observation_date, floor((sum(value) / count(*)) * 1e6 + 0.501) / 1e6 AS value FROM series GROUP BY 1)"""),
@@ -113,7 +120,6 @@ class Roles:
             reads, text = ROLES[name]
             frames = {r: getattr(self, r) for r in reads}
             frames |= {t: self.table(t) for t in TABLES if f" {t} " in f" {text} ".replace("\n", " ")}
-            for k, df in frames.items():
-                df.createOrReplaceTempView(k)
-            self._found[name] = self.spark.sql(text)
+            named = re.sub(rf"\b(FROM|JOIN)\s+({'|'.join(frames)})\b", r"\1 {\2}", text)
+            self._found[name] = self.spark.sql(named, **frames)  # no view is left in the caller's session
         return self._found[name]
