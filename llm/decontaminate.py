@@ -15,8 +15,9 @@ of ASCII punctuation at their ends.
 Only items are broadcast, in blocks of at most ``ITEMS_AT_ONCE`` items and ``BLOCK_BYTES`` of text;
 a larger benchmark is a sequence of such blocks, each against all documents. Documents stay
 where they are: there is no shuffle of text. Null or empty texts and items match nothing; repeated
-rows are each reported; documents with a null id are matched too. Items shorter than
-``MIN_ITEM_WORDS`` words are left out, since chance would match them.
+rows are each reported; documents with a null id are matched too. Items shorter than ``MIN_ITEM_WORDS`` words
+are too short for scores: those of at least ``GRAM`` words are found where a text has all their words in a
+row, shorter ones only where they are the whole text (score and overlaps are then 1).
 """
 
 from __future__ import annotations
@@ -143,6 +144,31 @@ def build_index(items: list[tuple[int, str]], document_frequency: dict[int, int]
     )
 
 
+@dataclass
+class Short:
+    """Items too short for scores: the hash of the whole word sequence, by its length."""
+
+    by_length: dict[int, tuple[np.ndarray, np.ndarray]]  # sorted hashes, their items
+
+    @staticmethod
+    def of(items: list[tuple[int, np.ndarray]]) -> Short:
+        found: dict[int, list[tuple[int, int]]] = {}
+        for i, h in items:
+            found.setdefault(len(h), []).append((int(_grams(h, len(h))[0]), i))
+        return Short({k: (np.array([h for h, _ in sorted(v)], np.uint64), np.array([i for _, i in sorted(v)], np.int64)) for k, v in found.items()})
+
+    def found(self, h: np.ndarray, row: np.ndarray, rows: int) -> Iterator[tuple[int, int]]:
+        """(row, item) of the items that the words of ``rows`` texts hold."""
+        counts = np.bincount(row, minlength=rows)
+        for k, (hashes, items) in self.by_length.items():
+            gram, at = words.shingles(h, row, rows, k)
+            some = counts[at] >= k if k >= GRAM else counts[at] == k
+            gram, at = gram[some], at[some]
+            lo, hi = np.searchsorted(hashes, gram, "left"), np.searchsorted(hashes, gram, "right")
+            hit = np.flatnonzero(hi > lo)
+            yield from sorted({(int(at[x]), int(i)) for x in hit for i in items[lo[x] : hi[x]]})
+
+
 def _item_words(text: str) -> np.ndarray:
     raw = np.frombuffer(pc.utf8_lower(text or "").as_py().encode(), np.uint8)
     return _words(raw, np.array([0, len(raw)]))[0]
@@ -197,12 +223,17 @@ def _retrieve(h: np.ndarray, row: np.ndarray, x: Index) -> tuple[np.ndarray, np.
     return first[p], last[p], item, score[hit]
 
 
-def _found(text: pa.Array, x: Index) -> tuple[list, ...]:
+def _found(text: pa.Array, x: Index | Short) -> tuple[list, ...]:
     """(row, item id, score, question overlap, answer overlap) lists of the items that a batch of texts holds."""
     raw, off = words.text_bytes(pc.utf8_lower(text))
     found: tuple[list, ...] = ([], [], [], [], [])
     for i, j in words.pieces(off):
         h, row = _words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+        if isinstance(x, Short):
+            for d, it in x.found(h, row, j - i):
+                for out, v in zip(found, (i + d, it, 1.0, 1.0, 1.0), strict=True):
+                    out.append(v)
+            continue
         first, last, item, score = _retrieve(h, row, x)
         if not len(first):
             continue
@@ -221,21 +252,22 @@ def _found(text: pa.Array, x: Index) -> tuple[list, ...]:
     return found
 
 
-def _match(batches: Iterator[pa.RecordBatch], x: Index) -> Iterator[pa.RecordBatch]:
+def _match(batches: Iterator[pa.RecordBatch], x: Index | Short) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows, items, *numbers = _found(b.column("text"), x)
         yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(items, pa.int64()), *[pa.array(v, pa.float64()) for v in numbers]], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
 
-def _clean(batches: Iterator[pa.RecordBatch], x: Index) -> Iterator[pa.RecordBatch]:
+def _clean(batches: Iterator[pa.RecordBatch], x: Index | Short) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = np.ones(len(b), bool)
         keep[_found(b.column("text"), x)[0]] = False
         yield b.filter(pa.array(keep))
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """The index of each block of items; document frequencies and mean length are over all items."""
+def indexes(items: DataFrame) -> list[Index | Short]:
+    """The index of each block of items; document frequencies and mean length are over all items long enough for scores."""
+    short: list[tuple[int, np.ndarray]] = []
     frequency: dict[int, int] = {}
     n_items, n_words = 0, 0
     blocks: list[list[tuple[int, str]]] = [[]]
@@ -243,6 +275,8 @@ def indexes(items: DataFrame) -> list[Index]:
     for r in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         h = _item_words(r["text"])
         if len(h) < MIN_ITEM_WORDS:
+            if len(h):
+                short.append((r["item_id"], h))
             continue
         n_items, n_words = n_items + 1, n_words + len(h)
         for t in np.unique(h).tolist():
@@ -252,7 +286,7 @@ def indexes(items: DataFrame) -> list[Index]:
             size = 0
         blocks[-1].append((r["item_id"], r["text"]))
         size += len(r["text"])
-    return [build_index(b, frequency, n_items, n_words / n_items) for b in blocks if b]
+    return [build_index(b, frequency, n_items, n_words / n_items) for b in blocks if b] + ([Short.of(short)] if short else [])
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -192,7 +192,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
     """(label, text) of at most ``most`` labelled documents, chosen by a hash of the id; the label rows (16 bytes each) are broadcast."""
     some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label"))
     some = some.orderBy(F.xxhash64("_id"), "_id", "label").limit(most)
-    return docs.join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("label", "text")
+    return docs.select("doc_id", "text").join(F.broadcast(some), F.col("doc_id") == F.col("_id")).select("label", "text")
 
 
 def train(rows: DataFrame) -> Gam:
