@@ -61,7 +61,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("decontaminate", decontaminate),
     ("bpe", bpe),
 ]
-#: Set-similarity joins, a trained classifier and BPE have no SQL form; tests hold the stages against brute force.
+#: Set-similarity joins, a trained classifier and BPE have no SQL form; their operators are tested against brute force, the stages on small tables.
 ORACLE_SQL = None
 
 
