@@ -5,6 +5,9 @@ The kernel of two words counts the four-character subsequences they share, each
 first. (A character beyond ASCII counts by its last bytes.) A word with inserted or left-out characters so stays close to the word it disguises. Its
 subsequences are hashed into a fixed table, so kernel values are sparse dot products.
 
+Letters that stand alone with single blanks between them are joined before scoring, so that a
+spelled-out insult is one word. Insults broken into longer parts ("st upid") are not seen as one.
+
 Training words come from the sentences of labelled texts: words that are much more frequent in toxic
 texts than in clean ones against words that are not. Landmarks span the Nyström feature space
 in which a linear machine with squared hinge loss is fitted. Because the kernel is a dot product of
@@ -79,6 +82,16 @@ def _compact(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return raw[keep], np.concatenate([[0], np.cumsum(keep)])[off]
 
 
+def _joined(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The text without the single blanks between words of one letter, so that "i d i o t" is one word."""
+    s, e, row = words.word_spans(raw, off)
+    letter = (e - s == 1) & ((raw[s] >= 0x80) | ((raw[s] | 0x20) - np.uint8(97) < 26))
+    gap = letter[:-1] & letter[1:] & (row[:-1] == row[1:]) & (s[1:] - e[:-1] == 1)
+    keep = np.ones(len(raw), bool)
+    keep[e[:-1][gap]] = False
+    return raw[keep], np.concatenate([[0], np.cumsum(keep)])[off]
+
+
 def maps(vocabulary: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(subsequence numbers, weights) of each word, of unit length."""
     out = []
@@ -108,7 +121,7 @@ class Svm:
         raw, off = words.text_bytes(col)
         out = np.zeros((len(col), 3))
         for i, j in words.pieces(off):
-            part, po = _compact(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+            part, po = _joined(*_compact(raw[off[i] : off[j]], off[i : j + 1] - off[i]))
             s, e, row = words.word_spans(part, po)
             if not len(s):
                 continue
