@@ -12,7 +12,7 @@ sequences found there, for the question (all sentences but the last; where eithe
 be under 8 words, the first three quarters of the words) and the answer (the rest) apart. Words are lower-cased and stripped
 of ASCII punctuation at their ends.
 
-Only items are broadcast, in blocks of at most ``ITEMS_AT_ONCE`` items and ``BLOCK_BYTES`` of text;
+Only items are broadcast, in blocks of about ``ITEMS_AT_ONCE`` items and ``BLOCK_BYTES`` of text at most;
 a larger benchmark is a sequence of such blocks, each against all documents. Documents stay
 where they are: there is no shuffle of text. Null or empty texts and items match nothing; repeated
 rows are each reported; documents with a null id are matched too. Items shorter than ``MIN_ITEM_WORDS`` words
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
-from .tables import read
+from .tables import read, stash
 
 ITEMS_AT_ONCE = 20_000
 BLOCK_BYTES = 16 << 20
@@ -265,28 +265,39 @@ def _clean(batches: Iterator[pa.RecordBatch], x: Index | Short) -> Iterator[pa.R
         yield b.filter(pa.array(keep))
 
 
-def indexes(items: DataFrame) -> list[Index | Short]:
-    """The index of each block of items; document frequencies and mean length are over all items long enough for scores."""
-    short: list[tuple[int, np.ndarray]] = []
-    frequency: dict[int, int] = {}
-    n_items, n_words = 0, 0
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for r in items.where("item_id is not null and text is not null").select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        h = _item_words(r["text"])
-        if len(h) < MIN_ITEM_WORDS:
-            if len(h):
-                short.append((r["item_id"], h))
-            continue
-        n_items, n_words = n_items + 1, n_words + len(h)
-        for t in np.unique(h).tolist():
-            frequency[t] = frequency.get(t, 0) + 1
-        if len(blocks[-1]) >= ITEMS_AT_ONCE or size > BLOCK_BYTES:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    return [build_index(b, frequency, n_items, n_words / n_items) for b in blocks if b] + ([Short.of(short)] if short else [])
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        raw, off = words.text_bytes(pc.utf8_lower(b.column("text")))
+        h, row = _words(raw, off)
+        at = pa.array(np.searchsorted(row, np.arange(len(off))), pa.int32())
+        yield pa.RecordBatch.from_arrays([*map(b.column, ("k", "item_id", "text")), pa.ListArray.from_arrays(at, pa.array(h.view(np.int64)))], names=["k", "item_id", "text", "h"])
+
+
+def _in_blocks(items: DataFrame, blocks: int) -> Iterator[DataFrame]:
+    """``items`` dealt evenly, copies too, by their row number."""
+    for b in range(blocks):
+        yield items.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
+
+
+def indexes(items: DataFrame) -> Iterator[Index | Short]:
+    """The index of each block of items, one at a time. Spark counts document frequencies and the mean length over all items
+    long enough for scores; the driver receives one block's items and the frequencies of its terms."""
+    rows = items.where("item_id is not null and text is not null").select(F.monotonically_increasing_id().alias("k"), F.col("item_id").cast("long").alias("item_id"), "text")
+    rows = stash(rows.mapInArrow(_hashed, "k long, item_id long, text string, h array<long>")).withColumn("n", F.size("h"))
+    full, short = rows.where(F.col("n") >= MIN_ITEM_WORDS), rows.where((F.col("n") > 0) & (F.col("n") < MIN_ITEM_WORDS))
+    n_items, n_words, size = full.agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n_items:
+        frequency = stash(full.select(F.explode(F.array_distinct("h")).alias("t")).groupBy("t").count())
+        for block in _in_blocks(full, max(-(-n_items // ITEMS_AT_ONCE), -(-size // BLOCK_BYTES))):
+            own = frequency.join(block.select(F.explode("h").alias("t")).distinct(), "t", "left_semi").toArrow()
+            counts = dict(zip(own.column("t").to_numpy().view(np.uint64).tolist(), own.column("count").to_pylist(), strict=True))
+            found = sorted((r["item_id"], r["text"]) for r in block.select("item_id", "text").collect())
+            if found:
+                yield build_index(found, counts, n_items, n_words / n_items)
+    for block in _in_blocks(short, -(-short.count() // ITEMS_AT_ONCE)):
+        found = [(r["item_id"], np.array(r["h"], np.int64).view(np.uint64)) for r in block.select("item_id", "h").collect()]
+        if found:
+            yield Short.of(found)
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

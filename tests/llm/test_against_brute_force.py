@@ -5,12 +5,13 @@ import string
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from llm import decontaminate as D
-from llm import language_id, line_dedup, near_duplicates, quality_gam, registry, toxicity
+from llm import language_id, line_dedup, near_duplicates, quality_gam, registry, toxicity, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -136,3 +137,24 @@ def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
             assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == list(corpus_pipeline.COLUMNS)
             docs = corpus_pipeline.stash(docs)
         assert sorted((r["doc_id"] for r in docs.collect()), key=str) == sorted(ids, key=str)
+
+
+def test_items_in_several_blocks_are_found_alike(spark, monkeypatch):
+    rows = [(i, " ".join(f"{c}{i % 5}x{k}" for k in range(20) for c in "ab")) for i in range(12)] + [(3, "zero one two"), (3, "zero one two"), (None, "x"), (4, None), (20, "p q r s t")]
+    items = spark.createDataFrame(rows, "item_id int, text string")
+    texts = [t for _, t in rows if t] + ["before " + rows[2][1] + " after", "nothing of it", "here p q r s t there", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def found():
+        return sorted((r["doc_id"], r["item_id"], round(r["score"], 4)) for r in D.contaminated(docs, items).collect())
+
+    whole = found()
+    assert {(0, 0), (0, 5), (0, 10), (12, 3), (16, 2), (15, 20), (18, 20)} <= {(d, i) for d, i, _ in whole} and not {14, 17, 19} & {d for d, _, _ in whole}
+    monkeypatch.setattr(D, "ITEMS_AT_ONCE", 4)
+    assert found() == whole
+
+
+def test_letters_that_stand_alone_are_one_word():
+    raw, off = words.text_bytes(pa.array(["an i d i o t, no", "a", "", "b", "x 1 y z"]))
+    joined, at = toxicity._joined(raw, off)
+    assert [bytes(joined[a:b]).decode() for a, b in zip(at[:-1], at[1:], strict=True)] == ["an idio t, no", "a", "", "b", "x 1 yz"]
