@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import r_squared
+from ..functions.columns import r_squared, ratio
 
 
 def vintages(*filings: DataFrame) -> DataFrame:
@@ -45,90 +45,116 @@ def annual_from_quarters(known: DataFrame, without: DataFrame | None = None) ->
     return y.where("q >= 3").drop("q")
 
 
-def _position(d: DataFrame, over: list[str], order: str, where: Column, name: str) -> DataFrame:
-    """The 0-based place among the rows that pass ``where``, null for others."""
-    w = Window.partitionBy(*over, where).orderBy(order)
-    return d.withColumn(name, F.when(where, F.row_number().over(w) - 1))
+#: What a metric needs: named conditions that are counted back from a group's last row, and aggregates that read these places.
+Part = tuple[dict[str, Column], list[Column]]
 
 
-def last_years(years: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.desc("fy"))
-    return years.withColumn("_back", F.row_number().over(w)).where(F.col("_back") <= n).drop("_back")
+def measure(d: DataFrame, keys: list[str], order: str, *parts: Part) -> DataFrame:
+    """All metrics of each group from one window and one aggregate. A place is the number of rows, from the last one back, that met the
+    condition; the last n known values are thus those with a place of at most n, and r2 is the same for places counted back as forth."""
+    w = Window.partitionBy(*keys).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    places = {k: F.count(F.when(c, 1)).over(w) for p, _ in parts for k, c in p.items()}
+    return d.withColumns(places).groupBy(*keys).agg(*[m for _, ms in parts for m in ms])
+
+
+def _known(c: str, n: int) -> Column:
+    """The column where it is one of the last n known values."""
+    return F.when(F.col(f"_{c}") <= n, F.col(c))
+
+
+def _slope(x: Column, c: str) -> Column:
+    """Slope of x, whose place is counted back."""
+    return F.regr_slope(x, F.when(x.isNotNull(), -F.col(f"_{c}").cast("double")))
+
+
+def log_trend_part(c: str, n: int) -> Part:
+    x = F.when(F.col(c) > 0, _known(c, n))
+    at = F.when(x.isNotNull(), F.col(f"_{c}_up").cast("double"))
+    r2 = F.when(F.count(x) >= 3, r_squared(F.log(x), at))
+    return {f"_{c}": F.col(c).isNotNull(), f"_{c}_up": F.col(c) > 0}, [r2.alias(f"{c}_r2_{n}y"), ratio(F.count(x), F.count(_known(c, n))).alias(f"{c}_positive_{n}y")]
 
 
 def log_trend(years: DataFrame, column: str, n: int, keys: list[str]) -> DataFrame:
     """r2 of ln(x) on the place among the positive values of the last n non-null years (at least 3), and the positives' share."""
-    d = last_years(years.where(F.col(column).isNotNull()), n, keys)
-    d = _position(d, keys, "fy", F.col(column) > 0, "_i")
-    up = F.when(F.col(column) > 0, F.col(column))
-    return d.groupBy(*keys).agg(
-        F.when(F.count(up) >= 3, r_squared(F.log(up), F.col("_i").cast("double"))).alias(f"{column}_r2_{n}y"), (F.count(up) / F.count(column)).alias(f"{column}_positive_{n}y")
-    )
+    return measure(years.where(F.col(column).isNotNull()), keys, "fy", log_trend_part(column, n))
 
 
-def _asinh(column: str) -> Column:
+def _asinh(x: Column) -> Column:
     """Inverse hyperbolic sine, as exact for large negative values as for positive ones."""
-    x = F.col(column)
     return F.signum(x) * F.log(F.abs(x) + F.sqrt(x * x + 1))
 
 
+def asinh_trend_part(c: str, n: int) -> Part:
+    x = _known(c, n)
+    r2 = r_squared(_asinh(x), F.when(x.isNotNull(), F.col(f"_{c}").cast("double")))
+    return {f"_{c}": F.col(c).isNotNull()}, [F.when(F.count(x) >= 3, r2).alias(f"{c}_asinh_r2_{n}y")]
+
+
 def asinh_trend(years: DataFrame, column: str, n: int, keys: list[str]) -> DataFrame:
-    d = last_years(years.where(F.col(column).isNotNull()), n, keys)
-    d = _position(d, keys, "fy", F.lit(True), "_i")
-    return d.groupBy(*keys).agg(F.when(F.count(column) >= 3, r_squared(_asinh(column), F.col("_i").cast("double"))).alias(f"{column}_asinh_r2_{n}y"))
+    return measure(years.where(F.col(column).isNotNull()), keys, "fy", asinh_trend_part(column, n))
+
+
+def strict_growth_part(c: str, n: int) -> Part:
+    inside = F.col("_year") <= n + 1
+    x, at = F.when(inside, F.col(c)), F.when(inside, F.col("fy"))
+    a, b = F.min_by(x, at), F.max_by(x, at)
+    ok = (F.count(at) == n + 1) & (F.count(x) == n + 1) & (a > 0) & (b > 0)
+    return {"_year": F.lit(True)}, [F.when(ok, F.pow(b / a, F.lit(1.0 / n)) - 1).alias(f"{c}_cagr_{n}y")]
 
 
 def strict_growth(years: DataFrame, column: str, n: int, keys: list[str]) -> DataFrame:
     """Yearly growth over n years: all n + 1 last values known, both ends positive."""
-    d = last_years(years, n + 1, keys)
-    a, b = F.min_by(column, "fy"), F.max_by(column, "fy")
-    ok = (F.count(F.lit(1)) == n + 1) & (F.count(column) == n + 1) & (a > 0) & (b > 0)
-    return d.groupBy(*keys).agg(F.when(ok, F.pow(b / a, F.lit(1.0 / n)) - 1).alias(f"{column}_cagr_{n}y"))
+    return measure(years, keys, "fy", strict_growth_part(column, n))
+
+
+def roic_part() -> Part:
+    x = _known("roic", 3)
+    last = F.max_by("roic", F.when(F.col("roic").isNotNull(), F.col("fy")))
+    return {"_roic": F.col("roic").isNotNull()}, [last.alias("roic"), F.when(F.count(x) >= 2, _slope(x, "roic")).alias("roic_slope_3y")]
 
 
 def roic_trend(years: DataFrame, keys: list[str]) -> DataFrame:
     """The last value, and the slope of the last three years (at least two values)."""
-    d = last_years(years.where("roic is not null"), 3, keys)
-    d = _position(d, keys, "fy", F.lit(True), "_i")
-    return d.groupBy(*keys).agg(F.max_by("roic", "fy").alias("roic"), F.when(F.count("roic") >= 2, F.regr_slope("roic", F.col("_i").cast("double"))).alias("roic_slope_3y"))
+    return measure(years.where("roic is not null"), keys, "fy", roic_part())
 
 
 def quarterly_trends(known: DataFrame) -> DataFrame:
     """Slopes of gross margin and net debt over the last 8 known quarters, at least 4 values each."""
-    keys = ["ticker", "vintage"]
-    w = Window.partitionBy(*keys).orderBy(F.desc("reportperiod"))
-    d = known.withColumn("_back", F.row_number().over(w)).where("_back <= 8").withColumn("net_debt", F.col("debt") - F.col("cashnequsd"))
-    out = []
+    places, out = {"_back": F.lit(True)}, []
     for c in ("grossmargin", "net_debt"):
-        d = _position(d, keys, "reportperiod", F.col(c).isNotNull(), f"_{c}")
-        out.append(F.when(F.count(c) >= 4, F.regr_slope(c, F.col(f"_{c}").cast("double"))).alias(f"{c}_slope_8q"))
-    return d.groupBy(*keys).agg(*out)
+        places[f"_{c}"] = F.col(c).isNotNull()
+        x = F.when(F.col("_back") <= 8, F.col(c))
+        out.append(F.when(F.count(x) >= 4, _slope(x, c)).alias(f"{c}_slope_8q"))
+    return measure(known.withColumn("net_debt", F.col("debt") - F.col("cashnequsd")), ["ticker", "vintage"], "reportperiod", (places, out))
+
+
+def dilution_part() -> Part:
+    up = F.col("shares") > 0
+    x, at = F.when(up, F.col("shares")), F.when(up, F.col("fy"))
+    return {}, [F.when(F.count(x) >= 2, F.max_by(x, at) / F.min_by(x, at) - 1).alias("dilution")]
 
 
 def dilution(years: DataFrame, keys: list[str]) -> DataFrame:
     """Growth of the positive share counts from the first to the last year known."""
-    up = F.when(F.col("shares") > 0, F.col("shares"))
-    d = years.where("shares > 0").groupBy(*keys).agg(F.count(up).alias("_n"), F.min_by("shares", "fy").alias("_a"), F.max_by("shares", "fy").alias("_b"))
-    return d.select(*keys, F.when(F.col("_n") >= 2, F.col("_b") / F.col("_a") - 1).alias("dilution"))
+    return years.where("shares > 0").groupBy(*keys).agg(*dilution_part()[1])
 
 
 def known_years(arq: DataFrame, ary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(years of each vintage, quarterly state): annual filings where a vintage has any, else quarters summed."""
     spine = vintages(arq, ary)
-    quarters, annuals = state(spine, arq), annual(state(spine, ary))
-    return annuals.unionByName(annual_from_quarters(quarters, annuals)), quarters
+    quarters = state(spine, arq)
+    both = annual(state(spine, ary)).withColumn("_from", F.lit(0)).unionByName(annual_from_quarters(quarters).withColumn("_from", F.lit(1)))
+    first = F.min("_from").over(Window.partitionBy("ticker", "vintage"))
+    return both.withColumn("_first", first).where("_from = _first").drop("_from", "_first"), quarters
 
 
 def quality_metrics(arq: DataFrame, ary: DataFrame) -> DataFrame:
-    """One row a vintage with all metrics."""
+    """One row a vintage with all metrics: one aggregate of years, one of quarters."""
     years, quarters = known_years(arq, ary)
     keys = ["ticker", "vintage"]
-    parts = [log_trend(years, c, n, keys) for c in ("ncfo", "fcf") for n in (5, 10)]
-    parts += [asinh_trend(years, c, 10, keys) for c in ("ncfo", "fcf")] + [strict_growth(years, c, 5, keys) for c in ("ncfo", "fcf")]
-    parts += [roic_trend(years, keys), dilution(years, keys), quarterly_trends(quarters)]
-    d = vintages(arq, ary)
-    for p in parts:
-        d = d.join(p, keys, "left")
+    parts = [log_trend_part(c, n) for c in ("ncfo", "fcf") for n in (5, 10)] + [asinh_trend_part(c, 10) for c in ("ncfo", "fcf")]
+    parts += [strict_growth_part(c, 5) for c in ("ncfo", "fcf")] + [roic_part(), dilution_part()]
+    d = vintages(arq, ary).join(measure(years, keys, "fy", *parts), keys, "left").join(quarterly_trends(quarters), keys, "left")
     for c in ("ncfo", "fcf"):
         d = d.withColumn(f"{c}_r2_adjusted", F.col(f"{c}_r2_10y") * F.col(f"{c}_positive_10y"))
     return d.withColumn("r2_difference", F.col("ncfo_r2_adjusted") - F.col("fcf_r2_adjusted"))
