@@ -2,9 +2,11 @@
 
 Each text gives two histograms: character classes, and common words of four languages with one
 bin for all other words. Both are compared by Jensen-Shannon distance (base 2, so 0 to 1) with
-the *reference* of the document's language, which is the sum of those histograms over every
-document of that language in the table (a null language is a language of its own). A distance
-counts only for texts of a least length, since short texts stray by chance. A text is kept if
+the *reference* of the document's language, which is the sum of those histograms over every other
+row of that language in the table (a null language is a language of its own). A distance
+counts only for texts of a least length, since short texts stray by chance, and is null where the
+reference is smaller than a least size: a text of a language with next to no other text is judged by
+the base rules alone. A text is kept if
 it passes the base rules and neither distance exceeds its limit.
 
 The text is read once: its features, a few dozen numbers, go to a written table from which the
@@ -27,6 +29,8 @@ WINDOW = 8
 MIN_WORDS = 20
 #: Texts below these sizes skip the comparison.
 MIN_CHARS_COMPARED, MIN_WORDS_COMPARED = 100, 40
+#: References below these sizes, the text itself left out, are compared with nothing.
+MIN_REFERENCE_CHARS, MIN_REFERENCE_WORDS = 10_000, 2_000
 MAX_CHAR_DISTANCE = 0.30
 #: The word distance of n words may be this much, and by chance this much / sqrt(n) more.
 WORD_DISTANCE, WORD_SPREAD = 0.12, 2.4
@@ -85,10 +89,10 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def references(found: DataFrame) -> DataFrame:
-    """One row a language: both histograms summed over all its documents."""
+    """One row a language: both histograms and both sizes summed over all its documents."""
     sums = [F.sum(F.get(c, i)).alias(f"{c}{i}") for c, k in (("chars", len(CHARS)), ("words", len(COMMON) + 1)) for i in range(k)]
-    rows = found.groupBy("lang").agg(*sums)
-    return rows.select("lang", *[F.array(*[f"{c}{i}" for i in range(k)]).alias(f"ref_{c}") for c, k in (("chars", len(CHARS)), ("words", len(COMMON) + 1))])
+    rows = found.groupBy("lang").agg(F.sum("n_chars").alias("ref_n_chars"), F.sum("n_words").alias("ref_n_words"), *sums)
+    return rows.select("lang", "ref_n_chars", "ref_n_words", *[F.array(*[f"{c}{i}" for i in range(k)]).alias(f"ref_{c}") for c, k in (("chars", len(CHARS)), ("words", len(COMMON) + 1))])
 
 
 def distance(p: str, q: str) -> Column:
@@ -107,7 +111,10 @@ def distance(p: str, q: str) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """The base numbers of each document of ``docs`` (doc_id, text, lang), both distances, and the verdict."""
     found = stash(features(docs))
-    d = found.join(references(found), "lang").select("*", distance("chars", "ref_chars").alias("jc"), distance("words", "ref_words").alias("jw"))
+    others = lambda c: F.zip_with(f"ref_{c}", c, lambda a, b: a - b)
+    enough = lambda size, least, c: F.when(F.col(f"ref_{size}") - F.col(size) >= least, c)
+    d = found.join(references(found), "lang").withColumns({"other_chars": others("chars"), "other_words": others("words")})
+    d = d.withColumns({"jc": enough("n_chars", MIN_REFERENCE_CHARS, distance("chars", "other_chars")), "jw": enough("n_words", MIN_REFERENCE_WORDS, distance("words", "other_words"))})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     far = lambda c, size, least, most: F.coalesce((F.col(size) >= least) & (F.col(c) > most), F.lit(False))
     strange = far("js_chars", "n_chars", MIN_CHARS_COMPARED, F.lit(MAX_CHAR_DISTANCE))
@@ -147,8 +154,9 @@ f AS (SELECT w.r, doc_id, lang, len(w) AS n_words, length(t) AS n_chars, length(
   FROM w LEFT JOIN cov ON w.r = cov.r),
 g AS (SELECT *, [up, dig, n_chars - word_chars, stop, n_symbols, word_chars - up - dig - stop - n_symbols]::DOUBLE[] AS chars,
   list_append(k, n_words - list_sum(k)::BIGINT)::DOUBLE[] AS words FROM f),
-refs AS (SELECT lang, [{', '.join(f'sum(chars[{i + 1}])' for i in range(len(CHARS)))}] AS rc, [{', '.join(f'sum(words[{i + 1}])' for i in range(len(COMMON) + 1))}] AS rw FROM g GROUP BY lang),
-j AS (SELECT g.*, round({_js('chars', 'rc')}, 6) AS js_chars, round({_js('words', 'rw')}, 6) AS js_words FROM g JOIN refs USING (lang))
+refs AS (SELECT lang, sum(n_chars) AS all_chars, sum(n_words) AS all_words, [{', '.join(f'sum(chars[{i + 1}])' for i in range(len(CHARS)))}] AS rc, [{', '.join(f'sum(words[{i + 1}])' for i in range(len(COMMON) + 1))}] AS rw FROM g GROUP BY lang),
+o AS (SELECT g.*, all_chars - n_chars AS other_chars, all_words - n_words AS other_words, list_transform(list_zip(rc, chars), lambda z: z[1] - z[2]) AS oc, list_transform(list_zip(rw, words), lambda z: z[1] - z[2]) AS ow FROM g JOIN refs USING (lang)),
+j AS (SELECT *, CASE WHEN other_chars >= {MIN_REFERENCE_CHARS} THEN round({_js('chars', 'oc')}, 6) END AS js_chars, CASE WHEN other_words >= {MIN_REFERENCE_WORDS} THEN round({_js('words', 'ow')}, 6) END AS js_words FROM o)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, js_chars, js_words,
   NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words)
