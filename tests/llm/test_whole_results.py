@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from llm import language_id, licenses, near_duplicates, token_counts
+from llm import language_id, licenses, near_duplicates, quality_rules, token_counts
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -78,3 +78,14 @@ def test_wrapped_headers_and_licence_files(spark):
     rows = [(k, f"d{k}/f", t) for k, (_, t) in enumerate(texts)] + [(100, "d0/sub/x", "plain words"), (101, "d5/x", "")]
     got = {r["doc_id"]: (r["license"], r["license_dir"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
     assert got == {**{k: (n, None) for k, (n, _) in enumerate(texts)}, 100: ("MIT", "d0"), 101: ("GPL-3.0", "d5")}
+
+
+def test_quality_references_leave_the_text_itself_out(spark):
+    say = lambda k: " ".join(["the house and the tree of a man in it"] + [f"word{k}x{j}" for j in range(60)])
+    odd = " ".join(f"QZ{j}9183746WX" for j in range(300))
+    rows = [(k, say(k), "en") for k in range(60)] + [(100, odd, "en"), (101, odd, "xx"), (102, say(102), None)]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[k]["kept"] for k in range(60))
+    assert got[100]["js_chars"] > quality_rules.MAX_CHAR_DISTANCE and not got[100]["kept"]
+    for lone in (101, 102):  # nothing to compare with: the base rules alone
+        assert got[lone]["js_chars"] is None and got[lone]["js_words"] is None and got[lone]["kept"]
