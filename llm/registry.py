@@ -10,6 +10,7 @@ from .licenses import op8_license_scan
 from .line_dedup import op1_line_dedup
 from .near_duplicates import op4_near_duplicates
 from .quality_gam import op5_quality_gam
+from .simhash import op13_simhash
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_bpe": op10_bpe,
+    "op13_simhash": op13_simhash,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.ORACLE,
