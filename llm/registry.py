@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import quality_rules, token_counts
 from .bpe import op10_bpe
+from .conversations import op12_conversations
 from .decontaminate import op3_decontaminate
 from .language_id import op7_language_id
 from .licenses import op8_license_scan
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_bpe": op10_bpe,
+    "op12_conversations": op12_conversations,
     "op13_simhash": op13_simhash,
 }
 ORACLES: dict[str, str] = {
