@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import quality_rules, token_counts
+from .alignment import op11_alignment
 from .bpe import op10_bpe
 from .conversations import op12_conversations
 from .decontaminate import op3_decontaminate
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_bpe": op10_bpe,
+    "op11_alignment": op11_alignment,
     "op12_conversations": op12_conversations,
     "op13_simhash": op13_simhash,
 }
