@@ -23,10 +23,12 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -61,17 +63,27 @@ def shared_groups(a: list[int], b: list[int]) -> list[tuple[int, int, int, int]]
     todo = [(0, len(a), 0, len(b))] if a else []
     while todo:
         i, j, k, m = todo.pop()
-        middle = (i + j - 1) // 2
-        for step in range(j - i):  # the last end is shared anyway
-            at = middle + (step + 1) // 2 * (1 if step % 2 else -1)
-            if not i <= at < j - 1:
-                continue
-            other = bisect_left(b, a[at], k, m - 1)
-            if other < m - 1 and b[other] == a[at]:
-                todo += [(at + 1, j, other + 1, m), (i, at + 1, k, other + 1)]
-                break
-        else:
+        if j - i == 1 or m - k == 1:  # no end inside
             groups.append((i, j, k, m))
+            continue
+        low = at = (i + j - 1) // 2
+        high, most = at + 1, j - 1
+        while True:  # outward from the middle; the last end is shared anyway
+            if at < most:
+                other = bisect_left(b, a[at], k, m - 1)
+                if other < m - 1 and b[other] == a[at]:
+                    todo.append((at + 1, j, other + 1, m))
+                    todo.append((i, at + 1, k, other + 1))
+                    break
+            if low > i and (high >= most or at == low or at - low <= high - at):
+                low -= 1
+                at = low
+            elif high < most:
+                at = high
+                high += 1
+            else:
+                groups.append((i, j, k, m))
+                break
     return groups
 
 
@@ -93,6 +105,7 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(size)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.codes = size
+        self.a_text, self.b_text = {i: str(i) for i in self.a_bytes}, [str(i) for i in range(size)]
         #: Bytes before which a chunk may begin: no token holds one of them after a character that is no white space.
         tokens = [t.decode(errors="replace") for t in (*self.a_bytes.values(), *self.b_bytes)]
         inside = {t[k] for t in tokens for k in range(1, len(t)) if t[k] in " \n" and not t[k - 1].isspace()}
@@ -105,28 +118,43 @@ class Pair:
     def forget(self) -> None:
         self.at: dict[int, int] = {}
         self.text: list[str] = []
-        self.numbers: list[tuple[int, int, int, int, bool]] = []
-        self.links: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+        #: Tokens of A, of B, groups, links, and whether both give the bytes back, of each chunk.
+        self.numbers = array("q")
+        #: The distinct links of the chunks end to end, how often each is there, and where each chunk's end.
+        self.pairs, self.times, self.ends = array("Q"), array("q"), array("q", [0])
 
-    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple[tuple[int, int, int, int, bool], str, np.ndarray, np.ndarray]:
-        """Numbers (tokens of A, of B, groups, links, whether both give the bytes back), groups as text, and the distinct links with how often each is there."""
+    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple[tuple[int, int, int, int, int], str, dict[int, int]]:
+        """Numbers (tokens of A, of B, groups, links, 1 if both give the bytes back), groups as text, and the distinct links with how often each is there."""
         x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
         if b"".join(x) != raw or b"".join(y) != raw:
-            return (0, 0, 0, 0, False), "", np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return (0, 0, 0, 0, 0), "", {}
+        codes, left, right = self.codes, self.a_text, self.b_text
         if len(a) == 1 and len(b) == 1:
-            return (1, 1, 1, 1, True), f"{a[0]}|{b[0]}", np.array([a[0] * self.codes + b[0]], np.uint64), np.ones(1, np.int64)
-        groups = shared_groups(np.cumsum([len(t) for t in x]).tolist(), np.cumsum([len(t) for t in y]).tolist())
-        found: Counter[int] = Counter()
+            return (1, 1, 1, 1, 1), f"{left[a[0]]}|{right[b[0]]}", {a[0] * codes + b[0]: 1}
+        groups = shared_groups(list(accumulate(map(len, x))), list(accumulate(map(len, y))))
+        found: dict[int, int] = {}
         n, out = 0, []
         for i, j, k, m in groups:
+            if j - i == 1 and m - k == 1:
+                p = a[i] * codes + b[k]
+                found[p] = found.get(p, 0) + 1
+                n += 1
+                out.append(f"{left[a[i]]}|{right[b[k]]}")
+                continue
             n += (j - i) * (m - k)
-            out.append(f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}")
-            left, right = Counter(a[i:j]), Counter(b[k:m])
-            for p, c in left.items():
-                for q, d in right.items():
-                    found[p * self.codes + q] += c * d
-        return (len(a), len(b), len(groups), n, True), ";".join(out), np.array(list(found), np.uint64), np.array(list(found.values()), np.int64)
+            out.append(f"{','.join([left[t] for t in a[i:j]])}|{','.join([right[t] for t in b[k:m]])}")
+            if (j - i) * (m - k) <= 64:
+                for t in a[i:j]:
+                    for q in b[k:m]:
+                        p = t * codes + q
+                        found[p] = found.get(p, 0) + 1
+            else:  # a long group has few distinct ids
+                ours, theirs = Counter(a[i:j]), Counter(b[k:m])
+                for t, c in ours.items():
+                    for q, d in theirs.items():
+                        p = t * codes + q
+                        found[p] = found.get(p, 0) + c * d
+        return (len(a), len(b), len(groups), n, 1), ";".join(out), found
 
     def _b(self, texts: list[str]) -> list[list[int]]:
         """B's tokens of texts that begin with white space; an x before each keeps the model from adding one."""
@@ -137,15 +165,19 @@ class Pair:
         a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
         for key, raw, x, y in zip(keys, chunks, a, self._b(texts)):
             self.at[key] = len(self.text)
-            numbers, text, pairs, times = self._aligned(raw, x, y)
-            self.numbers.append(numbers)
+            numbers, text, links = self._aligned(raw, x, y)
+            self.numbers.extend(numbers)
             self.text.append(text)
-            self.links.append((pairs, times))
-            self.held += len(pairs)
+            self.pairs.extend(links)
+            self.times.extend(links.values())
+            self.ends.append(len(self.pairs))
 
-    def whole(self, text: str) -> tuple[tuple[int, int, int, int, bool], str, np.ndarray, np.ndarray]:
-        """A text looked at as one chunk."""
-        return self._aligned(f" {text}".encode(), self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text, num_threads=1))
+    def whole(self, text: str) -> tuple[tuple[int, int, int, int, int], str, np.ndarray, np.ndarray]:
+        """A text looked at as one chunk; its links are sorted."""
+        numbers, groups, links = self._aligned(f" {text}".encode(), self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text, num_threads=1))
+        p, t = np.fromiter(links, np.uint64, len(links)), np.fromiter(links.values(), np.int64, len(links))
+        o = np.argsort(p)
+        return numbers, groups, p[o], t[o]
 
     def piece(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, chunk) of each chunk of rows laid end to end, each with its space before it, and whether a row comes back byte for byte."""
@@ -158,15 +190,16 @@ class Pair:
         row = np.searchsorted(off, start, "right") - 1
         h, at, back = np.unique(words.hash_spans(raw, start, end, False), return_index=True, return_inverse=True)
         keys = h.tolist()
-        if len(self.text) > CHUNKS or self.held > LINKS:
+        if len(self.text) > CHUNKS or len(self.pairs) > LINKS:
             self.forget()
         new = [k for k, key in enumerate(keys) if key not in self.at]
         if new:
             s, e = start[at[new]].tolist(), end[at[new]].tolist()
             self.learn([keys[k] for k in new], [raw[i:j].tobytes() for i, j in zip(s, e)])
-        chunk = np.array([self.at[k] for k in keys], np.int64)[back]
+        own = [self.at[k] for k in keys]
+        chunk = np.array(own, np.int64)[back]
         fine = np.ones(n, bool)
-        known = np.array([self.numbers[k][4] for k in chunk.tolist()], bool)
+        known = np.array([self.numbers[5 * k + 4] for k in own], bool)[back]
         fine[row[~known]] = False
         return row, chunk, fine
 
@@ -177,24 +210,33 @@ def _pair(a_path: str, b_path: str) -> Pair:
     return Pair(a_path, b_path)
 
 
-def _row_links(pair: Pair, row: np.ndarray, chunk: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, pair, times) of the distinct links of each row."""
+def _within(ends: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the place in ``chunk``, the place in the table) of each entry of the chunks' runs, which end at ``ends``."""
+    size = ends[chunk + 1] - ends[chunk]
+    at = np.repeat(ends[chunk] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    return np.repeat(np.arange(len(chunk)), size), at
+
+
+def _row_links(pair: Pair, row: np.ndarray, chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, pair, times) of the distinct links of each row, in order."""
     both, many = np.unique(row * len(pair.text) + chunk, return_counts=True)
     row, chunk = both // len(pair.text), both % len(pair.text)
-    own, back = np.unique(chunk, return_inverse=True)
-    size = np.array([len(pair.links[k][0]) for k in own.tolist()], np.int64)
-    pairs = np.concatenate([pair.links[k][0] for k in own.tolist()])
-    times = np.concatenate([pair.links[k][1] for k in own.tolist()])
-    begin = (np.cumsum(size) - size)[back]
-    size = size[back]
-    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    r, p, t = np.repeat(row, size), pairs[at], times[at] * np.repeat(many, size)
-    o = np.lexsort((p, r))
-    r, p, t = r[o], p[o], t[o]
-    cut = np.ones(len(r), bool)
-    cut[1:] = (r[1:] != r[:-1]) | (p[1:] != p[:-1])
-    at = np.flatnonzero(cut)
-    return r[at], p[at], np.add.reduceat(t, at) if len(at) else t
+    own, back = np.unique(chunk, return_inverse=True)  # copy what this piece needs, not all that is known
+    ends = np.frombuffer(pair.ends, np.int64)
+    _, at = _within(ends, own)
+    pairs, times = np.frombuffer(pair.pairs, np.uint64)[at], np.frombuffer(pair.times, np.int64)[at]
+    size = np.zeros(len(own) + 1, np.int64)
+    np.cumsum(ends[own + 1] - ends[own], out=size[1:])
+    of, at = _within(size, back)
+    r, p, t = row[of], pairs[at], times[at] * many[of]
+    del ends
+    # distinct pairs get small codes, so that one sort of whole numbers orders rows and pairs
+    names, code = np.unique(pairs, return_inverse=True)
+    key = r * len(names) + code[at]
+    o = np.argsort(key)
+    key, t = key[o], t[o]
+    first = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1]) if len(key) else np.zeros(0, np.int64)
+    return key[first] // len(names), names[key[first] % len(names)], np.add.reduceat(t, first) if len(first) else t
 
 
 def _align(batches: Iterator[pa.RecordBatch], paths: tuple[str, str] | None, groups_too: bool) -> Iterator[pa.RecordBatch]:
@@ -215,11 +257,10 @@ def _align(batches: Iterator[pa.RecordBatch], paths: tuple[str, str] | None, gro
             row, chunk = row[keep], chunk[keep]
             numbers = np.zeros((n, 4), np.int64)
             if len(row):
-                each = np.array(pair.numbers, np.int64)[:, :4] if len(chunk) > len(pair.numbers) else None
-                values = each[chunk] if each is not None else np.array([pair.numbers[k] for k in chunk.tolist()], np.int64)[:, :4]
+                values = np.frombuffer(pair.numbers, np.int64).reshape(-1, 5)[chunk, :4]
                 at = np.concatenate([[0], np.flatnonzero(np.diff(row)) + 1])
                 numbers[row[at]] = np.add.reduceat(values, at, axis=0)
-                r, p, t = _row_links(pair, row, chunk, n)
+                r, p, t = _row_links(pair, row, chunk)
             else:
                 r, p, t = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
             cuts, ends = np.searchsorted(r, np.arange(n + 1)), np.searchsorted(row, np.arange(n + 1))
@@ -228,8 +269,6 @@ def _align(batches: Iterator[pa.RecordBatch], paths: tuple[str, str] | None, gro
             for k in range(n):
                 if k in look:
                     numbers[k], text, q, u = look[k][0][:4], *look[k][1:]
-                    o = np.argsort(q)
-                    q, u = q[o], u[o]
                 else:
                     q, u = p[cuts[k] : cuts[k + 1]], t[cuts[k] : cuts[k + 1]]
                     text = ";".join([names[c] for c in chunk[ends[k] : ends[k + 1]].tolist()])
@@ -238,7 +277,6 @@ def _align(batches: Iterator[pa.RecordBatch], paths: tuple[str, str] | None, gro
                 links.append(q.tobytes() + u.astype(np.uint32).tobytes())
             out = [b.column("doc_id").slice(i, n), b.column("row").slice(i, n), *[pa.array(numbers[:, c]) for c in range(4)], pa.array(links, pa.binary()), *([pa.array(texts, pa.string())] if groups_too else []), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "row", "n_a", "n_b", "n_groups", "n_links", "links", *(["groups"] if groups_too else []), "groups_sha256"])
-    pair.forget()
 
 
 def _unpacked(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
