@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,65 @@ def asof_join(grid: DataFrame, facts: DataFrame, key: str, grid_time: str, fact_
     return d.select("g.*", *[F.col(f"x.{c}").alias(c) for c in payload])
 
 
+class Facts(NamedTuple):
+    """A table for `asof_joins`: its time may be a name or an expression, ``tie`` orders rows of equal time, the largest wins."""
+
+    table: DataFrame
+    time: str | Column
+    payload: list[str]
+    tie: list[str] = []
+
+
+def asof_joins(grid: DataFrame, key: str, grid_time: str, facts: list[Facts]) -> DataFrame:
+    """``grid`` with the payloads of the latest row at or before its time of each of several tables: one union, one exchange and one sort for all."""
+    both = grid.select(F.struct(*grid.columns).alias("g"), F.col(key).alias("k"), F.col(grid_time).alias("t"), F.lit(1).alias("side"))
+    for n, (table, time, payload, tie) in enumerate(facts):
+        t = (F.col(time) if isinstance(time, str) else time).alias("t")
+        value = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(tie)], *payload)
+        f = table.groupBy(F.col(key).alias("k"), t).agg(F.max(value).alias(f"f{n}")) if tie else table.select(F.col(key).alias("k"), t, value.alias(f"f{n}"))
+        both = both.unionByName(f.where("t is not null").withColumn("side", F.lit(0)), allowMissingColumns=True)
+    w = Window.partitionBy("k").orderBy("t", "side").rowsBetween(Window.unboundedPreceding, 0)
+    d = both.withColumns({f"x{n}": F.last(f"f{n}", ignorenulls=True).over(w) for n in range(len(facts))}).where("side = 1")
+    return d.select("g.*", *[F.col(f"x{n}.{c}").alias(c) for n, f in enumerate(facts) for c in f.payload])
+
+
+def asof_next(grid: DataFrame, facts: DataFrame, key: str, grid_time: str, fact_time: str, payload: list[str], tie: list[str] | None = None) -> DataFrame:
+    """``grid`` with the ``payload`` of the first fact of its key at or after its time; of equal times the smallest ``tie`` wins.
+
+    The mirror of `asof_join`: facts stand behind the grid rows of their time, and the window looks at the rows that follow."""
+    order = [F.col(c).alias(f"_{k}") for k, c in enumerate(tie or [])]
+    g = grid.select(F.struct(*grid.columns).alias("g"), F.col(key).alias("k"), F.col(grid_time).alias("t"), F.lit(0).alias("side"))
+    value = F.struct(*order, *payload)
+    f = facts.where(F.col(fact_time).isNotNull()).groupBy(F.col(key).alias("k"), F.col(fact_time).alias("t")).agg(F.min(value).alias("f")).withColumn("side", F.lit(1))
+    w = Window.partitionBy("k").orderBy("t", "side").rowsBetween(0, Window.unboundedFollowing)
+    d = g.unionByName(f, allowMissingColumns=True).withColumn("x", F.first("f", ignorenulls=True).over(w)).where("side = 0")
+    return d.select("g.*", *[F.col(f"x.{c}").alias(c) for c in payload])
+
+
+def year_after(day: str | Column) -> Column:
+    """The first date whose day one year before is on or after ``day``: what was filed on ``day`` is a year old from then on."""
+    d = F.col(day) if isinstance(day, str) else day
+    leap = (F.month(d) == 2) & (F.dayofmonth(d) == 29)
+    return F.when(leap, F.date_add(F.add_months(d, 12), 1)).otherwise(F.add_months(d, 12))
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, key: str, time: str, first: str, last: str, days: int, how: str = "inner") -> DataFrame:
+    """``intervals`` with the ``points`` of their key from ``first`` to ``last``, both included; ``how`` is inner or left (of the intervals).
+
+    Both sides are joined by key and cell of ``days`` days: a point is in one cell, an interval in each one that it touches, so a pair meets
+    once and an entity's points meet only the intervals near them. ``days`` of about an interval's length keep the rows that
+    are compared and dropped within a small multiple of the result. Names must be distinct but for the key."""
+    cell = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01")) / days)
+    p = points.withColumn("_cell", cell(F.col(time)))
+    i = intervals.withColumn("_id", F.monotonically_increasing_id()) if how == "left" else intervals
+    cells = i.where(F.col(first) <= F.col(last)).withColumn("_cell", F.explode(F.sequence(cell(F.col(first)), cell(F.col(last)))))
+    met = cells.join(p, [key, "_cell"]).where(F.col(time).between(F.col(first), F.col(last))).drop("_cell")
+    if how == "inner":
+        return met
+    found = met.select("_id", *[c for c in points.columns if c != key])
+    return i.join(found, "_id", "left").drop("_id")
+
+
 def next_event_within(grid: DataFrame, events: DataFrame, key: str, grid_time: str, event_time: str, days: int, name: str) -> DataFrame:
     """``grid`` with whether an event of its key lies in the ``days`` days after its date."""
     g = grid.select(F.struct(*grid.columns).alias("g"), F.col(key).alias("k"), F.col(grid_time).alias("t"), F.lit(None).cast("date").alias("e"))

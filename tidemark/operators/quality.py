@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import r_squared, ratio
+from ..functions.columns import r_squared
 
 
 def vintages(*filings: DataFrame) -> DataFrame:
@@ -57,9 +57,13 @@ def measure(d: DataFrame, keys: list[str], order: str, *parts: Part) -> DataFram
     return d.withColumns(places).groupBy(*keys).agg(*[m for _, ms in parts for m in ms])
 
 
-def _known(c: str, n: int) -> Column:
-    """The column where it is one of the last n known values."""
-    return F.when(F.col(f"_{c}") <= n, F.col(c))
+#: Values below which a trend is not measured.
+LEAST = 3
+
+
+def _tail(c: str, n: int) -> Column:
+    """The column in the last n rows; what is null there stays null and is not made up for by older rows."""
+    return F.when(F.col("_year") <= n, F.col(c))
 
 
 def _slope(x: Column, c: str) -> Column:
@@ -67,16 +71,26 @@ def _slope(x: Column, c: str) -> Column:
     return F.regr_slope(x, F.when(x.isNotNull(), -F.col(f"_{c}").cast("double")))
 
 
-def log_trend_part(c: str, n: int) -> Part:
-    x = F.when(F.col(c) > 0, _known(c, n))
-    at = F.when(x.isNotNull(), F.col(f"_{c}_up").cast("double"))
-    r2 = F.when(F.count(x) >= 3, r_squared(F.log(x), at))
-    return {f"_{c}": F.col(c).isNotNull(), f"_{c}_up": F.col(c) > 0}, [r2.alias(f"{c}_r2_{n}y"), ratio(F.count(x), F.count(_known(c, n))).alias(f"{c}_positive_{n}y")]
+def _places(c: str) -> dict[str, Column]:
+    return {"_year": F.lit(True), f"_{c}": F.col(c).isNotNull(), f"_{c}_up": F.col(c) > 0}
+
+
+def _positive_share(c: str, n: int) -> Column:
+    x = _tail(c, n)
+    return F.when(F.count(x) >= LEAST, F.count_if(x > 0) / F.count(x))
+
+
+def log_trend_part(c: str, n: int, least: int = LEAST, share: str | None = None) -> Part:
+    x = _tail(c, n)
+    up = F.when(x > 0, x)
+    at = F.when(up.isNotNull(), F.col(f"_{c}_up").cast("double"))
+    r2 = F.when((F.count(x) >= least) & (F.count(up) >= least), r_squared(F.log(up), at))
+    return _places(c), [r2.alias(f"{c}_r2_{n}y"), _positive_share(c, n).alias(share or f"{c}_positive_{n}y")]
 
 
-def log_trend(years: DataFrame, column: str, n: int, keys: list[str]) -> DataFrame:
-    """r2 of ln(x) on the place among the positive values of the last n non-null years (at least 3), and the positives' share."""
-    return measure(years.where(F.col(column).isNotNull()), keys, "fy", log_trend_part(column, n))
+def log_trend(years: DataFrame, column: str, n: int, keys: list[str], least: int = LEAST) -> DataFrame:
+    """r2 of ln(x) on the place among the positive values of the last n years (``least`` of them at least), and the positives' share of the known values."""
+    return measure(years, keys, "fy", log_trend_part(column, n, least))
 
 
 def _asinh(x: Column) -> Column:
@@ -85,13 +99,14 @@ def _asinh(x: Column) -> Column:
 
 
 def asinh_trend_part(c: str, n: int) -> Part:
-    x = _known(c, n)
+    x = _tail(c, n)
     r2 = r_squared(_asinh(x), F.when(x.isNotNull(), F.col(f"_{c}").cast("double")))
-    return {f"_{c}": F.col(c).isNotNull()}, [F.when(F.count(x) >= 3, r2).alias(f"{c}_asinh_r2_{n}y")]
+    return _places(c), [F.when(F.count(x) >= LEAST, r2 * _positive_share(c, n)).alias(f"{c}_asinh_r2_{n}y")]
 
 
 def asinh_trend(years: DataFrame, column: str, n: int, keys: list[str]) -> DataFrame:
-    return measure(years.where(F.col(column).isNotNull()), keys, "fy", asinh_trend_part(column, n))
+    """r2 of arcsinh(x) on the place among the known values of the last n years, times the share of positive ones."""
+    return measure(years, keys, "fy", asinh_trend_part(column, n))
 
 
 def strict_growth_part(c: str, n: int) -> Part:
@@ -108,14 +123,18 @@ def strict_growth(years: DataFrame, column: str, n: int, keys: list[str]) -> Dat
 
 
 def roic_part() -> Part:
-    x = _known("roic", 3)
-    last = F.max_by("roic", F.when(F.col("roic").isNotNull(), F.col("fy")))
-    return {"_roic": F.col("roic").isNotNull()}, [last.alias("roic"), F.when(F.count(x) >= 2, _slope(x, "roic")).alias("roic_slope_3y")]
+    x = _tail("roic", 3)
+    last = F.max(F.when(F.col("_year") == 1, F.col("roic")))
+    return _places("roic"), [last.alias("roic_level"), F.when(F.count(x) >= 2, _slope(x, "roic")).alias("roic_slope_3y")]
 
 
 def roic_trend(years: DataFrame, keys: list[str]) -> DataFrame:
-    """The last value, and the slope of the last three years (at least two values)."""
-    return measure(years.where("roic is not null"), keys, "fy", roic_part())
+    """The last year's value, null if that is, and the slope of the known ones of the last three years (at least two)."""
+    return measure(years, keys, "fy", roic_part())
+
+
+#: What the slopes of the quarterly columns are called.
+_TREND_NAMES = {"grossmargin": "grossmargin_slope", "net_debt": "net_debt_trend"}
 
 
 def quarterly_trends(known: DataFrame) -> DataFrame:
@@ -124,19 +143,20 @@ def quarterly_trends(known: DataFrame) -> DataFrame:
     for c in ("grossmargin", "net_debt"):
         places[f"_{c}"] = F.col(c).isNotNull()
         x = F.when(F.col("_back") <= 8, F.col(c))
-        out.append(F.when(F.count(x) >= 4, _slope(x, c)).alias(f"{c}_slope_8q"))
+        out.append(F.when(F.count(x) >= 4, _slope(x, c)).alias(_TREND_NAMES[c]))
     return measure(known.withColumn("net_debt", F.col("debt") - F.col("cashnequsd")), ["ticker", "vintage"], "reportperiod", (places, out))
 
 
 def dilution_part() -> Part:
     up = F.col("shares") > 0
     x, at = F.when(up, F.col("shares")), F.when(up, F.col("fy"))
-    return {}, [F.when(F.count(x) >= 2, F.max_by(x, at) / F.min_by(x, at) - 1).alias("dilution")]
+    growth = F.pow(F.max_by(x, at) / F.min_by(x, at), 1 / (F.count(x) - 1)) - 1
+    return {}, [F.when(F.count(x) >= 2, growth).alias("dilution_rate")]
 
 
 def dilution(years: DataFrame, keys: list[str]) -> DataFrame:
-    """Growth of the positive share counts from the first to the last year known."""
-    return years.where("shares > 0").groupBy(*keys).agg(*dilution_part()[1])
+    """Growth a step of the positive share counts, from the first to the last."""
+    return years.groupBy(*keys).agg(*dilution_part()[1])
 
 
 def known_years(arq: DataFrame, ary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -148,13 +168,23 @@ def known_years(arq: DataFrame, ary: DataFrame) -> tuple[DataFrame, DataFrame]:
     return both.withColumn("_first", first).where("_from = _first").drop("_from", "_first"), quarters
 
 
+#: The metrics of `quality_metrics`, in order.
+METRICS = tuple(f"{c}_{m}" for c in ("ncfo", "fcf") for m in ("r2_5y", "r2_10y", "cagr_5y", "cagr_10y", "pct_positive", "r2_adjusted", "r2_adjusted_arcsinh")) + (
+    "fcf_ncfo_r2_delta", "roic_level", "roic_slope_3y", "grossmargin_slope", "net_debt_trend", "dilution_rate",
+)
+
+
+def of_years(years: DataFrame, keys: list[str]) -> DataFrame:
+    """All metrics of annual series, one row a group: one window and one aggregate."""
+    parts = [p for c in ("ncfo", "fcf") for p in (log_trend_part(c, 5), log_trend_part(c, 10, share=f"{c}_pct_positive"), asinh_trend_part(c, 10), strict_growth_part(c, 5), strict_growth_part(c, 10))]
+    d = measure(years, keys, "fy", *parts, roic_part(), dilution_part())
+    adjusted = {f"{c}_r2_adjusted": F.col(f"{c}_r2_10y") * F.col(f"{c}_pct_positive") for c in ("ncfo", "fcf")} | {f"{c}_r2_adjusted_arcsinh": F.col(f"{c}_asinh_r2_10y") for c in ("ncfo", "fcf")}
+    return d.withColumns(adjusted).withColumn("fcf_ncfo_r2_delta", F.round(F.col("ncfo_r2_adjusted") - F.col("fcf_r2_adjusted"), 4))
+
+
 def quality_metrics(arq: DataFrame, ary: DataFrame) -> DataFrame:
     """One row a vintage with all metrics: one aggregate of years, one of quarters."""
     years, quarters = known_years(arq, ary)
     keys = ["ticker", "vintage"]
-    parts = [log_trend_part(c, n) for c in ("ncfo", "fcf") for n in (5, 10)] + [asinh_trend_part(c, 10) for c in ("ncfo", "fcf")]
-    parts += [strict_growth_part(c, 5) for c in ("ncfo", "fcf")] + [roic_part(), dilution_part()]
-    d = vintages(arq, ary).join(measure(years, keys, "fy", *parts), keys, "left").join(quarterly_trends(quarters), keys, "left")
-    for c in ("ncfo", "fcf"):
-        d = d.withColumn(f"{c}_r2_adjusted", F.col(f"{c}_r2_10y") * F.col(f"{c}_positive_10y"))
-    return d.withColumn("r2_difference", F.col("ncfo_r2_adjusted") - F.col("fcf_r2_adjusted"))
+    d = vintages(arq, ary).join(of_years(years, keys), keys, "left").join(quarterly_trends(quarters), keys, "left")
+    return d.select(*keys, *METRICS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
@@ -48,6 +48,13 @@ def with_growth(series: DataFrame, rows: int, name: str) -> DataFrame:
     return series.withColumn(name, ratio(F.col("value") - before, before) * 100)
 
 
+def real_rate(rate: str | None, inflation: str | None) -> Column:
+    """A nominal rate less inflation, null where inflation is not known yet; without an inflation series the rate itself, without a rate null."""
+    if rate is None:
+        return F.lit(None).cast("double")
+    return F.col(rate) if inflation is None else F.col(rate) - F.col(inflation)
+
+
 def benchmark_trend(bars: DataFrame) -> DataFrame:
     """Above its 200-row average (1.0 or 0.0), and returns over 21, 63, 126 and 252 rows. Takes ticker, date, closeadj."""
     w = Window.partitionBy("ticker").orderBy("date")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import active_on, ratio
+from ..functions.columns import active_on, ratio, size_tier
 from .asof import next_event_within
 
 #: Reasons that say why an entity stopped trading, the most telling first (fixed values).
@@ -37,8 +37,8 @@ def terminal_events_raw(actions: DataFrame) -> DataFrame:
 
 
 def terminal_events(actions: DataFrame, days: int = 5) -> DataFrame:
-    """One reason a delisting, the most telling; delistings within ``days`` of a rename are renames and go."""
-    names = actions.where(F.col("action").isin("tickerchangefrom", "tickerchangeto")).select("ticker", F.col("date").alias("renamed"))
+    """One reason a delisting, the most telling; delistings within ``days`` of the entity's change from another name are renames and go."""
+    names = actions.where("action = 'tickerchangefrom'").select("ticker", F.col("date").alias("renamed"))
     d = terminal_events_raw(actions).join(names.withColumnRenamed("ticker", "_t"), (F.col("ticker") == F.col("_t")) & (F.abs(F.datediff("date", "renamed")) <= days), "left_anti")
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, REASONS)), F.col("reason")), F.lit(0))
     rank = F.when(rank == 0, len(REASONS) + 1).otherwise(rank)
@@ -57,10 +57,12 @@ def core(bars: DataFrame, instruments: DataFrame, removed: DataFrame) -> DataFra
 
 
 def daily_universe(bars: DataFrame, instruments: DataFrame, actions: DataFrame, vendor: DataFrame) -> DataFrame:
+    """The universe with whether a spin-off follows within 60 days, the capitalisation as a whole number (halves to even) and its size tier."""
     a = clean_actions(actions)
     d = core(bars, instruments, removals(terminal_events(a)))
     d = next_event_within(d, a.where("action = 'spinoff'"), "ticker", "date", "date", 60, "fwd_spinoff_60d")
-    return d.join(vendor.select("ticker", "date", "marketcap"), ["ticker", "date"], "left").withColumn("in_universe", F.lit(True))
+    d = d.join(vendor.select("ticker", "date", F.bround("marketcap").cast("long").alias("marketcap_daily")), ["ticker", "date"], "left")
+    return d.withColumns({"scalemarketcap": size_tier("marketcap_daily"), "in_universe": F.lit(True)})
 
 
 def forward_labels(bars: DataFrame, events: DataFrame, horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
@@ -68,7 +70,7 @@ def forward_labels(bars: DataFrame, events: DataFrame, horizons: tuple[int, ...]
 
     Without an n-th bar the last price counts; on the last bar there is no return. The flag is false if the n-th bar
     exists, null if the series ends without an event on its last day or on the last day itself, else whether
-    the event is more than a merger survived. The type is given wherever the series ends in an event before the n-th bar."""
+    the event is more than a merger survived. The type is given wherever the series ends in an event before the n-th bar, but for mergers survived."""
     w = Window.partitionBy("ticker").orderBy("date")
     whole = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = bars.where("closeadj > 0").withColumns({"rank": F.row_number().over(w), "last_rank": F.count(F.lit(1)).over(whole), "last_price": F.last("closeadj").over(whole), "last_date": F.last("date").over(whole)})
@@ -81,5 +83,5 @@ def forward_labels(bars: DataFrame, events: DataFrame, horizons: tuple[int, ...]
         out[f"fwd_ret_{n}td"] = F.when(p.isNotNull(), ratio(p, F.col("closeadj")) - 1).when(before, ratio("last_price", "closeadj") - 1)
         out[f"fwd_holding_days_{n}td"] = F.when(p.isNotNull(), F.lit(n).cast("long")).when(before, (F.col("last_rank") - F.col("rank")).cast("long"))
         out[f"fwd_delisted_{n}td"] = F.when(p.isNotNull(), F.lit(False)).when(before & F.col("end_type").isNotNull(), F.col("end_type") != "mergerfrom")
-        out[f"fwd_delist_type_{n}td"] = F.when(p.isNull(), F.col("end_type"))
+        out[f"fwd_delist_type_{n}td"] = F.when(p.isNull() & (F.col("end_type") != "mergerfrom"), F.col("end_type"))
     return d.select("ticker", "date", *[c.alias(k) for k, c in out.items()])

@@ -13,10 +13,6 @@ from .q_features import _ASOF, _PREV, RATIO_COLUMNS
 from .q_prices import PRICE_SQL
 from .q_universe import CLEAN, CORE, LABELS, TERMINAL
 
-@query("panel_profile", "bars vendor", "SELECT count(*) AS n, count(DISTINCT ticker) AS tickers, count(DISTINCT date) AS dates, " + q6("avg(CASE WHEN pe IS NULL THEN 1.0 ELSE 0.0 END)") + " AS pe_null, min(date) AS first_date, max(date) AS last_date FROM vendor")
-def panel_profile(r):
-    return r.vendor.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticker").alias("tickers"), F.countDistinct("date").alias("dates"), r6(C.share(F.col("pe").isNull())).alias("pe_null"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-
 
 def _row(check, subject, value, lo, hi):
     """One report row in SQL; the value is rounded before it is judged."""
@@ -63,7 +59,7 @@ _OUT = {k: f"avg(CASE WHEN {k} < 0 OR {k} > {hi} THEN 1.0 ELSE 0.0 END)" for k,
 
 @query("check_ranges", "bars art", f"WITH pit AS MATERIALIZED (SELECT b.ticker, b.date, {RATIO_COLUMNS} FROM bars b {_ASOF} {_PREV}) " + _report([_row("range", k, f"SELECT {q6(e)} FROM pit", 0, 0.05) for k, e in _OUT.items()]))
 def check_ranges(r):
-    d = FU.fundamental_pit(r.bars.select("ticker", "date", "closeadj"), r.art).select(*[r6(k).alias(k) for k in _RANGES])
+    d = FU.with_ratios(r.bars.select("ticker", "date", "closeadj"), r.art).select(*[r6(k).alias(k) for k in _RANGES])
     return C.report(d.agg(*[r6(C.share((F.col(k) < 0) | (F.col(k) > hi))).alias(k) for k, hi in _RANGES.items()]), {k: ("range", 0, 0.05) for k in _RANGES})
 
 
@@ -76,7 +72,7 @@ NUMERIC = (*PR.FEATURES, *FU.RATIOS)
 
 @query("check_null_rates", "bars art", f"{_PANEL} " + " UNION ALL ".join(f"SELECT '{c}' AS subject, {q6(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} AS rate, coalesce(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) > 0.8, false) AS sparse FROM panel" for c in NUMERIC))
 def check_null_rates(r):
-    d = PR.price_features(r.bars).select("ticker", "date", *PR.FEATURES).join(FU.fundamental_pit(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", *FU.RATIOS), ["ticker", "date"])
+    d = PR.price_features(r.bars).select("ticker", "date", *PR.FEATURES).join(FU.with_ratios(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", *FU.RATIOS), ["ticker", "date"])
     return C.null_rates(d, list(NUMERIC)).select("subject", r6("rate").alias("rate"), (F.col("rate") > 0.8).alias("sparse"))
 
 

@@ -7,9 +7,11 @@ from ..operators import fundamentals as FU
 from ..operators import holdings as H
 from ..operators import peers as P
 from ..operators import prices as PR
+from ..operators import quality as Q
 from ..operators import series as S
-from ..operators.asof import asof_join
+from ..operators.asof import Facts, asof_join, asof_joins
 from ..registry import query
+from .q_quality import METRICS, SPINE, YEARS
 
 GRID = ["ticker", "date", "closeadj"]
 
@@ -36,10 +38,19 @@ def asof_prior_year(r):
     return d.select("ticker", "date", "prev_datekey", "prev_epsdil")
 
 
-@query("staleness", "bars art", f"SELECT b.ticker, b.date, datediff('day', f.datekey, b.date) AS days_since_filing, {q6('datediff(' + chr(39) + 'day' + chr(39) + ', f.datekey, b.date) / 91.0')} AS quarters_stale FROM bars b {_ASOF}")
+_SINCE = "datediff('day', {0}, b.date)"
+_LATER = "greatest(f.datekey, q.vintage)"
+STALE_SQL = f"""{_LATER} AS datekey, {_SINCE.format(_LATER)} AS days_since_filing, {q6(_SINCE.format(_LATER) + ' / 91.0')} AS quarters_stale, {_SINCE.format('f.datekey')} AS days_since_art, {_SINCE.format('q.vintage')} AS days_since_arq,
+CASE WHEN f.datekey IS NOT NULL OR q.vintage IS NOT NULL THEN greatest(coalesce({_SINCE.format('f.datekey')}, 0), coalesce({_SINCE.format('q.vintage')}, 0)) END AS days_since_filing_max"""
+_SPINE_ASOF = "ASOF LEFT JOIN spine q ON b.ticker = q.ticker AND b.date >= q.vintage"
+
+
+@query("staleness", "bars art arq ary", f"WITH {SPINE} SELECT b.ticker, b.date, {STALE_SQL} FROM bars b {_ASOF} {_SPINE_ASOF}")
 def staleness(r):
-    d = FU.staleness(FU.with_latest(r.bars.select("ticker", "date"), r.art, "art_", []), "art_datekey")
-    return d.select("ticker", "date", "days_since_filing", r6("quarters_stale").alias("quarters_stale"))
+    """The ages of the trailing-year filing and of the last vintage; entities without annual filings, and days before the first, have one or none."""
+    facts = [Facts(FU.known_filings(r.art, "art_", []), "_at", ["art_datekey"], ["_period"]), Facts(Q.vintages(r.arq, r.ary).withColumn("arq_datekey", F.col("vintage")), "vintage", ["arq_datekey"])]
+    d = FU.staleness(asof_joins(r.bars.select("ticker", "date"), "ticker", "date", facts))
+    return d.select("ticker", "date", *FU.STALENESS).withColumn("quarters_stale", r6("quarters_stale"))
 
 
 _POS = "CASE WHEN ({b}) > 0 THEN ({a}) / ({b}) END"
@@ -49,11 +60,15 @@ def pos(a, b):
     return _POS.format(a=a, b=b)
 
 
+def nonzero(a, b):
+    return f"({a}) / nullif({b}, 0)"
+
+
 _CAP, _SALES, _FREE = "CASE WHEN f.shareswa > 0 THEN b.closeadj * f.shareswa END", "coalesce(f.revenueusd, f.revenue)", "(f.ncfo + f.capex)"
 _RATIO_SQL = {
-    "fcf_conversion": f"{_FREE} / nullif(f.netinccmn, 0)", "accrual": "(f.netinccmn - f.ncfo) / nullif(f.assets, 0)", "sbc_pct": pos("f.sbcomp", _SALES), "capex_intensity": pos("abs(f.capex)", _SALES), "fcf_recon_ttm": _FREE,
-    "pcf": pos(_CAP, "f.ncfo"), "pfcf": f"({_CAP}) / nullif({_FREE}, 0)", "ncfo_to_revenue": pos("f.ncfo", _SALES), "fcf_to_revenue": pos(_FREE, _SALES), "pe": pos(_CAP, "f.netinccmn"), "pb": pos(_CAP, "f.equity"), "ps": pos(_CAP, _SALES),
-    "evebitda": pos(f"({_CAP}) + coalesce(f.debt, 0) - coalesce(f.cashnequsd, 0)", "f.ebitda"), "dividend_yield": "coalesce(f.divyield, f.dps / nullif(b.closeadj, 0))", "roe": "coalesce(f.roe, f.netinccmn / nullif(f.equity, 0))", "pretax_margin": pos("f.ebt", _SALES),
+    "fcf_conversion": f"{_FREE} / nullif(f.netinccmn, 0)", "accrual": "(f.netinccmn - f.ncfo) / nullif(f.assets, 0)", "sbc_pct": pos("f.sbcomp", _SALES), "capex_intensity": nonzero("abs(f.capex)", _SALES), "fcf_recon_ttm": _FREE,
+    "pcf": pos(_CAP, "f.ncfo"), "pfcf": f"({_CAP}) / nullif({_FREE}, 0)", "ncfo_to_revenue": nonzero("f.ncfo", _SALES), "fcf_to_revenue": nonzero(_FREE, _SALES), "pe": pos(_CAP, "f.netinccmn"), "pb": pos(_CAP, "f.equity"), "ps": nonzero(_CAP, _SALES),
+    "evebitda": pos(f"({_CAP}) + coalesce(f.debt, 0) - coalesce(f.cashnequsd, 0)", "f.ebitda"), "dividend_yield": "coalesce(f.divyield, f.dps / nullif(b.closeadj, 0))", "roe": "coalesce(f.roe, f.netinccmn / nullif(f.equity, 0))", "pretax_margin": nonzero("f.ebt", _SALES),
     "current_ratio": "f.currentratio", "debt_to_equity": "f.debt / nullif(f.equity, 0)", "liabilities_to_assets": "f.liabilities / nullif(f.assets, 0)", "payout": "f.dps / nullif(f.epsdil, 0)", "eps_growth": "(f.epsdil - p.epsdil) / nullif(p.epsdil, 0)",
 }
 RATIO_COLUMNS = ", ".join(f"{q6(_RATIO_SQL[k])} AS {k}" for k in FU.RATIOS)
@@ -66,10 +81,19 @@ def valuation_ratios(r):
     return d.select("ticker", "date", *[r6(k).alias(k) for k in FU.RATIOS])
 
 
-@query("fundamental_pit", "bars art", f"SELECT b.ticker, b.date, f.datekey AS art_datekey, datediff('day', f.datekey, b.date) AS days_since_filing, {RATIO_COLUMNS} FROM bars b {_ASOF} {_PREV}")
+PIT = f"""{YEARS}, qm AS MATERIALIZED ({METRICS}), pit AS MATERIALIZED (SELECT b.ticker, b.date, f.datekey AS art_datekey, q.vintage AS arq_datekey, {STALE_SQL}, {', '.join(f'q.{m}' for m in Q.METRICS)}, {RATIO_COLUMNS}
+FROM bars b {_ASOF} {_PREV} ASOF LEFT JOIN qm q ON b.ticker = q.ticker AND b.date >= q.vintage)"""
+PIT_COLUMNS = ("art_datekey", "arq_datekey", *FU.STALENESS, *Q.METRICS, *FU.RATIOS)
+
+
+def pit(r):
+    d = FU.fundamental_pit(r.bars.select(*GRID), r.art, Q.quality_metrics(r.arq, r.ary))
+    return d.select("ticker", "date", *[c if c.endswith("datekey") or c.startswith("days") else r6(c).alias(c) for c in PIT_COLUMNS])
+
+
+@query("fundamental_pit", "bars art arq ary", f"WITH {PIT} SELECT * FROM pit")
 def fundamental_pit(r):
-    d = FU.fundamental_pit(r.bars.select(*GRID), r.art)
-    return d.select("ticker", "date", "art_datekey", "days_since_filing", *[r6(k).alias(k) for k in FU.RATIOS])
+    return pit(r)
 
 
 @query("valuation_current", "bars art", f"SELECT b.ticker, b.date, {q6('b.closeadj * f.shareswa / nullif(f.ncfo, 0)')} AS pcf, {q6('b.closeadj * f.shareswa / nullif(f.equity, 0)')} AS pb FROM (SELECT ticker, max(date) AS date, arg_max(closeadj, date) AS closeadj FROM bars GROUP BY ticker) b {_ASOF}")
@@ -114,10 +138,10 @@ def macro_change(r):
     return S.with_change(r.series.withColumn("series", F.lit("vix")), 20, "c").select("date", r6("c").alias("change_20"))
 
 
-@query("macro_yoy_real_rate", "series", f"SELECT date, {q6('(value - lag(value, 252) OVER (ORDER BY date)) / nullif(lag(value, 252) OVER (ORDER BY date), 0) * 100')} AS cpi_yoy, {q6('value - coalesce((value - lag(value, 252) OVER (ORDER BY date)) / nullif(lag(value, 252) OVER (ORDER BY date), 0) * 100, 0)')} AS real_rate FROM series")
+@query("macro_yoy_real_rate", "series", f"SELECT date, {q6('(value - lag(value, 252) OVER (ORDER BY date)) / nullif(lag(value, 252) OVER (ORDER BY date), 0) * 100')} AS cpi_yoy, {q6('value - (value - lag(value, 252) OVER (ORDER BY date)) / nullif(lag(value, 252) OVER (ORDER BY date), 0) * 100')} AS real_rate FROM series")
 def macro_yoy_real_rate(r):
     d = S.with_growth(r.series.withColumn("series", F.lit("cpi")), 252, "g")
-    return d.select("date", r6("g").alias("cpi_yoy"), r6(F.col("value") - F.coalesce("g", F.lit(0.0))).alias("real_rate"))
+    return d.select("date", r6("g").alias("cpi_yoy"), r6(S.real_rate("value", "g")).alias("real_rate"))
 
 
 _BT = ", ".join(f"{q6(f'closeadj / nullif(lag(closeadj, {n}) OVER (ORDER BY date), 0) - 1')} AS ret_{k}" for k, n in (("1m", 21), ("3m", 63), ("6m", 126), ("12m", 252)))

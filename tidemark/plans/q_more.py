@@ -153,7 +153,7 @@ def check_rederive(r):
     until = F.lead("datekey").over(Window.partitionBy("ticker").orderBy("datekey", "reportperiod"))
     f = r.art.select("ticker", "datekey", until.alias("until"), "shareswa", "netinccmn")
     p = PR.with_returns(r.bars).select("ticker", "date", "ret_12m")
-    pit = FU.fundamental_pit(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", r6("pe").alias("pe"))
+    pit = FU.with_ratios(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", r6("pe").alias("pe"))
     a, b = k.join(old, ["ticker", "k"], "left").alias("a"), f.alias("f")
     known = (F.col("a.ticker") == F.col("f.ticker")) & (F.col("f.datekey") <= F.col("a.date")) & (F.col("f.until").isNull() | (F.col("a.date") < F.col("f.until")))
     d = a.join(b, known, "left").select("a.*", "shareswa", "netinccmn").join(p, ["ticker", "date"]).join(pit, ["ticker", "date"])

@@ -3,45 +3,45 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import q6, r6
-from ..operators import fundamentals as FU
 from ..operators import holdings as H
 from ..operators import peers as P
 from ..operators import prices as PR
-from ..operators import quality as Q
 from ..operators import series as S
 from ..operators import universe as U
-from ..operators.asof import asof_join
 from ..registry import query
-from .q_features import _ASOF, _BT, _INST, _PREV, _VINTAGE, INSIDER, RATIO_COLUMNS
+from ..sources.stages import Stages
+from .q_features import _BT, _INST, _VINTAGE, INSIDER, PIT, pit
 from .q_prices import PRICE_SQL
-from .q_quality import METRIC_COLUMNS, METRICS, YEARS
-from .q_universe import CORE, LABELS
+from .q_universe import CORE, LABELS, UNIVERSE
 
 RATES = ("yield_curve", "hy_spread", "ig_spread", "fed_funds", "dgs10")
-_GROWTH = "(vix - lag(vix, 252) OVER (ORDER BY x.date)) / nullif(lag(vix, 252) OVER (ORDER BY x.date), 0) * 100"
+_BACK = "lag({0}, {1}) OVER (ORDER BY x.date)"
+_GROWTH = f"(cpi - {_BACK.format('cpi', 252)}) / nullif({_BACK.format('cpi', 252)}, 0) * 100"
 _RETURNS = _BT.replace("ret_", "market_ret_")
+_CARRIED = "{0} AS (SELECT d.date, s.value AS {1} FROM d ASOF LEFT JOIN {2} s ON d.date >= s.date)"
 MACRO = f"""{_VINTAGE}, nf AS (SELECT k.date, v.value AS nfci FROM known k ASOF LEFT JOIN v ON k.vintage = v.vintage_date AND k.date >= v.observation_date),
-x AS (SELECT d.date, s.value AS vix FROM d ASOF LEFT JOIN series s ON d.date >= s.date),
-{", ".join(f"r_{k} AS (SELECT d.date, s.value AS {k} FROM d ASOF LEFT JOIN (SELECT * FROM rates WHERE series = '{k}') s ON d.date >= s.date)" for k in RATES)},
+{_CARRIED.format("x", "vix", "series")}, {_CARRIED.format("r_cpi", "cpi", "cpi")},
+{", ".join(_CARRIED.format(f"r_{k}", k, f"(SELECT * FROM rates WHERE series = '{k}')") for k in RATES)},
 bt AS (SELECT date, CASE WHEN closeadj > avg(closeadj) OVER (ORDER BY date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) THEN 1.0 ELSE 0.0 END::DOUBLE AS market_above_ma200, {_RETURNS} FROM benchmark_bars),
-macro AS MATERIALIZED (SELECT x.date, vix, {q6('vix - lag(vix, 20) OVER (ORDER BY x.date)')} AS vix_change_20d, nfci, {", ".join(RATES[:4])}, {q6(_GROWTH)} AS cpi_yoy, {q6(f'dgs10 - coalesce({_GROWTH}, 0)')} AS real_rate,
-market_above_ma200, market_ret_1m, market_ret_3m, market_ret_6m, market_ret_12m FROM x JOIN nf USING (date) {" ".join(f"JOIN r_{k} USING (date)" for k in RATES)} JOIN bt USING (date))"""
-MACRO_ROLES = "bars vintages series rates benchmark_bars"
+macro AS MATERIALIZED (SELECT x.date, vix, {q6(f'vix - {_BACK.format("vix", 20)}')} AS vix_change_20d, nfci, {", ".join(RATES[:4])}, {q6(_GROWTH)} AS cpi_yoy, {q6(f'dgs10 - {_GROWTH}')} AS real_rate,
+market_above_ma200, market_ret_1m, market_ret_3m, market_ret_6m, market_ret_12m FROM x JOIN nf USING (date) {" ".join(f"JOIN r_{k} USING (date)" for k in ("cpi", *RATES))} LEFT JOIN bt USING (date))"""
+MACRO_ROLES = "bars vintages series rates cpi benchmark_bars"
 
 
 def macro(r):
     """One row a date: every series as it was known that day, in long form by series until the last step."""
     days = r.bars.select("date").distinct()
-    long = S.carried(days.select("date", F.explode(F.array(*map(F.lit, RATES))).alias("series")), r.rates)
-    rates = long.groupBy("date").agg(*[F.max(F.when(F.col("series") == k, F.col("value"))).alias(k) for k in RATES])
-    vix = S.carried(days.withColumn("series", F.lit("vix")), r.series.withColumn("series", F.lit("vix")))
-    vix = S.with_growth(S.with_change(vix, 20, "c"), 252, "g")
+    named = lambda t, k: t.select("date", F.lit(k).alias("series"), "value")
+    observed = r.rates.select("date", "series", "value").unionByName(named(r.series, "vix")).unionByName(named(r.cpi, "cpi"))
+    long = S.carried(days.select("date", F.explode(F.array(*map(F.lit, (*RATES, "vix", "cpi")))).alias("series")), observed)
+    long = S.with_growth(S.with_change(long, 20, "change"), 252, "growth")
+    of = lambda k, c="value": F.max(F.when(F.col("series") == k, F.col(c)))
+    wide = long.groupBy("date").agg(of("vix").alias("vix"), of("vix", "change").alias("vix_change_20d"), of("cpi", "growth").alias("cpi_yoy"), *[of(k).alias(k) for k in RATES])
     trend = S.benchmark_trend(r.benchmark_bars.withColumn("ticker", F.lit("market")))
     trend = trend.select("date", F.col("above_ma200").alias("market_above_ma200"), *[r6(f"ret_{k}").alias(f"market_ret_{k}") for k in ("1m", "3m", "6m", "12m")])
     nfci = S.vintage_asof(days, r.vintages).select("date", F.col("value").alias("nfci"))
-    d = vix.join(nfci, "date").join(rates, "date").join(trend, "date")
-    real = F.col("dgs10") - F.coalesce("g", F.lit(0.0))
-    return d.select("date", F.col("value").alias("vix"), r6("c").alias("vix_change_20d"), "nfci", *RATES[:4], r6("g").alias("cpi_yoy"), r6(real).alias("real_rate"), *trend.columns[1:])
+    d = wide.join(nfci, "date").join(trend, "date", "left")
+    return d.select("date", "vix", r6("vix_change_20d").alias("vix_change_20d"), "nfci", *RATES[:4], r6("cpi_yoy").alias("cpi_yoy"), r6(S.real_rate("dgs10", "cpi_yoy")).alias("real_rate"), *trend.columns[1:])
 
 
 @query("macro_features", MACRO_ROLES, f"WITH {MACRO} SELECT * FROM macro")
@@ -50,18 +50,16 @@ def macro_features(r):
 
 
 OVER = ("pe", "pb", "ps", "pcf", "evebitda", "liabilities_to_assets")
-MINUS = ("roe", "ret_3m", "vol_60d")
-PIT = f"pit AS MATERIALIZED (SELECT b.ticker, b.date, f.datekey AS art_datekey, datediff('day', f.datekey, b.date) AS days_since_filing, {RATIO_COLUMNS} FROM bars b {_ASOF} {_PREV}), pf AS MATERIALIZED ({PRICE_SQL})"
-PEERS = f"""peer AS MATERIALIZED (SELECT pit.*, pf.ret_3m, pf.vol_60d, i.sector FROM pit JOIN pf USING (ticker, date) JOIN instruments i USING (ticker)),
+MINUS = ("roic_level", "ret_3m", "vol_20d")
+#: Ratios that the vendor gives too; its value comes first.
+VENDOR = ("pe", "pb", "ps", "evebitda")
+PRICES = f"pf AS MATERIALIZED ({PRICE_SQL})"
+PEERS = f"""peer AS MATERIALIZED (SELECT pit.ticker, pit.date, {", ".join(f"coalesce(v.{c}, pit.{c}) AS {c}" for c in VENDOR)}, pcf, liabilities_to_assets, roic_level, pf.ret_3m, pf.vol_20d, i.sector
+  FROM pit JOIN pf USING (ticker, date) JOIN instruments i USING (ticker) LEFT JOIN vendor v ON v.ticker = pit.ticker AND v.date = pit.date),
 pm AS (SELECT date, sector, {", ".join(f"median({c}) AS {c}_m" for c in OVER + MINUS)} FROM peer GROUP BY date, sector HAVING count(*) >= 5),
 relative AS MATERIALIZED (SELECT p.ticker, p.date, {", ".join(q6(f"CASE WHEN {c}_m > 0 THEN {c} / {c}_m END") + f" AS {c}_vs_peers" for c in OVER)}, {", ".join(q6(f"{c} - {c}_m") + f" AS {c}_minus_peers" for c in MINUS)},
-  {q6('percent_rank() OVER (PARTITION BY p.date, p.sector ORDER BY pe ASC NULLS LAST)')} AS pe_peer_rank FROM peer p LEFT JOIN pm ON p.date = pm.date AND p.sector = pm.sector)"""
-RELATIVE = (*[f"{c}_vs_peers" for c in OVER], *[f"{c}_minus_peers" for c in MINUS], "pe_peer_rank")
-
-
-def pit(r):
-    d = FU.fundamental_pit(r.bars.select("ticker", "date", "closeadj"), r.art)
-    return d.select("ticker", "date", "art_datekey", "days_since_filing", *[r6(k).alias(k) for k in FU.RATIOS])
+  {q6('percent_rank() OVER (PARTITION BY p.date, p.sector ORDER BY ret_3m ASC NULLS LAST)')} AS ret_3m_peer_rank FROM peer p LEFT JOIN pm ON p.date = pm.date AND p.sector = pm.sector)"""
+RELATIVE = (*[f"{c}_vs_peers" for c in OVER], *[f"{c}_minus_peers" for c in MINUS], "ret_3m_peer_rank")
 
 
 def price(r):
@@ -69,38 +67,57 @@ def price(r):
 
 
 def relative(r, fundamentals, prices):
-    d = fundamentals.select("ticker", "date", *OVER, "roe").join(prices.select("ticker", "date", "ret_3m", "vol_60d"), ["ticker", "date"]).join(r.instruments.select("ticker", "sector"), "ticker")
-    return P.relative(d, ["date", "sector"], list(OVER), list(MINUS), "pe").select("ticker", "date", *[r6(c).alias(c) for c in RELATIVE])
+    """Vendor ratios before those of the filings; the instrument's group is one row an entity."""
+    v = r.vendor.select("ticker", "date", *[F.col(c).alias(f"_{c}") for c in VENDOR])
+    d = fundamentals.select("ticker", "date", *OVER, "roic_level").join(prices.select("ticker", "date", "ret_3m", "vol_20d"), ["ticker", "date"]).join(v, ["ticker", "date"], "left")
+    d = d.withColumns({c: F.coalesce(f"_{c}", c) for c in VENDOR}).drop(*[f"_{c}" for c in VENDOR]).join(r.instruments.select("ticker", "sector"), "ticker")
+    return P.relative(d, ["date", "sector"], list(OVER), list(MINUS), "ret_3m").select("ticker", "date", *[r6(c).alias(c) for c in RELATIVE])
 
 
-@query("sector_relative", "bars art instruments", f"WITH {PIT}, {PEERS} SELECT * FROM relative")
+@query("sector_relative", "bars art arq ary instruments vendor", f"WITH {PIT}, {PRICES}, {PEERS} SELECT * FROM relative")
 def sector_relative(r):
     return relative(r, pit(r), price(r))
 
 
 INST = ("calendardate", "shrholders", "shrunits", "shrvalue", "shrholders_qoq", "shrunits_qoq", "shrvalue_qoq", "put_call_ratio")
 MASTER_ROLES = f"{MACRO_ROLES} instruments actions vendor art arq ary insider holdings"
-_SIDE = "LEFT JOIN {0} USING (ticker, date)"
-MASTER = f"""WITH {CORE}{LABELS}, {PIT}, {PEERS}, {MACRO}, ins AS ({INSIDER}), inst AS (SELECT b.ticker, b.date, {", ".join(INST)} FROM bars b {_INST}), {YEARS}, qm AS MATERIALIZED ({METRICS}),
-qual AS (SELECT b.ticker, b.date, q.* EXCLUDE (ticker) FROM bars b ASOF LEFT JOIN qm q ON b.ticker = q.ticker AND b.date >= q.vintage),
-master AS (SELECT c.ticker, c.date, c.sector, c.closeadj, v.marketcap, {", ".join(x + ".* EXCLUDE (ticker, date)" for x in ("pf", "pit", "relative", "ins", "inst", "qual", "labels"))}, macro.* EXCLUDE (date)
-FROM core c LEFT JOIN vendor v ON c.ticker = v.ticker AND c.date = v.date {" ".join(f"LEFT JOIN {x} ON c.ticker = {x}.ticker AND c.date = {x}.date" for x in ("pf", "pit", "relative", "ins", "inst", "qual", "labels"))} LEFT JOIN macro ON c.date = macro.date)"""
+SIDES = ("pf", "pit", "relative", "ins", "inst", "labels")
+MASTER = f"""WITH {CORE}, {UNIVERSE}{LABELS}, {PIT}, {PRICES}, {PEERS}, {MACRO}, ins AS ({INSIDER}), inst AS (SELECT b.ticker, b.date, {", ".join(INST)} FROM bars b {_INST}),
+master AS MATERIALIZED (SELECT c.ticker, c.date, c.sector, c.famaindustry, c.days_listed, c.scalemarketcap, c.marketcap_daily, c.fwd_spinoff_60d, c.closeadj, {", ".join(f"{x}.* EXCLUDE (ticker, date)" for x in SIDES)}, macro.* EXCLUDE (date)
+FROM universe c {" ".join(f"LEFT JOIN {x} ON c.ticker = {x}.ticker AND c.date = {x}.date" for x in SIDES)} LEFT JOIN macro ON c.date = macro.date)"""
+#: Tables that several steps of the merge read: written once, bucketed by entity.
+STAGED = ("lines", "bars", "quarters")
+_NULL_SHARES = {"ret_null": "ret_1m", "pcf_null": "pcf", "macro_null": "yield_curve"}
 
 
-def master(r):
-    """Universe rows with every feature and label column: each side is one row a key, hashed by ticker and date; macro is one row a date."""
+def merged(r):
+    """The universe with every feature and label column: all sides but macro, which is one row a date, are dealt by entity."""
     terminal = U.terminal_events(U.clean_actions(r.actions))
     grid = r.bars.select("ticker", "date")
-    fundamentals, prices = pit(r), price(r)
     insider = H.insider_features(grid, r.insider).withColumn("insider_net_ratio", r6("insider_net_ratio"))
     inst = H.institutional_features(grid, r.holdings).withColumns({c: r6(c) for c in INST[4:]}).select("ticker", "date", *INST)
-    metrics = Q.quality_metrics(r.arq, r.ary).select("ticker", "vintage", *[r6(c).alias(c) for c in METRIC_COLUMNS]).withColumn("at", F.col("vintage"))
     labels = U.forward_labels(r.bars, terminal)
     labels = labels.select(*[r6(c).alias(c) if c.startswith("fwd_ret") else c for c in labels.columns])
-    d = U.core(r.bars, r.instruments, U.removals(terminal)).select("ticker", "date", "sector", "closeadj")
-    for side in (r.vendor.select("ticker", "date", "marketcap"), prices, fundamentals, relative(r, fundamentals, prices), insider, inst, asof_join(grid, metrics, "ticker", "date", "at", ["vintage", *METRIC_COLUMNS]), labels):
+    d = U.daily_universe(r.bars, r.instruments, r.actions, r.vendor).where("in_universe").drop("in_universe")
+    return d, labels, insider, inst
+
+
+def master(r, by_year=True):
+    """The merged panel as a stage table, partitioned by year; its profile is checked as it is written: rows, entities, and macro values for
+    at least half of the rows where there are over 50 entities."""
+    stages = Stages(r.spark)
+    for name in STAGED:
+        r.put(name, stages.write(name, getattr(r, name), by_year=False))
+    fundamentals, prices = stages.write("fundamentals", pit(r)), stages.write("prices", price(r))
+    d, labels, insider, inst = merged(r)
+    for side in (prices, fundamentals, relative(r, fundamentals, prices), insider, inst, labels):
         d = d.join(side, ["ticker", "date"], "left")
-    return d.join(macro(r), "date", "left")
+    d = d.join(macro(r), "date", "left")
+    nulls = {k: F.avg(F.col(c).isNull().cast("double")) for k, c in _NULL_SHARES.items()}
+    entities = F.approx_count_distinct("ticker", 0.01)
+    profile = {"n": F.count(F.lit(1)), "entities": entities, "first_date": F.min("date"), "last_date": F.max("date"), **nulls, "macro_missing": F.when(entities > 50, nulls["macro_null"]).otherwise(0.0)}
+    expect = {"n": ("no rows", 1, None), "entities": ("no entities", 1, None), "macro_missing": ("macro values are missing", 0, 0.5)}
+    return stages.write("master", d, by_year, profile, expect).drop("year")
 
 
 @query("master_features", MASTER_ROLES, f"{MASTER} SELECT * FROM master")
@@ -110,5 +127,11 @@ def master_features(r):
 
 @query("merge_master", MASTER_ROLES, f"{MASTER} SELECT ticker, date, ret_1m, pcf, insider_buys, vix, fwd_ret_21td FROM master")
 def merge_master(r):
-    """The merge with a few columns of each side; what no column needs, Catalyst prunes."""
+    """A few columns of the merge, read back from its table: the scan is pruned to them."""
     return master(r).select("ticker", "date", "ret_1m", "pcf", "insider_buys", "vix", "fwd_ret_21td")
+
+
+@query("panel_profile", MASTER_ROLES, f"{MASTER} SELECT count(*) AS n, count(DISTINCT ticker) AS tickers, count(DISTINCT date) AS dates, {', '.join(f'{q6(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} AS {k}' for k, c in _NULL_SHARES.items())}, min(date) AS first_date, max(date) AS last_date FROM master")
+def panel_profile(r):
+    share = lambda c: r6(F.avg(F.col(c).isNull().cast("double")))
+    return master(r).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticker").alias("tickers"), F.countDistinct("date").alias("dates"), *[share(c).alias(k) for k, c in _NULL_SHARES.items()], F.min("date").alias("first_date"), F.max("date").alias("last_date"))

@@ -17,7 +17,7 @@ gone AS (SELECT DISTINCT ticker, date FROM clean WHERE action = 'delisted'),
 why AS (SELECT DISTINCT ticker, date, action AS reason FROM clean WHERE action IN ({_REASONS})),
 raw AS (SELECT g.ticker, g.date, coalesce(reason, 'unknown') AS reason FROM gone g LEFT JOIN why w ON g.ticker = w.ticker AND g.date = w.date)"""
 TERMINAL = RAW + """,
-terminal AS (SELECT ticker, date, reason FROM raw r WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.ticker = r.ticker AND c.action IN ('tickerchangefrom', 'tickerchangeto') AND abs(datediff('day', r.date, c.date)) <= 5)
+terminal AS (SELECT ticker, date, reason FROM raw r WHERE NOT EXISTS (SELECT 1 FROM clean c WHERE c.ticker = r.ticker AND c.action = 'tickerchangefrom' AND abs(datediff('day', r.date, c.date)) <= 5)
   QUALIFY row_number() OVER (PARTITION BY ticker, date ORDER BY CASE reason WHEN 'bankruptcyliquidation' THEN 1 WHEN 'regulatorydelisting' THEN 2 WHEN 'voluntarydelisting' THEN 3 WHEN 'acquisitionby' THEN 4 WHEN 'mergerfrom' THEN 5 ELSE 6 END) = 1),
 removed AS (SELECT ticker, min(date) AS removed FROM terminal WHERE reason <> 'mergerfrom' GROUP BY ticker)"""
 ELIGIBLE = "SELECT * FROM instruments WHERE exchange IN ('NYSE', 'NASDAQ', 'NYSEMKT') AND category = 'Domestic Common Stock' AND symbol NOT LIKE '%.%' AND upper(trim(currency)) = 'USD'"
@@ -81,8 +81,12 @@ def fwd_event_flag(r):
     return next_event_within(r.bars.select("ticker", "date"), U.clean_actions(r.actions).where("action = 'spinoff'"), "ticker", "date", "date", 60, "fwd_spinoff_60d")
 
 
-@query("daily_universe", "bars instruments actions vendor", f"""WITH {CORE}, f AS (SELECT c.ticker, c.date, bool_or(a.date IS NOT NULL) AS s FROM core c LEFT JOIN clean a ON a.action = 'spinoff' AND a.ticker = c.ticker AND a.date > c.date AND a.date <= c.date + 60 GROUP BY ALL)
-SELECT c.*, f.s AS fwd_spinoff_60d, marketcap, true AS in_universe FROM core c JOIN f ON c.ticker = f.ticker AND c.date = f.date LEFT JOIN vendor v ON c.ticker = v.ticker AND c.date = v.date""")
+_TIER = "CASE WHEN marketcap IS NULL THEN NULL WHEN marketcap::BIGINT < 50000000 THEN 1 WHEN marketcap::BIGINT < 300000000 THEN 2 WHEN marketcap::BIGINT < 2000000000 THEN 3 WHEN marketcap::BIGINT < 10000000000 THEN 4 WHEN marketcap::BIGINT < 200000000000 THEN 5 ELSE 6 END"
+UNIVERSE = f"""flagged AS (SELECT c.ticker, c.date, bool_or(a.date IS NOT NULL) AS s FROM core c LEFT JOIN clean a ON a.action = 'spinoff' AND a.ticker = c.ticker AND a.date > c.date AND a.date <= c.date + 60 GROUP BY ALL),
+universe AS MATERIALIZED (SELECT c.*, f.s AS fwd_spinoff_60d, marketcap::BIGINT AS marketcap_daily, {_TIER} AS scalemarketcap, true AS in_universe FROM core c JOIN flagged f ON c.ticker = f.ticker AND c.date = f.date LEFT JOIN vendor v ON c.ticker = v.ticker AND c.date = v.date)"""
+
+
+@query("daily_universe", "bars instruments actions vendor", f"WITH {CORE}, {UNIVERSE} SELECT * FROM universe")
 def daily_universe(r):
     return U.daily_universe(r.bars, r.instruments, r.actions, r.vendor)
 
@@ -102,7 +106,7 @@ _L = ", ".join(
     f"{q6(f'CASE WHEN p{n} IS NOT NULL THEN p{n} / closeadj - 1 WHEN rank < last_rank THEN last_price / closeadj - 1 END')} AS fwd_ret_{n}td, "
     f"CASE WHEN p{n} IS NOT NULL THEN {n} WHEN rank < last_rank THEN last_rank - rank END AS fwd_holding_days_{n}td, "
     f"CASE WHEN p{n} IS NOT NULL THEN false WHEN rank < last_rank AND reason IS NOT NULL THEN reason <> 'mergerfrom' END AS fwd_delisted_{n}td, "
-    f"CASE WHEN p{n} IS NULL THEN reason END AS fwd_delist_type_{n}td"
+    f"CASE WHEN p{n} IS NULL AND reason <> 'mergerfrom' THEN reason END AS fwd_delist_type_{n}td"
     for n in U.HORIZONS
 )
 LABELS = f""", ranked AS (SELECT *, {', '.join(f'lead(closeadj, {n}) OVER (PARTITION BY ticker ORDER BY date) AS p{n}' for n in U.HORIZONS)}, row_number() OVER (PARTITION BY ticker ORDER BY date) AS rank,

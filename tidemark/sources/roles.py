@@ -67,7 +67,8 @@ FROM (SELECT ticker, reportperiod, floor((sum(ncfo) OVER w) * 1e2 + 0.501) / 1e2
   row_number() OVER (PARTITION BY ticker ORDER BY reportperiod) AS rn FROM quarters WINDOW w AS (PARTITION BY ticker ORDER BY reportperiod ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)) WHERE rn >= 4"""),
     "vendor": (("bars", "instruments"), """
 SELECT b.ticker, b.date, closeadj * sum(volume) OVER (PARTITION BY b.ticker ORDER BY b.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marketcap, CASE WHEN b.ticker % 5 = 0 THEN NULL ELSE floor((closeadj / 100) * 1e4 + 0.501) / 1e4 END AS pe,
-  CASE WHEN b.ticker % 10 = 3 THEN NULL ELSE floor((closeadj / 500) * 1e4 + 0.501) / 1e4 END AS pb FROM bars b"""),
+  CASE WHEN b.ticker % 10 = 3 THEN NULL ELSE floor((closeadj / 500) * 1e4 + 0.501) / 1e4 END AS pb,
+  CASE WHEN b.ticker % 4 = 1 THEN NULL ELSE floor((closeadj / 300) * 1e4 + 0.501) / 1e4 END AS ps, CASE WHEN b.ticker % 3 = 1 THEN NULL ELSE floor((closeadj / 90) * 1e4 + 0.501) / 1e4 END AS evebitda FROM bars b"""),
     "insider": (("lines",), """
 SELECT ticker, CAST(date + 2 AS DATE) AS filingdate, CASE l_returnflag WHEN 'A' THEN 'P' WHEN 'R' THEN 'S' ELSE 'M' END AS transactioncode, CASE WHEN l_linestatus = 'O' THEN ' y' ELSE 'N' END AS isofficer,
   CAST(qty AS DOUBLE) AS transactionshares, CAST(qty * l_linenumber * 10 AS DOUBLE) AS sharesownedbeforetransaction FROM lines WHERE l_linenumber <= 2"""),
@@ -81,6 +82,8 @@ SELECT CAST(o_orderdate AS DATE) AS date, floor((CAST(sum(CAST(floor(o_totalpric
 SELECT date, series, value - CASE WHEN series = 'yield_curve' THEN 1.5 ELSE 0 END AS value FROM (
   SELECT CAST(o_orderdate AS DATE) AS date, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'yield_curve' WHEN '2' THEN 'hy_spread' WHEN '3' THEN 'ig_spread' WHEN '4' THEN 'fed_funds' ELSE 'dgs10' END AS series,
     floor((CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 10000000) * 1e6 + 0.501) / 1e6 AS value FROM orders GROUP BY 1, 2) x"""),
+    "cpi": ((), """
+SELECT last_day(CAST(o_orderdate AS DATE)) AS date, floor((CAST(sum(CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT)) AS DOUBLE) / count(*) / 100000) * 1e6 + 0.501) / 1e6 AS value FROM orders GROUP BY 1"""),
     "splits": (("marked",), "SELECT DISTINCT ticker, date, CAST(2 + l_orderkey % 9 AS DOUBLE) AS value FROM marked WHERE p = '3'"),
     "vintages": (("series",), """
 SELECT observation_date, CAST(observation_date + 15 AS DATE) AS vintage_date, value FROM (SELECT last_day(date) AS observation_date, floor((sum(value) / count(*)) * 1e6 + 0.501) / 1e6 AS value FROM series GROUP BY 1)
@@ -113,6 +116,10 @@ class Roles:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def put(self, name: str, frame: DataFrame) -> None:
+        """Use ``frame``, for instance a written table, for a role from now on, also in roles that read it."""
+        self._found[name] = frame
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in ROLES:
             raise AttributeError(name)
