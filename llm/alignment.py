@@ -5,9 +5,9 @@ both end is a shared cut; the cuts part the tokens into groups, and every A toke
 token of it. The cuts are found by divide and conquer: in an interval, the end of an A token nearest to the middle that
 bisect also finds among the ends of B; both halves follow, and an interval without such an end is one group.
 
-No token of either vocabulary goes from a character that is no white space over to a space or line feed (checked
-when the vocabularies are loaded: other places are not cut), so texts are first halved there, at places that need no
-search, and each distinct chunk is encoded and aligned once a worker, which remembers a bounded number of them. Texts with
+No token of either vocabulary goes from a character that is no white space over to a space or line feed, or from a letter
+over to a punctuation mark (checked when the vocabularies are loaded: other places are not cut), so texts are first cut
+there, at places that need no search, and each distinct chunk is encoded and aligned once a worker, which remembers a bounded number of them. Texts with
 rarer white space are encoded and aligned whole. Chunks are told apart by 64-bit fingerprints.
 
 How many documents hold a pair of ids linked is counted over the whole corpus. Of these counts, the most frequent
@@ -29,6 +29,7 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from string import ascii_letters, punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -106,11 +107,19 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.codes = size
         self.a_text, self.b_text = {i: str(i) for i in self.a_bytes}, [str(i) for i in range(size)]
-        #: Bytes before which a chunk may begin: no token holds one of them after a character that is no white space.
-        tokens = [t.decode(errors="replace") for t in (*self.a_bytes.values(), *self.b_bytes)]
-        inside = {t[k] for t in tokens for k in range(1, len(t)) if t[k] in " \n" and not t[k - 1].isspace()}
+        #: Bytes before which a chunk may begin: no token holds one of them after a character that is no white space, or, of the marks, after a letter.
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        tokens = [t for i, t in self.a_bytes.items() if self.a.id_to_token(i) not in special] + [t for i, t in enumerate(self.b_bytes) if not (self.b.is_control(i) or self.b.is_unknown(i))]
+        inside = {t[k] for t in (t.decode(errors="replace") for t in tokens) for k in range(1, len(t)) if t[k] in " \n" and not t[k - 1].isspace()}
         self.begins = np.zeros(256, bool)
         self.begins[[ord(c) for c in " \n" if c not in inside]] = True
+        self.letter = np.zeros(256, bool)
+        self.letter[list(ascii_letters.encode())] = True
+        # a letter's last byte, also of the letters from U+00C0 to U+00FF, which are 0xC3 and one more byte
+        tail = lambda t, k: self.letter[t[k]] or 0x80 <= t[k] < 0xC0 and (k == 0 or t[k - 1] == 0xC3)
+        after = {t[k] for t in tokens for k in range(1, len(t)) if t[k] < 0x80 and tail(t, k - 1)}
+        self.marks = np.zeros(256, bool)
+        self.marks[[c for c in punctuation.encode() if c not in after]] = True
         self.white = np.zeros(256, bool)
         self.white[list(_WHITE.encode())] = True
         self.forget()
@@ -157,7 +166,7 @@ class Pair:
         return (len(a), len(b), len(groups), n, 1), ";".join(out), found
 
     def _b(self, texts: list[str]) -> list[list[int]]:
-        """B's tokens of texts that begin with white space; an x before each keeps the model from adding one."""
+        """B's tokens of texts that begin where a token does; an x before each keeps the model from adding white space."""
         return [t[1:] for t in self.b.encode(["x" + t for t in texts], num_threads=1)]
 
     def learn(self, keys: list[int], chunks: list[bytes]) -> None:
@@ -183,7 +192,9 @@ class Pair:
         """(row, chunk) of each chunk of rows laid end to end, each with its space before it, and whether a row comes back byte for byte."""
         n = len(off) - 1
         first = np.zeros(len(raw), bool)
-        first[1:] = self.begins[raw[1:]] & ~self.white[raw[:-1]]
+        letter = self.letter[raw]
+        letter[1:] |= (raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7)  # but for the signs of multiplication and division
+        first[1:] = self.begins[raw[1:]] & ~self.white[raw[:-1]] | self.marks[raw[1:]] & letter[:-1]
         first[off[:-1]] = True
         start = np.flatnonzero(first)
         end = np.append(start[1:], len(raw))
