@@ -16,6 +16,16 @@ def q6(e: str) -> str:
     return f"floor(({e}) * 1e6 + 0.501) / 1e6"
 
 
+def r4(c: Column | str) -> Column:
+    """Four decimals, as `r6`."""
+    return F.floor((F.col(c) if isinstance(c, str) else c) * 1e4 + 0.501) / 1e4
+
+
+def q4(e: str) -> str:
+    """`r4` in SQL."""
+    return f"floor(({e}) * 1e4 + 0.501) / 1e4"
+
+
 def ratio(a: Column | str, b: Column | str) -> Column:
     """a / b, null where b is 0 or null."""
     return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)

@@ -65,7 +65,8 @@ def known_filings(filings: DataFrame, prefix: str, payload: list[str]) -> DataFr
     return filings.select("ticker", F.col("datekey").alias("_at"), F.col("reportperiod").alias("_period"), *[F.col(c).alias(f"{prefix}{c}") for c in ("datekey", "reportperiod", *payload)])
 
 
-def _known(art: DataFrame) -> list[Facts]:
+def known(art: DataFrame) -> list[Facts]:
+    """The filing known on a date, and the one known a year before it, for `asof_joins`."""
     return [
         Facts(known_filings(art, "art_", FILED), "_at", [f"art_{c}" for c in ("datekey", *FILED)], ["_period"]),
         Facts(known_filings(art, "prev_", ["epsdil"]), year_after("_at"), ["prev_epsdil"], ["_at", "_period"]),
@@ -74,7 +75,7 @@ def _known(art: DataFrame) -> list[Facts]:
 
 def with_ratios(grid: DataFrame, art: DataFrame) -> DataFrame:
     """``grid`` (ticker, date, closeadj) with the ratios of what was on file each day."""
-    return ratios(asof_joins(grid, "ticker", "date", _known(art)))
+    return ratios(asof_joins(grid, "ticker", "date", known(art)))
 
 
 def fundamental_pit(grid: DataFrame, art: DataFrame, quality: DataFrame) -> DataFrame:
@@ -82,4 +83,4 @@ def fundamental_pit(grid: DataFrame, art: DataFrame, quality: DataFrame) -> Data
     before, the quality metrics of the last vintage, and the ages of both. ``quality`` is `quality.quality_metrics`; three as-of joins in one exchange."""
     metrics = [c for c in quality.columns if c not in ("ticker", "vintage")]
     vintages = Facts(quality.withColumn("arq_datekey", F.col("vintage")), "vintage", ["arq_datekey", *metrics])
-    return staleness(ratios(asof_joins(grid, "ticker", "date", [*_known(art), vintages])))
+    return staleness(ratios(asof_joins(grid, "ticker", "date", [*known(art), vintages])))

@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 from ..functions.columns import q6, r6
 from ..operators import checks as C
 from ..operators import fundamentals as FU
+from ..operators import holding as HD
 from ..operators import prices as PR
+from ..operators import quality as Q
 from ..operators import universe as U
+from ..operators.quantiles import exact_quantiles, quantile_row
 from ..registry import query
 from .q_features import _ASOF, _PREV, RATIO_COLUMNS
 from .q_prices import PRICE_SQL
+from .q_quality import METRICS, YEARS
 from .q_universe import CLEAN, CORE, LABELS, TERMINAL
 
 
@@ -45,7 +49,8 @@ def check_staleness(r):
 
 @query("check_percentiles", "bars", f"SELECT {', '.join(f'{q6(f'quantile_cont(closeadj, {p})')} AS p{round(p * 100):02d}' for p in (0.01, 0.25, 0.5, 0.75, 0.99))} FROM bars")
 def check_percentiles(r):
-    return r.bars.agg(*[r6(F.percentile("closeadj", p)).alias(f"p{round(p * 100):02d}") for p in (0.01, 0.25, 0.5, 0.75, 0.99)])
+    d = quantile_row(r.bars, {f"p{round(p * 100):02d}": ("closeadj", p) for p in (0.01, 0.25, 0.5, 0.75, 0.99)})
+    return d.select(*[r6(c).alias(c) for c in d.columns])
 
 
 @query("check_duplicates", "lines", "SELECT ticker, date, count(*) AS n FROM lines GROUP BY ticker, date HAVING count(*) > 1")
@@ -96,20 +101,19 @@ def check_cross_feature_corr(r):
     return r.vendor.agg(r6(F.corr("pe", "pb")).alias("pe_pb"))
 
 
-_PAIRS = [(a, b) for k, a in enumerate(PR.FEATURES) for b in PR.FEATURES[k + 1 :]]
+DESCRIBED = ("high", "low", "volume", "closeadj", "ret_1m", "ret_12m", "vol_20d", "pct_52w_range", "ma50_cross")
+_QUARTERS = {"q25": 0.25, "median": 0.5, "q75": 0.75}
+_DESCRIBE = " UNION ALL ".join(f"SELECT '{c}' AS subject, count({c}) AS n, count(*) - count({c}) AS nulls, min({c})::DOUBLE AS lo, max({c})::DOUBLE AS hi, {q6(f'avg({c})')} AS mean, {q6(f'stddev_samp({c})')} AS std, {', '.join(f'{q6(f'quantile_cont({c}, {p})')} AS {k}' for k, p in _QUARTERS.items())} FROM x" for c in DESCRIBED)
 
 
-@query("feature_corr_matrix", "bars", f"WITH pf AS MATERIALIZED ({PRICE_SQL}), c AS (SELECT " + ", ".join(f"corr({a}, {b}) AS {a}__{b}" for a, b in _PAIRS) + " FROM pf) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN isfinite({a}__{b}) THEN {q6(f'{a}__{b}')} END AS corr FROM c" for a, b in _PAIRS))
-def feature_corr_matrix(r):
-    """Every pair of price features, over the rows where both are known, in one pass."""
-    d = PR.price_features(r.bars).select(*[r6(c).alias(c) for c in PR.FEATURES]).agg(*[F.corr(a, b).alias(f"{a}__{b}") for a, b in _PAIRS])
-    cells = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.when(~F.isnan(f"{a}__{b}"), r6(f"{a}__{b}")).alias("corr")) for a, b in _PAIRS])
-    return d.select(F.explode(cells).alias("x")).select("x.*")
-
-
-@query("feature_describe", "bars", f"SELECT count(closeadj) AS n, min(closeadj) AS lo, max(closeadj) AS hi, {q6('avg(closeadj)')} AS mean, {q6('stddev_samp(closeadj)')} AS std, {q6('quantile_cont(closeadj, 0.5)')} AS median FROM bars")
+@query("feature_describe", "bars", f"WITH p AS ({PRICE_SQL}), x AS MATERIALIZED (SELECT * FROM bars JOIN p USING (ticker, date)) {_DESCRIBE}")
 def feature_describe(r):
-    return r.bars.agg(F.count("closeadj").alias("n"), F.min("closeadj").alias("lo"), F.max("closeadj").alias("hi"), r6(F.avg("closeadj")).alias("mean"), r6(F.stddev_samp("closeadj")).alias("std"), r6(F.median("closeadj")).alias("median"))
+    """Counts, nulls, range, mean, deviation and quartiles of columns, a row each; quartiles by counting, in no single task."""
+    d = PR.price_features(r.bars).select(*[r6(c).alias(c) if c in PR.FEATURES else c for c in DESCRIBED])
+    one = lambda c: F.struct(F.lit(c).alias("subject"), F.count(c).alias("n"), (F.count(F.lit(1)) - F.count(c)).alias("nulls"), F.min(c).cast("double").alias("lo"), F.max(c).cast("double").alias("hi"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"))
+    own = d.agg(F.array(*map(one, DESCRIBED)).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    q = exact_quantiles(d, list(DESCRIBED), list(_QUARTERS.values())).groupBy("subject").agg(*[r6(F.max(F.when(F.col("p") == p, F.col("value")))).alias(k) for k, p in _QUARTERS.items()])
+    return own.join(q, "subject", "left")
 
 
 @query("check_jumps", "bars", f"SELECT ticker, date, {q6('closeadj / pc - 1')} AS jump FROM (SELECT *, lag(closeadj) OVER (PARTITION BY ticker ORDER BY date) AS pc FROM bars) WHERE abs(closeadj / pc - 1) > 0.95")
@@ -172,10 +176,13 @@ def check_label_rate(r):
     return C.report(d, {"delisted_63td": ("labels", 0.02, 0.05)})
 
 
-@query("check_median_bands", "bars", f"WITH p AS ({PRICE_SQL}) " + _report([_row("median", "vol_20d", f"SELECT {q6('median(vol_20d)')} FROM p", 0.1, 0.8), _row("median", "atr_14d", f"SELECT {q6('median(atr_14d)')} FROM p", None, 0.1)]))
+@query("check_median_bands", "bars arq ary", f"WITH {YEARS}, qm AS MATERIALIZED ({METRICS}), p AS ({PRICE_SQL}) " + _report([_row("median", "vol_20d", f"SELECT {q6('median(vol_20d)')} FROM p", 0.1, 0.8), _row("median", "atr_14d", f"SELECT {q6('median(atr_14d)')} FROM p", None, 0.1), _row("nulls", "quality_null", "SELECT " + q6("avg(CASE WHEN ncfo_r2_10y IS NULL THEN 1.0 ELSE 0.0 END)") + " FROM qm", 0, 0.4)]))
 def check_median_bands(r):
-    d = PR.price_features(r.bars).select(r6("vol_20d").alias("vol_20d"), r6("atr_14d").alias("atr_14d")).agg(r6(F.median("vol_20d")).alias("vol_20d"), r6(F.median("atr_14d")).alias("atr_14d"))
-    return C.report(d, {"vol_20d": ("median", 0.1, 0.8), "atr_14d": ("median", None, 0.1)})
+    """Medians of volatility and true range, and how often the quality trend is unknown."""
+    p = PR.price_features(r.bars).select(r6("vol_20d").alias("vol_20d"), r6("atr_14d").alias("atr_14d"))
+    m = quantile_row(p, {c: (c, 0.5) for c in p.columns}).select(*[r6(c).alias(c) for c in p.columns])
+    q = Q.quality_metrics(r.arq, r.ary).agg(r6(C.share(F.col("ncfo_r2_10y").isNull())).alias("quality_null"))
+    return C.report(m.crossJoin(F.broadcast(q)), {"vol_20d": ("median", 0.1, 0.8), "atr_14d": ("median", None, 0.1), "quality_null": ("nulls", 0, 0.4)})
 
 
 @query("check_change_frequency", "arq", "SELECT ticker, count(*) FILTER (revenue <> before) AS changes FROM (SELECT *, lag(revenue) OVER (PARTITION BY ticker ORDER BY datekey, reportperiod) AS before FROM arq) GROUP BY ticker")
@@ -197,15 +204,10 @@ def event_sample_random(r):
     return U.clean_actions(r.actions).select("ticker", "date", "action").distinct().orderBy(F.md5(F.expr(_SEED.format(t="STRING")))).limit(10)
 
 
-@query("rebalance_calendar", "bars", "SELECT DISTINCT CAST(last_day(date) AS DATE) AS day, month(date) % 3 = 0 AS quarter_end, month(date) = 12 AS year_end FROM bars")
-def rebalance_calendar(r):
-    ends = r.bars.agg(F.min("date").alias("a"), F.max("date").alias("b"))
-    d = ends.select(F.explode(F.expr("sequence(trunc(a, 'month'), trunc(b, 'month'), interval 1 month)")).alias("m"))
-    return d.select(F.last_day("m").alias("day"), (F.month("m") % 3 == 0).alias("quarter_end"), (F.month("m") == 12).alias("year_end"))
+_FREQUENCIES = {"monthly": 1, "quarterly": 3, "annually": 12}
 
 
-@query("market_state_labels", "benchmark_bars", "SELECT date, CASE WHEN closeadj / m - 1 < -0.2 THEN 'crash' WHEN closeadj / m - 1 < -0.1 THEN 'correction' ELSE 'normal' END AS state FROM (SELECT *, max(closeadj) OVER (ORDER BY date) AS m FROM benchmark_bars)")
-def market_state_labels(r):
-    d = r.benchmark_bars.withColumn("series", F.lit("market"))
-    fall = F.col("closeadj") / F.max("closeadj").over(Window.partitionBy("series").orderBy("date")) - 1
-    return d.select("date", F.when(fall < -0.2, "crash").when(fall < -0.1, "correction").otherwise("normal").alias("state"))
+@query("rebalance_calendar", "bars", f"""WITH e AS (SELECT min(date) AS a, max(date) AS b FROM bars), m AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', a), date_trunc('month', b), INTERVAL 1 MONTH)) AS DATE)) AS day FROM e),
+c AS ({' UNION ALL '.join(f"SELECT '{k}' AS frequency, day FROM m WHERE month(day) % {n} = 0" for k, n in _FREQUENCIES.items())}) SELECT frequency, day, lead(day) OVER (PARTITION BY frequency ORDER BY day) AS next_day FROM c""")
+def rebalance_calendar(r):
+    return HD.calendar(r.bars.agg(F.min("date").alias("a"), F.max("date").alias("b")))

@@ -96,14 +96,6 @@ def fundamental_pit(r):
     return pit(r)
 
 
-@query("valuation_current", "bars art", f"SELECT b.ticker, b.date, {q6('b.closeadj * f.shareswa / nullif(f.ncfo, 0)')} AS pcf, {q6('b.closeadj * f.shareswa / nullif(f.equity, 0)')} AS pb FROM (SELECT ticker, max(date) AS date, arg_max(closeadj, date) AS closeadj FROM bars GROUP BY ticker) b {_ASOF}")
-def valuation_current(r):
-    last = r.bars.groupBy("ticker").agg(F.max("date").alias("date"), F.max_by("closeadj", "date").alias("closeadj"))
-    d = FU.with_latest(last, r.art, "art_", ["shareswa", "ncfo", "equity"])
-    cap = F.col("closeadj") * F.col("art_shareswa")
-    return d.select("ticker", "date", *[r6(F.try_divide(cap, f"art_{c}")).alias(n) for n, c in (("pcf", "ncfo"), ("pb", "equity"))])
-
-
 # --- series
 
 
@@ -236,9 +228,3 @@ def peer_percent_rank(r):
 @query("peer_avg_rank", "bars instruments vendor", f"WITH {PANEL} SELECT ticker, date, {q6('CASE WHEN pe IS NOT NULL THEN (rank() OVER (PARTITION BY date, sector ORDER BY pe ASC NULLS LAST) + (count(*) OVER (PARTITION BY date, sector, pe) - 1) / 2.0) / count(pe) OVER (PARTITION BY date, sector) END')} AS pe_rank FROM panel")
 def peer_avg_rank(r):
     return P.with_average_rank(panel(r), ["date", "sector"], "pe", "x").select("ticker", "date", r6("x").alias("pe_rank"))
-
-
-@query("peer_relative_current", "bars instruments vendor", f"WITH {PANEL}, last AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1), m AS (SELECT sector, median(pe) AS pm FROM last GROUP BY sector HAVING count(*) >= 5) SELECT l.ticker, {q6('pe / nullif(pm, 0)')} AS pe_vs_peers FROM last l LEFT JOIN m ON l.sector = m.sector")
-def peer_relative_current(r):
-    d = panel(r).groupBy("ticker").agg(F.max_by(F.struct("sector", "pe"), "date").alias("x")).select("ticker", "x.*")
-    return d.join(P.medians(d, ["sector"], ["pe"]), "sector", "left").select("ticker", r6(F.try_divide("pe", "pe_median")).alias("pe_vs_peers"))

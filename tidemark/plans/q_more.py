@@ -5,71 +5,95 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import q6, r6, size_tier
 from ..operators import checks as C
+from ..operators import contracts as CT
 from ..operators import fundamentals as FU
+from ..operators import holding as HD
 from ..operators import holdings as H
 from ..operators import prices as PR
 from ..operators import quality as Q
+from ..operators import restatements as RS
 from ..operators import series as S
+from ..operators import states as SL
 from ..operators import universe as U
-from ..operators.asof import asof_join
+from ..operators.asof import interval_join
+from ..operators.peers import medians
+from ..operators.quantiles import quantile_row
 from ..registry import query
-from .q_buckets import N, PERF_COLUMNS, ROLES, _P, assigned, panel  # noqa: F401
+from .q_buckets import N, ROLES, _P, assigned, panel
 from .q_checks import _report, _row
-from .q_features import _ASOF, _PREV, INSIDER, RATIO_COLUMNS
+from .q_features import _ASOF, INSIDER
 from .q_prices import PRICE_SQL
-from .q_quality import YEARS, _fixed, log_sql
-from .q_universe import CLEAN, CORE, LABELS, TERMINAL
+from .q_quality import log_sql
+from .q_universe import CORE, LABELS, TERMINAL, UNIVERSE
 
 
-@query("month_end_panel", "bars instruments actions art", f"WITH {CORE}{LABELS}, me AS (SELECT max(date) AS date FROM bars GROUP BY date_trunc('month', date)) SELECT b.ticker, b.date, b.sector, {q6('CASE WHEN f.ncfo > 0 THEN CASE WHEN f.shareswa > 0 THEN b.closeadj * f.shareswa END / f.ncfo END')} AS pcf, l.fwd_ret_21td FROM core b JOIN me ON b.date = me.date {_ASOF} LEFT JOIN labels l ON b.ticker = l.ticker AND b.date = l.date")
-def month_end_panel(r):
-    from ..operators.buckets import month_ends
-
-    t = U.terminal_events(U.clean_actions(r.actions))
-    grid = U.core(r.bars, r.instruments, U.removals(t)).join(F.broadcast(month_ends(r.bars)), "date").select("ticker", "date", "sector", "closeadj")
-    d = FU.with_latest(grid, r.art, "art_", ["ncfo", "shareswa"])
-    lab = U.forward_labels(r.bars, t, (21,)).select("ticker", "date", r6("fwd_ret_21td").alias("fwd_ret_21td"))
-    cap = F.when(F.col("art_shareswa") > 0, F.col("closeadj") * F.col("art_shareswa"))
-    return d.join(lab, ["ticker", "date"], "left").select("ticker", "date", "sector", r6(F.when(F.col("art_ncfo") > 0, cap / F.col("art_ncfo"))).alias("pcf"), "fwd_ret_21td")
+_RUN = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+_ONE_DAY = "{0} AS (SELECT d.date, s.value FROM days d ASOF LEFT JOIN (SELECT * FROM {1}) s ON d.date >= s.date)"
+STATES = f"""WITH days AS (SELECT DISTINCT date FROM bars), {_ONE_DAY.format("v", "series")}, {_ONE_DAY.format("yc", "rates WHERE series = 'yield_curve'")}, {_ONE_DAY.format("hy", "rates WHERE series = 'hy_spread'")},
+fall AS (SELECT date, closeadj / max(closeadj) OVER (ORDER BY date {_RUN}) - 1 AS drawdown FROM benchmark_bars),
+run AS (SELECT v.date, v.value AS vix, hy.value AS hy_spread, coalesce(yc.value < 0, false) AS low, sum(CASE WHEN coalesce(yc.value < 0, false) THEN 0 ELSE 1 END) OVER (ORDER BY v.date {_RUN}) AS k FROM v JOIN yc USING (date) JOIN hy USING (date)),
+ind AS (SELECT run.*, drawdown, sum(CASE WHEN low THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY date {_RUN}) AS curve_days FROM run LEFT JOIN fall USING (date)),
+labelled AS MATERIALIZED (SELECT date, 'recession' AS family, 'normal' AS label FROM ind UNION ALL
+SELECT date, 'drawdown', CASE WHEN drawdown < -0.2 THEN 'bear' WHEN drawdown < -0.1 THEN 'correction' ELSE 'normal' END FROM ind UNION ALL SELECT date, 'volatility', CASE WHEN vix > 30 THEN 'stress' WHEN vix < 15 THEN 'complacent' ELSE 'normal' END FROM ind UNION ALL
+SELECT date, 'curve', CASE WHEN curve_days >= 63 THEN 'inverted' ELSE 'normal' END FROM ind UNION ALL SELECT date, 'credit', CASE WHEN hy_spread > 6 THEN 'systemic' WHEN hy_spread < 3.5 THEN 'bull' ELSE 'normal' END FROM ind)"""
 
 
-@query("current_snapshot", "bars instruments art", f"WITH p AS (SELECT * FROM ({PRICE_SQL}) QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY date DESC) = 1), b AS (SELECT p.*, i.sector FROM p JOIN instruments i ON p.ticker = i.ticker WHERE upper(coalesce(isdelisted, 'N')) = 'N') SELECT b.ticker, b.date, b.sector, b.ret_12m, b.vol_20d, f.datekey, f.equity FROM b {_ASOF}")
-def current_snapshot(r):
-    last = PR.price_features(r.bars).withColumn("_n", F.lead("date").over(PR.W())).where("_n is null").select("ticker", "date", r6("ret_12m").alias("ret_12m"), r6("vol_20d").alias("vol_20d"))
-    d = last.join(U.listed(r.instruments).select("ticker", "sector"), "ticker")
-    d = FU.with_latest(d, r.art, "art_", ["equity"])
-    return d.select("ticker", "date", "sector", "ret_12m", "vol_20d", F.col("art_datekey").alias("datekey"), F.col("art_equity").alias("equity"))
+def states(r):
+    """The labels of every trading day; the tables have no recession series, so that family is normal throughout."""
+    names = ("yield_curve", "hy_spread", "vix")
+    observed = r.rates.select("date", "series", "value").unionByName(r.series.select("date", F.lit("vix").alias("series"), "value"))
+    days = r.bars.select("date").distinct().withColumn("series", F.explode(F.array(*map(F.lit, names))))
+    wide = S.carried(days, observed).groupBy("date").agg(*[F.max(F.when(F.col("series") == k, F.col("value"))).alias(k) for k in names])
+    return SL.labels(SL.indicators(r.benchmark_bars, wide))
 
 
-@query("macro_current", "series vintages", f"SELECT max(date) AS date, arg_max(value, date) AS value, {q6('arg_max(value, date) - arg_max(before, date)')} AS change_20 FROM (SELECT *, lag(value, 20) OVER (ORDER BY date) AS before FROM series)")
-def macro_current(r):
-    d = S.with_change(r.series.withColumn("series", F.lit("vix")), 20, "c")
-    return d.agg(F.max("date").alias("date"), F.max_by("value", "date").alias("value"), r6(F.max_by("c", "date")).alias("change_20"))
+_DATES = ("1999-06-30", "2000-06-30", "2001-06-30")
+#: R2 and yearly growth of the positive years in order, at least four, to four decimals.
+_TREND = "CASE WHEN count(up) >= 4 THEN floor((CASE WHEN var_pop(up) = 0 THEN 0 ELSE regr_r2(up, i) END) * 1e4 + 0.5) / 1e4 END AS r2, CASE WHEN count(up) >= 4 THEN round(exp(regr_slope(up, i)) - 1, 4) END AS growth"
+_UP = "(SELECT *, CASE WHEN v > 0 THEN ln(v) END AS up, row_number() OVER (PARTITION BY {0}, v > 0 ORDER BY fy) AS i FROM {1})"
+_KNOWN = """asked AS (SELECT DISTINCT ticker, CAST(v AS DATE) AS date FROM arq CROSS JOIN (SELECT unnest({0}) AS v)),
+known AS (SELECT a.date, f.* FROM asked a JOIN arq f ON f.ticker = a.ticker AND f.datekey <= a.date),
+latest AS (SELECT * FROM known QUALIFY row_number() OVER (PARTITION BY ticker, date, reportperiod ORDER BY datekey DESC) = 1),
+ky AS (SELECT ticker, date, year(reportperiod) AS fy, coalesce(sum(ncfo), 0) AS v FROM latest GROUP BY ALL HAVING count(*) >= 3),
+kt AS (SELECT ticker, date, {1} FROM {2} GROUP BY ticker, date)"""
+_KNOWN = _KNOWN.format(list(_DATES), _TREND, _UP.format("ticker, date", "ky"))
+
+
+@query("r2_at_dates", "arq", f"WITH {_KNOWN} SELECT ticker, date, r2, growth FROM kt")
+def r2_at_dates(r):
+    """The trend of operating cash flow as known on some dates."""
+    dates = r.spark.createDataFrame([(d,) for d in _DATES], "date string").select(F.col("date").cast("date").alias("known_on"))
+    spine = r.arq.select("ticker").distinct().crossJoin(F.broadcast(dates)).withColumn("version", F.lit("known"))
+    t = RS.trend(RS.annual(RS.versions(r.arq, spine), "ncfo"), "ncfo", ["ticker", "known_on"])
+    return t.select("ticker", F.col("known_on").alias("date"), "r2", "growth")
 
 
-_TICK = "WITH years AS (SELECT ticker, DATE '2100-01-01' AS vintage, year(reportperiod) AS fy, ncfo, coalesce(ncfo, 0) + coalesce(capex, 0) AS fcf FROM ary)"
+@query("restatement_impact", "arq", f"""WITH v AS (SELECT ticker, reportperiod, k, x, count(*) OVER w AS n, row_number() OVER (PARTITION BY ticker, reportperiod, k ORDER BY datekey) AS i, datekey FROM ({' UNION ALL '.join(f"SELECT ticker, reportperiod, datekey, '{c}' AS k, {c} AS x FROM arq" for c in ('ncfo', 'revenue', 'netinccmn'))}) WINDOW w AS (PARTITION BY ticker, reportperiod, k))
+SELECT a.ticker, a.reportperiod, a.k AS metric, {q6('a.x')} AS original, {q6('b.x')} AS restated, {q6('100 * (b.x - a.x) / abs(a.x)')} AS pct_change, abs((b.x - a.x) / a.x) >= 0.05 AS material, a.datekey AS original_date, b.datekey AS restated_date
+FROM v a JOIN v b ON a.ticker = b.ticker AND a.reportperiod = b.reportperiod AND a.k = b.k AND a.i = 1 AND b.i = b.n WHERE a.n > 1 AND a.x <> 0 AND b.x IS NOT NULL""")
+def restatement_impact(r):
+    """First against last filed values of three metrics; a change of 5 % is material."""
+    d = RS.magnitudes(r.arq, ["ncfo", "revenue", "netinccmn"], 0.05)
+    return d.withColumns({c: r6(c) for c in ("original", "restated", "pct_change")})
 
 
-@query("quality_current", "ary", f"{_TICK} SELECT ticker, {q6('r2')} AS fcf_r2_10y, {q6('up')} AS fcf_positive_10y FROM {log_sql('fcf', 10)}")
-def quality_current(r):
-    y = Q.annual(r.ary.withColumn("vintage", F.lit("2100-01-01").cast("date")))
-    return Q.log_trend(y, "fcf", 10, ["ticker"]).select("ticker", *[r6(c).alias(c) for c in ("fcf_r2_10y", "fcf_positive_10y")])
+_VERSION = "(SELECT ticker, year(reportperiod) AS fy, coalesce(sum(ncfo), 0) AS v FROM (SELECT * FROM arq WHERE datekey <= DATE '2001-06-15' QUALIFY row_number() OVER (PARTITION BY ticker, reportperiod ORDER BY datekey {0}) = 1) GROUP BY 1, 2)"
 
 
-_DATES = ("1999-06-30", "2000-06-30", "2001-06-30")
+@query("restatement_r2", "arq", f"""WITH o AS (SELECT ticker, {_TREND} FROM {_UP.format('ticker', _VERSION.format('ASC'))} GROUP BY ticker), n AS (SELECT ticker, {_TREND} FROM {_UP.format('ticker', _VERSION.format('DESC'))} GROUP BY ticker)
+SELECT *, CASE WHEN abs(delta) < 0.01 THEN 'negligible' WHEN abs(delta) < 0.05 THEN 'minor' WHEN delta < 0 THEN 'lower' ELSE 'higher' END AS effect FROM (SELECT ticker, o.r2 AS r2_original, n.r2 AS r2_restated, round(n.r2 - o.r2, 6) AS delta FROM o JOIN n USING (ticker) WHERE o.r2 IS NOT NULL AND n.r2 IS NOT NULL)""")
+def restatement_r2(r):
+    """What the trend of operating cash flow owes to restatements."""
+    return RS.effect_on_trend(r.arq, "ncfo", "2001-06-15")
 
 
-@query("r2_at_dates", "arq", f"WITH spine AS (SELECT DISTINCT ticker, CAST(v AS DATE) AS vintage FROM arq CROSS JOIN (SELECT unnest({list(_DATES)}) AS v)), k AS (SELECT s.vintage, f.* FROM spine s JOIN (SELECT *, lead(datekey) OVER (PARTITION BY ticker, reportperiod ORDER BY datekey) AS until FROM arq) f ON f.ticker = s.ticker AND f.datekey <= s.vintage AND (until IS NULL OR s.vintage < until)), years AS (SELECT ticker, vintage, year(reportperiod) AS fy, sum(coalesce(ncfo, 0)) AS ncfo FROM k GROUP BY ALL HAVING count(*) >= 3) SELECT ticker, vintage, {q6('r2')} AS ncfo_r2_10y FROM {log_sql('ncfo', 10)}")
-def r2_at_dates(r):
-    spine = r.arq.select("ticker", F.explode(F.array(*[F.lit(d).cast("date") for d in _DATES])).alias("vintage")).distinct()
-    y = Q.annual_from_quarters(Q.state(spine, r.arq))
-    return Q.log_trend(y, "ncfo", 10, ["ticker", "vintage"]).select("ticker", "vintage", r6("ncfo_r2_10y").alias("ncfo_r2_10y"))
-
-
-@query("restatement_impact", "arq", f"SELECT ticker, reportperiod, {q6('100 * (arg_max(revenue, datekey) / arg_min(revenue, datekey) - 1)')} AS pct, abs(arg_max(revenue, datekey) / arg_min(revenue, datekey) - 1) >= 0.005 AS material FROM arq GROUP BY ticker, reportperiod HAVING count(*) > 1")
-def restatement_impact(r):
-    d = r.arq.groupBy("ticker", "reportperiod").agg(F.count(F.lit(1)).alias("n"), (F.max_by("revenue", "datekey") / F.min_by("revenue", "datekey") - 1).alias("x")).where("n > 1")
-    return d.select("ticker", "reportperiod", r6(100 * F.col("x")).alias("pct"), (F.abs("x") >= 0.005).alias("material"))
+@query("restatement_trace", "arq", f"""WITH {_KNOWN}, back AS (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY reportperiod DESC) AS k FROM latest),
+t AS (SELECT ticker, date, max(datekey) AS last_filing, CASE WHEN count(*) >= 4 THEN coalesce(sum(CASE WHEN k <= 4 THEN ncfo END), 0) END AS ttm, min(CASE WHEN k <= 4 THEN datekey END) AS oldest FROM back GROUP BY ticker, date)
+SELECT t.ticker, t.date, last_filing, datediff('day', last_filing, t.date) AS days_stale, {q6('ttm')} AS ncfo_ttm, datediff('day', oldest, t.date) AS oldest_age, (SELECT count(*) FROM known k WHERE k.ticker = t.ticker AND k.date = t.date) AS filings_known, r2, growth FROM t LEFT JOIN kt USING (ticker, date)""")
+def restatement_trace(r):
+    """What an as-of join sees on some dates: last filing and its age, the trailing year and the age of its oldest part, the trend."""
+    dates = r.spark.createDataFrame([(d,) for d in _DATES], "date string").select(F.col("date").cast("date").alias("date"))
+    return RS.trace(r.arq, "ncfo", dates).withColumn("ncfo_ttm", r6("ncfo_ttm"))
 
 
 @query("r2_cagr_log", "quarters", f"WITH i AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY reportperiod) - 1 AS i FROM quarters WHERE revenue > 0) SELECT ticker, {q6('CASE WHEN count(*) >= 5 THEN regr_r2(ln(revenue), i) END')} AS r2, {q6('CASE WHEN count(*) >= 5 THEN exp(regr_slope(ln(revenue), i)) - 1 END')} AS growth FROM i GROUP BY ticker")
@@ -79,10 +103,13 @@ def r2_cagr_log(r):
     return d.groupBy("ticker").agg(r6(F.when(enough, F.regr_r2("y", "i"))).alias("r2"), r6(F.when(enough, F.exp(F.regr_slope("y", "i")) - 1)).alias("growth"))
 
 
-@query("check_vendor_agreement", "bars vendor", "WITH j AS (SELECT closeadj / 120 AS own, pe FROM bars b JOIN vendor v ON b.ticker = v.ticker AND b.date = v.date WHERE pe IS NOT NULL) " + _report([_row("vendor", "correlation", f"SELECT {q6('corr(own, pe)')} FROM j", 0.95, None), _row("vendor", "median_ratio", f"SELECT {q6('median(own / pe)')} FROM j", 0.9, 1.1)]))
+@query("check_vendor_agreement", "bars art vendor", f"WITH j AS (SELECT {q6('CASE WHEN f.netinccmn > 0 THEN CASE WHEN f.shareswa > 0 THEN b.closeadj * f.shareswa END / f.netinccmn END')} AS own, v.pe FROM bars b {_ASOF} JOIN vendor v ON b.ticker = v.ticker AND b.date = v.date), k AS (SELECT * FROM j WHERE own IS NOT NULL AND pe > 0) " + _report([_row("vendor", "correlation", f"SELECT {q6('corr(own, pe)')} FROM k", 0.95, None), _row("vendor", "median_ratio", f"SELECT {q6('median(own / pe)')} FROM k", 0.9, 1.1)]))
 def check_vendor_agreement(r):
-    j = r.bars.join(r.vendor.where("pe is not null"), ["ticker", "date"]).withColumn("own", F.col("closeadj") / 120)
-    return C.report(j.agg(r6(F.corr("own", "pe")).alias("correlation"), r6(F.median(F.try_divide("own", "pe"))).alias("median_ratio")), {"correlation": ("vendor", 0.95, None), "median_ratio": ("vendor", 0.9, 1.1)})
+    """The P/E from the filings against the vendor's: correlation, and the median of their ratio (by counting, in no single task)."""
+    d = FU.with_ratios(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", r6("pe").alias("own"))
+    j = d.join(r.vendor.select("ticker", "date", "pe"), ["ticker", "date"]).where("own is not null and pe > 0").withColumn("ratio", F.try_divide("own", "pe"))
+    v = j.agg(r6(F.corr("own", "pe")).alias("correlation")).crossJoin(F.broadcast(quantile_row(j, {"median_ratio": ("ratio", 0.5)}).select(r6("median_ratio").alias("median_ratio"))))
+    return C.report(v, {"correlation": ("vendor", 0.95, None), "median_ratio": ("vendor", 0.9, 1.1)})
 
 
 _PERIOD = "avg(CASE WHEN date BETWEEN DATE '{a}' AND DATE '{b}' THEN value END)"
@@ -123,42 +150,90 @@ def check_delisted_sequence(r):
     return gone.join(core, "ticker", "left").groupBy("ticker", "removed").agg(F.count_if(F.col("date") < F.col("removed")).alias("before"), F.count_if(F.col("date") >= F.col("removed")).alias("after"))
 
 
-_CONTRACT = {"ticker": "bigint", "date": "date", "high": "double", "low": "double", "volume": "double", "closeadj": "double", "open": "double"}
+#: The contracts of the stages: the master has the universe's keys; the table of exchange rates is not there, the one of corrections need not be.
+CONTRACTS = [
+    CT.Contract("universe", {"ticker": "bigint", "date": "date", "in_universe": "boolean", "days_listed": "bigint", "sector": None, "famaindustry": None}, ("ticker", "date"), ("ticker", "date", "in_universe"), ("date", "1995-01-01", "2001-12-31")),
+    CT.Contract("panel", {"ticker": "bigint", "date": "date", "closeadj": "double", "ret_12m": "double", "pcf": "double", "roic_level": "double"}, ("ticker", "date"), ("closeadj",), ("date", "1995-01-01", "2001-06-30"), ("universe", "in_universe")),
+    CT.Contract("bars", {"ticker": "bigint", "date": "date", "high": "double", "low": "double", "volume": "double", "closeadj": "double", "open": "double"}, ("ticker", "date"), ("closeadj",)),
+    CT.Contract("lines", {"ticker": None}, ("ticker", "date")),
+    CT.Contract("exchange_rates", {"date": "date"}, ("date",), ("date",)),
+    CT.Contract("corrections", {"ticker": "bigint"}, ("ticker",), optional=True, same_keys=("bars", None)),
+]
+
+
+def contract_results(r, names):
+    """The rules of some contracts; the panel here is the universe joined to price and fundamental columns."""
+    universe = U.daily_universe(r.bars, r.instruments, r.actions, r.vendor)
+    panel_ = universe.join(PR.with_returns(r.bars).select("ticker", "date", "ret_12m"), ["ticker", "date"]).withColumns({"pcf": F.lit(None).cast("double"), "roic_level": F.lit(None).cast("double")}) if "panel" in names else None
+    tables = {"universe": universe, "panel": panel_, "bars": r.bars, "lines": r.lines}
+    return CT.check(r.spark, tables, [c for c in CONTRACTS if c.name in names])
+
+
+def _columns_sql(c, have):
+    """The rules on existence and columns, from the list of columns that a table is known to have."""
+    out = [f"SELECT '{c.name}' AS contract, 'exists' AS rule, '{c.name}' AS subject, {float(have is not None)}::DOUBLE AS value, '{'PASS' if have is not None else 'UNKNOWN' if c.optional else 'FAIL'}' AS status"]
+    return out + [f"SELECT '{c.name}', 'column', '{k}', {float(have is not None and k in have)}, '{'UNKNOWN' if have is None else 'PASS' if k in have else 'FAIL'}'" for k in c.columns]
+
 
+def _rules_sql(c, table):
+    """The rules on values, one query each; UNKNOWN for an absent table."""
+    key = ", ".join(c.key)
+    rules = [("rows", c.name, f"SELECT count(*) FROM {table}", f"v >= {c.least_rows}"), ("duplicates", ",".join(c.key), f"SELECT count(*) FROM (SELECT 1 FROM {table} GROUP BY {key} HAVING count(*) > 1)", "v = 0")]
+    rules += [("nulls", x, f"SELECT count(*) FROM {table} WHERE {x} IS NULL", "v = 0") for x in c.required]
+    if c.dates:
+        day, a, b = c.dates
+        rules.append(("dates", day, f"SELECT greatest(datediff('day', min({day}), DATE '{a}'), datediff('day', DATE '{b}', max({day})), 0) FROM {table}", "v = 0"))
+    if c.same_keys:
+        other = f"(SELECT {key} FROM {c.same_keys[0]}{f' WHERE {c.same_keys[1]}' if c.same_keys[1] else ''})"
+        rules += [("keys", f"{c.name} - {c.same_keys[0]}", f"SELECT count(*) FROM (SELECT {key} FROM {table} EXCEPT FROM {other})", "v = 0"), ("keys", f"{c.same_keys[0]} - {c.name}", f"SELECT count(*) FROM (FROM {other} EXCEPT SELECT {key} FROM {table})", "v = 0")]
+    if table is None:
+        return [f"SELECT '{c.name}', '{rule}', '{subject}', NULL, 'UNKNOWN'" for rule, subject, _, _ in rules]
+    return [f"SELECT '{c.name}', '{rule}', '{subject}', v::DOUBLE, CASE WHEN {ok} THEN 'PASS' ELSE 'FAIL' END FROM (SELECT ({sql}) AS v)" for rule, subject, sql, ok in rules]
 
-@query("check_schema", "bars", "SELECT name, expected, CASE WHEN name <> 'open' THEN expected END AS found, CASE WHEN name = 'open' THEN 'FAIL' ELSE 'PASS' END AS status, (SELECT count(*) FROM bars) AS n FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in _CONTRACT.items()) + ") AS t(name, expected)")
+
+_HAVE = {"universe": {"ticker", "date", "in_universe", "days_listed", "sector", "famaindustry"}, "panel": {"ticker", "date", "closeadj", "ret_12m", "pcf", "roic_level"}, "bars": {"ticker", "date", "high", "low", "volume", "closeadj"}, "lines": {"ticker"}, "exchange_rates": None, "corrections": None}
+
+
+def _contracts_sql(names):
+    return " UNION ALL ".join(x for c in CONTRACTS if c.name in names for x in _columns_sql(c, _HAVE[c.name]) + _rules_sql(c, c.name if _HAVE[c.name] is not None else None))
+
+
+@query("check_schema", "bars instruments actions vendor", _contracts_sql(("bars", "exchange_rates")))
 def check_schema(r):
-    """Columns and types of the bars against a contract, which asks for one column that they lack."""
-    have = dict(r.bars.dtypes)
-    cells = F.array(*[F.struct(F.lit(k).alias("name"), F.lit(v).alias("expected"), F.lit(have.get(k)).cast("string").alias("found"), F.lit("PASS" if have.get(k) == v else "FAIL").alias("status")) for k, v in _CONTRACT.items()])
-    return r.bars.agg(F.count(F.lit(1)).alias("n")).select(F.explode(cells).alias("x"), "n").select("x.*", "n")
+    """Columns and types of the bars, which lack one of their contract, and a table that is not there at all."""
+    return contract_results(r, ("bars", "exchange_rates"))
 
 
-@query("check_contract", "bars vendor", _report([_row("contract", "rows", "SELECT (SELECT count(*) FROM bars) - (SELECT count(*) FROM vendor)", 0, 0), _row("contract", "years", "SELECT count(DISTINCT year(date)) FROM bars", 5, None)]))
+@query("check_contract", "bars instruments actions vendor", f"WITH {CORE}, {UNIVERSE}, panel AS (SELECT * FROM universe) {_contracts_sql([c.name for c in CONTRACTS])}")
 def check_contract(r):
-    v = r.bars.agg(F.count(F.lit(1)).alias("a"), F.countDistinct(F.year("date")).alias("years")).crossJoin(r.vendor.agg(F.count(F.lit(1)).alias("b")))
-    return C.report(v.select((F.col("a") - F.col("b")).alias("rows"), "years"), {"rows": ("contract", 0, 0), "years": ("contract", 5, None)})
+    """All contracts: existence, columns, rows, keys, nulls, date ranges, and the panel's keys against the universe's."""
+    return contract_results(r, [c.name for c in CONTRACTS])
 
 
-_MC = "CASE WHEN f.shareswa > 0 THEN a.closeadj * f.shareswa END"
+_ART = "(SELECT * FROM art QUALIFY row_number() OVER (PARTITION BY ticker, datekey ORDER BY reportperiod DESC) = 1)"
 
 
-@query("check_rederive", "bars art", f"WITH pf AS MATERIALIZED ({PRICE_SQL}), k AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM bars), pit AS (SELECT b.ticker, b.date, {RATIO_COLUMNS} FROM bars b {_ASOF} {_PREV}) "
-    f"SELECT a.ticker, a.date, abs(p.ret_12m - (a.closeadj / b.closeadj - 1)) <= 0.000002 AS ret_agrees, abs(t.pe - ({_MC}) / f.netinccmn) <= 0.05 * abs(t.pe) + 0.000002 AS pe_agrees FROM k a JOIN pf p ON p.ticker = a.ticker AND p.date = a.date JOIN pit t ON t.ticker = a.ticker AND t.date = a.date "
-    "LEFT JOIN k b ON a.ticker = b.ticker AND a.k = b.k + 252 LEFT JOIN (SELECT *, lead(datekey) OVER (PARTITION BY ticker ORDER BY datekey, reportperiod) AS until FROM art) f ON f.ticker = a.ticker AND f.datekey <= a.date AND (f.until IS NULL OR a.date < f.until)")
+@query("check_rederive", "bars art spans", f"""WITH pf AS MATERIALIZED (SELECT ticker, date, {q6('closeadj / nullif(lag(closeadj, 252) OVER (PARTITION BY ticker ORDER BY date), 0) - 1')} AS ret_12m FROM bars),
+k AS MATERIALIZED (SELECT ticker, date, closeadj, row_number() OVER (PARTITION BY ticker ORDER BY date) AS k FROM bars),
+pit AS MATERIALIZED (SELECT b.ticker, b.date, {q6('CASE WHEN f.netinccmn > 0 THEN CASE WHEN f.shareswa > 0 THEN b.closeadj * f.shareswa END / f.netinccmn END')} AS pe FROM bars b {_ASOF}),
+own AS MATERIALIZED (SELECT b.ticker, b.date, CASE WHEN f.shareswa > 0 THEN b.closeadj * f.shareswa END / nullif(f.netinccmn, 0) AS pe FROM bars b ASOF LEFT JOIN {_ART} f ON b.ticker = f.ticker AND b.date >= f.datekey)
+SELECT a.ticker, a.date, abs(p.ret_12m - (a.closeadj / nullif(b.closeadj, 0) - 1)) <= 0.000002 AS ret_agrees, abs(t.pe - o.pe) <= 0.05 * abs(t.pe) + 0.000002 AS pe_agrees
+FROM k a JOIN pf p ON p.ticker = a.ticker AND p.date = a.date JOIN pit t ON t.ticker = a.ticker AND t.date = a.date JOIN own o ON o.ticker = a.ticker AND o.date = a.date LEFT JOIN k b ON a.ticker = b.ticker AND a.k = b.k + 252""")
 def check_rederive(r):
     """The 12-month return and the P/E of every row, worked out a second way: by row numbers, and by the days for which a filing is the latest."""
     k = r.bars.withColumn("k", F.row_number().over(PR.W())).select("ticker", "date", "closeadj", "k")
     old = k.select("ticker", (F.col("k") + 252).alias("k"), F.col("closeadj").alias("before"))
-    until = F.lead("datekey").over(Window.partitionBy("ticker").orderBy("datekey", "reportperiod"))
-    f = r.art.select("ticker", "datekey", until.alias("until"), "shareswa", "netinccmn")
-    p = PR.with_returns(r.bars).select("ticker", "date", "ret_12m")
-    pit = FU.with_ratios(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", r6("pe").alias("pe"))
-    a, b = k.join(old, ["ticker", "k"], "left").alias("a"), f.alias("f")
-    known = (F.col("a.ticker") == F.col("f.ticker")) & (F.col("f.datekey") <= F.col("a.date")) & (F.col("f.until").isNull() | (F.col("a.date") < F.col("f.until")))
-    d = a.join(b, known, "left").select("a.*", "shareswa", "netinccmn").join(p, ["ticker", "date"]).join(pit, ["ticker", "date"])
+    until = F.lead("datekey").over(Window.partitionBy("ticker").orderBy("datekey"))
+    f = r.art.groupBy("ticker", "datekey").agg(F.max_by(F.struct("shareswa", "netinccmn"), "reportperiod").alias("x"))
+    f = f.withColumn("until", until).join(r.spans.select("ticker", "lastpricedate"), "ticker")
+    f = f.select("ticker", "datekey", F.coalesce(F.date_sub("until", 1), "lastpricedate").alias("last"), "x.*")
+    known = interval_join(r.bars.select("ticker", "date", "closeadj"), f, "ticker", "date", "datekey", "last", 90)
     pe = F.try_divide(F.when(F.col("shareswa") > 0, F.col("closeadj") * F.col("shareswa")), "netinccmn")
-    return d.select("ticker", "date", (F.abs(F.col("ret_12m") - (F.try_divide("closeadj", "before") - 1)) <= 0.000002).alias("ret_agrees"), (F.abs(F.col("pe") - pe) <= 0.05 * F.abs("pe") + 0.000002).alias("pe_agrees"))
+    own = known.select("ticker", "date", pe.alias("own_pe"))
+    p = PR.with_returns(r.bars).select("ticker", "date", r6("ret_12m").alias("ret_12m"))
+    pit = FU.with_ratios(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", r6("pe").alias("pe"))
+    d = k.join(old, ["ticker", "k"], "left").join(p, ["ticker", "date"]).join(pit, ["ticker", "date"]).join(own, ["ticker", "date"], "left")
+    return d.select("ticker", "date", (F.abs(F.col("ret_12m") - (F.try_divide("closeadj", "before") - 1)) <= 0.000002).alias("ret_agrees"), (F.abs(F.col("pe") - F.col("own_pe")) <= 0.05 * F.abs("pe") + 0.000002).alias("pe_agrees"))
 
 
 @query("check_expected_values", "instruments", "SELECT e.ticker, i.exchange = e.exchange AS ok FROM (VALUES (8, 'NASDAQ'), (9, 'NYSEMKT'), (7, 'NYSE')) AS e(ticker, exchange) JOIN instruments i ON i.ticker = e.ticker")
@@ -181,35 +256,43 @@ def check_median_order(r):
     return r.bars.where(F.col("ticker").isin(1, 2)).agg((one(1) > one(2)).alias("first_higher"))
 
 
-@query("check_peer_centring", "bars instruments vendor", f"WITH {_P}, m AS (SELECT date, sector, median(pe) AS pm FROM p GROUP BY date, sector HAVING count(*) >= 5) SELECT {q6('median(pe / pm)')} AS median_ratio FROM p JOIN m ON p.date = m.date AND p.sector = m.sector WHERE pm > 0")
+@query("check_peer_centring", "bars instruments vendor", f"WITH {_P}, m AS (SELECT date, sector, median(pe) AS pm FROM p GROUP BY date, sector HAVING count(*) >= 5), x AS MATERIALIZED (SELECT pe / pm AS ratio FROM p JOIN m ON p.date = m.date AND p.sector = m.sector WHERE pm > 0) " + _report([_row("peers", "median_ratio", f"SELECT {q6('median(ratio)')} FROM x", 0.8, 1.2), _row("peers", "mean_ratio", f"SELECT {q6('avg(ratio)')} FROM x", 0.5, 2)]))
 def check_peer_centring(r):
-    from ..operators.peers import medians
-
+    """Ratios to the peers' median lie around 1: their median and mean."""
     d = panel(r)
-    d = d.join(medians(d, ["date", "sector"], ["pe"]).where("pe_median > 0"), ["date", "sector"])
-    return d.agg(r6(F.median(F.col("pe") / F.col("pe_median"))).alias("median_ratio"))
+    d = d.join(medians(d, ["date", "sector"], ["pe"]).where("pe_median > 0"), ["date", "sector"]).select((F.col("pe") / F.col("pe_median")).alias("ratio"))
+    v = d.agg(r6(F.avg("ratio")).alias("mean_ratio")).crossJoin(F.broadcast(quantile_row(d, {"median_ratio": ("ratio", 0.5)}).select(r6("median_ratio").alias("median_ratio"))))
+    return C.report(v, {"median_ratio": ("peers", 0.8, 1.2), "mean_ratio": ("peers", 0.5, 2)})
 
 
-# --- holding periods: entry at the first price from each month end on, exit at the last price up to 90 days later
+# --- holding periods: from one calendar month end, traded on or not, to the next
 
-_HOLD = f"""{_P}, h AS (SELECT a.ticker, a.date, a.bucket, a.sector, a.date + 90 AS until FROM a), x AS (SELECT h.*, e.closeadj AS entry, q.closeadj AS exit FROM h JOIN bars e ON e.ticker = h.ticker AND e.date = h.date ASOF LEFT JOIN bars q ON q.ticker = h.ticker AND h.until >= q.date),
-hr AS (SELECT ticker, date, bucket, sector, {q6('0.02 * (exit / entry - 1)')} AS ret FROM x)"""
+_HOLD = f"""{_P}, h AS (SELECT a.ticker, a.bucket, a.sector, last_day(a.date) AS day, last_day(CAST(a.date + INTERVAL 1 MONTH AS DATE)) AS until FROM a),
+x AS (SELECT h.*, e.closeadj AS entry, q.closeadj AS exit FROM h ASOF JOIN bars e ON e.ticker = h.ticker AND h.day <= e.date ASOF JOIN bars q ON q.ticker = h.ticker AND h.until >= q.date),
+hr AS (SELECT ticker, day, until, bucket, sector, entry, exit, {q6('0.02 * (exit / nullif(entry, 0) - 1)')} AS ret FROM x)"""
 
 
 def holding(r):
-    d = assigned(r).select("ticker", "date", "bucket", "sector", F.col("closeadj").alias("entry")).withColumn("until", F.date_add("date", 90))
-    d = asof_join(d, r.bars.select("ticker", F.col("date").alias("at"), F.col("closeadj").alias("exit")), "ticker", "until", "at", ["exit"])
-    return d.select("ticker", "date", F.col("bucket").cast("long").alias("bucket"), "sector", r6(0.02 * (F.try_divide("exit", "entry") - 1)).alias("ret"))
+    """Assignments held from the end of their month to the end of the next, in calendar days; returns damped like the others here."""
+    d = assigned(r).select("ticker", "bucket", "sector", F.last_day("date").alias("day"), F.last_day(F.add_months("date", 1)).alias("until"))
+    return HD.returns(d, r.bars).withColumns({"bucket": F.col("bucket").cast("long"), "ret": r6(0.02 * F.col("ret"))})
 
 
-@query("holding_period_returns", ROLES, f"WITH {_HOLD} SELECT ticker, date, ret FROM hr")
+@query("holding_period_returns", ROLES, f"WITH {_HOLD} SELECT ticker, day, entry, exit, ret FROM hr")
 def holding_period_returns(r):
-    return holding(r).select("ticker", "date", "ret")
+    return holding(r).select("ticker", "day", "entry", "exit", "ret")
+
 
+_STD = "stddev_samp(ret) * sqrt(12)"
+_HOLD_STATS = {
+    "mean": "avg(ret)", "ann_return": "pow(1 + avg(ret), 12) - 1", "ann_std": _STD, "sharpe": f"CASE WHEN {_STD} > 0 THEN (pow(1 + avg(ret), 12) - 1) / ({_STD}) ELSE 0 END", "win_rate": "avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END)",
+    "median": "median(ret)", "p05": "quantile_cont(ret, 0.05)", "p95": "quantile_cont(ret, 0.95)",
+}
 
-@query("holding_bucket_stats", ROLES, f"WITH {_HOLD} SELECT bucket, count(ret) AS n, {q6('avg(ret)')} AS mean, {q6('stddev_samp(ret)')} AS std, {q6('median(ret)')} AS median, {q6('quantile_cont(ret, 0.05)')} AS p05, {q6('quantile_cont(ret, 0.95)')} AS p95 FROM hr GROUP BY bucket")
+
+@query("holding_bucket_stats", ROLES, f"WITH {_HOLD} SELECT bucket, count(ret) AS n, {', '.join(f'{q6(e)} AS {k}' for k, e in _HOLD_STATS.items())} FROM hr GROUP BY bucket")
 def holding_bucket_stats(r):
-    return holding(r).groupBy("bucket").agg(F.count("ret").alias("n"), r6(F.avg("ret")).alias("mean"), r6(F.stddev_samp("ret")).alias("std"), r6(F.median("ret")).alias("median"), r6(F.percentile("ret", 0.05)).alias("p05"), r6(F.percentile("ret", 0.95)).alias("p95"))
+    return HD.statistics(holding(r), ["bucket"], 12).withColumns({k: r6(k) for k in _HOLD_STATS})
 
 
 @query("bucket_t_stat", ROLES, f"WITH {_HOLD}, g AS (SELECT bucket, count(ret) AS n, avg(ret) AS m, var_samp(ret) AS v FROM hr WHERE bucket IN (1, {N}) GROUP BY bucket) SELECT {q6('(a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n))')} AS t FROM g a, g b WHERE a.bucket = 1 AND b.bucket = {N}")
@@ -221,12 +304,24 @@ def bucket_t_stat(r):
     return g.select(r6((F.col("m1") - F.col(f"m{N}")) / F.sqrt(pooled * (1 / n + 1 / k))).alias("t"))
 
 
-@query("holding_cumulative", ROLES, f"WITH {_HOLD}, m AS (SELECT date, bucket, {q6('avg(ret)')} AS ret FROM hr GROUP BY date, bucket) SELECT date, bucket, {q6('product(1 + ret) OVER (PARTITION BY bucket ORDER BY date) - 1')} AS total FROM m WHERE ret IS NOT NULL")
+@query("holding_cumulative", ROLES, f"WITH {_HOLD}, m AS (SELECT day, bucket, {q6('avg(ret)')} AS ret FROM hr GROUP BY day, bucket) SELECT day, bucket, {q6('product(1 + ret) OVER (PARTITION BY bucket ORDER BY day) - 1')} AS total FROM m WHERE ret IS NOT NULL")
 def holding_cumulative(r):
-    m = holding(r).groupBy("date", "bucket").agg(r6(F.avg("ret")).alias("ret")).where("ret is not null")
-    return m.select("date", "bucket", r6(F.product(1 + F.col("ret")).over(Window.partitionBy("bucket").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("total"))
+    m = holding(r).groupBy("day", "bucket").agg(r6(F.avg("ret")).alias("ret")).where("ret is not null")
+    return m.select("day", "bucket", r6(F.product(1 + F.col("ret")).over(Window.partitionBy("bucket").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) - 1).alias("total"))
+
+
+_STATES_ROLES = f"{ROLES} series rates benchmark_bars"
+
+
+@query("market_state_labels", "bars series rates benchmark_bars", f"{STATES} SELECT * FROM labelled")
+def market_state_labels(r):
+    """Every trading day with a label of each family of rules: fall of the market, volatility, yield curve, credit spread."""
+    return states(r)
 
 
-@query("stats_by_label", ROLES, f"WITH {_HOLD} SELECT bucket, sector, count(ret) AS n, {q6('avg(ret)')} AS mean FROM hr GROUP BY bucket, sector")
+@query("stats_by_label", _STATES_ROLES, f"""{STATES}, {_HOLD}, k AS (SELECT hr.bucket, hr.ret, f.family, l.label FROM hr CROSS JOIN (SELECT DISTINCT family FROM labelled) f ASOF LEFT JOIN labelled l ON l.family = f.family AND hr.day >= l.date)
+SELECT bucket, family, label, count(ret) AS n, {q6('avg(ret)')} AS mean, {q6('stddev_samp(ret)')} AS std, {q6('avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END)')} AS win_rate FROM k GROUP BY ALL""")
 def stats_by_label(r):
-    return holding(r).groupBy("bucket", "sector").agg(F.count("ret").alias("n"), r6(F.avg("ret")).alias("mean"))
+    """Holding returns by bucket and state of the market on the day they began."""
+    d = SL.with_labels(holding(r).select("bucket", "day", "ret"), states(r), "day").groupBy("bucket", "family", "label")
+    return d.agg(F.count("ret").alias("n"), r6(F.avg("ret")).alias("mean"), r6(F.stddev_samp("ret")).alias("std"), r6(F.avg((F.col("ret") > 0).cast("double"))).alias("win_rate"))

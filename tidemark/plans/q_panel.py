@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.columns import q6, r6
+from ..operators import correlation as CO
 from ..operators import holdings as H
 from ..operators import peers as P
 from ..operators import prices as PR
@@ -10,7 +11,7 @@ from ..operators import series as S
 from ..operators import universe as U
 from ..registry import query
 from ..sources.stages import Stages
-from .q_features import _BT, _INST, _VINTAGE, INSIDER, PIT, pit
+from .q_features import _BT, _INST, _VINTAGE, INSIDER, PIT, PIT_COLUMNS, pit
 from .q_prices import PRICE_SQL
 from .q_universe import CORE, LABELS, UNIVERSE
 
@@ -87,6 +88,16 @@ master AS MATERIALIZED (SELECT c.ticker, c.date, c.sector, c.famaindustry, c.day
 FROM universe c {" ".join(f"LEFT JOIN {x} ON c.ticker = {x}.ticker AND c.date = {x}.date" for x in SIDES)} LEFT JOIN macro ON c.date = macro.date)"""
 #: Tables that several steps of the merge read: written once, bucketed by entity.
 STAGED = ("lines", "bars", "quarters")
+
+
+def stage(r):
+    """The stages of a run, with the tables of `STAGED` written and put in place of the roles."""
+    stages = Stages(r.spark)
+    for name in STAGED:
+        r.put(name, stages.write(name, getattr(r, name)))
+    return stages
+
+
 _NULL_SHARES = {"ret_null": "ret_1m", "pcf_null": "pcf", "macro_null": "yield_curve"}
 
 
@@ -105,9 +116,7 @@ def merged(r):
 def master(r, by_year=True):
     """The merged panel as a stage table, partitioned by year; its profile is checked as it is written: rows, entities, and macro values for
     at least half of the rows where there are over 50 entities."""
-    stages = Stages(r.spark)
-    for name in STAGED:
-        r.put(name, stages.write(name, getattr(r, name), by_year=False))
+    stages = stage(r)
     fundamentals, prices = stages.write("fundamentals", pit(r)), stages.write("prices", price(r))
     d, labels, insider, inst = merged(r)
     for side in (prices, fundamentals, relative(r, fundamentals, prices), insider, inst, labels):
@@ -135,3 +144,19 @@ def merge_master(r):
 def panel_profile(r):
     share = lambda c: r6(F.avg(F.col(c).isNull().cast("double")))
     return master(r).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ticker").alias("tickers"), F.countDistinct("date").alias("dates"), *[share(c).alias(k) for k, c in _NULL_SHARES.items()], F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+#: Every numeric column of the master.
+NUMERIC = ("days_listed", "scalemarketcap", "marketcap_daily", "closeadj", *PR.FEATURES, *[c for c in PIT_COLUMNS if not c.endswith("datekey")], *RELATIVE, "insider_buys", "insider_sells", "insider_net_shares", "insider_net_ratio", "officer_buy_shares", *INST[1:],
+    *[f"fwd_{k}_{n}td" for n in U.HORIZONS for k in ("ret", "holding_days")], "vix", "vix_change_20d", "nfci", *RATES[:4], "cpi_yoy", "real_rate", "market_above_ma200", "market_ret_1m", "market_ret_3m", "market_ret_6m", "market_ret_12m")
+
+
+_CELLS = ", ".join(f"{{'a': '{a}', 'b': '{b}', 'n': regr_count({a}, {b}), 'corr': corr({a}, {b})}}" for k, a in enumerate(NUMERIC) for b in NUMERIC[k + 1 :])
+
+
+@query("feature_corr_matrix", MASTER_ROLES, f"""{MASTER}, k AS MATERIALIZED (SELECT {", ".join(f"{c}::DOUBLE AS {c}" for c in NUMERIC)} FROM master), l AS (SELECT unnest([{_CELLS}], recursive := true) FROM k)
+SELECT a, b, n, CASE WHEN isfinite(corr) THEN {q6('corr')} END AS corr FROM l WHERE n > 0""")
+def feature_corr_matrix(r):
+    """Every pair of numeric columns of the master, over the rows where both are known, in one pass of mergeable sums."""
+    d = CO.matrix(master(r), list(NUMERIC)).where("n > 0")
+    return d.withColumn("corr", r6("corr"))

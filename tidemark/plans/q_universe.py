@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import active_on as active
 from ..functions.columns import q6, r6
 from ..operators import universe as U
-from ..operators.asof import next_event_within
+from ..operators.asof import interval_join, next_event_within
 from ..registry import query
 from ..sources.inputs import optional_table
 
@@ -163,9 +163,10 @@ def event_price_window(r):
 
 @query("event_counterparty", "bars actions", f"WITH clean AS ({CLEAN}) SELECT a.ticker, a.date AS event_date, a.contraticker, b.date, b.closeadj FROM clean a JOIN bars b ON a.contraticker = b.ticker AND b.date BETWEEN a.date - 5 AND a.date + 5")
 def event_counterparty(r):
-    a = U.clean_actions(r.actions).where("contraticker is not null").select("ticker", F.col("date").alias("event_date"), "contraticker")
+    """The other side's bars within five days of an event."""
+    a = U.clean_actions(r.actions).where("contraticker is not null").select("ticker", F.col("date").alias("event_date"), "contraticker", F.date_sub("date", 5).alias("a"), F.date_add("date", 5).alias("b"))
     b = r.bars.select(F.col("ticker").alias("contraticker"), "date", "closeadj")
-    return a.join(b, "contraticker").where(F.abs(F.datediff("date", "event_date")) <= 5).select("ticker", "event_date", "contraticker", "date", "closeadj")
+    return interval_join(b, a, "contraticker", "date", "a", "b", 11).select("ticker", "event_date", "contraticker", "date", "closeadj")
 
 
 @query("terminal_returns", "bars actions", f"WITH {TERMINAL}, p AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM bars), x AS (SELECT ticker, max(CASE WHEN rn = 1 THEN closeadj END) AS p0, {', '.join(f'max(CASE WHEN rn = {n + 1} THEN closeadj END) AS p{n}' for n in (21, 63, 252))} FROM p GROUP BY ticker) SELECT t.ticker, t.reason, {', '.join(f'{q6(f'p0 / p{n} - 1')} AS ret_{n}' for n in (21, 63, 252))} FROM terminal t JOIN x ON t.ticker = x.ticker")
@@ -184,7 +185,8 @@ def survivorship_detail(r):
     a = U.clean_actions(r.actions)
     e = U.terminal_events(a).where("reason = 'bankruptcyliquidation'").select("ticker", F.col("date").alias("event_date"))
     c = U.core(r.bars, r.instruments, U.removals(U.terminal_events(a))).select("ticker", "date", "closeadj")
-    return e.join(c, "ticker").where(F.col("date").between(F.date_sub("event_date", 90), F.date_sub("event_date", 1)))
+    e = e.withColumns({"a": F.date_sub("event_date", 90), "b": F.date_sub("event_date", 1)})
+    return interval_join(c, e, "ticker", "date", "a", "b", 90).drop("a", "b")
 
 
 @query("survivorship_summary", "bars instruments actions", f"{_SURV} SELECT b.ticker, event_date, count(c.date) AS days_covered, max(c.date) AS last_covered FROM b LEFT JOIN core c ON c.ticker = b.ticker AND c.date BETWEEN event_date - 90 AND event_date - 1 GROUP BY ALL")
