@@ -1,6 +1,6 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training counts the hashed 1- to 3-byte n-grams of *every* eligible document in its own task
+Training counts the hashed n-grams of 1 to 3 characters (code points, A-Z folded, digits alike) of *every* eligible document in its own task
 (`numpy.bincount` per language) and sums them in Spark, so the model covers the whole corpus.
 The model holds every language, in (buckets x languages) log-probability matrices of at most
 `LANGUAGES_AT_ONCE` languages; it grows with the number of languages (0.26 MB each), not of documents.
@@ -8,7 +8,8 @@ Scoring takes each text's n-grams as a sparse row and adds matrix rows in numpy,
 N-grams end with their text, so a text's score is the same beside any other texts.
 
 Null text, or a text without a letter, is ``und`` with score 0. Long texts are scored whole,
-in pieces of bounded size. A corpus with nothing to learn from gives ``und`` for every row.
+in pieces of bounded size. A corpus with nothing to learn from gives ``und`` for every row, an empty table no rows. Ties go to
+the first language by name. Repeated rows count as often as they are there; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,23 +36,36 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[0x09:0x0E] = 0x20
 _LOWER[0x30:0x3A] = 0x30
-_MULT = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))
-
-
-def gram_buckets(raw: np.ndarray, off: np.ndarray, order: int, buckets: int = BUCKETS) -> np.ndarray:
-    """The bucket of the n-gram that starts at each byte, with spaces past the end of its row ``off[i]:off[i + 1]``."""
-    x = np.concatenate([_LOWER[raw], np.full(order - 1, 0x20, np.uint8)]).astype(np.uint32)
-    n = len(raw)
-    code = x[:n].copy()
+_START, _NEXT, _LAST = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0x2C1B3C6D)
+
+
+def characters(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a number for each character of UTF-8 rows laid end to end, offsets of the rows among them): the character's bytes, folded."""
+    x = _LOWER[raw].astype(np.uint32)
+    inside = (raw & 0xC0) == 0x80
+    at = np.flatnonzero(~inside)
+    code, more, n = x[at], np.ones(len(at), bool), len(raw)
+    for k in range(1, 4):
+        following = at + k
+        more &= following < n
+        more[more] = inside[following[more]]
+        code[more] = (code[more] << np.uint32(8)) | x[following[more]]
+    return code, np.searchsorted(at, off)
+
+
+def gram_buckets(chars: np.ndarray, off: np.ndarray, order: int, buckets: int = BUCKETS) -> np.ndarray:
+    """The bucket of the n-gram that starts at each character, with spaces past the end of its row ``off[i]:off[i + 1]``."""
+    n = len(chars)
+    x = np.concatenate([chars, np.full(order - 1, 0x20, np.uint32)])
+    code = (chars + np.uint32(order << 24)) * _START
     for j in range(1, order):
         following = x[j : n + j].copy()
-        for d in range(1, j + 1):  # the last bytes of a row see no byte of the next
+        for d in range(1, j + 1):  # the last characters of a row see none of the next
             last = off[1:] - d
             following[last[last >= off[:-1]]] = 0x20
-        code = (code << np.uint32(8)) | following
-    code = (code + np.uint32(order << 24)) * _MULT[order - 1]
+        code = (code ^ (code >> np.uint32(15))) * _NEXT + following * _START
     code ^= code >> np.uint32(15)
-    return (code * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - int(buckets).bit_length() + 1)
+    return (code * _LAST) >> np.uint32(32 - int(buckets).bit_length() + 1)
 
 
 def _cells(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +82,7 @@ def _count(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Recor
         raw, off = words.text_bytes(b.column("text"))
         langs = np.asarray(b.column("lang").to_pylist(), object)
         for i, j in words.pieces(off, 1 << 20):
-            part, po = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+            part, po = characters(raw[off[i] : off[j]], off[i : j + 1] - off[i])
             names, code = np.unique(langs[i:j].astype(str), return_inverse=True)
             at = np.repeat(code.astype(np.int64), np.diff(po))
             for k in ORDERS:
@@ -126,10 +140,11 @@ def _score(batches: Iterator[pa.RecordBatch], langs: list[str], blocks: list[np.
         col = b.column("text")
         letters = pc.fill_null(pc.match_substring_regex(col, r"\p{L}"), False).to_numpy(zero_copy_only=False)
         raw, off = words.text_bytes(col)
-        total = np.zeros((len(col), len(langs)), np.float64)
+        total, length = np.zeros((len(col), len(langs)), np.float64), np.zeros(len(col), np.int64)
         if langs:
             for i, j in words.pieces(off, 1 << 18):
-                part, po = raw[off[i] : off[j]], off[i : j + 1] - off[i]
+                part, po = characters(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                length[i:j] = np.diff(po)
                 full = np.flatnonzero(np.diff(po))
                 if len(full):
                     for k in ORDERS:
@@ -141,7 +156,7 @@ def _score(batches: Iterator[pa.RecordBatch], langs: list[str], blocks: list[np.
         ok = letters & bool(langs)
         if ok.any():
             # the length-normalised posterior: a whole text's joint one is 0 or 1 almost always
-            per = total[ok] / np.maximum(np.diff(off)[ok], 1)[:, None]
+            per = total[ok] / np.maximum(length[ok], 1)[:, None]
             per = np.exp(per - per.max(1, keepdims=True))
             per /= per.sum(1, keepdims=True)
             best = per.argmax(1)
@@ -178,5 +193,5 @@ def recognised(docs: DataFrame, model: Model, least: float) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = train(docs.where(crc_mod("doc_id", 5) != 0))
-    rows = docs.select("doc_id", "text", (crc_mod("doc_id", 5) == 0).alias("held_out"))
+    rows = docs.select("doc_id", "text", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))  # without an id: neither held out nor learnt from
     return identify(rows, model, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")

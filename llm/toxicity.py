@@ -266,5 +266,5 @@ def score(docs: DataFrame, model: Svm, key: list[str]) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = train(training_rows(docs, labels.where(crc_mod("doc_id", 4) != 2), "toxic", TRAIN_ROWS))
-    rows = score(docs.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    rows = score(docs.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "text"), model, ["doc_id", "held_out"])
     return rows.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from llm import language_id, licenses, near_duplicates, quality_rules, token_counts
+from llm import language_id, licenses, near_duplicates, quality_rules, registry, token_counts
 
 
 @pytest.mark.parametrize("parts", [1, 3])
@@ -89,3 +89,62 @@ def test_quality_references_leave_the_text_itself_out(spark):
     assert got[100]["js_chars"] > quality_rules.MAX_CHAR_DISTANCE and not got[100]["kept"]
     for lone in (101, 102):  # nothing to compare with: the base rules alone
         assert got[lone]["js_chars"] is None and got[lone]["js_words"] is None and got[lone]["kept"]
+
+
+def script_texts(letters, pairs, n, seed):
+    """Texts of about 80 characters in two languages that share their letters and differ in which follow which."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        words, total = [], 0
+        while total < 80:
+            w = [int(rng.integers(0, len(letters)))]
+            while len(w) < 6:
+                w.append((w[-1] * pairs + int(rng.integers(0, 3))) % len(letters))
+            words.append("".join(letters[k] for k in w))
+            total += 7
+        out.append(" ".join(words))
+    return out
+
+
+@pytest.mark.parametrize("first", [0x61, 0x430, 0x915])
+def test_languages_of_any_script_are_told_apart_by_their_pairs(spark, first):
+    letters = [chr(first + k) for k in range(26)]
+    rows = [(lang, t) for lang, p in (("one", 3), ("two", 5)) for t in script_texts(letters, p, 400, p)]
+    d = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, lang string, text string")
+    model = language_id.train(d.where("doc_id % 2 = 0"))
+    got = language_id.identify(d.where("doc_id % 2 = 1"), model, ["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+
+
+def test_naive_bayes_equals_one_by_dictionaries(spark):
+    texts = [("en", "The cat sat on 12 mats."), ("en", "A dog, a log"), ("fr", "L'été où ça va"), ("fr", "Très bien été"), ("hi", "यह एक वाक्य है")]
+
+    def bucket(gram):
+        m = 2**32 - 1
+        code = lambda c: int.from_bytes((" " if c in "\t\n\x0b\x0c\r" else "0" if c in "0123456789" else c.lower() if c.isascii() else c).encode(), "big")
+        x = ((code(gram[0]) + (len(gram) << 24)) * 0x9E3779B1) & m
+        for c in gram[1:]:
+            x = ((x ^ x >> 15) * 0x85EBCA6B + code(c) * 0x9E3779B1) & m
+        x ^= x >> 15
+        return ((x * 0x2C1B3C6D) & m) >> 16
+
+    grams = lambda t: [bucket((t + "  ")[i : i + k]) for k in (1, 2, 3) for i in range(len(t))]
+    langs = ["en", "fr", "hi"]
+    counts = {g: np.bincount([b for lang, t in texts if lang == g for b in grams(t)], minlength=1 << 16) + 0.5 for g in langs}
+    logp = {g: np.log(c / c.sum()) for g, c in counts.items()}
+    model = language_id.train(spark.createDataFrame(texts, "lang string, text string"))
+    for t in ("the mat", "été là", "एक", "Zé 9\n"):
+        per = np.array([logp[g][grams(t)].sum() for g in langs]) / len(t)
+        p = np.exp(per - per.max())
+        p /= p.sum()
+        r = language_id.identify(spark.createDataFrame([(1, t)], "doc_id long, text string"), model, ["doc_id"]).first()
+        assert r["lang_pred"] == langs[int(p.argmax())] and r["score"] == pytest.approx(p.max(), abs=1e-5)
+
+
+def test_rows_without_an_id_are_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "One text. " * 9, "en"), (1, "Two texts. " * 9, "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op5_quality_gam", "op6_toxicity", "op7_language_id"):
+        got = {r["doc_id"]: r["held_out"] for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got[None] is False and isinstance(got[1], bool)
