@@ -27,6 +27,14 @@ def null_rates(panel: DataFrame, columns: list[str]) -> DataFrame:
     return d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("subject"), F.col(c).alias("rate")) for c in columns])).alias("x")).select("x.*")
 
 
+def coverage(panel: DataFrame, key: str, columns: list[str], much: float = 50.0) -> DataFrame:
+    """(key, subject, pct, flagged): the known share of each column by entity, flagged where it is 0 and over ``much`` for another."""
+    d = panel.groupBy(key).agg(*[(100.0 * F.count(c) / F.count(F.lit(1))).alias(c) for c in columns])
+    d = d.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("subject"), F.col(c).alias("pct")) for c in columns])).alias("x")).select(key, "x.*")
+    most = d.groupBy("subject").agg(F.max("pct").alias("_most"))  # one row a column
+    return d.join(F.broadcast(most), "subject").select(key, "subject", "pct", ((F.col("pct") == 0) & (F.col("_most") > much)).alias("flagged"))
+
+
 def duplicates(panel: DataFrame, keys: list[str]) -> DataFrame:
     return panel.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 

@@ -12,7 +12,7 @@ from ..operators import quality as Q
 from ..operators import universe as U
 from ..operators.quantiles import exact_quantiles, quantile_row
 from ..registry import query
-from .q_features import _ASOF, _PREV, RATIO_COLUMNS
+from .q_features import _ASOF, _PREV, PIT, RATIO_COLUMNS, pit
 from .q_prices import PRICE_SQL
 from .q_quality import METRICS, YEARS
 from .q_universe import CLEAN, CORE, LABELS, TERMINAL
@@ -68,9 +68,6 @@ def check_ranges(r):
     return C.report(d.agg(*[r6(C.share((F.col(k) < 0) | (F.col(k) > hi))).alias(k) for k, hi in _RANGES.items()]), {k: ("range", 0, 0.05) for k in _RANGES})
 
 
-_NULLS = ("marketcap", "pe", "pb")
-
-
 _PANEL = f"WITH pf AS MATERIALIZED ({PRICE_SQL}), pit AS MATERIALIZED (SELECT b.ticker, b.date, {RATIO_COLUMNS} FROM bars b {_ASOF} {_PREV}), panel AS MATERIALIZED (SELECT * FROM pf JOIN pit USING (ticker, date))"
 NUMERIC = (*PR.FEATURES, *FU.RATIOS)
 
@@ -81,19 +78,17 @@ def check_null_rates(r):
     return C.null_rates(d, list(NUMERIC)).select("subject", r6("rate").alias("rate"), (F.col("rate") > 0.8).alias("sparse"))
 
 
-@query("check_null_by_year", "vendor", f"SELECT year(date) AS year, {q6('avg(CASE WHEN pe IS NULL THEN 1.0 ELSE 0.0 END)')} AS pe_null FROM vendor GROUP BY 1")
-def check_null_by_year(r):
-    return r.vendor.groupBy(F.year("date").cast("long").alias("year")).agg(r6(C.share(F.col("pe").isNull())).alias("pe_null"))
-
-
 @query("check_universe_by_year", "bars", "SELECT year(date) AS year, count(DISTINCT ticker) AS tickers FROM bars GROUP BY 1")
 def check_universe_by_year(r):
     return r.bars.groupBy(F.year("date").cast("long").alias("year")).agg(F.countDistinct("ticker").alias("tickers"))
 
 
-@query("coverage_matrix", "vendor", f"SELECT ticker, {', '.join(f'{q6(f'100.0 * count({c}) / count(*)')} AS {c}' for c in _NULLS)} FROM vendor GROUP BY ticker")
+@query("coverage_matrix", "bars art", f"""{_PANEL}, own AS (SELECT ticker, {', '.join(f'100.0 * count({c}) / count(*) AS {c}' for c in NUMERIC)} FROM panel GROUP BY ticker), l AS (UNPIVOT own ON COLUMNS(* EXCLUDE ticker) INTO NAME subject VALUE pct)
+SELECT ticker, subject, {q6('pct')} AS pct, pct = 0 AND max(pct) OVER (PARTITION BY subject) > 50 AS flagged FROM l""")
 def coverage_matrix(r):
-    return r.vendor.groupBy("ticker").agg(*[r6(F.count(c) * 100.0 / F.count(F.lit(1))).alias(c) for c in _NULLS])
+    """The known share of every column by entity; flagged where an entity has none and another over half. One aggregate for all cells."""
+    d = PR.price_features(r.bars).select("ticker", "date", *PR.FEATURES).join(FU.with_ratios(r.bars.select("ticker", "date", "closeadj"), r.art).select("ticker", "date", *FU.RATIOS), ["ticker", "date"])
+    return C.coverage(d, "ticker", list(NUMERIC)).withColumn("pct", r6("pct"))
 
 
 @query("check_cross_feature_corr", "vendor", f"SELECT {q6('corr(pe, pb)')} AS pe_pb FROM vendor")
@@ -185,10 +180,16 @@ def check_median_bands(r):
     return C.report(m.crossJoin(F.broadcast(q)), {"vol_20d": ("median", 0.1, 0.8), "atr_14d": ("median", None, 0.1), "quality_null": ("nulls", 0, 0.4)})
 
 
-@query("check_change_frequency", "arq", "SELECT ticker, count(*) FILTER (revenue <> before) AS changes FROM (SELECT *, lag(revenue) OVER (PARTITION BY ticker ORDER BY datekey, reportperiod) AS before FROM arq) GROUP BY ticker")
+@query("check_change_frequency", "bars art arq ary", f"""WITH {PIT}, k AS (SELECT ticker, date, ncfo_r2_adjusted, lag(ncfo_r2_adjusted) OVER (PARTITION BY ticker ORDER BY date) AS before FROM pit WHERE ncfo_r2_adjusted IS NOT NULL),
+span AS (SELECT ticker, datediff('day', min(date), max(date)) / 365.0 AS years FROM pit GROUP BY ticker), c AS (SELECT ticker, count(*) FILTER (ncfo_r2_adjusted <> before) AS n FROM k GROUP BY ticker)
+SELECT ticker, coalesce(n, 0) AS changes, {q6('coalesce(n, 0) / greatest(years, 0.1)')} AS per_year FROM span LEFT JOIN c USING (ticker)""")
 def check_change_frequency(r):
-    d = r.arq.withColumn("before", F.lag("revenue").over(Window.partitionBy("ticker").orderBy("datekey", "reportperiod")))
-    return d.groupBy("ticker").agg(F.count_if(F.col("revenue") != F.col("before")).alias("changes"))
+    """How often a filing metric changes on the daily panel, and how often a year: about four times where filings are quarterly."""
+    d = pit(r).select("ticker", "date", "ncfo_r2_adjusted")
+    known = d.where("ncfo_r2_adjusted is not null").withColumn("before", F.lag("ncfo_r2_adjusted").over(PR.W()))
+    changes = known.groupBy("ticker").agg(F.count_if(F.col("ncfo_r2_adjusted") != F.col("before")).alias("changes"))
+    span = d.groupBy("ticker").agg((F.datediff(F.max("date"), F.min("date")) / 365.0).alias("years")).join(changes, "ticker", "left").withColumn("changes", F.coalesce("changes", F.lit(0).cast("long")))
+    return span.select("ticker", "changes", r6(F.col("changes") / F.greatest("years", F.lit(0.1))).alias("per_year"))
 
 
 @query("bars_without_filings", "bars ary", "SELECT ticker, count(*) AS n FROM bars WHERE ticker NOT IN (SELECT ticker FROM ary) GROUP BY ticker")

@@ -120,12 +120,6 @@ def _mean(a, b):
     return F.avg(F.when(F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.col("value")))
 
 
-@query("check_macro_anchors", "series", _report([_row("macro", "mean_1999", f"SELECT {q6(_A)} FROM series", 0, None), _row("macro", "ratio_1999_1996", f"SELECT {q6(f'({_A}) / ({_B})')} FROM series", 0.5, 2)]))
-def check_macro_anchors(r):
-    a, b = _mean("1999-01-01", "1999-12-31"), _mean("1996-01-01", "1996-12-31")
-    return C.report(r.series.agg(r6(a).alias("mean_1999"), r6(a / b).alias("ratio_1999_1996")), {"mean_1999": ("macro", 0, None), "ratio_1999_1996": ("macro", 0.5, 2)})
-
-
 @query("check_period_spike", "series", f"SELECT {q6(f'({_A}) / ({_B})')} AS ratio, ({_A}) > 2 * ({_B}) AS spike FROM series")
 def check_period_spike(r):
     a, b = _mean("1999-01-01", "1999-12-31"), _mean("1996-01-01", "1996-12-31")
@@ -135,12 +129,14 @@ def check_period_spike(r):
 _TIER = "CASE WHEN marketcap IS NULL THEN NULL WHEN marketcap < 1e6 THEN 1 WHEN marketcap < 3e6 THEN 2 WHEN marketcap < 6e6 THEN 3 WHEN marketcap < 1e7 THEN 4 WHEN marketcap < 2e7 THEN 5 ELSE 6 END"
 
 
-@query("check_insider_by_tier", "bars insider vendor", f"WITH i AS ({INSIDER}) SELECT {_TIER} AS tier, {q6('avg(CASE WHEN insider_buys > 0 THEN 1.0 ELSE 0.0 END)')} AS buy_share, avg(CASE WHEN insider_buys > 0 THEN 1.0 ELSE 0.0 END) > 0.01 AS active FROM i LEFT JOIN vendor v ON i.ticker = v.ticker AND i.date = v.date GROUP BY 1")
+@query("check_insider_by_tier", "bars insider vendor", f"WITH i AS ({INSIDER}), t AS (SELECT {_TIER} AS tier, avg(CASE WHEN insider_buys > 0 THEN 1.0 ELSE 0.0 END) AS share, count(*) AS n FROM i LEFT JOIN vendor v ON i.ticker = v.ticker AND i.date = v.date GROUP BY 1) SELECT tier, n, {q6('share')} AS buy_share, share > 0.01 AS active, count(tier) OVER () <= 6 AS few_tiers FROM t")
 def check_insider_by_tier(r):
-    """The share of rows with purchases by size tier, and whether it is over 1 %."""
+    """The share of rows with purchases by size tier, whether it is over 1 %, and whether there are no more than six tiers."""
     d = H.insider_features(r.bars.select("ticker", "date"), r.insider).join(r.vendor.select("ticker", "date", "marketcap"), ["ticker", "date"], "left")
     share = C.share(F.col("insider_buys") > 0)
-    return d.groupBy(size_tier("marketcap", (1e6, 3e6, 6e6, 1e7, 2e7)).alias("tier")).agg(r6(share).alias("buy_share"), (share > 0.01).alias("active"))
+    d = d.groupBy(size_tier("marketcap", (1e6, 3e6, 6e6, 1e7, 2e7)).alias("tier")).agg(F.count(F.lit(1)).alias("n"), r6(share).alias("buy_share"), (share > 0.01).alias("active"))
+    few = d.agg((F.count("tier") <= 6).alias("few_tiers"))
+    return d.crossJoin(F.broadcast(few))
 
 
 @query("check_delisted_sequence", "bars instruments actions", f"WITH {CORE} SELECT r.ticker, removed, count(*) FILTER (c.date < removed) AS before, count(*) FILTER (c.date >= removed) AS after FROM removed r LEFT JOIN core c ON r.ticker = c.ticker GROUP BY ALL")
@@ -243,11 +239,21 @@ def check_expected_values(r):
     return r.instruments.join(want, "ticker").select("ticker", (F.col("exchange") == F.col("expected")).alias("ok"))
 
 
-@query("check_labels", "bars actions", f"WITH {TERMINAL}{LABELS} SELECT ticker, count(*) FILTER (fwd_delisted_21td) AS flagged, ticker IN (SELECT ticker FROM terminal) AS ended FROM labels GROUP BY ticker")
+@query("check_labels", "bars instruments actions", f"""WITH {CORE}{LABELS}, f AS (SELECT ticker, count(*) FILTER (fwd_delisted_21td) AS flagged_21, count(*) FILTER (fwd_delisted_63td) AS flagged_63 FROM labels GROUP BY ticker),
+e AS (SELECT ticker, bool_or(reason <> 'mergerfrom' AND date = last_date) AS ended FROM terminal JOIN (SELECT ticker, max(date) AS last_date FROM bars GROUP BY ticker) USING (ticker) GROUP BY ticker), u AS (SELECT c.ticker, count(*) FILTER (c.date >= removed) AS after FROM core c JOIN removed USING (ticker) GROUP BY c.ticker)
+SELECT f.*, coalesce(ended, false) AS ended, coalesce(after, 0) AS universe_after, CASE WHEN coalesce(after, 0) > 0 THEN 'FAIL' WHEN coalesce(ended, false) THEN CASE WHEN flagged_21 > 0 AND flagged_63 > 0 THEN 'PASS' ELSE 'FAIL' END WHEN flagged_21 = 0 AND flagged_63 = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM f LEFT JOIN e USING (ticker) LEFT JOIN u USING (ticker)""")
 def check_labels(r):
+    """Entities that ended on their last bar carry the flags before it, others never do, and none is in the universe from its removal on."""
     t = U.terminal_events(U.clean_actions(r.actions))
-    d = U.forward_labels(r.bars, t, (21,)).groupBy("ticker").agg(F.count_if("fwd_delisted_21td").alias("flagged"))
-    return d.join(t.select("ticker").distinct().withColumn("e", F.lit(True)), "ticker", "left").select("ticker", "flagged", F.coalesce("e", F.lit(False)).alias("ended"))
+    flags = U.forward_labels(r.bars, t, (21, 63)).groupBy("ticker").agg(*[F.count_if(f"fwd_delisted_{n}td").alias(f"flagged_{n}") for n in (21, 63)])
+    last = r.bars.groupBy("ticker").agg(F.max("date").alias("last_date"))
+    ended = t.join(last, "ticker").groupBy("ticker").agg(F.bool_or((F.col("reason") != "mergerfrom") & (F.col("date") == F.col("last_date"))).alias("ended"))
+    gone = U.removals(t)
+    after = U.core(r.bars, r.instruments, gone).join(gone, "ticker").groupBy("ticker").agg(F.count_if(F.col("date") >= F.col("removed")).alias("universe_after"))
+    d = flags.join(ended, "ticker", "left").join(after, "ticker", "left").withColumns({"ended": F.coalesce("ended", F.lit(False)), "universe_after": F.coalesce("universe_after", F.lit(0).cast("long"))})
+    both, none = (F.col("flagged_21") > 0) & (F.col("flagged_63") > 0), (F.col("flagged_21") == 0) & (F.col("flagged_63") == 0)
+    fine = (F.col("universe_after") == 0) & F.when(F.col("ended"), both).otherwise(none)
+    return d.withColumn("status", F.when(fine, "PASS").otherwise("FAIL"))
 
 
 @query("check_median_order", "bars", "SELECT (SELECT median(closeadj) FROM bars WHERE ticker = 1) > (SELECT median(closeadj) FROM bars WHERE ticker = 2) AS first_higher")

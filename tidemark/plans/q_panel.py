@@ -2,15 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.columns import q6, r6
+from ..functions.columns import q6, r6, ratio
+from ..operators import checks as C
 from ..operators import correlation as CO
 from ..operators import holdings as H
 from ..operators import peers as P
 from ..operators import prices as PR
 from ..operators import series as S
 from ..operators import universe as U
+from ..operators.quantiles import quantile_row
 from ..registry import query
 from ..sources.stages import Stages
+from .q_checks import _report, _row
 from .q_features import _BT, _INST, _VINTAGE, INSIDER, PIT, PIT_COLUMNS, pit
 from .q_prices import PRICE_SQL
 from .q_universe import CORE, LABELS, UNIVERSE
@@ -160,3 +163,37 @@ def feature_corr_matrix(r):
     """Every pair of numeric columns of the master, over the rows where both are known, in one pass of mergeable sums."""
     d = CO.matrix(master(r), list(NUMERIC)).where("n > 0")
     return d.withColumn("corr", r6("corr"))
+
+
+_BY_YEAR = {"inst_null": "shrunits", "quality_null": "ncfo_r2_adjusted", "pe_null": "pe", "curve_null": "yield_curve"}
+
+
+@query("check_null_by_year", MASTER_ROLES, f"{MASTER} SELECT year(date) AS year, {', '.join(f'{q6(f'avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END)')} AS {k}' for k, c in _BY_YEAR.items())} FROM master GROUP BY 1")
+def check_null_by_year(r):
+    """Null rates of a column of each side of the master by year."""
+    return master(r).groupBy(F.year("date").cast("long").alias("year")).agg(*[r6(F.avg(F.col(c).isNull().cast("double"))).alias(k) for k, c in _BY_YEAR.items()])
+
+
+#: Periods that the macro series are known to differ in: (subject, column, aggregate, first day, last day).
+ANCHORS = (("curve_mean", "yield_curve", "avg", "1999-08-01", "1999-10-31"), ("curve_min", "yield_curve", "min", "1999-08-01", "1999-10-31"), ("vix_spike", "vix", "avg", "2000-03-01", "2000-03-31"), ("vix_before", "vix", "avg", "1999-01-01", "1999-12-31"),
+    ("trend_share", "market_above_ma200", "avg", "2000-03-15", "2000-04-30"), ("cpi_high", "cpi_yoy", "avg", "2000-01-01", "2000-12-31"), ("cpi_before", "cpi_yoy", "avg", "1999-01-01", "1999-12-31"))
+_ANCHORED = ", ".join(f"{f}(CASE WHEN date BETWEEN DATE '{a}' AND DATE '{b}' THEN {c} END) AS {k}" for k, c, f, a, b in ANCHORS)
+
+
+@query("check_macro_anchors", MACRO_ROLES, f"WITH {MACRO}, m AS MATERIALIZED (SELECT {_ANCHORED} FROM macro) " + _report([_row("macro", "curve_mean", f"SELECT {q6('curve_mean')} FROM m", None, None), _row("macro", "curve_min", f"SELECT {q6('curve_min')} FROM m", None, 0), _row("macro", "vix_spike", f"SELECT {q6('vix_spike / nullif(vix_before, 0)')} FROM m", 2, None), _row("macro", "trend_share", f"SELECT {q6('trend_share')} FROM m", None, 0.5), _row("macro", "cpi_high", f"SELECT {q6('cpi_high / nullif(cpi_before, 0)')} FROM m", 2, None)]))
+def check_macro_anchors(r):
+    """What is known of some periods: an inverted curve, volatility and inflation twice as high as before, a market below its average."""
+    of = {"avg": F.avg, "min": F.min}
+    m = macro(r).agg(*[of[f](F.when(F.col("date").between(F.lit(a).cast("date"), F.lit(b).cast("date")), F.col(c))).alias(k) for k, c, f, a, b in ANCHORS])
+    v = m.select(r6("curve_mean").alias("curve_mean"), r6("curve_min").alias("curve_min"), r6(ratio("vix_spike", "vix_before")).alias("vix_spike"), r6("trend_share").alias("trend_share"), r6(ratio("cpi_high", "cpi_before")).alias("cpi_high"))
+    return C.report(v, {"curve_mean": ("macro", None, None), "curve_min": ("macro", None, 0), "vix_spike": ("macro", 2, None), "trend_share": ("macro", None, 0.5), "cpi_high": ("macro", 2, None)})
+
+
+@query("check_peer_columns", "bars art arq ary instruments vendor", f"WITH {PIT}, {PRICES}, {PEERS}, x AS MATERIALIZED (SELECT * FROM relative WHERE pe_vs_peers IS NOT NULL) " + _report([*[_row("peers", c, f"SELECT {q6(f'median({c})')} FROM x", 0.8, 1.2) for c in ("pe_vs_peers", "pb_vs_peers", "pcf_vs_peers")], *[_row("peers", c, f"SELECT {q6(f'avg({c})')} FROM x", -0.1, 0.1) for c in ("roic_level_minus_peers", "ret_3m_minus_peers")]]))
+def check_peer_columns(r):
+    """Peer ratios have their median near 1, differences their mean near 0."""
+    d = relative(r, pit(r), price(r)).where("pe_vs_peers is not null")
+    m = quantile_row(d, {c: (c, 0.5) for c in ("pe_vs_peers", "pb_vs_peers", "pcf_vs_peers")})
+    a = d.agg(*[r6(F.avg(c)).alias(c) for c in ("roic_level_minus_peers", "ret_3m_minus_peers")])
+    v = m.select(*[r6(c).alias(c) for c in m.columns]).crossJoin(F.broadcast(a))
+    return C.report(v, {c: ("peers", 0.8, 1.2) for c in m.columns} | {c: ("peers", -0.1, 0.1) for c in a.columns})

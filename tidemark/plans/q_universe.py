@@ -169,12 +169,27 @@ def event_counterparty(r):
     return interval_join(b, a, "contraticker", "date", "a", "b", 11).select("ticker", "event_date", "contraticker", "date", "closeadj")
 
 
-@query("terminal_returns", "bars actions", f"WITH {TERMINAL}, p AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM bars), x AS (SELECT ticker, max(CASE WHEN rn = 1 THEN closeadj END) AS p0, {', '.join(f'max(CASE WHEN rn = {n + 1} THEN closeadj END) AS p{n}' for n in (21, 63, 252))} FROM p GROUP BY ticker) SELECT t.ticker, t.reason, {', '.join(f'{q6(f'p0 / p{n} - 1')} AS ret_{n}' for n in (21, 63, 252))} FROM terminal t JOIN x ON t.ticker = x.ticker")
+_TERMINAL_ROWS = (1, 21, 63, 252)
+_OVER = ", ".join(f"{q6(f'{f}(CASE WHEN p{n} > 0 THEN p1 / p{n} - 1 END)')} AS {k}_ret_{n}" for n in _TERMINAL_ROWS[1:] for k, f in (("mean", "avg"), ("median", "median")))
+
+
+@query("terminal_returns", "bars actions", f"WITH clean AS ({CLEAN}), p AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS rn FROM bars), x AS (SELECT ticker, {', '.join(f'max(CASE WHEN rn = {n} THEN closeadj END) AS p{n}' for n in _TERMINAL_ROWS)} FROM p WHERE rn <= 252 GROUP BY ticker) SELECT action, count(*) AS n, {_OVER} FROM (SELECT DISTINCT ticker, action FROM clean WHERE action IN ('delisted', {_REASONS})) t JOIN x USING (ticker) GROUP BY action")
 def terminal_returns(r):
-    p = r.bars.withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where("rn <= 253")
-    x = p.groupBy("ticker").agg(*[F.max(F.when(F.col("rn") == n + 1, F.col("closeadj"))).alias(f"p{n}") for n in (0, 21, 63, 252)])
-    t = U.terminal_events(U.clean_actions(r.actions)).join(x, "ticker")
-    return t.select("ticker", "reason", *[r6(F.try_divide("p0", f"p{n}") - 1).alias(f"ret_{n}") for n in (21, 63, 252)])
+    """By kind of event, the mean and median return of entities from their 21st, 63rd and 252nd last bar to the last."""
+    p = r.bars.withColumn("rn", F.row_number().over(Window.partitionBy("ticker").orderBy(F.desc("date")))).where("rn <= 252")
+    x = p.groupBy("ticker").agg(*[F.max(F.when(F.col("rn") == n, F.col("closeadj"))).alias(f"p{n}") for n in _TERMINAL_ROWS])
+    t = U.clean_actions(r.actions).where(F.col("action").isin("delisted", *U.REASONS)).select("ticker", "action").distinct().join(x, "ticker")
+    over = lambda n: F.when(F.col(f"p{n}") > 0, F.col("p1") / F.col(f"p{n}") - 1)
+    return t.groupBy("action").agg(F.count(F.lit(1)).alias("n"), *[r6(f(over(n))).alias(f"{k}_ret_{n}") for n in _TERMINAL_ROWS[1:] for k, f in (("mean", F.avg), ("median", F.median))])
+
+
+@query("terminal_value", "bars actions vendor", f"WITH clean AS ({CLEAN}), l AS (SELECT v.ticker, max(v.date) AS last_date, arg_max(closeadj, v.date) AS last_price, arg_max(marketcap, v.date) AS marketcap FROM vendor v JOIN bars b ON v.ticker = b.ticker AND v.date = b.date GROUP BY v.ticker) SELECT DISTINCT c.ticker, action, c.date AS event_date, last_date, last_price, {q6('marketcap / 1e6')} AS last_value_m, datediff('day', last_date, c.date) AS days_after FROM clean c JOIN l USING (ticker) WHERE action IN ('acquisitionby', 'mergerfrom')")
+def terminal_value(r):
+    """Acquisitions and mergers beside the entity's last price and capitalisation in millions."""
+    last = r.vendor.select("ticker", "date", "marketcap").join(r.bars.select("ticker", "date", "closeadj"), ["ticker", "date"]).groupBy("ticker")
+    last = last.agg(F.max("date").alias("last_date"), F.max_by("closeadj", "date").alias("last_price"), r6(F.max_by("marketcap", "date") / 1e6).alias("last_value_m"))
+    a = U.clean_actions(r.actions).where(F.col("action").isin("acquisitionby", "mergerfrom")).select("ticker", "action", F.col("date").alias("event_date")).distinct()
+    return a.join(last, "ticker").withColumn("days_after", F.datediff("event_date", "last_date").cast("long"))
 
 
 _SURV = f"WITH {CORE}, b AS (SELECT ticker, date AS event_date FROM terminal WHERE reason = 'bankruptcyliquidation')"
