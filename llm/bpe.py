@@ -9,7 +9,8 @@ encoded once, and a word's tokens are read off by walking the states back.
 
 Whitespace never joins a token, so a text is its whitespace-free chunks; each task keeps a
 bounded table of chunks it has met. Null and empty texts have no token. Texts of any length
-are encoded whole.
+are encoded whole. Repeated rows are each encoded; an empty table gives no rows. Only the key columns and the text are read; a key must not
+be named like a result.
 """
 
 from __future__ import annotations

@@ -17,7 +17,10 @@ a larger benchmark is a sequence of such blocks, each against all documents. Doc
 where they are: there is no shuffle of text. Null or empty texts and items match nothing; repeated
 rows are each reported; documents with a null id are matched too. Items shorter than ``MIN_ITEM_WORDS`` words
 are too short for scores: those of at least ``GRAM`` words are found where a text has all their words in a
-row, shorter ones only where they are the whole text (score and overlaps are then 1).
+row, shorter ones only where they are the whole text (score and overlaps are then 1). The attainable score of an item is that of its
+``ATTAINABLE_TERMS`` heaviest terms, since a passage has room for no more of a long one. A score equal to the threshold is
+retrieved; items of equal text are all reported. Without documents or items nothing is reported and no document goes.
+Texts of any length are read whole; columns beside id and text are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ that of the nearest ancestor directory with a licence file (smallest id, if seve
 document's ancestor paths, as many as the path is deep, to the directories' licences.
 
 Null or empty texts have no licence of their own, but inherit. A null path or id inherits nothing.
-Repeated rows are each returned. The templates are the only thing broadcast, and are fixed.
+Repeated rows are each returned. The templates are the only thing broadcast, and are fixed. Texts of any length are read whole; an
+empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

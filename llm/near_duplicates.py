@@ -26,7 +26,9 @@ which only changes the order). The join goes
 7. verified links and classes give components by star contraction.
 
 Texts that are null or have no word have the empty set and no link. Rows with a null id are
-returned with a null component and never compared. Rows of one id are one node, whatever their texts.
+returned with a null component and never compared. Rows of one id are one node, whatever their texts. A similarity equal
+to the limit links. Texts of any length are read whole, in steps of bounded size; an empty table gives no rows, and columns
+beside id and text are ignored.
 """
 
 from __future__ import annotations

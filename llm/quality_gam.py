@@ -8,7 +8,9 @@ Scoring is a sum of table entries, bin by bin, over whole batches.
 Training takes at most ``TRAIN_ROWS`` labelled rows, chosen by a hash of the id (a documented
 bound; features of that sample, not texts, reach the driver). Features use whole texts. Null and
 empty texts have all-zero features and are scored like any other. Without both labels among
-the training rows every score is the share of good rows, or 0.5.
+the training rows every score is the share of good rows, or 0.5. Repeated rows score alike, and a document that is there
+twice is learnt from twice; equal feature values fall into one bin; a score of exactly 0.5 is predicted good. An empty table gives no rows; other
+columns are ignored. A row without an id is scored, and neither held out nor learnt from.
 """
 
 from __future__ import annotations

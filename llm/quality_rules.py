@@ -14,7 +14,8 @@ references (one row a language) and the verdicts are made. Work on repeated 8-wo
 done within the row, so a text of any length needs no shuffle.
 
 Null and empty texts have no words and fail the base rules. Repeated rows are judged alike. A
-null id is passed through. An empty table gives an empty result.
+null id is passed through. An empty table gives an empty result. A distance equal to its limit is kept. Columns
+that the rules do not use are ignored, whatever their names.
 """
 
 from __future__ import annotations

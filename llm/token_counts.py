@@ -10,6 +10,7 @@ into one.
 
 Null source or language is a group of its own; a null or empty text has no token but is a
 document. Repeated rows of a batch each count. Groups whose documents are all gone are dropped.
+Texts of any length are counted whole; an empty batch is recorded and changes nothing, and a ledger without batches has no totals.
 """
 
 from __future__ import annotations

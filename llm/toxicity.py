@@ -18,7 +18,8 @@ a logistic function of its strongest word and of how many words are on the toxic
 Labels come from at most ``TRAIN_ROWS`` labelled rows (documented bound, by a hash of the id); the
 driver receives a bounded number of words and three numbers a training text. Null and
 empty texts score as having no word. Without both labels, or without any telling word,
-every score is the share of toxic rows.
+every score is the share of toxic rows. Repeated rows score alike; words of equal telling power are taken in order of
+spelling; an empty table gives no rows; other columns are ignored. A row without an id is scored, and neither held out nor learnt from.
 """
 
 from __future__ import annotations
