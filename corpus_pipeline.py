@@ -4,7 +4,9 @@ Every stage but the last returns the columns of ``documents``. Language ID drops
 recognised language; line dedup cuts later copies of lines, and drops a document of which no
 word is left; of each group of near duplicates the one with the smallest id stays; documents that
 hold a test item go; the last stage encodes and decodes what is left. Rows with a null id
-pass the stages that compare documents.
+pass the stages that compare documents. Null, empty and blank texts have no language and go at the first stage;
+rows repeated under one id are one document for the third stage, which keeps one of them. Texts are read whole at every length, an empty
+table passes as one, and columns besides those of ``documents`` are dropped at the start.
 """
 
 from __future__ import annotations
