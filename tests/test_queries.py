@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__
 from tidemark import plans, registry  # noqa: F401
+from tidemark.plans import q_panel, q_strategies
 from tidemark.sources.roles import TABLES
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,16 @@ def duck():
     return c
 
 
+@pytest.fixture(scope="module", autouse=True)
+def written_once():
+    """The master and the strategies' assignments are written tables: the queries that read them share one of each here."""
+    with pytest.MonkeyPatch.context() as m:
+        for module, name in ((q_panel, "master"), (q_strategies, "assigned")):
+            made, tables = getattr(module, name), {}
+            m.setattr(module, name, lambda r, made=made, tables=tables: tables[r.sf_dir] if r.sf_dir in tables else tables.setdefault(r.sf_dir, made(r)))
+        yield
+
+
 @pytest.mark.parametrize("key", sorted(registry.QUERIES))
 def test_matches_oracle(spark, duck, key):
     got = registry.QUERIES[key](spark, SF)
