@@ -46,11 +46,10 @@ def rows(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(1 - n, 0)
 
 
-def sample_skewness(c: str, w: WindowSpec | None = None) -> Column:
+def sample_skewness(c: str) -> Column:
     """Bias-corrected skewness; null for fewer than 3 values."""
-    over = (lambda x: x.over(w)) if w is not None else (lambda x: x)
-    n = over(F.count(c))
-    return F.when(n > 2, over(F.skewness(c)) * F.sqrt(n * (n - 1)) / (n - 2))
+    n = F.count(c)
+    return F.when(n > 2, F.skewness(c) * F.sqrt(n * (n - 1)) / (n - 2))
 
 
 def sample_kurtosis(c: str) -> Column:
