@@ -129,7 +129,8 @@ def build_index(items: list[tuple[int, str]], document_frequency: dict[int, int]
     df = np.array([document_frequency[t] for t in terms.tolist()], np.float64)
     idf = np.log1p((n_items - df + 0.5) / (df + 0.5))
     w = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[where] / mean_length))
-    own = np.array([np.sort(w[where == i])[::-1][:ATTAINABLE_TERMS].sum() for i in range(len(items))])
+    of_item = np.split(w, np.searchsorted(where, np.arange(1, len(items))))  # postings still stand item by item
+    own = np.array([np.sort(x)[::-1][:ATTAINABLE_TERMS].sum() for x in of_item])
     w = w / own[where]
     o = np.lexsort((where, terms))
     terms, where, w = terms[o], where[o], w[o].astype(np.float32)

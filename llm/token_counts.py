@@ -107,7 +107,7 @@ class Ledger:
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents inserted; then every 10th deleted, every 7th revised (symbols cut), every 11th moved
-    to source 'archive'; and the batch of deletes sent once more."""
+    to source 'archive'; and the batch of deletes sent once more. A document without an id is inserted and stays as it is."""
     docs = read(spark, sf_dir, "documents")
     ledger = Ledger(spark)
     ledger.commit("insert", signed(docs, 1))
@@ -124,7 +124,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH d AS (SELECT CASE WHEN doc_id % 7 <> 2 AND doc_id % 11 = 5 THEN 'archive' ELSE source END AS source, lang,
   coalesce(CASE WHEN doc_id % 7 = 2 THEN regexp_replace(text, '[#*$%&|<>]+', '', 'g') ELSE text END, '') AS t
-  FROM documents WHERE doc_id % 10 <> 3),
+  FROM documents WHERE doc_id % 10 IS DISTINCT FROM 3),
 n AS (SELECT source, lang, 'words-1' AS version, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS k FROM d
   UNION ALL SELECT source, lang, 'marks-2', len(regexp_extract_all(t, '[\p{L}\p{M}]+|\p{N}|[^\x20\x09-\x0D\p{L}\p{M}\p{N}]')) FROM d)
 SELECT source, lang, version, count(*) AS n_docs, sum(k)::BIGINT AS n_tokens FROM n GROUP BY ALL
