@@ -22,6 +22,7 @@ ROLES = "bars instruments vendor"
 
 def panel(r):
     """Rows with a 21-row forward return, damped by 0.02 because the synthetic prices jump, and a 63-row past return."""
+    r.keep("bars")
     w = Window.partitionBy("ticker").orderBy("date")
     bars = r.bars.withColumns({"fwd_ret": r6(0.02 * (F.try_divide(F.lead("closeadj", 21).over(w), "closeadj") - 1)), "ret_3m": r6(F.try_divide("closeadj", F.lag("closeadj", 63).over(w)) - 1), "_last": F.lead("closeadj", 21).over(w).isNull()})
     bars = bars.join(r.instruments.select("ticker", "sector", "isdelisted"), "ticker").withColumn("delisted", F.col("_last") & (F.col("isdelisted") == "Y")).drop("_last", "isdelisted")

@@ -9,7 +9,7 @@ from ..operators import strategies as ST
 from ..operators import universe as U
 from ..registry import query
 from . import q_strategies as QS
-from .q_features import _ASOF, _SALES, PIT, nonzero, pit
+from .q_features import _ASOF, _SALES, PIT, PIT_COLUMNS, nonzero, pit
 from .q_panel import MACRO, MACRO_ROLES, macro, price
 from .q_prices import PRICE_SQL
 from .q_quality import _QT, _ROIC, cagr_sql, log_sql
@@ -79,6 +79,7 @@ _MACRO_COLUMNS = ("vix", "yield_curve", "hy_spread", "vix_change_20d", "nfci", "
 
 def own_rows(r):
     """Listed entities with a price: one row each with quality, valuation and price features."""
+    r.keep("bars", "quarters")
     entities = listed(r)
     last = last_prices(r, entities).select("ticker", "date").join(entities, "ticker").withColumn("fwd_ret_5td", F.lit(None).cast("double"))
     prices = price(r).withColumn("_n", F.lead("date").over(PR.W())).where("_n is null").drop("_n", "date")
@@ -107,8 +108,10 @@ def current_snapshot(r):
 @query("screen_training", "bars art arq ary", f"WITH {PIT}, pf AS MATERIALIZED ({PRICE_SQL}) SELECT ticker, date, ncfo_r2_5y, roe FROM pit JOIN pf USING (ticker, date) WHERE {SN.TRAINING}")
 def screen_training(r):
     """The rows of the panel that one would train on: all eight conditions."""
-    d = pit(r).join(price(r), ["ticker", "date"])
-    return d.where(SN.TRAINING).select("ticker", "date", "ncfo_r2_5y", "roe")
+    stages = r.keep("bars")
+    fundamentals = pit(r).select("ticker", "date", *[c for c in PIT_COLUMNS if c in SN.TRAINING])
+    d = stages.write("training", fundamentals.join(price(r), ["ticker", "date"]).where(SN.TRAINING))
+    return d.select("ticker", "date", "ncfo_r2_5y", "roe")
 
 
 _QUALITY_VALUE = ST.PUBLISHED[2]

@@ -5,13 +5,12 @@ from pyspark.sql import functions as F
 from ..functions.columns import q4, q6, r4, r6
 from ..operators import buckets as B
 from ..operators import fundamentals as FU
-from ..operators import quality as Q
 from ..operators import series as S
 from ..operators import strategies as ST
 from ..operators import universe as U
 from ..registry import query
 from .q_features import PIT
-from .q_panel import stage
+from .q_quality import metrics
 from .q_universe import CORE, LABELS, UNIVERSE
 
 ROLES = "bars instruments actions vendor art arq ary series"
@@ -23,10 +22,12 @@ FROM universe u JOIN ends ON u.date = ends.date JOIN pit ON pit.ticker = u.ticke
 
 def month_panel(r):
     """The universe at month ends with what strategies ask for. Filings are looked up for these rows only; the ends are one date a month."""
+    r.keep("bars")
+    quality = metrics(r).select("ticker", "vintage", "fcf_r2_10y", "fcf_pct_positive")
     terminal = U.terminal_events(U.clean_actions(r.actions))
     core = U.core(r.bars, r.instruments, U.removals(terminal)).select("ticker", "date", "closeadj", "sector")
     grid = core.join(F.broadcast(B.month_ends(core)), "date", "left_semi").join(r.vendor.select("ticker", "date", F.bround("marketcap").cast("long").alias("marketcap")), ["ticker", "date"], "left")
-    d = FU.fundamental_pit(grid, r.art, Q.quality_metrics(r.arq, r.ary).select("ticker", "vintage", "fcf_r2_10y", "fcf_pct_positive"))
+    d = FU.fundamental_pit(grid, r.art, quality)
     days = d.select("date").distinct().withColumn("series", F.lit("vix"))
     vix = S.carried(days, r.series.withColumn("series", F.lit("vix"))).select("date", F.col("value").alias("vix"))
     labels = U.forward_labels(r.bars, terminal, (21,)).drop("fwd_delist_type_21td")
@@ -64,9 +65,8 @@ months AS (SELECT g.strategy, g.buckets, g.bucket, last_day(CAST(m AS DATE)) AS
 
 def assigned(r):
     """The sorted rows of all strategies as a written table, which the statistics of a run share."""
-    stages = stage(r)
     d = month_panel(r).withColumns({"fwd_ret": r6(DAMP * F.col("fwd_ret_21td")), "delisted": F.col("fwd_delisted_21td")})
-    return stages.write("assigned", ST.assign(d, ST.PUBLISHED))
+    return r.keep().write("assigned", ST.assign(d, ST.PUBLISHED))
 
 
 def months(a):
