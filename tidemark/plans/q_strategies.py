@@ -31,7 +31,7 @@ def month_panel(r):
     days = d.select("date").distinct().withColumn("series", F.lit("vix"))
     vix = S.carried(days, r.series.withColumn("series", F.lit("vix"))).select("date", F.col("value").alias("vix"))
     labels = U.forward_labels(r.bars, terminal, (21,)).drop("fwd_delist_type_21td")
-    d = d.join(vix, "date", "left").join(labels, ["ticker", "date"], "left")
+    d = d.join(F.broadcast(vix), "date", "left").join(labels, ["ticker", "date"], "left")
     return d.select("ticker", "date", *[r6(c).alias(c) if c in ("pe", "pcf", "fcf_r2_10y", "fcf_pct_positive", "fwd_ret_21td") else c for c in COLUMNS])
 
 
