@@ -19,9 +19,9 @@ def top_by_cap(panel: DataFrame, most: int) -> DataFrame:
     return panel.withColumn("cap_rank", F.row_number().over(w)).where(F.col("cap_rank") <= most)
 
 
-def bucket_sort(panel: DataFrame, metric: str, n: int, most: int | None = None, screen: Column | None = None) -> DataFrame:
-    """Rebalance rows with their bucket, 1 the smallest metric. Screens come before the size limit."""
-    d = panel.join(F.broadcast(month_ends(panel.select("date").distinct())), "date")
+def bucket_sort(panel: DataFrame, metric: str, n: int, most: int | None = None, screen: Column | None = None, at_ends: bool = False) -> DataFrame:
+    """Rebalance rows with their bucket, 1 the smallest metric. Screens come before the size limit. ``at_ends``: the panel has no other rows than those of month ends."""
+    d = panel if at_ends else panel.join(F.broadcast(month_ends(panel.select("date").distinct())), "date")
     if screen is not None:
         d = d.where(screen)
     if most is not None:

@@ -25,8 +25,9 @@ def calendar(ends: DataFrame, frequencies: tuple[str, ...] = tuple(PER_YEAR)) ->
 def returns(held: DataFrame, bars: DataFrame, key: str = "ticker", start: str = "day", end: str = "until") -> DataFrame:
     """``held`` with entry, exit and ret: in at the first price on or after its start, out at the last one on or before its end.
 
-    An entity that stops trading is sold at its last price; rows without either price go. Both are as-of joins by entity."""
-    price = bars.select(key, F.col("date").alias("_at"), F.col("closeadj").alias("_price"))
+    An entity that stops trading is sold at its last price; rows without either price go. Both are as-of joins by entity, for
+    which only the bars of entities that are held are exchanged and sorted. ``held`` is read twice: give it as a written table where it takes work."""
+    price = bars.join(held.select(key).distinct(), key, "left_semi").select(key, F.col("date").alias("_at"), F.col("closeadj").alias("_price"))
     d = asof_next(held, price.withColumnRenamed("_price", "entry"), key, start, "_at", ["entry"])
     d = asof_join(d, price.withColumnRenamed("_price", "exit"), key, end, "_at", ["exit"]).where("entry is not null and exit is not null")
     return d.withColumn("ret", ratio("exit", "entry") - 1)

@@ -61,7 +61,10 @@ def labels(days: DataFrame, rules: tuple[Rule, ...] = RULES, otherwise: str = OT
 
 
 def with_labels(rows: DataFrame, labelled: DataFrame, date: str = "date") -> DataFrame:
-    """``rows`` once for each family, with the label of the last labelled date on or before their own. Labels are one row a date and family."""
+    """``rows`` once for each family, with the label of the last labelled date on or before their own. Labels are one row a date and family.
+
+    What is looked up by family are the distinct dates, and rows meet these by date. Both tables are read twice: give them as written tables where they take work."""
     families = labelled.select("family").distinct()
-    d = rows.crossJoin(F.broadcast(families))
-    return asof_join(d, labelled.withColumn("_day", F.col("date")).select("family", "_day", "label"), "family", date, "_day", ["label"])
+    days = rows.select(F.col(date).alias("_on")).distinct().crossJoin(F.broadcast(families))
+    named = asof_join(days, labelled.select("family", F.col("date").alias("_day"), "label"), "family", "_on", "_day", ["label"])
+    return rows.join(named, F.col(date).eqNullSafe(F.col("_on"))).drop("_on")

@@ -20,20 +20,24 @@ s AS (SELECT date, bucket, {q6('avg(fwd_ret)')} AS ret FROM a GROUP BY date, buc
 ROLES = "bars instruments vendor"
 
 
-def panel(r):
-    """Rows with a 21-row forward return, damped by 0.02 because the synthetic prices jump, and a 63-row past return."""
+def panel(r, at_ends=False):
+    """Rows with a 21-row forward return, damped by 0.02 because the synthetic prices jump, and a 63-row past return.
+
+    ``at_ends``: only those of month ends, which are picked before anything is joined to them."""
     r.keep("bars")
+    ends = F.broadcast(B.month_ends(r.bars))
+    picked = lambda d: d.join(ends, "date", "left_semi") if at_ends else d
     w = Window.partitionBy("ticker").orderBy("date")
     bars = r.bars.withColumns({"fwd_ret": r6(0.02 * (F.try_divide(F.lead("closeadj", 21).over(w), "closeadj") - 1)), "ret_3m": r6(F.try_divide("closeadj", F.lag("closeadj", 63).over(w)) - 1), "_last": F.lead("closeadj", 21).over(w).isNull()})
-    bars = bars.join(r.instruments.select("ticker", "sector", "isdelisted"), "ticker").withColumn("delisted", F.col("_last") & (F.col("isdelisted") == "Y")).drop("_last", "isdelisted")
-    return bars.join(r.vendor.select("ticker", "date", "marketcap", "pe"), ["ticker", "date"], "left")
+    bars = picked(bars).join(r.instruments.select("ticker", "sector", "isdelisted"), "ticker").withColumn("delisted", F.col("_last") & (F.col("isdelisted") == "Y")).drop("_last", "isdelisted")
+    return bars.join(picked(r.vendor.select("ticker", "date", "marketcap", "pe")), ["ticker", "date"], "left")
 
 
 SCREEN = "ret_3m is not null and closeadj > 0 and sector not in ('ASIA')"
 
 
 def assigned(r):
-    return B.bucket_sort(panel(r), "ret_3m", N, MOST, F.expr(SCREEN))
+    return B.bucket_sort(panel(r, True), "ret_3m", N, MOST, F.expr(SCREEN), at_ends=True)
 
 
 def series(r):
@@ -51,14 +55,12 @@ def rebalance_dates(r):
 
 @query("month_end_rows", ROLES, f"WITH {_P} SELECT p.ticker, p.date, p.fwd_ret FROM p JOIN me ON p.date = me.date")
 def month_end_rows(r):
-    d = panel(r)
-    return d.join(F.broadcast(B.month_ends(r.bars)), "date").select("ticker", "date", "fwd_ret")
+    return panel(r, True).select("ticker", "date", "fwd_ret")
 
 
 @query("top_n_by_cap", ROLES, f"WITH {_P} SELECT ticker, date, cap_rank FROM ranked WHERE cap_rank <= 10")
 def top_n_by_cap(r):
-    d = panel(r).join(F.broadcast(B.month_ends(r.bars)), "date").where(SCREEN)
-    return B.top_by_cap(d, 10).select("ticker", "date", F.col("cap_rank").cast("long").alias("cap_rank"))
+    return B.top_by_cap(panel(r, True).where(SCREEN), 10).select("ticker", "date", F.col("cap_rank").cast("long").alias("cap_rank"))
 
 
 @query("bucket_assign", ROLES, f"WITH {_P} SELECT ticker, date, bucket, ret_3m, fwd_ret FROM a")

@@ -19,6 +19,7 @@ from ..operators.asof import interval_join
 from ..operators.peers import medians
 from ..operators.quantiles import quantile_row
 from ..registry import query
+from ..sources.stages import written
 from .q_buckets import N, ROLES, _P, assigned, panel
 from .q_checks import _report, _row
 from .q_features import _ASOF, INSIDER
@@ -281,7 +282,7 @@ hr AS (SELECT ticker, day, until, bucket, sector, entry, exit, {q6('0.02 * (exit
 def holding(r):
     """Assignments held from the end of their month to the end of the next, in calendar days; returns damped like the others here."""
     d = assigned(r).select("ticker", "bucket", "sector", F.last_day("date").alias("day"), F.last_day(F.add_months("date", 1)).alias("until"))
-    return HD.returns(d, r.bars).withColumns({"bucket": F.col("bucket").cast("long"), "ret": r6(0.02 * F.col("ret"))})
+    return HD.returns(written(d), r.bars).withColumns({"bucket": F.col("bucket").cast("long"), "ret": r6(0.02 * F.col("ret"))})
 
 
 @query("holding_period_returns", ROLES, f"WITH {_HOLD} SELECT ticker, day, entry, exit, ret FROM hr")
@@ -329,5 +330,6 @@ def market_state_labels(r):
 SELECT bucket, family, label, count(ret) AS n, {q6('avg(ret)')} AS mean, {q6('stddev_samp(ret)')} AS std, {q6('avg(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END)')} AS win_rate FROM k GROUP BY ALL""")
 def stats_by_label(r):
     """Holding returns by bucket and state of the market on the day they began."""
-    d = SL.with_labels(holding(r).select("bucket", "day", "ret"), states(r), "day").groupBy("bucket", "family", "label")
+    d = written(holding(r).select("bucket", "day", "ret"))
+    d = SL.with_labels(d, written(states(r)), "day").groupBy("bucket", "family", "label")
     return d.agg(F.count("ret").alias("n"), r6(F.avg("ret")).alias("mean"), r6(F.stddev_samp("ret")).alias("std"), r6(F.avg((F.col("ret") > 0).cast("double"))).alias("win_rate"))
