@@ -9,6 +9,7 @@ from ..operators import series as S
 from ..operators import strategies as ST
 from ..operators import universe as U
 from ..registry import query
+from ..sources.stages import written
 from .q_features import PIT
 from .q_quality import metrics
 from .q_universe import CORE, LABELS, UNIVERSE
@@ -21,17 +22,19 @@ FROM universe u JOIN ends ON u.date = ends.date JOIN pit ON pit.ticker = u.ticke
 
 
 def month_panel(r):
-    """The universe at month ends with what strategies ask for. Filings are looked up for these rows only; the ends are one date a month."""
-    r.keep("bars")
+    """The universe at month ends with what strategies ask for. Bars are made once, from lines dealt by entity, and only each entity's last bar
+    of a month is written, with its capitalisation and labels; filings are looked up for the rows of month ends, which are one date a month."""
     quality = metrics(r).select("ticker", "vintage", "fcf_r2_10y", "fcf_pct_positive")
-    terminal = U.terminal_events(U.clean_actions(r.actions))
-    core = U.core(r.bars, r.instruments, U.removals(terminal)).select("ticker", "date", "closeadj", "sector")
-    grid = core.join(F.broadcast(B.month_ends(core)), "date", "left_semi").join(r.vendor.select("ticker", "date", F.bround("marketcap").cast("long").alias("marketcap")), ["ticker", "date"], "left")
+    r.put("spans", written(r.lines.groupBy("ticker").agg(F.min("date").alias("firstpricedate"), F.max("date").alias("lastpricedate"))))
+    r.put("marked", written(r.marked))
+    terminal = written(U.terminal_events(U.clean_actions(r.actions)))
+    last = r.keep().write("last", U.month_last(r.dealt("bars"), r.instruments, U.removals(terminal), 21))
+    grid = last.join(F.broadcast(B.month_ends(last)), "date", "left_semi").withColumn("marketcap", F.bround("marketcap").cast("long"))
+    grid = U.labelled(grid, terminal, (21,)).select("ticker", "date", "closeadj", "sector", "marketcap", *[c for c in COLUMNS if c.startswith("fwd_")])
     d = FU.fundamental_pit(grid, r.art, quality)
     days = d.select("date").distinct().withColumn("series", F.lit("vix"))
     vix = S.carried(days, r.series.withColumn("series", F.lit("vix"))).select("date", F.col("value").alias("vix"))
-    labels = U.forward_labels(r.bars, terminal, (21,)).drop("fwd_delist_type_21td")
-    d = d.join(F.broadcast(vix), "date", "left").join(labels, ["ticker", "date"], "left")
+    d = d.join(F.broadcast(vix), "date", "left")
     return d.select("ticker", "date", *[r6(c).alias(c) if c in ("pe", "pcf", "fcf_r2_10y", "fcf_pct_positive", "fwd_ret_21td") else c for c in COLUMNS])
 
 
