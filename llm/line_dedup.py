@@ -16,8 +16,8 @@ costs time, never a match). With that order:
    128-bit parity bitmap leave the earlier classes that may be similar, and each class gets the few that
    look most alike. Where many classes meet, they are first held against the earliest ones, and those that look like
    one of these are not held against all others: a group of near copies is not expanded into all its pairs;
-3. for each class its likeliest earlier class is verified on the whole sets, taken from the texts again; then
-   the other candidates of classes without a match;
+3. the whole sets of all candidates are taken from the texts again, in one pass that exchanges only texts with such lines;
+   for each class its likeliest earlier class is verified on them, then the other candidates of classes without a match;
 4. a class that still has no match, but had more candidates than it got, is held against every class
    that it meets, without a limit. So nothing is lost.
 
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words
@@ -52,6 +52,8 @@ MANY, SWEEPS = 64, 6
 PAIRS_AT_ONCE = 400_000
 #: Keys that are broadcast (8 bytes each) to send only what is asked for; beyond that everything is sent.
 MOST_KEYS = 1 << 20
+#: Bits of the map of asked texts, in maps of 2^15 (2 MB in all, broadcast).
+ASKED_BITS = 1 << 24
 
 #: A size or place of 65535 stands for any from there on, which passes the filters. Keys of one bucket are told apart by 32 bits.
 LARGE = 65535
@@ -86,10 +88,24 @@ def _pieces(b: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(RANGES, np.int64)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def add() -> None:
+        nonlocal size
+        if held:
+            total[:] += np.bincount(np.concatenate(held), minlength=RANGES)
+        held.clear()
+        size = 0
+
     for b in batches:
         for _, _, raw, off in _pieces(b):
             s, e, _ = words.word_spans(raw, off)
-            total += np.bincount(_range(words.hash_spans(raw, s, e, True)), minlength=RANGES)
+            held.append(_range(words.hash_spans(raw, s, e, True)))
+            size += len(s)
+            if size > 4 * RANGES:
+                add()
+    add()
     if total.any():
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([x.tobytes() for x in np.split(total, SLICES)], pa.binary())], names=["slice", "counts"])
 
@@ -226,6 +242,28 @@ def _first_of(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def _group_sizes(key: np.ndarray) -> np.ndarray:
+    """How many rows have the key of each row; keys are sorted."""
+    start = np.flatnonzero(_first_of(key)) if len(key) else key[:0].astype(np.int64)
+    size = np.diff(np.append(start, len(key)))
+    return np.repeat(size, size)
+
+
+def _place(e: dict[str, np.ndarray]) -> np.ndarray:
+    """Text and position as one number of the same order."""
+    return (e["h"].astype(np.int64) << 32) + e["pos"]
+
+
+def _by_class(e: dict[str, np.ndarray], asks: np.ndarray) -> np.ndarray:
+    """Rows by key, class and place, of equal places that which asks first. One sort by key and half a class's hash; only rows that are alike in these are compared by the rest."""
+    half = (e["key"].astype(np.uint64) << np.uint64(32)) | (e["p"].view(np.uint64) >> np.uint64(32))
+    o = np.argsort(half)
+    some = np.flatnonzero(_group_sizes(half[o]) > 1)
+    x = o[some]
+    o[some] = x[np.lexsort((~asks[x], _place({k: e[k][x] for k in ("h", "pos")}), e["doc"][x], e["s"][x], e["p"][x], half[x]))]
+    return o
+
+
 def _match(table: pa.Table) -> pa.Table:
     """What a bucket finds: candidates (y, x) where x is an earlier class than y, and places of lines that have an equal one before them.
 
@@ -236,7 +274,7 @@ def _match(table: pa.Table) -> pa.Table:
     e = {k: np.concatenate([e[k], asked[k]]) for k in e}
     asks = np.arange(len(e["key"])) >= len(e["key"]) - len(asked["key"])
     e = {k: v.astype(np.int64) if k in ("n", "at") else v for k, v in e.items()}
-    o = np.lexsort((~asks, e["pos"], e["h"], e["doc"], e["s"], e["p"], e["key"]))
+    o = _by_class(e, asks)
     first = _first_of(*(e[k][o] for k in ("key", "p", "s")))
     again = _elsewhere(e, o, first)
     again = again[(e["at"][again] == 0) & ~asks[again]]
@@ -246,13 +284,12 @@ def _match(table: pa.Table) -> pa.Table:
     else:
         gone = []
     o = o[first]
+    o = o[_group_sizes(e["key"][o]) > 1]  # a class alone under a key meets none
     e, asks = {k: v[o] for k, v in e.items()}, asks[o]
     rank = np.empty(len(o), np.int64)
-    rank[np.lexsort((e["pos"], e["h"], e["doc"]))] = np.arange(len(o))
-    o = np.lexsort((e["n"], e["key"]))
-    start = np.flatnonzero(_first_of(e["key"][o])) if len(o) else o
-    size = np.diff(np.append(start, len(o)))
-    size_of = np.repeat(size, size)
+    rank[np.lexsort((_place(e), e["doc"]))] = np.arange(len(o))
+    o = np.argsort(e["key"].astype(np.int64) << 16 | e["n"])
+    size_of = _group_sizes(e["key"][o])
     found: tuple[list, ...] = ([], [], [], [])
 
     def add(*columns: np.ndarray) -> None:
@@ -271,7 +308,6 @@ def _match(table: pa.Table) -> pa.Table:
             times[other[ok[sure]]] += 1
             left = other[times[other] < 2]
     settled = times > 1
-    o = o[size_of > 1]
     g = (np.cumsum(_first_of(e["key"][o])) << 33) if len(o) else o
     n = e["n"][o]
     for i, j in pairs_within(np.arange(1, len(o) + 1), np.searchsorted(g + n, g + n * DEN // NUM, "right"), PAIRS_AT_ONCE):
@@ -356,19 +392,39 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.drop_columns(["tx", "ty"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _asked_bits(doc: str, h: str) -> tuple[Column, Column]:
+    """(number of the map, place in it) of the bit that stands for a text."""
+    bit = F.pmod(F.xxhash64(F.col(doc).cast("long"), h), F.lit(ASKED_BITS))
+    return F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+
+
+def _maybe_asked(texts: DataFrame, asks: DataFrame) -> DataFrame:
+    """The texts of ``asks``, and few others: those whose bit is set in a map of fixed size."""
+    number, place = _asked_bits("doc", "h")
+    bits = asks.groupBy(number.alias("number")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    number, place = _asked_bits("doc_id", "h")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(place / 8) + 1).cast("int"), 1)), 16, 10).cast("int")
+    some = texts.withColumns({"number": number, "place": place}).join(F.broadcast(bits), "number")
+    return some.where(F.getbit(byte, (place % 8).cast("int")) == 1).select(*texts.columns)
+
+
 def _with_asked(texts: DataFrame, places: DataFrame) -> DataFrame:
-    """The texts of which lines are asked, with the places (doc, h, pos) of these."""
-    asks = places.groupBy("doc", "h").agg(F.collect_set("pos").alias("asked"))
-    asks = asks.select(F.col("doc").alias("doc_id"), "h", "asked").hint("shuffle_hash")
-    return texts.join(asks, ["doc_id", "h"]).select("doc_id", "h", "text", "asked")
+    """The texts of which lines are asked, with the places (doc, h, pos) of these. Only what `_maybe_asked` leaves is exchanged."""
+    asks = stash(places.groupBy("doc", "h").agg(F.collect_set("pos").alias("asked")))
+    own = asks.select(F.col("doc").alias("doc_id"), "h", "asked").hint("shuffle_hash")
+    return _maybe_asked(texts, asks).join(own, ["doc_id", "h"]).select("doc_id", "h", "text", "asked")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, rare) -> DataFrame:
-    """The classes y, with their places, of the pairs whose sets are similar."""
+def _sets(pairs: DataFrame, texts: DataFrame, rare) -> DataFrame:
+    """(p, s, tokens): the whole sets of the classes of pairs, taken from the texts."""
     place = lambda c: pairs.select(*[F.col(f"{c}{k}").alias(k) for k in ("doc", "h", "pos")])
     asked = _with_asked(texts, place("x").unionByName(place("y")))
     sets = asked.mapInArrow(lambda it: _tokens(it, rare.value), "p long, s long, tokens binary")
-    sets = stash(sets.groupBy("p", "s").agg(F.any_value("tokens").alias("tokens")))
+    return stash(sets.groupBy("p", "s").agg(F.any_value("tokens").alias("tokens")))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The classes y, with their places, of the pairs whose sets are similar."""
     on = lambda c: sets.select(F.col("p").alias(f"{c}p"), F.col("s").alias(f"{c}s"), F.col("tokens").alias(f"t{c}"))
     rows = pairs.join(on("x"), ["xp", "xs"]).join(on("y"), ["yp", "ys"]).select("yp", "ys", "ydoc", "yh", "ypos", "tx", "ty")
     return stash(rows.mapInArrow(_verify, "yp long, ys long, ydoc long, yh int, ypos int").distinct())
@@ -392,11 +448,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     candidates = found.where("gone is null").select(*y, *x, "apart", "more")
 
     best = stash(candidates.groupBy(*y).agg(F.min(F.struct("apart", *x)).alias("x"), F.max("more").alias("more")).select(*y, "x.*", "more"))
-    near = _verified(best.select(*y, *x), rows, rare)
+    sets = _sets(candidates, rows, rare)
+    near = _verified(best.select(*y, *x), sets)
     others = candidates.join(near, ["yp", "ys"], "left_anti").join(best.select("yp", "ys", "xp", "xs"), ["yp", "ys", "xp", "xs"], "left_anti")
     others = stash(others.select(*y, *x).distinct())
     if not others.isEmpty():
-        near = near.unionByName(_verified(others, rows, rare))
+        near = near.unionByName(_verified(others, sets))
     open_ = stash(best.where("more").join(near, ["yp", "ys"], "left_anti").select(F.col("ydoc").alias("doc"), F.col("yh").alias("h"), F.col("ypos").alias("pos")))
     if not open_.isEmpty():
         asked = _with_asked(rows, open_)
@@ -406,7 +463,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         some = spark.sparkContext.broadcast(only)
         entries = rows.mapInArrow(lambda it: _entries(it, rare.value, buckets, some.value), PARTS)
         all_found = entries.where("data is not null").unionByName(asks).groupBy("bucket").applyInArrow(_match_asked, FOUND)
-        near = near.unionByName(_verified(stash(all_found.select(*y, *x).distinct()), rows, rare))
+        pairs = stash(all_found.select(*y, *x).distinct())
+        near = near.unionByName(_verified(pairs, _sets(pairs, rows, rare)))
 
     gone = found.where("gone is not null").select("gone").mapInArrow(_places, "doc long, h int, pos int")
     gone = gone.unionByName(near.select(F.col("ydoc").alias("doc"), F.col("yh").alias("h"), F.col("ypos").alias("pos")))

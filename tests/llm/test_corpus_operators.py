@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from llm import bpe, decontaminate, language_id, licenses, line_dedup, near_duplicates, quality_gam, quality_rules, token_counts, toxicity, words
 from llm.components import connected_components
@@ -100,6 +101,35 @@ def test_line_dedup_brute(spark):
     assert got == brute_lines(rows)
 
 
+def test_line_dedup_takes_whole_sets_in_one_pass_over_texts(spark, monkeypatch):
+    passes, pairs = [], []
+    with_asked, verified = line_dedup._with_asked, line_dedup._verified
+    monkeypatch.setattr(line_dedup, "_with_asked", lambda *a: passes.append(1) or with_asked(*a))
+    # as if none of the likeliest held, so that the others are verified too
+    monkeypatch.setattr(line_dedup, "_verified", lambda *a: pairs.append(1) or (verified(*a).where("false") if len(pairs) == 1 else verified(*a)))
+    line_dedup.removed_lines(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    assert len(pairs) == 2 and len(passes) == 1
+
+
+def test_line_dedup_finds_candidates_of_several_keys_and_copies_in_one_bucket():
+    words_of = [["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "e"], ["a", "b", "c", "d", "f"], ["x", "y"], ["x", "y", "z", "u", "v"], ["q"]]
+    parts = [pa.RecordBatch.from_pydict({"doc_id": [k], "h": pa.array([k], pa.int32()), "text": ["\n".join([" ".join(w), "only" + str(k)])]}) for k, w in enumerate(words_of)]
+    packed = pa.concat_tables([pa.Table.from_batches(list(line_dedup._entries(iter([b]), np.zeros(line_dedup.RANGES, np.uint64), 1))) for b in parts])
+    got = line_dedup._match(packed)
+    gone = line_dedup.unpack(line_dedup.GONE, got.column("gone").drop_null())
+    assert set(zip(gone["doc"].tolist(), gone["pos"].tolist())) <= {(1, 0)} and {(r["ydoc"], r["xdoc"]) for r in got.to_pylist() if r["gone"] is None} <= {(2, 0)}
+
+
+def test_line_dedup_exchanges_asked_texts_only(spark):
+    texts = spark.range(-500, 1500).select(F.col("id").alias("doc_id"), F.hash("id").alias("h"), F.lit("a\nb").alias("text"))
+    places = texts.where("doc_id in (-500, -3, 0, 1, 1499)").select(F.col("doc_id").alias("doc"), "h", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos"))
+    got = line_dedup._with_asked(texts, places).collect()
+    assert sorted((r["doc_id"], sorted(r["asked"]), r["text"]) for r in got) == [(k, [0, 1], "a\nb") for k in (-500, -3, 0, 1, 1499)]
+    some = {r["doc_id"] for r in line_dedup._maybe_asked(texts, places).collect()}
+    assert some >= {-500, -3, 0, 1, 1499} and len(some) < 20
+    assert not line_dedup._maybe_asked(texts, places.where("false")).collect()
+
+
 def test_line_dedup_edges(spark):
     d = spark.createDataFrame([(None, "x y\nx y", 1), (1, None, 1), (2, "", 1), (3, "a b\na b", 1), (3, "a b\na b", 1)], "doc_id long, text string, cut long")
     got = sorted((str(r["doc_id"]), r["text"], r["n_removed"]) for r in line_dedup.dedup_lines(d.drop("cut")).collect() if r["doc_id"] != 1)
