@@ -7,8 +7,10 @@ above it: the last token is the one vocabulary entry that ends here and that BPE
 merge with, or split from, the last token of what precedes it. A shared prefix is thus
 encoded once, and a word's tokens are read off by walking the states back.
 
-Whitespace never joins a token, so a text is its whitespace-free chunks; each task keeps a
-bounded table of chunks it has met. Null and empty texts have no token. Texts of any length
+Whitespace never joins a token, so a text is its whitespace-free chunks. The distinct chunks of a
+piece of a batch are encoded in sorted order, a slice at a time; each task keeps a bounded table of
+chunks it has met. Memory so depends on neither the length of a batch nor on how many of its words differ,
+save for a single text above the size of a piece. Null and empty texts have no token. Texts of any length
 are encoded whole. Repeated rows are each encoded; an empty table gives no rows. Only the key columns and the text are read; a key must not
 be named like a result.
 """
@@ -21,6 +23,7 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
@@ -33,6 +36,8 @@ from .words import pieces, text_bytes
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes of chunks and their encodings, and pairs of tokens, that a task remembers; beyond them it starts afresh.
 REMEMBER, PAIRS = 48 << 20, 300_000
+#: Bytes of text that are taken at once, of them those of texts looked at whole, and distinct chunks that are encoded at once.
+PIECE, WHOLE_PIECE, SLICE = 1 << 23, 1 << 21, 1 << 14
 #: About what Python takes for the three strings of a chunk, and their places in tables, besides the characters.
 A_CHUNK = 400
 END = "</w>"
@@ -88,12 +93,17 @@ class TrieBpe:
         self._size = 0
 
     def forget(self) -> None:
-        """Let go of what earlier texts have left."""
+        """Let go of the chunks that earlier texts have left."""
         self._ids.clear()
         self._text.clear()
-        self._stands.clear()
         self._size = 0
 
+    def rest(self) -> None:
+        """Let go of all that earlier texts have left."""
+        self.forget()
+        self._stands.clear()
+        pa.default_memory_pool().release_unused()
+
     @staticmethod
     def _lengths(table: dict[str, int]) -> dict[str, tuple[int, ...]]:
         out: dict[str, set[int]] = {}
@@ -227,35 +237,49 @@ class TrieBpe:
                 self._text[c] = " ".join([done[p][1] for p in parts])
             self._size += A_CHUNK + len(c) + len(self._ids[c]) + len(self._text[c])
 
+    def of_chunks(self, chunks: pa.Array) -> list[pa.Array]:
+        """[ids, decoded texts] of distinct chunks. Of those before, a slice at a time leaves only its results."""
+        out: list[list[pa.Array]] = [[], []]
+        for at in range(0, len(chunks), SLICE):
+            if self._size > REMEMBER:
+                self.forget()
+            some = chunks.slice(at, SLICE).to_pylist()
+            known = self._ids
+            self.learn([c for c in some if c not in known])
+            for col, table in zip(out, (self._ids, self._text)):
+                col.append(pa.array(list(map(table.__getitem__, some)), pa.string()))
+        return [pa.concat_arrays(col) if col else pa.array([], pa.string()) for col in out]
+
     def encode_decode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
-        """(ids in decimal joined by spaces, decoded texts) of a batch, whose new words share one trie.
+        """(ids in decimal joined by spaces, decoded texts) of a batch, whose new words share a trie by slices.
 
         Texts with special tokens, combining marks or rare spaces are looked at whole; others as
         the lower-cased chunks between ASCII spaces, whose encodings this worker remembers."""
         texts = pc.fill_null(texts, "")
         odd = pc.match_substring_regex(texts, _WHOLE)
-        low = pc.utf8_lower(pc.ascii_trim_whitespace(pc.if_else(odd, "", texts)))
-        lists = pc.ascii_split_whitespace(low)
-        coded = lists.values.dictionary_encode()
-        chunks = coded.dictionary.to_pylist()
-        if self._size > REMEMBER:
-            self.forget()
-        known = self._ids
-        new = [c for c in chunks if c not in known]
-        if new:
-            self.learn(new)
-        out = []
-        for table in (self._ids, self._text):
-            parts = pa.array(list(map(table.__getitem__, chunks)), pa.string()).take(coded.indices)
-            out.append(pc.binary_join(pa.ListArray.from_arrays(lists.offsets, parts), " "))
+        lists = pc.ascii_split_whitespace(pc.utf8_lower(pc.ascii_trim_whitespace(pc.if_else(odd, "", texts))))
+        offsets, coded = lists.offsets, lists.values.dictionary_encode()
+        del lists
+        # in sorted order, chunks of one slice share most words and paths
+        order = pc.sort_indices(coded.dictionary)
+        place = np.empty(len(order), np.int32)
+        place[order.to_numpy()] = np.arange(len(order), dtype=np.int32)
+        at = pa.array(place[coded.indices.to_numpy()])
+        chunks = coded.dictionary.take(order)
+        del coded
+        out = [pc.binary_join(pa.ListArray.from_arrays(offsets, parts.take(at)), " ") for parts in self.of_chunks(chunks)]
         if pc.any(odd).as_py():
-            whole = texts.filter(odd).to_pylist()
-            self.learn(set(whole))
-            for k, table in enumerate((self._ids, self._text)):
-                out[k] = pc.replace_with_mask(out[k], odd, pa.array([table[t] for t in whole], pa.string()))
-            for t in set(whole):
-                self._size -= A_CHUNK + len(t) + len(self._ids[t]) + len(self._text[t])
-                del self._ids[t], self._text[t]
+            whole = texts.filter(odd)
+            found: list[list[str]] = [[], []]
+            for i, j in pieces(text_bytes(whole)[1], WHOLE_PIECE):
+                some = whole.slice(i, j - i).to_pylist()
+                self.learn(set(some))
+                for col, table in zip(found, (self._ids, self._text)):
+                    col.extend([table[t] for t in some])
+                for t in set(some):
+                    self._size -= A_CHUNK + len(t) + len(self._ids[t]) + len(self._text[t])
+                    del self._ids[t], self._text[t]
+            out = [pc.replace_with_mask(col, odd, pa.array(f, pa.string())) for col, f in zip(out, found)]
         return out[0], out[1]
 
 
@@ -267,17 +291,17 @@ def tokenizer(path: str) -> TrieBpe:
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str | None, texts_too: bool) -> Iterator[pa.RecordBatch]:
     bpe = tokenizer(path or default_path())
-    sha = lambda col: pa.array([hashlib.sha256(x.encode()).hexdigest() for x in col.to_pylist()], pa.string())
+    sha = lambda col: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in col], pa.string())
     for b in batches:
         _, off = text_bytes(b.column("text"))
-        for i, j in pieces(off, 1 << 24):
+        for i, j in pieces(off, PIECE):
             part = b.slice(i, j - i)
             names = [c for c in part.schema.names if c != "text"]
             ids, text = bpe.encode_decode(part.column("text"))
             n = pc.add(pc.count_substring(ids, " "), pc.not_equal(ids, "").cast(pa.int64())).cast(pa.int64())
             more = [ids, text] if texts_too else []
             yield pa.RecordBatch.from_arrays([*map(part.column, names), n, *more, sha(ids), sha(text)], names=[*names, "n_tokens", *(("ids", "decoded") if texts_too else ()), "ids_sha256", "decoded_sha256"])
-    bpe.forget()  # the worker may go on to other work
+    bpe.rest()  # the worker may go on to other work
 
 
 def tokenize(docs: DataFrame, key: list[str], path: str | None = None, texts_too: bool = False) -> DataFrame:

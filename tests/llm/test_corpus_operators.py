@@ -211,3 +211,24 @@ def test_bpe_equals_the_library(spark):
         ids = t.encode(text, add_special_tokens=False).ids
         assert got[k]["ids"] == " ".join(map(str, ids)) and got[k]["n_tokens"] == len(ids)
         assert got[k]["decoded_sha256"] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_remembers_a_bounded_table_within_a_batch(monkeypatch):
+    """One batch of many different words: a worker's table has no more of them than its bound and a slice."""
+    tokenizers = pytest.importorskip("tokenizers")
+    t, b = tokenizers.Tokenizer.from_file(bpe.default_path()), bpe.TrieBpe(bpe.default_path())
+    monkeypatch.setattr(bpe, "REMEMBER", 1 << 20)
+    most, learn = [0], b.learn
+
+    def watched(chunks):
+        learn(chunks)
+        most[0] = max(most[0], len(b._ids))
+
+    monkeypatch.setattr(b, "learn", watched)
+    texts = [" ".join(f"w{k * 7919 % 60_000:x}q{k % 7}" for k in range(i, i + 600)) for i in range(0, 60_000, 500)]
+    texts += ["", None, "cafe\u0301 \u2003 in \u00e9t\u00e9 " * 3, "cafe\u0301 \u2003 in \u00e9t\u00e9 " * 3, "<|endoftext|> as text", "  "]
+    ids, decoded = b.encode_decode(pa.array(texts, pa.string()))
+    for text, i, d in zip(texts, ids.to_pylist(), decoded.to_pylist(), strict=True):
+        want = t.encode(text or "", add_special_tokens=False).ids
+        assert i == " ".join(map(str, want)) and d == t.decode(want, skip_special_tokens=False)
+    assert most[0] < 20_000
