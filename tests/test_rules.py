@@ -148,6 +148,24 @@ def test_correlations_of_all_pairs(spark):
         assert r["corr"] is None if 3 in (i, j) else r["corr"] == pytest.approx(np.corrcoef(x[ok, i], x[ok, j])[0, 1], abs=1e-9)
 
 
+def test_correlations_take_one_pass(spark):
+    rows = [(1e9 + k % 7, float(k % 5), 3.0 if k % 2 else float(k), None) for k in range(400)]
+    d = spark.createDataFrame(rows, "a double, b double, c double, e double").withColumn("e", F.when(F.col("c") == 3.0, F.col("a"))).repartition(3)
+    m = correlation.matrix(d, ["a", "b", "c", "e"])
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    got = {(r["a"], r["b"]): (r["n"], r["corr"]) for r in m.collect()}
+    x = np.array([[r[0], r[1], r[2]] for r in rows])
+    want = np.corrcoef(x.T)
+    assert got["a", "b"] == (400, pytest.approx(want[0, 1], abs=1e-9)) and got["b", "c"] == (400, pytest.approx(want[1, 2], abs=1e-9))
+    assert got["c", "e"] == (sum(r[2] == 3.0 for r in rows), None)  # c is the same wherever e is known, far from its own mean
+
+
+def test_correlations_run_no_job_when_built(spark):
+    d = spark.range(5).select(F.assert_true(F.col("id") < 0, F.lit("read")).cast("double").alias("a"), F.col("id").cast("double").alias("b"))
+    assert correlation.matrix(d, ["a", "b"]).columns == ["a", "b", "n", "corr"]
+
+
 def test_contracts(spark):
     t = spark.createDataFrame([(1, D(2020, 1, 1), 1.0), (1, D(2020, 1, 1), None), (2, D(2020, 6, 1), 2.0)], "k long, date date, v double")
     other = spark.createDataFrame([(1, D(2020, 1, 1), True), (3, D(2020, 1, 1), True), (4, D(2020, 1, 1), False)], "k long, date date, inside boolean")
